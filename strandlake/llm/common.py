@@ -93,3 +93,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("connected components did not settle")
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select(F.col("v"), F.col("v")).distinct())
+
+
+def bounded_batches(spark: SparkSession, megabytes: int = 16) -> None:
+    """Bounds what a Python worker holds at once by bytes, not by rows alone: texts may be very long."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
