@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandlake.llm import jaccard, lines, quality
+from strandlake.llm import jaccard, lines, mixing, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_query(table(spark, sf_dir, "documents"))
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixing_query(table(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.lines_query(table(spark, sf_dir, "documents"))
 
@@ -26,8 +30,8 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op7_line_dedup, op9_quality_classifier)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_source_mixing, op7_line_dedup, op9_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": lines.LINES_SQL}
+    return {"op2_source_mixing": mixing.MIXING_SQL, "op7_line_dedup": lines.LINES_SQL}
