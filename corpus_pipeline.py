@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandlake.llm import lines, quality
+from strandlake.llm import jaccard, lines, mixing, pieces, quality
 from strandlake.llm.common import written
 
 
@@ -18,7 +18,28 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return lines.drop_frequent(docs).select(*docs.columns)
 
 
-STAGES = [("quality", keep_quality), ("line_dedup", dedup_lines)]
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return jaccard.keep_one(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixing.mixed_documents(docs)
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with the ids of their pieces."""
+    return pieces.encode(docs)
+
+
+STAGES = [
+    ("quality", keep_quality),
+    ("line_dedup", dedup_lines),
+    ("near_copies", drop_near_copies),
+    ("mixing", mix_sources),
+    ("pieces", encode_pieces),
+]
 
 #: Learned models decide in the first stage, so SQL cannot express the rows of run().
 ORACLE_SQL = None

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandlake.llm import jaccard, lines, mixing, quality
+from strandlake.llm import jaccard, lines, mixing, pieces, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,12 +25,16 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.lines_query(table(spark, sf_dir, "documents"))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.pieces_query(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_source_mixing, op7_line_dedup, op9_quality_classifier)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_source_mixing, op7_line_dedup, op8_sentencepiece, op9_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
