@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandlake.llm import jaccard, lines, mixing, pieces, quality
+from strandlake.llm import jaccard, lines, mixing, pieces, quality, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,8 +33,12 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets_query(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_source_mixing, op7_line_dedup, op8_sentencepiece, op9_quality_classifier)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_source_mixing, op7_line_dedup, op8_sentencepiece, op9_quality_classifier, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
