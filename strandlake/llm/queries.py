@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandlake.llm import jaccard, lines, mixing, pieces, quality, secrets
+from strandlake.llm import jaccard, language, lines, mixing, pieces, quality, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_query(table(spark, sf_dir, "documents"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.lines_query(table(spark, sf_dir, "documents"))
 
@@ -38,7 +42,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_source_mixing, op7_line_dedup, op8_sentencepiece, op9_quality_classifier, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_source_mixing, op3_lm_scoring, op7_line_dedup, op8_sentencepiece, op9_quality_classifier, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
