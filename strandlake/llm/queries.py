@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strandlake.llm import jaccard, language, lines, mixing, pieces, quality, secrets
+from strandlake.llm import jaccard, language, lines, mixing, pieces, quality, secrets, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +26,14 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.linked_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.lines_query(table(spark, sf_dir, "documents"))
 
@@ -42,8 +51,8 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_source_mixing, op3_lm_scoring, op7_line_dedup, op8_sentencepiece, op9_quality_classifier, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_source_mixing, op3_lm_scoring, op4_embedding_near_dedup, op5_exact_top_k, op7_line_dedup, op8_sentencepiece, op9_quality_classifier, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_source_mixing": mixing.MIXING_SQL, "op7_line_dedup": lines.LINES_SQL}
+    return {"op2_source_mixing": mixing.MIXING_SQL, "op5_exact_top_k": vectors.TOP_SQL, "op7_line_dedup": lines.LINES_SQL}
