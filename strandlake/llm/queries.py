@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import jaccard, language, lines, mixing, pieces, quality, secrets, vectors
+from strandlake.llm import counts, jaccard, language, lines, mixing, pieces, quality, secrets, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.counts_query(table(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.lines_query(table(spark, sf_dir, "documents"))
 
@@ -51,7 +55,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_source_mixing, op3_lm_scoring, op4_embedding_near_dedup, op5_exact_top_k, op7_line_dedup, op8_sentencepiece, op9_quality_classifier, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_source_mixing, op3_lm_scoring, op4_embedding_near_dedup, op5_exact_top_k, op6_token_counts, op7_line_dedup, op8_sentencepiece, op9_quality_classifier, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
