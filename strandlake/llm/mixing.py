@@ -150,31 +150,39 @@ def log_factorial(n: Column) -> Column:
     return series - F.ln(product)
 
 
+def let(value: Column, use) -> Column:
+    """use(value), value standing once in the plan however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def hypergeometric(u: Column, good: Column, total: Column, drawn: Column) -> Column:
     """How many of `good` among `total` are in a draw of `drawn` without replacement: the distribution function inverted at u.
 
     Sums run over 12 standard deviations around the mean, beyond which no double differs from 0 or 1.
     """
-    g, t, d = good.cast("double"), total.cast("double"), drawn.cast("double")
-    least, most = F.greatest(F.lit(0.0), d + g - t), F.least(g, d)
-    mean = F.when(t > 0, d * g / t).otherwise(0.0)
-    spread = 12 * F.sqrt(F.when(t > 1, mean * (1 - g / t) * (t - d) / (t - 1)).otherwise(0.0)) + 12
-    lo, hi = F.greatest(least, F.floor(mean - spread)).cast("long"), F.least(most, F.ceil(mean + spread)).cast("long")
-    x0 = lo.cast("double")
-    first = F.exp(
-        log_factorial(g) - log_factorial(x0) - log_factorial(g - x0) + log_factorial(t - g) - log_factorial(d - x0)
-        - log_factorial(t - g - d + x0) - log_factorial(t) + log_factorial(d) + log_factorial(t - d))
-    start = F.struct(first.alias("p"), F.lit(0.0).alias("sum"), lo.alias("x"))
-
-    def step(a: Column, k: Column) -> Column:
-        done = a["sum"] + a["p"] >= u
-        x = a["x"].cast("double")
-        ratio = (g - x) * (d - x) / ((x + 1) * (t - g - d + x + 1))
-        return F.when(done, a).otherwise(F.struct((a["p"] * ratio).alias("p"), (a["sum"] + a["p"]).alias("sum"), (a["x"] + 1).alias("x")))
-
-    steps = F.sequence(F.lit(1), F.greatest(hi - lo, F.lit(1)).cast("int"))
-    walked = F.aggregate(steps, start, step, lambda a: a["x"])
-    return F.when(hi <= lo, lo).otherwise(F.least(walked, hi))
+
+    def bounds(v: Column) -> Column:
+        mean = F.when(v["t"] > 0, v["d"] * v["g"] / v["t"]).otherwise(0.0)
+        spread = 12 * F.sqrt(F.when(v["t"] > 1, F.greatest(v["d"] * v["g"] / v["t"] * (1 - v["g"] / v["t"]) * (v["t"] - v["d"]) / (v["t"] - 1), F.lit(0.0))).otherwise(0.0)) + 12
+        least, most = F.greatest(F.lit(0.0), v["d"] + v["g"] - v["t"]), F.least(v["g"], v["d"])
+        lo, hi = F.greatest(least, F.floor(mean - spread)), F.least(most, F.ceil(mean + spread))
+        return let(F.struct(lo.cast("double").alias("lo"), hi.cast("double").alias("hi")), lambda r: walk(v, r))
+
+    def walk(v: Column, r: Column) -> Column:
+        g, t, d, x0 = v["g"], v["t"], v["d"], r["lo"]
+        plus = F.array(t - g, g, d, t - d)
+        minus = F.array(x0, g - x0, d - x0, t - g - d + x0, t)
+        total = lambda xs: F.aggregate(F.transform(xs, log_factorial), F.lit(0.0), lambda a, x: a + x)
+        start = F.struct(F.exp(total(plus) - total(minus)).alias("p"), F.lit(0.0).alias("sum"), x0.alias("x"))
+
+        def step(a: Column, k: Column) -> Column:
+            ratio = (g - a["x"]) * (d - a["x"]) / ((a["x"] + 1) * (t - g - d + a["x"] + 1))
+            return F.when(a["sum"] + a["p"] >= u, a).otherwise(F.struct((a["p"] * ratio).alias("p"), (a["sum"] + a["p"]).alias("sum"), (a["x"] + 1).alias("x")))
+
+        walked = F.aggregate(F.sequence(F.lit(1), F.greatest(r["hi"] - x0, F.lit(1.0)).cast("int")), start, step, lambda a: a["x"])
+        return F.when(r["hi"] <= x0, x0).otherwise(F.least(walked, r["hi"])).cast("long")
+
+    return let(F.struct(good.cast("double").alias("g"), total.cast("double").alias("t"), drawn.cast("double").alias("d")), bounds)
 
 
 def uniform(*of: Column) -> Column:
@@ -193,16 +201,17 @@ def split_tree(quotas: DataFrame, s: Settings) -> DataFrame:
     for level in range(levels):
         depth = F.lit(1000 * s.seed + level)
         whole = F.aggregate("qs", F.lit(0).cast("long"), lambda a, x: a + x["q"])
-        start = F.struct(whole.alias("rest"), F.floor(whole / 2).cast("long").alias("room"), F.array().cast("array<bigint>").alias("left"))
+        start = let(whole, lambda t: F.struct(t.alias("rest"), F.floor(t / 2).cast("long").alias("room"), F.array().cast("array<bigint>").alias("left")))
 
         def fold(a: Column, x: Column) -> Column:
-            n = hypergeometric(uniform(depth, F.col("__node"), x["__src"]), x["q"], a["rest"], a["room"])
-            return F.struct((a["rest"] - x["q"]).alias("rest"), (a["room"] - n).alias("room"), F.array_append(a["left"], n).alias("left"))
+            drawn = hypergeometric(uniform(depth, F.col("__node"), x["__src"]), x["q"], a["rest"], a["room"])
+            return let(drawn, lambda n: F.struct((a["rest"] - x["q"]).alias("rest"), (a["room"] - n).alias("room"), F.array_append(a["left"], n).alias("left")))
 
-        node = node.select("__node", "qs", F.aggregate("qs", start, fold, lambda a: a["left"]).alias("left"))
+        node = written(node.select("__node", "qs", F.aggregate("qs", start, fold, lambda a: a["left"]).alias("left")), "mix-tree")
         left = F.zip_with("qs", "left", lambda x, n: F.struct(x["__src"].alias("__src"), n.alias("q"), x["at"].alias("at")))
         right = F.zip_with("qs", "left", lambda x, n: F.struct(x["__src"].alias("__src"), (x["q"] - n).alias("q"), (x["at"] + n).alias("at")))
-        node = node.select(F.explode(F.array(F.struct((F.col("__node") * 2).alias("__node"), left.alias("qs")), F.struct((F.col("__node") * 2 + 1).alias("__node"), right.alias("qs")))).alias("c")).select("c.__node", "c.qs")
+        children = F.array(F.struct((F.col("__node") * 2).alias("__node"), left.alias("qs")), F.struct((F.col("__node") * 2 + 1).alias("__node"), right.alias("qs")))
+        node = node.select(F.explode(children).alias("c")).select("c.__node", "c.qs")
     return node.select("__node", F.explode("qs").alias("x")).where("x.q > 0").select(F.col("x.__src").alias("__src"), F.col("__node").alias("__shard"), F.col("x.at").alias("__from"), (F.col("x.at") + F.col("x.q")).alias("__to"))
 
 
