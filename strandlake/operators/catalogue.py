@@ -5,14 +5,546 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandlake.functions import genetic_code as code
+from strandlake.functions import sequences as sq
+from strandlake.operators import annotation, graph, kmers, matrix, records, repeats, statistics, trees
+from strandlake.plans import synthetic as syn
+from strandlake.plans.synthetic import DNA_SQL, FEATURES_SQL, READS_SQL, REFERENCE_SQL, dna, table
+from strandlake.sources import newick
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", dna(F.col("text")).alias("seq"))
+
+
+def _words(k: int, seq: str = "seq") -> str:
+    return f"unnest(list_transform(range(1, length({seq}) - {k} + 2), lambda i: substr({seq}, i, {k})))"
+
+
+def _rc(x: str) -> str:
+    return f"reverse(translate({x}, 'ACGTacgt', 'TGCAtgca'))"
+
+
+_DOCS = f"docs AS (SELECT doc_id, {DNA_SQL} AS seq FROM documents)"
+DS, SS = kmers.Content.parse("ds-DNA"), kmers.Content.parse("ss-DNA")
+
+
+# ---- k-mers ---------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {_DOCS}, w AS (SELECT {_words(5)} AS m FROM docs) SELECT least(m, {_rc('m')}) AS kmer, count(*)::DOUBLE AS weight FROM w GROUP BY 1")
+def kmer_spectrum_ds(spark, d):
+    return kmers.spectrum(_docs(spark, d), DS, kmers.Hasher(5))
+
+
+@query(f"WITH {_DOCS}, w AS (SELECT {_words(6)} AS kmer FROM docs) SELECT kmer, count(*)::DOUBLE AS weight FROM w GROUP BY 1")
+def kmer_spectrum_ss(spark, d):
+    return kmers.spectrum(_docs(spark, d), SS, kmers.Hasher.parse("k-mers(6)"))
+
+
+@query(f"WITH {_DOCS}, w AS (SELECT {_words(4)} AS m, doc_id % 7 AS x FROM docs) SELECT least(m, {_rc('m')}) AS kmer, sum(x)::DOUBLE AS weight FROM w GROUP BY 1 HAVING sum(x) > 0")
+def kmer_weighted(spark, d):
+    return kmers.spectrum(_docs(spark, d).withColumn("w", F.col("doc_id") % 7), DS, kmers.Hasher(4), weight="w")
+
+
+@query(f"""WITH {_DOCS}, w AS (SELECT {_words(8)} AS m FROM docs), p AS (SELECT substr(m, 1, 3) AS a, substr(m, 6, 3) AS b FROM w),
+    c AS (SELECT a, b, {_rc('b')} AS x, {_rc('a')} AS y FROM p)
+    SELECT CASE WHEN a < x OR a = x AND b <= y THEN a || '_' || b ELSE x || '_' || y END AS kmer, count(*)::DOUBLE AS weight FROM c GROUP BY 1""")
+def kmer_gapped(spark, d):
+    return kmers.spectrum(_docs(spark, d), DS, kmers.Hasher.parse("gapped(3,2)"))
+
+
+_UP = "translate(coalesce(text, ''), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')"
+
+
+@query(f"""WITH s AS (SELECT unnest(regexp_split_to_array({_UP}, '[^ACDEFGHIKLMNOPQRSTUVWY]+')) AS s FROM documents), w AS (SELECT {_words(3, 's')} AS kmer FROM s)
+    SELECT kmer, count(*)::DOUBLE AS weight FROM w GROUP BY 1""")
+def kmer_protein(spark, d):
+    return kmers.spectrum(table(spark, d, "documents"), kmers.Content.parse("protein"), kmers.Hasher(3), seq="text")
+
+
+_HEX4 = "lpad(lower(to_hex(" + " + ".join(f"(instr('ACGT', substr(kmer, {i + 1}, 1)) - 1) * {4 ** (3 - i)}" for i in range(4)) + ")), 2, '0')"
+
+
+@query(f"WITH {_DOCS}, w AS (SELECT DISTINCT {_words(4)} AS kmer FROM docs) SELECT kmer, {_HEX4} AS hash FROM w")
+def kmer_hex_hash(spark, d):
+    return kmers.spectrum(_docs(spark, d), SS, kmers.Hasher(4)).select("kmer", kmers.hex_column(F.col("kmer"), SS, 4).alias("hash"))
+
+
+@query(f"WITH {_DOCS}, w AS (SELECT DISTINCT {_words(4)} AS kmer FROM docs) SELECT {_HEX4} AS hash, kmer AS word FROM w")
+def kmer_decode(spark, d):
+    return kmer_hex_hash(spark, d).select("hash", kmers.decode_column(F.col("hash"), SS, kmers.Hasher(4)).alias("word"))
+
+
+@query(f"""WITH {_DOCS}, r AS (SELECT doc_id, seq, reverse(seq) AS b FROM docs), p AS (SELECT doc_id, unnest(range(1, length(seq) + 1)) AS i, seq, b FROM r),
+    x AS (SELECT doc_id, i, (substr(seq, i, 1) <> substr(b, i, 1))::INT AS n FROM p),
+    s AS (SELECT doc_id, i, sum(n) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)::INT AS n FROM x)
+    SELECT doc_id, max(n) AS most, sum(n)::BIGINT AS total FROM s GROUP BY doc_id""")
+def mismatch_window(spark, d):
+    w = _docs(spark, d).select("doc_id", kmers.mismatch_windows(F.col("seq"), F.reverse("seq"), 7).alias("w"))
+    return w.select("doc_id", F.array_max("w").alias("most"), F.aggregate("w", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
+@query()
+def levenshtein_ball(spark, d):
+    w = kmers.spectrum(_docs(spark, d), SS, kmers.Hasher(4)).select("kmer")
+    return w.select("kmer", F.explode(kmers.ball_column(F.col("kmer"), 1)).alias("near"))
+
+
+@query("""WITH w AS (SELECT DISTINCT c_name AS word, c_custkey AS id FROM customer), q AS (SELECT DISTINCT substr(c_name, 1, length(c_name) - 1) AS query FROM customer),
+    h AS (SELECT q.query, w.word, w.id FROM q LEFT JOIN w ON starts_with(w.word, q.query))
+    SELECT query, CASE WHEN count(word) = 0 THEN 'not_found' WHEN bool_or(word = query) AND count(word) > 1 THEN 'contained' WHEN count(word) = 1 THEN 'unique' ELSE 'ambiguous' END AS presence,
+    max(id) FILTER (WHERE word = query) AS exact, count(DISTINCT id) AS n_completions FROM h GROUP BY query""")
+def trie_prefix(spark, d):
+    w = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("word"))
+    q = w.select(F.expr("substr(word, 1, length(word) - 1)").alias("query"))
+    return kmers.prefix_lookup(w, q).select("query", "presence", "exact", F.size("completions").cast("long").alias("n_completions"))
+
+
+# ---- sequences ------------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT doc_id, length(l) AS n, md5(l) AS lint FROM (SELECT doc_id, regexp_replace({_UP}, '[^ACGT]', 'N', 'g') AS l FROM documents)")
+def lint_dna(spark, d):
+    x = table(spark, d, "documents").select("doc_id", sq.dnaize(F.coalesce("text", F.lit(""))).alias("l"))
+    return x.select("doc_id", F.length("l").cast("long").alias("n"), F.md5(F.col("l").cast("binary")).alias("lint"))
+
+
+@query("SELECT doc_id, md5(regexp_replace(coalesce(text, ''), '[^ACGTacgt-]', 'N', 'g')) AS lint FROM documents")
+def lint_dna_keep(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(sq.dnaize(F.coalesce("text", F.lit("")), True, True).cast("binary")).alias("lint"))
+
+
+@query(f"SELECT doc_id, md5(regexp_replace({_UP}, '[^ACDEFGHIKLMNOPQRSTUVWY*]', 'X', 'g')) AS lint FROM documents")
+def lint_protein(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(sq.proteinize(F.coalesce("text", F.lit(""))).cast("binary")).alias("lint"))
+
+
+@query(f"WITH {_DOCS} SELECT doc_id, {_rc('seq')} AS rc FROM docs")
+def revcomp(spark, d):
+    return _docs(spark, d).select("doc_id", sq.rc(F.col("seq")).alias("rc"))
+
+
+@query(f"WITH {_DOCS} SELECT doc_id, reverse(seq) AS rev FROM docs")
+def reverse_seq(spark, d):
+    return _docs(spark, d).select("doc_id", F.reverse("seq").alias("rev"))
+
+
+@query(f"WITH f AS ({FEATURES_SQL}) SELECT id, seq || ':' || strand || ':' || (low + 1) || ':' || length AS text, low AS back_low, length AS back_length FROM f")
+def interval_format(spark, d):
+    x = syn.features(spark, d).select("id", sq.format_interval(F.col("seq"), F.col("strand"), F.col("low"), F.col("length")).alias("text"))
+    return x.withColumn("p", sq.pointer(F.col("text"))).select("id", "text", F.col("p.low").alias("back_low"), F.col("p.length").alias("back_length"))
+
+
+@query(f"""WITH f AS ({FEATURES_SQL}), r AS ({REFERENCE_SQL}) SELECT id, substr(CASE WHEN strand = '-' THEN {_rc('r.seq')} ELSE r.seq END, low + 1, length) AS slice
+    FROM f JOIN r ON f.seq = r.name WHERE low + length <= length(r.seq)""")
+def reference_slice(spark, d):
+    r = syn.reference(spark, d).select("name", F.col("seq").alias("s"))
+    x = syn.features(spark, d).join(r, F.col("seq") == F.col("name")).where("low + length <= length(s)")
+    return x.select("id", sq.slice_sequence(F.col("s"), F.col("low"), F.col("length"), F.col("strand")).alias("slice"))
+
+
+def _places(codons: list[str]) -> str:
+    inside = ", ".join(f"'{c}'" for c in codons)
+    return f"WITH {_DOCS} SELECT doc_id, array_to_string(list_filter(range(0, 30), lambda i: substr(seq, i + 1, 3) IN ({inside})), ',') AS places FROM docs"
+
+
+@query(_places(code.starts(11, True)))
+def codon_starts(spark, d):
+    return _docs(spark, d).select("doc_id", F.array_join(sq.start_places(F.col("seq"), 11, alternative=True).cast("array<string>"), ",").alias("places"))
+
+
+@query(_places(code.stops(2)))
+def codon_stops(spark, d):
+    return _docs(spark, d).select("doc_id", F.array_join(sq.stop_places(F.col("seq"), 2).cast("array<string>"), ",").alias("places"))
+
+
+def _residue(table_: int, codon: str) -> str:
+    r = code.residues(table_)
+    keys, values = (", ".join(f"'{x}'" for x in xs) for xs in (r.keys(), r.values()))
+    return f"coalesce(map([{keys}], [{values}])[{codon}], 'X')"
+
+
+def _translated(table_: int) -> str:
+    one = _residue(table_, "substr(seq, 3 * i + 1, 3)")
+    return f"WITH {_DOCS}, p AS (SELECT doc_id, seq, unnest(range(0, 10)) AS i FROM docs), r AS (SELECT doc_id, i, {one} AS r FROM p) SELECT doc_id, split_part(string_agg(r, '' ORDER BY i), '*', 1) AS protein FROM r GROUP BY doc_id"
+
+
+@query(_translated(1))
+def translate_t1(spark, d):
+    return _docs(spark, d).select("doc_id", sq.translate(F.col("seq"), 1).alias("protein"))
+
+
+@query(_translated(4))
+def translate_t4(spark, d):
+    return _docs(spark, d).select("doc_id", sq.translate(F.col("seq"), 4).alias("protein"))
+
+
+_STOP1, _START1 = (", ".join(f"'{c}'" for c in x) for x in (code.stops(1), code.starts(1, True)))
+
+
+@query(f"""WITH {_DOCS}, p AS (SELECT doc_id, unnest(range(0, 10)) AS i, seq FROM docs), c AS (SELECT doc_id, i, substr(seq, 3 * i + 1, 3) AS codon FROM p),
+    r AS (SELECT *, {_residue(1, 'codon')} AS r FROM c),
+    s AS (SELECT a.doc_id, a.i AS start, min(b.i) AS stop FROM r a JOIN r b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.codon IN ({_STOP1}) WHERE a.codon IN ({_START1}) GROUP BY 1, 2),
+    f AS (SELECT doc_id, min(start) AS start, stop FROM s GROUP BY doc_id, stop)
+    SELECT f.doc_id, (3 * f.start)::INT AS start, string_agg(r.r, '' ORDER BY r.i) AS product FROM f JOIN r ON f.doc_id = r.doc_id AND r.i BETWEEN f.start AND f.stop GROUP BY f.doc_id, f.start, f.stop""")
+def orfs(spark, d):
+    x = _docs(spark, d).select("doc_id", F.explode(sq.open_frames(F.col("seq"), 1, alternative=True)).alias("o"))
+    return x.select("doc_id", "o.start", "o.product")
+
+
+# ---- reads ----------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH r AS ({READS_SQL}) SELECT read_id, string_agg(concat_ws(chr(9), tag, seq, qua), chr(9) ORDER BY segment) AS line FROM r GROUP BY read_id")
+def reads_compact(spark, d):
+    return records.compact(syn.reads(spark, d))
+
+
+@query(f"WITH r AS ({READS_SQL}) SELECT read_id, segment, '@' || tag || chr(10) || seq || chr(10) || '+' || chr(10) || qua AS record FROM r")
+def reads_expand(spark, d):
+    return records.expand(syn.reads(spark, d))
+
+
+@query(f"WITH r AS ({READS_SQL}), h AS (SELECT DISTINCT read_id FROM r WHERE regexp_matches(tag, '(7|13)$')) SELECT r.* FROM r JOIN h USING (read_id)")
+def reads_match_pair(spark, d):
+    return records.match(syn.reads(spark, d), r"\(7\|13\)$")
+
+
+@query(f"WITH r AS ({READS_SQL}) SELECT read_id, segment, regexp_replace(tag, 'doc_([0-9])', 'r\\1.', 'g') AS tag FROM r")
+def reads_rename(spark, d):
+    return records.rename(syn.reads(spark, d), r"doc_\([0-9]\)", r"r\1.").select("read_id", "segment", "tag")
+
+
+@query(f"WITH r AS ({READS_SQL}) SELECT read_id, segment, tag, {_rc('seq')} AS seq, reverse(qua) AS qua FROM r")
+def reads_revcom(spark, d):
+    return records.reverse_complement(syn.reads(spark, d))
+
+
+@query(f"WITH r AS ({READS_SQL}) SELECT read_id, segment, '>' || tag || chr(10) || seq AS record FROM r")
+def reads_dropq(spark, d):
+    return records.expand(records.drop_qualities(syn.reads(spark, d)))
+
+
+@query(f"WITH r AS ({READS_SQL}) SELECT count(DISTINCT read_id) AS n_reads, count(*) AS n_segments, sum(length(seq))::BIGINT AS n_bases FROM r")
+def reads_store(spark, d):
+    return records.store_length(syn.reads(spark, d))
+
+
+@query(f"WITH r AS ({READS_SQL}) SELECT read_id, segment, CASE read_id % 3 WHEN 0 THEN 'singleton' WHEN 1 THEN 'selected' ELSE 'unmarked' END || '__' || tag AS tag FROM r")
+def reads_store_filter(spark, d):
+    r = syn.reads(spark, d)
+    classes = r.select("read_id").distinct().withColumn("class", F.col("read_id") % 3)
+    return records.classify(r, classes).select("read_id", "segment", "tag")
+
+
+# ---- statistics -----------------------------------------------------------------------------------------------------
+
+
+def _lines(spark, d):
+    return table(spark, d, "lineitem")
+
+
+def _rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in names})
+
+
+@query("""SELECT l_returnflag, count(l_quantity) AS n, round(avg(l_quantity), 6) AS mean, round(var_pop(l_quantity), 6) AS variance, round(stddev_pop(l_quantity), 6) AS sd,
+    round(stddev_pop(l_quantity) / avg(l_quantity), 6) AS cv, round(var_samp(l_quantity), 6) AS sample_variance, round(stddev_samp(l_quantity), 6) AS sample_sd,
+    round((1 + 1.0 / (4 * count(l_quantity))) * stddev_samp(l_quantity) / avg(l_quantity), 6) AS sample_cv FROM lineitem GROUP BY 1""")
+def stats_online(spark, d):
+    return _rounded(statistics.online(_lines(spark, d), "l_quantity", "l_returnflag"), "mean", "variance", "sd", "cv", "sample_variance", "sample_sd", "sample_cv")
+
+
+@query("SELECT round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept FROM lineitem")
+def linear_fit(spark, d):
+    return _rounded(statistics.linear_fit(_lines(spark, d), "l_quantity", "l_extendedprice"), "slope", "intercept", digits=4)
+
+
+@query("SELECT l_quantity AS value, count(*) AS freq FROM lineitem GROUP BY 1")
+def freq_table(spark, d):
+    return statistics.frequencies(_lines(spark, d), "l_quantity")
+
+
+@query("""SELECT min(l_discount) AS first, max(l_discount) AS last, count(*) AS n, round(sum(l_discount), 4) AS total, round(avg(l_discount), 6) AS mean,
+    round(sum(l_discount), 4) AS sum_abs, round(avg(l_discount), 6) AS mean_abs, '-Infinity' AS sum_log_abs, round(var_pop(l_discount), 8) AS variance FROM lineitem""")
+def freq_summary(spark, d):
+    s = statistics.summary(statistics.frequencies(_lines(spark, d), "l_discount"))
+    s = _rounded(_rounded(s, "mean", "mean_abs"), "total", "sum_abs", digits=4)
+    return s.withColumns({"variance": F.round("variance", 8), "sum_log_abs": F.col("sum_log_abs").cast("string")})
+
+
+@query("SELECT l_quantity AS value, count(*) AS freq FROM lineitem GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1")
+def freq_mode(spark, d):
+    return statistics.most_frequent(statistics.frequencies(_lines(spark, d), "l_quantity"))
+
+
+@query("SELECT l_shipdate::DATE::VARCHAR AS day, median(l_extendedprice) AS median FROM lineitem GROUP BY 1")
+def freq_median(spark, d):
+    return statistics.median(_lines(spark, d).withColumn("day", F.to_date("l_shipdate").cast("string")), "l_extendedprice", "day")
+
+
+@query("SELECT abs(l_quantity - (SELECT median(l_quantity) FROM lineitem)) AS value, count(*) AS freq FROM lineitem GROUP BY 1")
+def freq_mad(spark, d):
+    return statistics.mad(_lines(spark, d), "l_quantity")
+
+
+@query("SELECT pow(abs(l_quantity - 20), 2.0) AS value, count(*) AS freq FROM lineitem GROUP BY 1")
+def freq_pow(spark, d):
+    x = _lines(spark, d).withColumn("x", F.col("l_quantity") - 20)
+    return statistics.pow_abs(statistics.frequencies(x, "x"), 2)
+
+
+@query("SELECT round(l_quantity / (SELECT sum(abs(l_quantity)) FROM lineitem), 12) AS value, count(*) AS freq FROM lineitem GROUP BY 1")
+def freq_normalize(spark, d):
+    return _rounded(statistics.normalize_abs(statistics.frequencies(_lines(spark, d), "l_quantity")), "value", digits=12)
+
+
+@query("""WITH r AS (SELECT l_quantity AS v, coalesce(sum(l_quantity) OVER (ORDER BY l_quantity ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(l_quantity) OVER () AS whole FROM lineitem)
+    SELECT CASE WHEN before < 0.5 * whole THEN v ELSE 0 END AS value, count(*) AS freq FROM r GROUP BY 1""")
+def freq_threshold(spark, d):
+    return statistics.threshold(statistics.frequencies(_lines(spark, d), "l_quantity"), 0.5)
+
+
+# ---- matrices -------------------------------------------------------------------------------------------------------
+
+
+def _matrix(spark, d):
+    return matrix.from_vectors(table(spark, d, "embeddings"), "vec_id", "embedding")
+
+
+_MATRIX = "m AS (SELECT vec_id::VARCHAR AS row, 'c' || unnest(range(len(embedding))) AS col, unnest(embedding)::DOUBLE AS value FROM embeddings)"
+
+
+@query(f"WITH {_MATRIX} SELECT col AS row, row AS col, value FROM m")
+def matrix_transpose(spark, d):
+    return matrix.transpose(_matrix(spark, d))
+
+
+@query(f"WITH {_MATRIX} SELECT row, round(sum(value * substr(col, 2)::DOUBLE), 6) AS value FROM m GROUP BY row")
+def matrix_vector(spark, d):
+    m = _matrix(spark, d)
+    v = m.select("col").distinct().withColumn("value", F.substring("col", 2, 9).cast("double"))
+    return _rounded(matrix.times_vector(m, v), "value")
+
+
+@query(f"WITH {_MATRIX} SELECT row, round(sum(value * substr(col, 2)::DOUBLE), 6) AS value FROM m WHERE substr(col, 2)::INT % 5 = 0 GROUP BY row")
+def matrix_sparse_vector(spark, d):
+    m = _matrix(spark, d)
+    v = m.select("col").distinct().withColumn("value", F.substring("col", 2, 9).cast("double")).where("value % 5 = 0")
+    return _rounded(matrix.times_vector(m, v), "value")
+
+
+@query(f"WITH {_MATRIX} SELECT a.col AS row, b.col AS col, round(sum(a.value * b.value), 6) AS value FROM m a JOIN m b ON a.row = b.row GROUP BY 1, 2")
+def matrix_matrix(spark, d):
+    m = _matrix(spark, d)
+    return _rounded(matrix.times_matrix(matrix.transpose(m), m), "value")
+
+
+@query(f"WITH {_MATRIX} SELECT row, col, value FROM m")
+def matrix_merge(spark, d):
+    m = _matrix(spark, d)
+    odd = F.col("row").cast("long") % 2 == 1
+    return matrix.merge_rows(m.where(odd), m.where(~odd))
+
+
+# ---- annotations ----------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH f AS ({FEATURES_SQL}), r AS ({REFERENCE_SQL}) SELECT id, seq FROM f WHERE seq NOT IN (SELECT name FROM r)")
+def anno_missing_sequences(spark, d):
+    return annotation.missing_sequences(syn.features(spark, d), syn.reference(spark, d)).select("id", "seq")
+
+
+@query(f"WITH f AS ({FEATURES_SQL}), r AS ({REFERENCE_SQL}) SELECT id, f.seq, low, length FROM f JOIN r ON f.seq = r.name WHERE low < 0 OR low + length > length(r.seq)")
+def anno_bounds(spark, d):
+    return annotation.out_of_bounds(syn.features(spark, d), syn.reference(spark, d)).select("id", "seq", "low", "length")
+
+
+@query(f"""WITH f AS ({FEATURES_SQL}), r AS ({REFERENCE_SQL}), x AS (SELECT f.*, r.seq AS s FROM f LEFT JOIN r ON f.seq = r.name)
+    SELECT CASE WHEN s IS NULL THEN 'sequences' ELSE 'bounds' END AS "check", 'annotation->gene' AS path, id AS feature_id,
+    CASE WHEN s IS NULL THEN 'no sequence ' || seq ELSE 'out of bounds: ' || seq || ':' || low || ':' || length END AS message FROM x WHERE s IS NULL OR low + length > length(s)""")
+def anno_report(spark, d):
+    return annotation.report(syn.features(spark, d).withColumn("path", F.array(F.lit("gene"))), syn.reference(spark, d))
+
+
+def _tree_rows(spark, d) -> DataFrame:
+    """region > nation > customer as features."""
+    r = table(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("n"), F.lit("gene").alias("type"), F.concat(F.lit("R"), F.col("r_regionkey").cast("string")).alias("id"), F.lit(None).cast("string").alias("parent"))
+    n = table(spark, d, "nation").select((F.col("n_nationkey") + 100).cast("long"), F.lit("mRNA"), F.concat(F.lit("N"), F.col("n_nationkey").cast("string")), F.concat(F.lit("R"), F.col("n_regionkey").cast("string")))
+    c = table(spark, d, "customer").select((F.col("c_custkey") + 1000).cast("long"), F.when(F.col("c_custkey") % 2 == 0, "exon").otherwise("CDS"), F.concat(F.lit("C"), F.col("c_custkey").cast("string")), F.concat(F.lit("N"), F.col("c_nationkey").cast("string")))
+    return r.union(n).union(c)
+
+
+_TREE_ROWS = """t AS (SELECT r_regionkey::BIGINT AS n, 'gene' AS type, 'R' || r_regionkey AS id, NULL AS parent FROM region
+    UNION ALL SELECT n_nationkey + 100, 'mRNA', 'N' || n_nationkey, 'R' || n_regionkey FROM nation
+    UNION ALL SELECT c_custkey + 1000, CASE WHEN c_custkey % 2 = 0 THEN 'exon' ELSE 'CDS' END, 'C' || c_custkey, 'N' || c_nationkey FROM customer)"""
+_PLACED = f"""WITH RECURSIVE {_TREE_ROWS}, p AS (SELECT n, type, id, 'annotation->' || type AS path, n::VARCHAR AS ord FROM t WHERE parent IS NULL
+    UNION ALL SELECT t.n, t.type, t.id, p.path || '->' || t.type, p.ord || '/' || t.n FROM t JOIN p ON t.parent = p.id)"""
+
+
+@query(f"{_PLACED} SELECT id, path, ord FROM p")
+def anno_tree(spark, d):
+    return annotation.place(_tree_rows(spark, d)).select("id", annotation.path_string().alias("path"), F.array_join(F.col("ord").cast("array<string>"), "/").alias("ord"))
+
+
+@query(f"{_PLACED} SELECT path, count(*) AS n FROM p GROUP BY path")
+def anno_paths(spark, d):
+    return annotation.place(_tree_rows(spark, d)).groupBy(annotation.path_string().alias("path")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"{_PLACED} SELECT id, path FROM p WHERE path LIKE '%CDS'")
+def anno_hierarchy_check(spark, d):
+    allowed = annotation.hierarchy(spark, "((gene (mRNA exon)))")
+    return annotation.check_paths(annotation.place(_tree_rows(spark, d)), allowed).select("id", annotation.path_string().alias("path"))
+
+
+@query(f"{_PLACED} SELECT count(*) AS n_features, count(DISTINCT path) AS n_paths, 'annotation' AS root, false AS has_reference FROM p")
+def anno_summary(spark, d):
+    return annotation.summary(annotation.place(_tree_rows(spark, d)))
+
+
+@query("""WITH x AS (SELECT l_orderkey * 10 + l_linenumber AS n, 'chr' || (l_orderkey // 4 % 5) AS seq, l_partkey AS low, l_quantity::BIGINT AS length,
+        CASE WHEN l_suppkey % 2 = 0 THEN '+' ELSE '-' END AS strand, 'g' || (l_orderkey // 4) AS gene_id, 't' || l_orderkey AS transcript_id FROM lineitem),
+    h AS (SELECT o_orderkey * 10 AS n, 'chr' || (o_orderkey // 4 % 5) AS seq, 0::BIGINT AS low, 9::BIGINT AS length, '+' AS strand, 'g' || (o_orderkey // 4) AS gene_id, 't' || o_orderkey AS transcript_id FROM orders WHERE o_orderkey % 3 = 0),
+    t AS (SELECT min(n) AS n, seq, min(low) AS low, max(low + length) - min(low) AS length, arg_min(strand, n) AS strand, gene_id, transcript_id FROM x
+        WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.transcript_id = x.transcript_id) GROUP BY seq, gene_id, transcript_id),
+    g AS (SELECT min(n) AS n, seq, min(low) AS low, max(low + length) - min(low) AS length, arg_min(strand, n) AS strand, gene_id FROM x GROUP BY seq, gene_id)
+    SELECT n, seq, 'exon' AS type, low, length, strand, gene_id, transcript_id, false AS synthesized FROM x
+    UNION ALL SELECT n, seq, 'transcript', low, length, strand, gene_id, transcript_id, false FROM h WHERE transcript_id IN (SELECT transcript_id FROM x)
+    UNION ALL SELECT n, seq, 'transcript', low, length, strand, gene_id, transcript_id, true FROM t
+    UNION ALL SELECT n, seq, 'gene', low, length, strand, gene_id, NULL, true FROM g""")
+def gtf_synthesize(spark, d):
+    gene = lambda k: F.concat(F.lit("g"), F.floor(F.col(k) / 4).cast("string"))
+    seq = lambda k: F.concat(F.lit("chr"), (F.floor(F.col(k) / 4) % 5).cast("string"))
+    name = lambda k: F.concat(F.lit("t"), F.col(k).cast("string"))
+    k = "l_orderkey"
+    x = _lines(spark, d).select((F.col(k) * 10 + F.col("l_linenumber")).alias("n"), seq(k).alias("seq"), F.lit("exon").alias("type"), F.col("l_partkey").alias("low"), F.col("l_quantity").cast("long").alias("length"), F.when(F.col("l_suppkey") % 2 == 0, "+").otherwise("-").alias("strand"), gene(k).alias("gene_id"), name(k).alias("transcript_id"))
+    k = "o_orderkey"
+    h = table(spark, d, "orders").where(F.col(k) % 3 == 0).select((F.col(k) * 10).alias("n"), seq(k).alias("seq"), F.lit("transcript").alias("type"), F.lit(0).cast("long").alias("low"), F.lit(9).cast("long").alias("length"), F.lit("+").alias("strand"), gene(k).alias("gene_id"), name(k).alias("transcript_id"))
+    return annotation.synthesize_parents(x.unionByName(h))
+
+
+# ---- classes, trees, splits -----------------------------------------------------------------------------------------
+
+
+@query("""WITH RECURSIVE m AS (SELECT c_custkey AS line, 'C' || c_custkey AS element FROM customer UNION ALL SELECT c_custkey, 'N' || c_nationkey FROM customer
+        UNION ALL SELECT 1000000 + s_suppkey, 'S' || s_suppkey FROM supplier UNION ALL SELECT 1000000 + s_suppkey, 'N' || (s_nationkey // 2 * 2) FROM supplier),
+    f AS (SELECT element, min(line) AS first_line FROM m GROUP BY element), e AS (SELECT DISTINCT m.line AS a, f.first_line AS b FROM m JOIN f USING (element)),
+    s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT first_line AS a, first_line AS c FROM (SELECT DISTINCT first_line FROM f) UNION SELECT s.b, r.c FROM r JOIN s ON s.a = r.a WHERE r.c < s.b),
+    k AS (SELECT a, min(c) AS class FROM r GROUP BY a) SELECT k.class::BIGINT AS class, f.element, f.first_line FROM f JOIN k ON k.a = f.first_line""")
+def equivalence_classes(spark, d):
+    c, s = table(spark, d, "customer"), table(spark, d, "supplier")
+    w = lambda p, x: F.concat(F.lit(p), x.cast("string"))
+    m = c.select(F.col("c_custkey").alias("line"), F.explode(F.array(w("C", F.col("c_custkey")), w("N", F.col("c_nationkey")))).alias("element"))
+    m = m.union(s.select(1000000 + F.col("s_suppkey"), F.explode(F.array(w("S", F.col("s_suppkey")), w("N", F.floor(F.col("s_nationkey") / 2) * 2)))))
+    return graph.equivalence_classes(m)
+
+
+def _tree(spark, d) -> DataFrame:
+    """A root, regions, nations and suppliers as one tree."""
+    r = table(spark, d, "region").select((F.col("r_regionkey") + 1).cast("int").alias("idx"), F.lit(0).alias("parent_idx"), F.col("r_name").alias("name"), (F.col("r_regionkey") + 1).cast("double").alias("length"))
+    n = table(spark, d, "nation").select((F.col("n_nationkey") + 10).cast("int"), (F.col("n_regionkey") + 1).cast("int"), F.col("n_name"), (F.col("n_nationkey") % 4).cast("double"))
+    s = table(spark, d, "supplier").select((F.col("s_suppkey") + 100).cast("int"), (F.col("s_nationkey") + 10).cast("int"), F.col("s_name"), F.floor(F.abs("s_acctbal")).cast("double"))
+    root = spark.range(1).select(F.lit(0).alias("idx"), F.lit(-1).alias("parent_idx"), F.lit("").alias("name"), F.lit(0.0).alias("length"))
+    return root.union(r).union(n).union(s).withColumn("tree_id", F.lit(0).cast("long"))
+
+
+_TREE = """t AS (SELECT 0 AS idx, -1 AS parent_idx, '' AS name, 0.0::DOUBLE AS length UNION ALL SELECT r_regionkey + 1, 0, r_name, r_regionkey + 1 FROM region
+    UNION ALL SELECT n_nationkey + 10, n_regionkey + 1, n_name, n_nationkey % 4 FROM nation UNION ALL SELECT s_suppkey + 100, s_nationkey + 10, s_name, floor(abs(s_acctbal)) FROM supplier)"""
+_UP = f"WITH RECURSIVE {_TREE}, u AS (SELECT idx, idx AS up, 0 AS n, 0.0::DOUBLE AS d FROM t UNION ALL SELECT u.idx, t.parent_idx, u.n + 1, u.d + t.length FROM u JOIN t ON u.up = t.idx WHERE t.parent_idx >= 0)"
+
+
+@query(f"{_UP}, p AS (SELECT a.idx AS a, b.idx AS b, a.n + b.n AS n, a.d + b.d AS d FROM u a JOIN u b ON a.up = b.up AND a.idx < b.idx) SELECT 0::BIGINT AS tree_id, a::INT AS a, b::INT AS b, arg_min(d, n) AS distance FROM p GROUP BY 1, 2, 3")
+def tree_distance(spark, d):
+    return trees.distances(_tree(spark, d))
+
+
+@query(f"""{_UP}, l AS (SELECT idx, name FROM t WHERE idx NOT IN (SELECT parent_idx FROM t)), k AS (SELECT count(*) AS n, max(name) AS last FROM l),
+    s AS (SELECT u.up, list(l.name) AS inside, count(*) AS n FROM u JOIN l ON u.idx = l.idx WHERE u.n > 0 GROUP BY u.up)
+    SELECT array_to_string(list_sort(CASE WHEN list_contains(s.inside, k.last) THEN (SELECT list(name) FROM l WHERE NOT list_contains(s.inside, name)) ELSE s.inside END), ',') AS members, k.n::INT AS n, 1.0::DOUBLE AS weight
+    FROM s, k WHERE s.n > 1 AND s.n < k.n - 1""")
+def splits_from_tree(spark, d):
+    return trees.tree_splits(_tree(spark, d)).select(F.array_join(F.array_sort("members"), ",").alias("members"), "n", "weight")
+
+
+def _masks(spark, d) -> DataFrame:
+    """mask, weight: for each customer, nations from its own up to some further one, as a split of 25."""
+    c = table(spark, d, "customer")
+    width = (F.col("c_custkey") % 8 + 1).cast("int")
+    mask = F.expr("shiftleft((shiftleft(1L, cast(c_custkey % 8 + 1 as int)) - 1), cast(c_nationkey % 17 as int))")
+    return c.select(trees.canonical_mask(mask, 25).alias("mask"), (width * 1.0).cast("double").alias("weight"))
+
+
+_MASKS = "x AS (SELECT (((1::BIGINT << (c_custkey % 8 + 1)::INT) - 1) << (c_nationkey % 17)::INT) AS m, (c_custkey % 8 + 1)::DOUBLE AS w FROM customer), s AS (SELECT least(m, 33554431 - m) AS mask, w AS weight FROM x)"
+
+
+@query(f"WITH {_MASKS} SELECT mask, sum(weight) AS weight FROM s GROUP BY mask")
+def splits_merge(spark, d):
+    return trees.merge_splits(_masks(spark, d))
+
+
+@query(f"WITH {_MASKS}, g AS (SELECT mask, sum(weight) AS weight FROM s GROUP BY mask) SELECT mask, weight FROM g WHERE weight >= 60")
+def splits_drop_weak(spark, d):
+    return trees.drop_below(trees.merge_splits(_masks(spark, d)), 60)
+
+
+@query(f"WITH {_MASKS}, g AS (SELECT mask, sum(weight) AS weight FROM s GROUP BY mask) SELECT sum(weight) FILTER (WHERE weight >= 60) AS kept, sum(weight) FILTER (WHERE weight < 60) AS dropped, round(sum(weight) FILTER (WHERE weight >= 60) / sum(weight), 9) AS ratio FROM g")
+def splits_weights(spark, d):
+    s = trees.merge_splits(_masks(spark, d))
+    return _rounded(trees.kept_weights(s.where("weight >= 60"), s.where("weight < 60")), "ratio", digits=9)
+
+
+@query()
+def splits_to_tree(spark, d):
+    s = trees.merge_splits(_masks(spark, d)).select(F.lit("all").alias("register_id"), F.col("mask").cast("string").alias("mask"), "weight")
+    names = table(spark, d, "nation").select(F.lit("all").alias("register_id"), F.col("n_nationkey").alias("bit"), F.col("n_name").alias("name"))
+    return trees.splits_to_trees(s, names)
+
+
+@query("SELECT n_nationkey::BIGINT AS tree_id, i::INT AS idx, CASE i WHEN 0 THEN -1 WHEN 4 THEN 0 ELSE (CASE WHEN i = 1 THEN 0 ELSE 1 END) END::INT AS parent_idx, CASE i WHEN 2 THEN 'a' || n_nationkey WHEN 3 THEN 'b' WHEN 4 THEN 'c' ELSE '' END AS name, CASE i WHEN 0 THEN NULL WHEN 1 THEN 0.5 WHEN 2 THEN 1.0 WHEN 3 THEN 2.0 ELSE 3.0 END::DOUBLE AS length FROM nation, range(5) r(i)")
+def newick_parse(spark, d):
+    t = table(spark, d, "nation").select(F.col("n_nationkey").alias("tree_id"), F.concat(F.lit("((a"), F.col("n_nationkey").cast("string"), F.lit(":1,b:2):0.5,c:3);")).alias("value"))
+    return newick.read_trees(t).select("tree_id", "idx", "parent_idx", "name", "length")
+
+
+# ---- repeats and consensus ------------------------------------------------------------------------------------------
+
+
+@query()
+def tandem_repeats(spark, d):
+    return repeats.find_repeats(_docs(spark, d).select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("tag"), "seq"), 10, 6)
+
+
+@query()
+def consensus(spark, d):
+    x = _docs(spark, d).select((F.col("doc_id") % 25).cast("long").alias("group"), F.col("doc_id").alias("row"), F.regexp_replace("seq", "(?<=CA)G", "-").alias("seq"))
+    return repeats.consensus(x)
+
+
+@query()
+def text_kmers(spark, d):
+    return kmers.text_spectrum(table(spark, d, "documents"), ["the", "and", "ing", "tion", "er", "ou", "th", "st", " "], 2)
