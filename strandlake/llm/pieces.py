@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandlake.llm.common import bounded_batches
 
@@ -194,7 +195,8 @@ def encode(documents: DataFrame, s: Settings = Settings(), ids: str = "ids", voc
     shared = spark.sparkContext.broadcast(vocabulary or Pieces.load(s.model))
     sent = documents.select("*", F.col("text").alias("__text"), F.col("doc_id").cast("long").alias("__doc"))
     n = len(documents.columns)
-    schema = documents.schema.add(ids, "array<int>").add("n_pieces", "long").add("lossless", "boolean")
+    added = [T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField("n_pieces", T.LongType()), T.StructField("lossless", T.BooleanType())]
+    schema = T.StructType([*documents.schema.fields, *added])
 
     def run(batches):
         e = Encoder(shared.value, s)
