@@ -118,7 +118,7 @@ def synthesize_parents(rows: DataFrame) -> DataFrame:
     that are neither genes nor transcripts and have no transcript id go, and so do transcripts without other rows.
     """
     child = rows.where("type not in ('gene', 'transcript') and transcript_id is not null")
-    span = [F.min("low").alias("low"), (F.max(F.col("low") + F.col("length")) - F.min("low")).alias("length"), F.min_by("strand", "n").alias("strand"), F.min("n").alias("n")]
+    span = [F.min("low").alias("low"), (F.max(F.col("low") + F.col("length")) - F.min("low")).alias("length"), F.min_by("strand", F.struct("n", "strand")).alias("strand"), F.min("n").alias("n")]
     t_have = rows.where("type = 'transcript'")
     t_key, g_key = ["seq", "gene_id", "transcript_id"], ["seq", "gene_id"]
     t_made = child.groupBy(*t_key).agg(*span).join(t_have.select(*t_key), t_key, "left_anti").withColumns({"type": F.lit("transcript"), "synthesized": F.lit(True)})

@@ -430,9 +430,9 @@ def anno_summary(spark, d):
 @query("""WITH x AS (SELECT l_orderkey * 10 + l_linenumber AS n, 'chr' || (l_orderkey // 4 % 5) AS seq, l_partkey AS low, l_quantity::BIGINT AS length,
         CASE WHEN l_suppkey % 2 = 0 THEN '+' ELSE '-' END AS strand, 'g' || (l_orderkey // 4) AS gene_id, 't' || l_orderkey AS transcript_id FROM lineitem),
     h AS (SELECT o_orderkey * 10 AS n, 'chr' || (o_orderkey // 4 % 5) AS seq, 0::BIGINT AS low, 9::BIGINT AS length, '+' AS strand, 'g' || (o_orderkey // 4) AS gene_id, 't' || o_orderkey AS transcript_id FROM orders WHERE o_orderkey % 3 = 0),
-    t AS (SELECT min(n) AS n, seq, min(low) AS low, max(low + length) - min(low) AS length, arg_min(strand, n) AS strand, gene_id, transcript_id FROM x
+    t AS (SELECT min(n) AS n, seq, min(low) AS low, max(low + length) - min(low) AS length, arg_min(strand, (n, strand)) AS strand, gene_id, transcript_id FROM x
         WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.transcript_id = x.transcript_id) GROUP BY seq, gene_id, transcript_id),
-    g AS (SELECT min(n) AS n, seq, min(low) AS low, max(low + length) - min(low) AS length, arg_min(strand, n) AS strand, gene_id FROM x GROUP BY seq, gene_id)
+    g AS (SELECT min(n) AS n, seq, min(low) AS low, max(low + length) - min(low) AS length, arg_min(strand, (n, strand)) AS strand, gene_id FROM x GROUP BY seq, gene_id)
     SELECT n, seq, 'exon' AS type, low, length, strand, gene_id, transcript_id, false AS synthesized FROM x
     UNION ALL SELECT n, seq, 'transcript', low, length, strand, gene_id, transcript_id, false FROM h WHERE transcript_id IN (SELECT transcript_id FROM x)
     UNION ALL SELECT n, seq, 'transcript', low, length, strand, gene_id, transcript_id, true FROM t
@@ -512,7 +512,7 @@ def splits_drop_weak(spark, d):
     return trees.drop_below(trees.merge_splits(_masks(spark, d)), 60)
 
 
-@query(f"WITH {_MASKS}, g AS (SELECT mask, sum(weight) AS weight FROM s GROUP BY mask) SELECT sum(weight) FILTER (WHERE weight >= 60) AS kept, sum(weight) FILTER (WHERE weight < 60) AS dropped, round(sum(weight) FILTER (WHERE weight >= 60) / sum(weight), 9) AS ratio FROM g")
+@query(f"WITH {_MASKS}, g AS (SELECT mask, sum(weight) AS weight FROM s GROUP BY mask) SELECT coalesce(sum(weight) FILTER (WHERE weight >= 60), 0) AS kept, coalesce(sum(weight) FILTER (WHERE weight < 60), 0) AS dropped, round(coalesce(sum(weight) FILTER (WHERE weight >= 60), 0) / sum(weight), 9) AS ratio FROM g")
 def splits_weights(spark, d):
     s = trees.merge_splits(_masks(spark, d))
     return _rounded(trees.kept_weights(s.where("weight >= 60"), s.where("weight < 60")), "ratio", digits=9)
