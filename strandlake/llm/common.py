@@ -98,3 +98,17 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 def bounded_batches(spark: SparkSession, megabytes: int = 16) -> None:
     """Bounds what a Python worker holds at once by bytes, not by rows alone: texts may be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
+
+
+def kept_in_worker(key, make):
+    """make(), or what it made before for this key in this worker process: workers outlive tasks, and what is kept here
+    (caches of pure functions, bounded by themselves) saves later tasks from starting cold. One key is kept for each kind."""
+    import sys
+    import types
+
+    home = sys.modules.setdefault("_strandlake_worker", types.ModuleType("_strandlake_worker"))
+    kind = key[0]
+    found = home.__dict__.get(kind)
+    if found is None or found[0] != key:
+        found = home.__dict__[kind] = (key, make())
+    return found[1]

@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import bounded_batches
+from strandlake.llm.common import bounded_batches, kept_in_worker
 
 
 @dataclass(frozen=True)
@@ -31,6 +31,7 @@ class Settings:
     pattern: str = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
     context: int = 2
     block: int = 128
+    #: Pre-tokens kept in each of the two generations of a worker's cache.
     cache: int = 250_000
 
 
@@ -177,7 +178,7 @@ def count_edits(documents: DataFrame, edits: str, s: Settings = Settings()) -> D
     shared = spark.sparkContext.broadcast(load_ranks(s.ranks))
 
     def run(batches):
-        counter = Counter(shared.value, s)
+        counter = kept_in_worker(("counts", s, len(shared.value)), lambda: Counter(shared.value, s))
         for b in batches:
             out: list = [[], [], [], []]
             for text, todo in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):

@@ -3,8 +3,9 @@
 The vocabulary (pieces and scores) of a given merge-type model is used; nothing is trained. A text is cut into units, none
 of which a piece can span: a run of spaces with the run of other characters after it, and newlines by themselves. In a
 unit, an agenda holds the pairs of neighbours whose union is a piece; the pair of the best score (the leftmost among
-equals) is taken, and a keyed hash of the unit's text, its variant, the place and the piece skips it with probability
-`dropout`: it leaves the agenda until one of its sides changes. The variant of a unit, one of `variants`, is a keyed hash of
+equals) is taken, and a keyed hash of the unit's text, its variant and the candidate's turn skips it with probability
+`dropout`: it leaves the agenda until one of its sides changes. The turns to skip are drawn as gaps between skips, so a
+unit whose first skip comes after its last merge is known to be cut as without dropout, which the model's own library does. The variant of a unit, one of `variants`, is a keyed hash of
 the document's id and the unit's ordinal, so equal words are cut in several ways and reruns agree. Characters that are
 not pieces become their UTF-8 bytes' pieces.
 
@@ -20,8 +21,10 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from dataclasses import dataclass
 from hashlib import sha256
+from math import log
 from zlib import crc32
 
 import numpy as np
@@ -30,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandlake.llm.common import bounded_batches
+from strandlake.llm.common import bounded_batches, kept_in_worker
 
 MARK = "▁"
 _M = 0xFFFFFFFF
@@ -42,15 +45,16 @@ class Settings:
     dropout: float = 0.1
     variants: int = 4
     seed: int = 3
-    #: Units kept in each of the two generations of a task's cache.
-    cache: int = 120_000
+    #: Units kept in each of the two generations of a worker's cache.
+    cache: int = 250_000
     long_unit: int = 48
 
 
 class Pieces:
     """A vocabulary: merge ranks by piece, and the ids of bytes."""
 
-    def __init__(self, pieces: list[str], scores: list[float], kinds: list[str]):
+    def __init__(self, pieces: list[str], scores: list[float], kinds: list[str], model: bytes = b""):
+        self.model = model
         order = sorted((i for i, k in enumerate(kinds) if k == "normal"), key=lambda i: (-scores[i], i))
         self.rank = {pieces[i]: r for r, i in enumerate(order)}
         self.id = {pieces[i]: i for i in order}
@@ -68,42 +72,60 @@ class Pieces:
     def load(cls, path: str) -> Pieces:
         import sentencepiece
 
-        sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        with open(path, "rb") as f:
+            model = f.read()
+        sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         n = sp.get_piece_size()
         kind = lambda i: "byte" if sp.is_byte(i) else "other" if sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) else "normal"
-        return cls([sp.id_to_piece(i) for i in range(n)], [sp.get_score(i) for i in range(n)], [kind(i) for i in range(n)])
+        return cls([sp.id_to_piece(i) for i in range(n)], [sp.get_score(i) for i in range(n)], [kind(i) for i in range(n)], model)
+
+    def library(self):
+        """texts -> lists of ids, by the model's own library; nothing if there is no model."""
+        if not self.model:
+            return lambda texts: [None] * len(texts)
+        import sentencepiece
+
+        sp = sentencepiece.SentencePieceProcessor(model_proto=self.model)
+        return lambda texts: sp.encode(texts, num_threads=1)
 
 
 class Encoder:
     def __init__(self, vocabulary: Pieces, s: Settings):
         self.v, self.s = vocabulary, s
-        self.limit = int(s.dropout * (1 << 32))
+        # a dropout of 1 skips every turn
+        self.gap = None if s.dropout <= 0 else 0.0 if s.dropout >= 1 else 1 / log(1 - s.dropout)
         self.cut = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+" if vocabulary.alone else f"{MARK}*[^{MARK}]+|{MARK}+").findall
-        self.young: list[dict] = [{} for _ in range(s.variants)]
-        self.old: list[dict] = [{} for _ in range(s.variants)]
-        self.held = 0
-
-    def skipped(self, key: int, place: int, rank: int) -> bool:
-        x = (key ^ place * 0x9E3779B1 ^ rank * 0x85EBCA6B) & _M
-        x = ((x ^ x >> 16) * 0x7FEB352D) & _M
+        # unit -> ids by variant; None where the agenda has not run yet
+        self.young: dict[str, list] = {}
+        self.old: dict[str, list] = {}
+        self.plain = vocabulary.library()
+        self.is_byte = frozenset(vocabulary.bytes)
+
+    def next_skip(self, key: int, after: int) -> int:
+        """The first turn from `after` on that is skipped: the gaps between skips are geometric."""
+        if self.gap is None:
+            return 1 << 60
+        x = ((key ^ after * 0x9E3779B1) * 0x7FEB352D) & _M
         x = ((x ^ x >> 15) * 0x846CA68B) & _M
-        return (x ^ x >> 16) < self.limit
+        return after + int(log(((x ^ x >> 16) + 1) / 4294967297) * self.gap)
 
     def merge(self, chars: list[str], key: int) -> list[str]:
         """The agenda over a short unit: the pairs' ranks in a list, the best one taken again and again."""
-        get, none = self.v.rank.get, 1 << 60
-        parts, place = chars, list(range(len(chars)))
+        get, none, parts = self.v.rank.get, 1 << 60, chars
         ranks = [get(a + b, none) for a, b in zip(parts, parts[1:])]
+        turn, skip = 0, self.next_skip(key, 0)
         while ranks:
             best = min(ranks)
             if best == none:
                 break
             i = ranks.index(best)
-            if self.limit and self.skipped(key, place[i], best):
+            turn += 1
+            if turn > skip:
+                skip = self.next_skip(key, turn)
                 ranks[i] = none
                 continue
             parts[i] += parts[i + 1]
-            del parts[i + 1], place[i + 1], ranks[i]
+            del parts[i + 1], ranks[i]
             if i:
                 ranks[i - 1] = get(parts[i - 1] + parts[i], none)
             if i < len(ranks):
@@ -122,12 +144,15 @@ class Encoder:
 
         for i in range(n):
             offer(i)
+        turn, skip = 0, self.next_skip(key, 0)
         while heap:
             r, i, a, b = heapq.heappop(heap)
             j = after[i] if alive[i] else n
             if j >= n or len(chars[i]) != a or len(chars[j]) != b:
                 continue
-            if self.limit and self.skipped(key, i, r):
+            turn += 1
+            if turn > skip:
+                skip = self.next_skip(key, turn)
                 continue
             chars[i] += chars[j]
             alive[j] = False
@@ -139,29 +164,42 @@ class Encoder:
         return [c for c, x in zip(chars, alive, strict=True) if x]
 
     def unit(self, text: str, variant: int) -> bytes:
-        """The ids of a unit, as uint16s."""
-        key = crc32(text.encode("utf-8", "surrogatepass"), self.s.seed * 1000003 + variant)
-        # the marks of the text itself were set aside as U+FFFFF before spaces became marks
-        parts = self.merge(list(text), key) if len(text) <= self.s.long_unit else self.merge_long(list(text), key)
+        """The ids of a unit, as uint16s, by the agenda."""
+        parts = self.merge(list(text), self.key(text, variant)) if len(text) <= self.s.long_unit else self.merge_long(list(text), self.key(text, variant))
         ids: list[int] = []
         for p in parts:
             i = self.v.id.get(p)
             if i is not None:
                 ids.append(i)
             else:
-                for b in p.replace(HELD, MARK).encode("utf-8", "surrogatepass"):
-                    ids.append(self.v.bytes[b])
-        return np.array(ids, np.uint16).tobytes()
-
-    def miss(self, text: str, variant: int) -> bytes:
-        found = self.old[variant].get(text)
-        if found is None:
-            found = self.unit(text, variant)
-        if self.held >= self.s.cache:
-            self.old, self.young, self.held = self.young, [{} for _ in self.young], 0
-        self.young[variant][text] = found
-        self.held += 1
-        return found
+                # the marks of the text itself were set aside before spaces became marks
+                ids += [self.v.bytes[b] for b in p.replace(HELD, MARK).encode("utf-8", "surrogatepass")]
+        return array("H", ids).tobytes()
+
+    def key(self, text: str, variant: int) -> int:
+        return crc32(text.encode("utf-8", "surrogatepass"), self.s.seed * 1000003 + variant)
+
+    def learn(self, missing: list[str]) -> None:
+        """Units that the young cache lacks, put there; variants without skips share the library's ids."""
+        todo = []
+        for u in missing:
+            if (found := self.old.get(u)) is not None:
+                self.young[u] = found
+            else:
+                todo.append(u)
+        # the library puts one space before a text, and a unit that begins with exactly one is such a text
+        fit = [u[0] == MARK and 1 < len(u) <= 256 and u[1] != MARK and HELD not in u for u in todo]
+        plain = iter(self.plain([u[1:] for u, f in zip(todo, fit) if f]) if any(fit) else ())
+        n = self.s.variants
+        for u, f in zip(todo, fit):
+            ids = next(plain) if f else None
+            if ids and self.is_byte.isdisjoint(ids):
+                # without byte pieces, each merge takes one part away: so many turns there are without skips
+                turns, same, raw = len(u) - len(ids), array("H", ids).tobytes(), u.encode()
+                seed = self.s.seed * 1000003
+                self.young[u] = [same if self.next_skip(crc32(raw, seed + v), 0) >= turns else None for v in range(n)]
+            else:
+                self.young[u] = [None] * n
 
     def encode(self, text: str | None, doc_id: int | None) -> np.ndarray:
         if text and HELD in text:  # a text that holds the stand-in itself is cut around it
@@ -174,9 +212,22 @@ class Encoder:
         of = np.arange(len(units), dtype=np.uint64) + np.uint64(((doc_id or 0) * 0x9E3779B97F4A7C15 + self.s.seed) & 0xFFFFFFFFFFFFFFFF)
         of = (of ^ (of >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         of = ((of ^ (of >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)) >> np.uint64(33)
-        out, miss = [], self.miss
-        for u, v in zip(units, (of % np.uint64(self.s.variants)).tolist(), strict=True):
-            out.append(self.young[v].get(u) or miss(u, v))
+        which, young = (of % np.uint64(self.s.variants)).tolist(), self.young
+        held = list(map(young.get, units))
+        if None in held:
+            self.learn(list({u for u, h in zip(units, held) if h is None}))
+            held = list(map(young.get, units))
+        out = [h[v] for h, v in zip(held, which)]
+        if None in out:
+            for i, b in enumerate(out):
+                if b is None:
+                    h, v = held[i], which[i]
+                    b = h[v]
+                    if b is None:
+                        b = h[v] = self.unit(units[i], v)
+                    out[i] = b
+        if len(young) > self.s.cache:
+            self.old, self.young = young, {}
         return np.frombuffer(b"".join(out), np.uint16)
 
     def decode(self, ids: np.ndarray) -> str:
@@ -199,7 +250,7 @@ def encode(documents: DataFrame, s: Settings = Settings(), ids: str = "ids", voc
     schema = T.StructType([*documents.schema.fields, *added])
 
     def run(batches):
-        e = Encoder(shared.value, s)
+        e = kept_in_worker(("pieces", s, len(shared.value.model), crc32(shared.value.model)), lambda: Encoder(shared.value, s))
         for b in batches:
             flat, ends, ok = [], [0], []
             for text, doc in zip(b.column(n).to_pylist(), b.column(n + 1).to_pylist(), strict=True):
@@ -220,7 +271,7 @@ def pieces_query(documents: DataFrame, s: Settings = Settings()) -> DataFrame:
     shared = spark.sparkContext.broadcast(Pieces.load(s.model))
 
     def run(batches):
-        e = Encoder(shared.value, s)
+        e = kept_in_worker(("pieces", s, len(shared.value.model), crc32(shared.value.model)), lambda: Encoder(shared.value, s))
         for b in batches:
             n, ok, sha = [], [], []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
