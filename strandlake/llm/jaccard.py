@@ -144,7 +144,7 @@ def prune(sig: np.ndarray, i: np.ndarray, j: np.ndarray, least: list[tuple[int,
 
 
 def candidate_pairs(group: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of neighbours in sorted groups that are to be compared there: different sides, or any if a group has one side."""
+    """All pairs in sorted groups that are to be compared there: of different sides, or any where the side is -1."""
     n = len(group)
     first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     sizes = np.diff(np.r_[first, n])
@@ -152,8 +152,7 @@ def candidate_pairs(group: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np
     i = np.repeat(np.arange(n), left)
     start = np.repeat(np.cumsum(left) - left, left)
     j = i + 1 + (np.arange(len(i)) - start)
-    two = np.repeat(np.maximum.reduceat(side, first) != np.minimum.reduceat(side, first), sizes)
-    ok = ~two[i] | (side[i] != side[j])
+    ok = (side[i] < 0) | (side[i] != side[j])
     return i[ok], j[ok]
 
 
@@ -276,7 +275,7 @@ def _dealt(members: DataFrame, s: Settings) -> DataFrame:
     m = m.select("*", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)).alias("__other"))
     return m.select(
         F.when(F.col("__blocks") == 1, F.col("__key")).otherwise(F.xxhash64("__key", F.least("__mine", "__other"), F.greatest("__mine", "__other"))).alias("__task"),
-        F.col("__mine").alias("__side"), "__band", "__row")
+        F.when(F.col("__mine") == F.col("__other"), -1).otherwise(F.col("__mine")).alias("__side"), "__band", "__row")
 
 
 def links(rows: DataFrame, documents: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
