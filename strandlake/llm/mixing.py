@@ -91,6 +91,13 @@ def _split(rows: DataFrame, room: DataFrame, unit: Column, s: Settings) -> tuple
     return run.select("__src", "__unit", "__in"), left.withColumnRenamed("__left", "__room")
 
 
+def with_source(rows: DataFrame, small: DataFrame, salts: int = 32) -> DataFrame:
+    """rows (__src, __hash, ...) with what `small` holds for their source: each source's row meets its rows in several tasks,
+    as one source may hold a third of them."""
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64("__hash"), F.lit(salts)).cast("int"))
+    return salted.join(small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["__src", "__salt"]).drop("__salt")
+
+
 def draw(documents: DataFrame, s: Settings = Settings()) -> DataFrame:
     """__id (of the row), __doc (hash of id and text), doc_id, __src, size, __hash, __block, source_size, target, __times
     (how often the mix takes the document) for every row, written."""
@@ -118,7 +125,7 @@ def draw(documents: DataFrame, s: Settings = Settings()) -> DataFrame:
     outside = size.where("size > 0").withColumn("__block", _digit(0, s)).join(blocks, ["__src", "__block"], "left_anti").select("__src", "__hash", "size")
     for _ in range(s.fills):
         best = (
-            outside.join(left, "__src").where("size <= __room").join(picked, ["__src", "__hash"], "left_anti")
+            with_source(outside, left).where("size <= __room").join(picked, ["__src", "__hash"], "left_anti")
             .groupBy("__src").agg(F.max(F.struct("size", "__hash")).alias("b"), F.first("__room").alias("__room"))
         )
         best = written(best.select("__src", "b.__hash", "b.size", "__room"), "mix-fill")
@@ -128,8 +135,8 @@ def draw(documents: DataFrame, s: Settings = Settings()) -> DataFrame:
         size.withColumn("__block", _digit(0, s))
         .join(blocks.withColumn("__whole", F.lit(1)), ["__src", "__block"], "left")
         .join(picked.distinct().withColumn("__part", F.lit(1)), ["__src", "__hash"], "left")
-        .join(goal.join(room.select("__src", "__passes"), "__src", "left"), "__src")
     )
+    rows = with_source(rows, goal.join(room.select("__src", "__passes"), "__src", "left"))
     rows = rows.select(
         "__id", "__doc", "doc_id", "__src", "size", "__hash", "__block", "source_size", "target",
         F.coalesce("__passes", F.lit(0)).alias("__passes"),
