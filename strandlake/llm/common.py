@@ -112,3 +112,11 @@ def kept_in_worker(key, make):
     if found is None or found[0] != key:
         found = home.__dict__[kind] = (key, make())
     return found[1]
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or with underscores added if df has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import bounded_batches, connected_components, written
+from strandlake.llm.common import bounded_batches, connected_components, free_name, written
 
 
 @dataclass(frozen=True)
@@ -384,6 +384,7 @@ def jaccard_query(documents: DataFrame, s: Settings = Settings()) -> DataFrame:
 def keep_one(documents: DataFrame, s: Settings = Settings()) -> DataFrame:
     """documents, whole, without the rows whose class keeps another row."""
     kept = similar(documents.select("doc_id", "text"), s).where("kept").select("__text")
-    out = documents.withColumn("__text", F.xxhash64("doc_id", "text")).join(kept, "__text", "left_semi")
+    name = free_name(documents, "__text")
+    out = documents.withColumn(name, F.xxhash64("doc_id", "text")).join(kept.withColumnRenamed("__text", name), name, "left_semi")
     # rows that repeat both id and text of a kept row go; the join has already brought them together
-    return out.dropDuplicates(["__text"]).select(*(F.col(f"`{c}`") for c in documents.columns))
+    return out.dropDuplicates([name]).select(*(F.col(f"`{c}`") for c in documents.columns))

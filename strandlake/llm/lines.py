@@ -8,8 +8,8 @@ run of the next level, so a hash is rewritten a logarithmic number of times. A b
 
 Defined cases: a null or empty text is one empty line; a line of blanks has the empty key; the lines of one document
 that share a key count once; rows that repeat count as documents of their own; documents of any length are split
-whole; an empty table gives an empty result; columns beside the text are kept and never clash, as the operator works on
-names that start with "__".
+whole; an empty table gives an empty result; columns beside the text are kept as they are: a name that
+the operator adds gets underscores where the table has it.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import BLANKS, ascii_lower, remove, written
+from strandlake.llm.common import BLANKS, ascii_lower, free_name, remove, written
 
 
 def split_lines(text: Column) -> Column:
@@ -115,11 +115,12 @@ def drop_frequent(documents: DataFrame, min_docs: int = 10, batches: int = 4, fa
     keys = runs.frequent(min_docs).select("h1", "h2")
     hits = lines.join(keys, ["h1", "h2"]).groupBy("__row").agg(F.collect_set("__at").alias("__gone"))
     text = F.coalesce(F.col("text"), F.lit(""))
-    out = documents.withColumn("__row", F.xxhash64("doc_id", "text")).join(hits, "__row", "left")
+    row, gone = free_name(documents, "__row"), free_name(documents, "__gone")
+    out = documents.withColumn(row, F.xxhash64("doc_id", "text")).join(hits.select(F.col("__row").alias(row), F.col("__gone").alias(gone)), row, "left")
     return out.select(
-        *(F.when(F.col("__gone").isNull(), text).otherwise(F.array_join(without(split_lines(F.col("text")), F.col("__gone")), "\n")).alias("text") if c == "text" else F.col(f"`{c}`") for c in documents.columns),
-        (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("__n_lines"),
-        F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("__n_dropped"),
+        *(F.when(F.col(gone).isNull(), text).otherwise(F.array_join(without(split_lines(F.col("text")), F.col(gone)), "\n")).alias("text") if c == "text" else F.col(f"`{c}`") for c in documents.columns),
+        (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long").alias(free_name(documents, "__n_lines")),
+        F.coalesce(F.size(gone), F.lit(0)).cast("long").alias(free_name(documents, "__n_dropped")),
     )
 
 
@@ -138,12 +139,13 @@ def dedup_batch(batch: DataFrame, runs: LineRuns) -> DataFrame:
         gone = written(lines.join(known.select("h1", "h2"), ["h1", "h2"]).groupBy("__row").agg(F.collect_set("__at").alias("__gone")), "line-hits")
     runs.add(own)
     text = F.coalesce(F.col("text"), F.lit(""))
-    out = batch.withColumn("__row", F.xxhash64("doc_id", "text")).join(gone, "__row", "left")
-    kept = F.array_join(without(split_lines(F.col("text")), F.col("__gone")), "\n")
+    row, at = free_name(batch, "__row"), free_name(batch, "__gone")
+    out = batch.withColumn(row, F.xxhash64("doc_id", "text")).join(gone.select(F.col("__row").alias(row), F.col("__gone").alias(at)), row, "left")
+    kept = F.array_join(without(split_lines(F.col("text")), F.col(at)), "\n")
     return out.select(
-        *(F.when(F.col("__gone").isNull(), text).otherwise(kept).alias("text") if c == "text" else F.col(f"`{c}`") for c in batch.columns),
-        F.size(split_lines(F.col("text"))).cast("long").alias("__n_lines"),
-        F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("__n_dropped"),
+        *(F.when(F.col(at).isNull(), text).otherwise(kept).alias("text") if c == "text" else F.col(f"`{c}`") for c in batch.columns),
+        F.size(split_lines(text)).cast("long").alias(free_name(batch, "__n_lines")),
+        F.coalesce(F.size(at), F.lit(0)).cast("long").alias(free_name(batch, "__n_dropped")),
     )
 
 

@@ -27,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import WORD, written
+from strandlake.llm.common import WORD, free_name, written
 
 
 @dataclass(frozen=True)
@@ -251,11 +251,12 @@ def mixed_documents(documents: DataFrame, s: Settings = Settings()) -> DataFrame
     Same columns as documents. A shard's rows are together and in hashed order; a shard that is too large for one task is
     dealt to several by ranges of that order.
     """
-    copies = mix(draw(documents.select("doc_id", "text", "source"), s), s).select("__doc", "__shard", "__order", "__pass")
+    doc, shard, order = (free_name(documents, x) for x in ("__doc", "__shard", "__order"))
+    copies = mix(draw(documents.select("doc_id", "text", "source"), s), s).select(F.col("__doc").alias(doc), F.col("__shard").alias(shard), F.col("__order").alias(order), "__pass")
     # rows that repeat an id and a text come once for each of their draws
-    copies = copies.dropDuplicates(["__doc", "__pass"]).drop("__pass")
-    out = documents.withColumn("__doc", F.xxhash64("doc_id", "text")).join(copies, "__doc")
-    return out.repartitionByRange("__shard", "__order").sortWithinPartitions("__shard", "__order").select(*(F.col(f"`{c}`") for c in documents.columns))
+    copies = copies.dropDuplicates([doc, "__pass"]).drop("__pass")
+    out = documents.withColumn(doc, F.xxhash64("doc_id", "text")).join(copies, doc)
+    return out.repartitionByRange(shard, order).sortWithinPartitions(shard, order).select(*(F.col(f"`{c}`") for c in documents.columns))
 
 
 _FILL = """p{n} AS (SELECT r.src, max(struct_pack(s := r.size, h := r.hash)) AS b FROM rest{m} r JOIN room{m} USING (src)

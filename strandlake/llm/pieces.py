@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandlake.llm.common import bounded_batches, kept_in_worker
+from strandlake.llm.common import bounded_batches, free_name, kept_in_worker
 
 MARK = "▁"
 _M = 0xFFFFFFFF
@@ -246,7 +246,7 @@ def encode(documents: DataFrame, s: Settings = Settings(), ids: str = "ids", voc
     shared = spark.sparkContext.broadcast(vocabulary or Pieces.load(s.model))
     sent = documents.select("*", F.col("text").alias("__text"), F.col("doc_id").cast("long").alias("__doc"))
     n = len(documents.columns)
-    added = [T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField("n_pieces", T.LongType()), T.StructField("lossless", T.BooleanType())]
+    added = [T.StructField(free_name(documents, c), t) for c, t in ((ids, T.ArrayType(T.IntegerType())), ("n_pieces", T.LongType()), ("lossless", T.BooleanType()))]
     schema = T.StructType([*documents.schema.fields, *added])
 
     def run(batches):

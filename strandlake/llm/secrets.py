@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import bounded_batches
+from strandlake.llm.common import bounded_batches, free_name
 
 # The base patterns and the least lengths of their matches.
 ASSIGN = re.compile(rb"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
@@ -238,7 +238,7 @@ def find_secrets(documents: DataFrame, s: Settings = Settings(), keep: list[str]
     kept = documents.select(*(F.col(f"`{c}`") for c in keep))
     schema = kept.schema
     for c, t in (("n_assign", "long"), ("n_access", "long"), ("n_hex", "long"), ("base", "string"), ("spans", "string")):
-        schema = schema.add(c, t)
+        schema = schema.add(free_name(kept, c), t)
     show = lambda spans: ",".join(f"{KINDS[k]}:{a}:{b}" for a, b, k in spans)
 
     def run(batches):

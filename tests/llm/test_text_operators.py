@@ -76,6 +76,7 @@ def test_line_dedup(docs, rows, none):
     assert lines.lines_query(none).count() == 0
     kept = lines.drop_frequent(docs, 10, batches=3)
     assert kept.columns == [*docs.columns, "__n_lines", "__n_dropped"]
+    assert {r["__row"] for r in kept.select("__row").collect()} == {5}
 
 
 def test_line_batches(spark):
