@@ -65,8 +65,8 @@ def test_top_k(spark, data, scale):
     want = []
     for i, a in q.items():
         if data[i][0] % 20 == 0:
-            scores = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), data[j][0]) for j, b in q.items() if j != i and len(a) == len(b))
-            want += [(data[i][0], r + 1, v, max(-(2**63), min(2**63 - 1, -s))) for r, (s, v) in enumerate(scores[:20])]
+            scores = sorted((-max(-(2**63), min(2**63 - 1, sum(x * y for x, y in zip(a, b, strict=True)))), data[j][0]) for j, b in q.items() if j != i and len(a) == len(b))
+            want += [(data[i][0], r + 1, v, -s) for r, (s, v) in enumerate(scores[:20])]
     s = vectors.TopSettings(shard_rows=25, query_block=3, leaf=4)
     got = vectors.top_k(df, F.col("vec_id") % 20 == 0, s).collect()
     assert sorted(map(tuple, got)) == sorted(want)
