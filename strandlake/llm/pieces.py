@@ -95,7 +95,7 @@ class Encoder:
         # a dropout of 1 skips every turn
         self.gap = None if s.dropout <= 0 else 0.0 if s.dropout >= 1 else 1 / log(1 - s.dropout)
         self.cut = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+" if vocabulary.alone else f"{MARK}*[^{MARK}]+|{MARK}+").findall
-        # unit -> ids by variant; None where the agenda has not run yet
+        # unit -> its ids by variant (None where not asked for yet), the library's ids or None, and its turns
         self.young: dict[str, list] = {}
         self.old: dict[str, list] = {}
         self.plain = vocabulary.library()
@@ -180,7 +180,7 @@ class Encoder:
         return crc32(text.encode("utf-8", "surrogatepass"), self.s.seed * 1000003 + variant)
 
     def learn(self, missing: list[str]) -> None:
-        """Units that the young cache lacks, put there; variants without skips share the library's ids."""
+        """Units that the young cache lacks, put there with the library's ids."""
         todo = []
         for u in missing:
             if (found := self.old.get(u)) is not None:
@@ -190,16 +190,21 @@ class Encoder:
         # the library puts one space before a text, and a unit that begins with exactly one is such a text
         fit = [u[0] == MARK and 1 < len(u) <= 256 and u[1] != MARK and HELD not in u for u in todo]
         plain = iter(self.plain([u[1:] for u, f in zip(todo, fit) if f]) if any(fit) else ())
-        n = self.s.variants
+        empty = [None] * self.s.variants
         for u, f in zip(todo, fit):
             ids = next(plain) if f else None
             if ids and self.is_byte.isdisjoint(ids):
                 # without byte pieces, each merge takes one part away: so many turns there are without skips
-                turns, same, raw = len(u) - len(ids), array("H", ids).tobytes(), u.encode()
-                seed = self.s.seed * 1000003
-                self.young[u] = [same if self.next_skip(crc32(raw, seed + v), 0) >= turns else None for v in range(n)]
+                self.young[u] = [*empty, array("H", ids).tobytes(), len(u) - len(ids)]
             else:
-                self.young[u] = [None] * n
+                self.young[u] = [*empty, None, 0]
+
+    def variant(self, text: str, v: int, held: list) -> bytes:
+        """The ids of a unit's variant: the library's if its first skip comes after its last turn."""
+        same = held[-2]
+        if same is not None and self.next_skip(self.key(text, v), 0) >= held[-1]:
+            return same
+        return self.unit(text, v)
 
     def encode(self, text: str | None, doc_id: int | None) -> np.ndarray:
         if text and HELD in text:  # a text that holds the stand-in itself is cut around it
@@ -224,7 +229,7 @@ class Encoder:
                     h, v = held[i], which[i]
                     b = h[v]
                     if b is None:
-                        b = h[v] = self.unit(units[i], v)
+                        b = h[v] = self.variant(units[i], v, h)
                     out[i] = b
         if len(young) > self.s.cache:
             self.old, self.young = young, {}
