@@ -13,7 +13,7 @@ labelled rows gives 0.5 everywhere. Labels that are null are ignored; several la
 from __future__ import annotations
 
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from itertools import islice
 from operator import eq
 from zlib import crc32
@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandlake.llm.common import bounded_batches, kept_in_worker
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -37,7 +39,7 @@ class Settings:
     seed: int = 7
     #: At most so many labelled rows are fitted on: those whose ids hash lowest. The bound does not depend on the table.
     max_training_rows: int = 2000
-    #: Distinct words whose number a scoring task keeps.
+    #: Distinct words in each of the two generations of a worker's cache.
     cache: int = 200_000
     threshold: float = 0.7
 
@@ -75,12 +77,14 @@ class Model:
     #: For each bucket, what its vector adds to the log odds of label 1.
     odds: np.ndarray
     bias: float
+    #: What words add, in two generations.
+    young: dict = field(default_factory=dict)
+    old: dict = field(default_factory=dict)
 
     def score_texts(self, texts: list) -> np.ndarray:
         """Probability of label 1 of each text (bytes or None)."""
         s, odds = self.settings, self.odds
-        young: dict = {}
-        old: dict = {}
+        young, old = self.young, self.old
         out = np.empty(len(texts))
         for at, text in enumerate(texts):
             counts = word_counts(text)
@@ -97,6 +101,7 @@ class Model:
                 total += n
                 z += n * v
             out[at] = self.bias + (z / total if total else 0.0)
+        self.young, self.old = young, old
         return 1 / (1 + np.exp(-np.clip(out, -500, 500)))
 
 
@@ -164,12 +169,13 @@ def score(documents: DataFrame, model: Model, keep: list[str] | None = None) ->
     name = "quality_score"
     while name in keep:
         name += "_"
+    bounded_batches(documents.sparkSession)
     sent = documents.select(*(F.col(f"`{c}`") for c in keep), F.col("text").cast("binary").alias("__bytes"))
     schema = documents.select(*(F.col(f"`{c}`") for c in keep)).schema.add(name, "double", False)
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        m = shared.value
+        m = kept_in_worker(("quality", crc32(shared.value.odds.tobytes()), shared.value.bias), lambda: shared.value)
         for b in batches:
             scores = m.score_texts(b.column(b.num_columns - 1).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(scores, pa.float64())], names=[*b.schema.names[:-1], name])
