@@ -50,8 +50,8 @@ class GraphSettings:
     #: Shards whose vectors are searched in another shard by one task.
     query_shards: int = 8
     links: int = 12
-    build_beam: int = 32
-    beam: int = 48
+    build_beam: int = 64
+    beam: int = 64
     #: A beam whose last member is as near as this below the threshold is full of links and is widened.
     margin: float = 0.02
     audit: float = 0.995
@@ -74,6 +74,35 @@ class Graph:
         self.entry, self.top = -1, -1
         for i in rng.permutation(n).tolist():
             self.insert(i)
+        self.mend()
+
+    def mend(self, extra: int = 8) -> None:
+        """Nodes that no path from the entry leads to (their backward links were pruned) get a link from a neighbour that is led
+        to, in places kept free for that."""
+        base, n = self.adjacent[0], len(self.x)
+        if self.entry < 0:
+            return
+        self.adjacent[0] = base = np.concatenate([base, np.full((n, extra), -1, np.int32)], 1)
+        reached, edge = np.zeros(n, bool), np.array([self.entry])
+        while True:
+            while len(edge):
+                reached[edge] = True
+                met = np.zeros(n, bool)
+                near = base[edge].ravel()
+                met[near[near >= 0]] = True
+                edge = np.flatnonzero(met & ~reached)
+            linked = []
+            for i in np.flatnonzero(~reached).tolist():
+                near = base[i][base[i] >= 0]
+                for j in near[reached[near]].tolist():
+                    free = np.flatnonzero(base[j] < 0)
+                    if len(free):
+                        base[j, free[0]] = i
+                        linked.append(i)
+                        break
+            if not linked:
+                return
+            edge = np.array(linked)
 
     def search(self, q: np.ndarray, start: np.ndarray, layer: int, width: int) -> tuple[np.ndarray, np.ndarray]:
         """The beam's ids and similarities, nearest first. Every unexpanded member of the beam is expanded in each round."""
@@ -89,8 +118,14 @@ class Graph:
             more = more[seen[more] != stamp]
             if not len(more):
                 break
-            more.sort()
-            more = more[np.concatenate([[True], more[1:] != more[:-1]])]
+            if 16 * len(more) > len(seen):
+                # many neighbours: marking them costs less than sorting them
+                met = np.zeros(len(seen), bool)
+                met[more] = True
+                more = np.flatnonzero(met)
+            else:
+                more.sort()
+                more = more[np.concatenate([[True], more[1:] != more[:-1]])]
             seen[more] = stamp
             ids = np.concatenate([ids, more])
             sims = np.concatenate([sims, x[more] @ q])
@@ -164,7 +199,7 @@ class Graph:
             ids, sims = self.search(q, start, 0, width)
             if len(ids) < width or sims[-1] < low:
                 return ids[sims >= self.s.threshold - 1e-4]
-            start, width = ids, 4 * width
+            start, width = ids, 8 * width
 
 
 def unit_rows(m: np.ndarray) -> np.ndarray:
