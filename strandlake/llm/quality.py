@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass, field
+from functools import cache
 from itertools import islice
 from operator import eq
 from zlib import crc32
@@ -32,8 +33,6 @@ class Settings:
     buckets: int = 1 << 17
     min_n: int = 3
     max_n: int = 3
-    #: Characters of a word that n-grams are taken from at its start and at its end; the whole word has its own vector.
-    edge: int = 12
     epochs: int = 3
     rate: float = 0.4
     seed: int = 7
@@ -41,6 +40,8 @@ class Settings:
     max_training_rows: int = 2000
     #: Distinct words in each of the two generations of a worker's cache.
     cache: int = 200_000
+    #: Words of more bytes are not cached, and their n-grams are hashed by numpy.
+    long_word: int = 64
     threshold: float = 0.7
 
 
@@ -56,19 +57,28 @@ def word_counts(text: bytes | None) -> Counter:
     return counts
 
 
-def word_features(word: bytes, s: Settings) -> list[int]:
-    """Buckets of a word and of its character n-grams (of bytes, with marks at both ends)."""
+@cache
+def crc_tables(k: int) -> tuple[np.ndarray, int]:
+    """(k x 256 numbers, one number) whose exclusive or, by place and byte, is the crc32 of k bytes: it is linear in them."""
+    zero = crc32(bytes(k))
+    return np.array([[crc32(bytes(i) + bytes([b]) + bytes(k - 1 - i)) ^ zero for b in range(256)] for i in range(k)], np.uint32), zero
+
+
+def word_features(word: bytes, s: Settings) -> list[int] | np.ndarray:
+    """Buckets of a word and of all its character n-grams (of bytes, with marks at both ends)."""
     n = s.buckets - 1
     marked = b"<" + word + b">"
-    out = [crc32(marked, 1) & n]
-    if len(marked) > 2 * s.edge:
-        parts = (marked[: s.edge], marked[-s.edge :])
-    else:
-        parts = (marked,)
-    for part in parts:
-        for k in range(s.min_n, s.max_n + 1):
-            out += [crc32(part[i : i + k]) & n for i in range(len(part) - k + 1)]
-    return out
+    whole = crc32(marked, 1) & n
+    if len(word) <= s.long_word:
+        return [whole, *(crc32(marked[i : i + k]) & n for k in range(s.min_n, s.max_n + 1) for i in range(len(marked) - k + 1))]
+    codes, out = np.frombuffer(marked, np.uint8), [np.array([whole], np.int32)]
+    for k in range(s.min_n, min(s.max_n, len(marked)) + 1):
+        tables, x = crc_tables(k)
+        x = np.full(len(codes) - k + 1, x, np.uint32)
+        for i in range(k):
+            x ^= tables[i][codes[i : i + len(x)]]
+        out.append((x & np.uint32(n)).astype(np.int32))
+    return np.concatenate(out)
 
 
 @dataclass
@@ -95,9 +105,10 @@ class Model:
                     v = old.get(word)
                     if v is None:
                         v = float(odds[word_features(word, s)].mean())
-                    if len(young) >= s.cache:
-                        young, old = {}, young
-                    young[word] = v
+                    if len(word) <= s.long_word:
+                        if len(young) >= s.cache:
+                            young, old = {}, young
+                        young[word] = v
                 total += n
                 z += n * v
             out[at] = self.bias + (z / total if total else 0.0)

@@ -321,6 +321,20 @@ def test_quality(spark, docs, none):
     assert {r.score for r in quality.quality_query(d, labels.limit(0)).collect()} == {0.5}
 
 
+def test_long_words_are_read_whole():
+    s = quality.Settings()
+    for n in (20, 30, 64, 65, 5000):
+        word = bytes(33 + i * i % 89 for i in range(n))
+        marked = b"<" + word + b">"
+        grams = [zlib.crc32(marked[i : i + 3]) & (s.buckets - 1) for i in range(len(marked) - 2)]
+        assert list(quality.word_features(word, s)) == [zlib.crc32(marked, 1) & (s.buckets - 1), *grams]
+    good, bad = ("一二三四五六" * 4).encode(), ("七八九十百千" * 4).encode()
+    frame = "甲乙丙丁戊己庚辛".encode()
+    model = quality.fit([frame + good + frame, frame + bad + frame] * 40, [1.0, 0.0] * 40, s)
+    a, b = model.score_texts([frame + good[:30] + frame, frame + bad[:30] + frame])
+    assert a > 0.6 > 0.4 > b
+
+
 # ---- secrets --------------------------------------------------------------------------------------------------------
 
 
