@@ -3,11 +3,12 @@
 The vocabulary (pieces and scores) of a given merge-type model is used; nothing is trained. A text is cut into units, none
 of which a piece can span: a run of spaces with the run of other characters after it, and newlines by themselves. In a
 unit, an agenda holds the pairs of neighbours whose union is a piece; the pair of the best score (the leftmost among
-equals) is taken, and a keyed hash of the unit's text, its variant and the candidate's turn skips it with probability
-`dropout`: it leaves the agenda until one of its sides changes. The turns to skip are drawn as gaps between skips, so a
-unit whose first skip comes after its last merge is known to be cut as without dropout, which the model's own library does. The variant of a unit, one of `variants`, is a keyed hash of
-the document's id and the unit's ordinal, so equal words are cut in several ways and reruns agree. Characters that are
-not pieces become their UTF-8 bytes' pieces.
+equals) is taken, and a keyed hash of the document's id, the unit's ordinal and the candidate's turn skips it with
+probability `dropout`: it leaves the agenda until one of its sides changes. Every occurrence of a unit has its own draw,
+and reruns agree. The turns to skip are drawn as gaps between skips, so a unit whose first skip comes after its last merge
+is known to be cut as without dropout, which the model's own library does; otherwise the turns skipped say how it is cut,
+and what was found for a unit and turns is kept for the next occurrence that draws the same. Characters that are not
+pieces become their UTF-8 bytes' pieces.
 
 Without dropout the ids are those of the model's library for a text whose first space the library put there itself. Decoding is lossless for
 every text: a space is the mark U+2581, and a mark that the text itself holds is written as bytes.
@@ -37,15 +38,16 @@ from strandlake.llm.common import bounded_batches, free_name, kept_in_worker
 
 MARK = "▁"
 _M = 0xFFFFFFFF
+#: More turns than any unit has.
+LONG = 1 << 60
 
 
 @dataclass(frozen=True)
 class Settings:
     model: str = "/opt/tokenizers/piece_bpe_32k.model"
     dropout: float = 0.1
-    variants: int = 4
     seed: int = 3
-    #: Units kept in each of the two generations of a worker's cache.
+    #: Units, and ways to cut them, kept in each of the two generations of a worker's cache.
     cache: int = 250_000
     long_unit: int = 48
 
@@ -95,25 +97,35 @@ class Encoder:
         # a dropout of 1 skips every turn
         self.gap = None if s.dropout <= 0 else 0.0 if s.dropout >= 1 else 1 / log(1 - s.dropout)
         self.cut = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+" if vocabulary.alone else f"{MARK}*[^{MARK}]+|{MARK}+").findall
-        # unit -> its ids by variant (None where not asked for yet), the library's ids or None, and its turns
-        self.young: dict[str, list] = {}
-        self.old: dict[str, list] = {}
+        # unit -> its ids without skips and its turns then, and the same by the turns skipped; a long unit has LONG turns and is cut anew
+        self.young: dict[str, tuple] = {}
+        self.old: dict[str, tuple] = {}
+        self.ways = 0
         self.plain = vocabulary.library()
         self.is_byte = frozenset(vocabulary.bytes)
 
     def next_skip(self, key: int, after: int) -> int:
         """The first turn from `after` on that is skipped: the gaps between skips are geometric."""
         if self.gap is None:
-            return 1 << 60
+            return LONG + 1
         x = ((key ^ after * 0x9E3779B1) * 0x7FEB352D) & _M
         x = ((x ^ x >> 15) * 0x846CA68B) & _M
         return after + int(log(((x ^ x >> 16) + 1) / 4294967297) * self.gap)
 
-    def merge(self, chars: list[str], key: int) -> list[str]:
-        """The agenda over a short unit: the pairs' ranks in a list, the best one taken again and again."""
+    def first_skips(self, keys: np.ndarray) -> np.ndarray:
+        """next_skip(key, 0) of many keys."""
+        if self.gap is None:
+            return np.full(len(keys), LONG + 1)
+        x = keys.astype(np.uint32) * np.uint32(0x7FEB352D)
+        x = (x ^ x >> np.uint32(15)) * np.uint32(0x846CA68B)
+        return (np.log(((x ^ x >> np.uint32(16)).astype(np.float64) + 1) / 4294967297) * self.gap).astype(np.int64)
+
+    def merge(self, chars: list[str], skips: tuple[int, ...]) -> tuple[list[str], int]:
+        """The agenda over a short unit: the pairs' ranks in a list, the best one taken again and again. Parts, and turns."""
         get, none, parts = self.v.rank.get, 1 << 60, chars
         ranks = [get(a + b, none) for a, b in zip(parts, parts[1:])]
-        turn, skip = 0, self.next_skip(key, 0)
+        turn, left = 0, iter(skips)
+        skip = next(left, LONG)
         while ranks:
             best = min(ranks)
             if best == none:
@@ -121,7 +133,7 @@ class Encoder:
             i = ranks.index(best)
             turn += 1
             if turn > skip:
-                skip = self.next_skip(key, turn)
+                skip = next(left, LONG)
                 ranks[i] = none
                 continue
             parts[i] += parts[i + 1]
@@ -130,9 +142,9 @@ class Encoder:
                 ranks[i - 1] = get(parts[i - 1] + parts[i], none)
             if i < len(ranks):
                 ranks[i] = get(parts[i] + parts[i + 1], none)
-        return parts
+        return parts, turn
 
-    def merge_long(self, chars: list[str], key: int) -> list[str]:
+    def merge_long(self, chars: list[str], key: int, skip: int) -> list[str]:
         """The same agenda as a heap, for long units."""
         get, n = self.v.rank.get, len(chars)
         after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
@@ -144,7 +156,7 @@ class Encoder:
 
         for i in range(n):
             offer(i)
-        turn, skip = 0, self.next_skip(key, 0)
+        turn = 0
         while heap:
             r, i, a, b = heapq.heappop(heap)
             j = after[i] if alive[i] else n
@@ -163,9 +175,8 @@ class Encoder:
             offer(i)
         return [c for c, x in zip(chars, alive, strict=True) if x]
 
-    def unit(self, text: str, variant: int) -> bytes:
-        """The ids of a unit, as uint16s, by the agenda."""
-        parts = self.merge(list(text), self.key(text, variant)) if len(text) <= self.s.long_unit else self.merge_long(list(text), self.key(text, variant))
+    def ids(self, parts: list[str]) -> bytes:
+        """The ids of a unit's parts, as uint16s."""
         ids: list[int] = []
         for p in parts:
             i = self.v.id.get(p)
@@ -176,64 +187,81 @@ class Encoder:
                 ids += [self.v.bytes[b] for b in p.replace(HELD, MARK).encode("utf-8", "surrogatepass")]
         return array("H", ids).tobytes()
 
-    def key(self, text: str, variant: int) -> int:
-        return crc32(text.encode("utf-8", "surrogatepass"), self.s.seed * 1000003 + variant)
-
     def learn(self, missing: list[str]) -> None:
         """Units that the young cache lacks, put there with the library's ids."""
         todo = []
         for u in missing:
             if (found := self.old.get(u)) is not None:
                 self.young[u] = found
+                self.ways += len(found[2])
             else:
                 todo.append(u)
         # the library puts one space before a text, and a unit that begins with exactly one is such a text
-        fit = [u[0] == MARK and 1 < len(u) <= 256 and u[1] != MARK and HELD not in u for u in todo]
+        fit = [u[0] == MARK and 1 < len(u) <= self.s.long_unit and u[1] != MARK and HELD not in u for u in todo]
         plain = iter(self.plain([u[1:] for u, f in zip(todo, fit) if f]) if any(fit) else ())
-        empty = [None] * self.s.variants
         for u, f in zip(todo, fit):
             ids = next(plain) if f else None
-            if ids and self.is_byte.isdisjoint(ids):
+            if len(u) > self.s.long_unit:
+                self.young[u] = (None, LONG, {})
+            elif ids and self.is_byte.isdisjoint(ids):
                 # without byte pieces, each merge takes one part away: so many turns there are without skips
-                self.young[u] = [*empty, array("H", ids).tobytes(), len(u) - len(ids)]
+                self.young[u] = (array("H", ids).tobytes(), len(u) - len(ids), {})
             else:
-                self.young[u] = [*empty, None, 0]
-
-    def variant(self, text: str, v: int, held: list) -> bytes:
-        """The ids of a unit's variant: the library's if its first skip comes after its last turn."""
-        same = held[-2]
-        if same is not None and self.next_skip(self.key(text, v), 0) >= held[-1]:
-            return same
-        return self.unit(text, v)
+                parts, turns = self.merge(list(u), ())
+                self.young[u] = (self.ids(parts), turns, {})
+
+    def skipped(self, text: str, key: int, skip: int, held: tuple) -> bytes:
+        """The ids of a unit's occurrence whose first skip comes before its last turn, or of a long unit."""
+        if held[1] == LONG:
+            return self.ids(self.merge_long(list(text), key, skip))
+        ways, skips, turns = held[2], (), held[1]
+        while skip < turns:
+            skips += (skip,)
+            found = ways.get(skips)
+            if found is None:
+                parts, turns = self.merge(list(text), skips)
+                found = ways[skips] = (self.ids(parts), turns)
+                self.ways += 1
+            turns = found[1]
+            skip = self.next_skip(key, skip + 1)
+        return found[0]
 
     def encode(self, text: str | None, doc_id: int | None) -> np.ndarray:
         if text and HELD in text:  # a text that holds the stand-in itself is cut around it
-            around = np.array([self.v.bytes[b] for b in HELD.encode()], np.uint16)
-            parts = [self.encode(x, doc_id) for x in text.split(HELD)]
-            return np.concatenate([parts[0], *(y for x in parts[1:] for y in (around, x))])
+            around, out, at = np.array([self.v.bytes[b] for b in HELD.encode()], np.uint16), [], 0
+            for x in text.split(HELD):
+                got, at = self.encode_from(x, doc_id, at)
+                out += [around, got]
+            return np.concatenate(out[1:])
+        return self.encode_from(text, doc_id, 0)[0]
+
+    def encode_from(self, text: str | None, doc_id: int | None, at: int) -> tuple[np.ndarray, int]:
+        """The ids of a text whose first unit has the ordinal `at`, and the ordinal after its last."""
         units = self.cut((text or "").replace(MARK, HELD).replace(" ", MARK))
         if not units:
-            return np.empty(0, np.uint16)
-        of = np.arange(len(units), dtype=np.uint64) + np.uint64(((doc_id or 0) * 0x9E3779B97F4A7C15 + self.s.seed) & 0xFFFFFFFFFFFFFFFF)
+            return np.empty(0, np.uint16), at
+        of = np.arange(at, at + len(units), dtype=np.uint64) + np.uint64(((doc_id or 0) * 0x9E3779B97F4A7C15 + self.s.seed) & 0xFFFFFFFFFFFFFFFF)
         of = (of ^ (of >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        of = ((of ^ (of >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)) >> np.uint64(33)
-        which, young = (of % np.uint64(self.s.variants)).tolist(), self.young
+        of = ((of ^ (of >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)) >> np.uint64(32)
+        first, young = self.first_skips(of), self.young
         held = list(map(young.get, units))
         if None in held:
             self.learn(list({u for u, h in zip(units, held) if h is None}))
             held = list(map(young.get, units))
-        out = [h[v] for h, v in zip(held, which)]
-        if None in out:
-            for i, b in enumerate(out):
-                if b is None:
-                    h, v = held[i], which[i]
-                    b = h[v]
-                    if b is None:
-                        b = h[v] = self.variant(units[i], v, h)
-                    out[i] = b
-        if len(young) > self.s.cache:
-            self.old, self.young = young, {}
-        return np.frombuffer(b"".join(out), np.uint16)
+        out = [h[0] for h in held]
+        drawn = np.flatnonzero(first < np.array([h[1] for h in held]))
+        if self.gap is None:
+            drawn = np.array([i for i, h in enumerate(held) if h[1] == LONG], np.int64)
+        for i, key, skip in zip(drawn.tolist(), of[drawn].tolist(), first[drawn].tolist()):
+            h = held[i]
+            found = None if h[1] == LONG else h[2].get((skip,))
+            if found is not None and self.next_skip(key, skip + 1) >= found[1]:
+                out[i] = found[0]
+            else:
+                out[i] = self.skipped(units[i], key, skip, h)
+        if len(young) > self.s.cache or self.ways > self.s.cache:
+            self.old, self.young, self.ways = young, {}, 0
+        return np.frombuffer(b"".join(out), np.uint16), at + len(units)
 
     def decode(self, ids: np.ndarray) -> str:
         raw = self.v.raw

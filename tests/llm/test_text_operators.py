@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -301,6 +302,24 @@ def test_pieces_against_the_library():
     assert fast.encode(text, 10).tolist() != a.tolist()
 
 
+def test_every_occurrence_has_its_own_skips():
+    s = pieces.Settings()
+    e = pieces.Encoder(pieces.Pieces.load(s.model), s)
+    for word in (" international", " " + "counterrevolutionary" * 3):
+        assert len({e.encode(word, i).tobytes() for i in range(2000)}) > 20
+        one, n = e.encode(word * 2000, 1), len(word)
+        ends = np.cumsum([len(e.v.raw[i]) for i in one.tolist()])
+        cuts = np.split(one, np.searchsorted(ends, np.arange(n, 2000 * n, n)) + 1)
+        assert len({c.tobytes() for c in cuts}) > 20 and e.decode(one) == word * 2000
+    # what is kept of earlier occurrences changes nothing
+    text = "the international quick brown fox\U000fffff jumps over  the lazy dog\n" * 50
+    new = pieces.Encoder(e.v, s)
+    new.learn = lambda missing: new.young.update({u: (None, pieces.LONG, {}) for u in missing})
+    assert new.encode(text, 3).tolist() == e.encode(text, 3).tolist() == e.encode(text, 3).tolist()
+    # of a unit of one merge, a tenth is cut
+    assert abs(sum(len(e.encode("ab", i)) == 2 for i in range(20000)) / 20000 - s.dropout) < 0.01
+
+
 # ---- quality --------------------------------------------------------------------------------------------------------
 
 
