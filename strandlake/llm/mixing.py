@@ -7,7 +7,7 @@ level: target = min(cap, level * weight), found from running sums over the sourc
 Drawing: a document's place in its source's permutation is a keyed hash of its id, its high digits being its block. A
 source is passed over whole as often as its target holds its words, and once more in part: whole blocks in permuted
 order as far as the target goes, then the next block's sub-blocks, then that one's documents, and at last the largest
-documents outside that still fit. Each step keeps sums per block, never a row list per source, so a source that holds a
+documents outside that still fit, until none does (`op2_source_mixing` stops after as many as its SQL has). Each step keeps sums per block, never a row list per source, so a source that holds a
 third of all rows costs no task more than another.
 
 Output shards: a splitting tree. The root holds each source's exact quota of blocks; a node deals half of its blocks to
@@ -38,8 +38,8 @@ class Settings:
     blocks: int = 256
     #: Output shards: a power of two.
     shards: int = 16
-    #: Rounds in which the largest documents that still fit fill what is left.
-    fills: int = 2
+    #: How many times the largest document that still fits fills what is left; None: until none fits.
+    fills: int | None = None
     seed: int = 5
 
 
@@ -98,6 +98,40 @@ def with_source(rows: DataFrame, small: DataFrame, salts: int = 32) -> DataFrame
     return salted.join(small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["__src", "__salt"]).drop("__salt")
 
 
+def _fill(units: DataFrame, left: DataFrame, s: Settings) -> list[DataFrame]:
+    """Tables (__src, __hash) of the units that are taken when, again and again, each source's largest unit (of the last hash
+    among equals) that fits its room is, until none fits.
+
+    units: __src, __hash, size; left: __src, __room. A round goes down a source's sizes as long as all units of a size fit,
+    and takes of the next size as many as fit. What it leaves is less than that size, so the room halves in each round at
+    least, and what fits later was not met yet. Windows run over sizes and blocks, not over units.
+    """
+    out = []
+    while True:
+        fit = with_source(units, left).where("size <= __room")
+        down = Window.partitionBy("__src").orderBy(F.col("size").desc())
+        sums = fit.groupBy("__src", "size").agg(F.count(F.lit(1)).alias("__n"), F.first("__room").alias("__room"))
+        sums = sums.withColumn("__sum", F.sum(F.col("__n") * F.col("size")).over(down.rowsBetween(Window.unboundedPreceding, 0)))
+        all_in = F.col("__sum") <= F.col("__room")
+        step = sums.groupBy("__src").agg(
+            (F.first("__room") - F.coalesce(F.max(F.when(all_in, F.col("__sum"))), F.lit(0))).alias("__over"),
+            F.coalesce(F.max(F.when(~all_in, F.col("size"))), F.lit(0)).alias("__size"))
+        some = F.when(F.col("__size") > 0, F.floor(F.col("__over") / F.col("__size"))).otherwise(0).cast("long")
+        step = written(step.withColumn("__some", some), "mix-fill")
+        if step.isEmpty():
+            return out
+        fit = with_source(fit.drop("__room"), step)
+        edge = fit.where("size = __size and __some > 0").withColumn("__block", _digit(0, s))
+        blocks = edge.groupBy("__src", "__block").agg(F.count(F.lit(1)).alias("__n"))
+        before = F.sum("__n").over(Window.partitionBy("__src").orderBy(F.col("__block").desc()).rowsBetween(Window.unboundedPreceding, -1))
+        blocks = blocks.select("__src", "__block", F.coalesce(before, F.lit(0)).alias("__before"))
+        place = F.row_number().over(Window.partitionBy("__src", "__block").orderBy(F.col("__hash").desc()))
+        edge = edge.join(blocks, ["__src", "__block"]).where("__before < __some").withColumn("__place", F.col("__before") + place).where("__place <= __some")
+        out.append(written(fit.where("size > __size").select("__src", "__hash").union(edge.select("__src", "__hash")), "mix-filled"))
+        # a source of which all units fit is done
+        left = step.where("__size > 0").select("__src", (F.col("__over") - F.col("__some") * F.col("__size")).alias("__room"))
+
+
 def draw(documents: DataFrame, s: Settings = Settings()) -> DataFrame:
     """__id (of the row), __doc (hash of id and text), doc_id, __src, size, __hash, __block, source_size, target, __times
     (how often the mix takes the document) for every row, written."""
@@ -123,7 +157,12 @@ def draw(documents: DataFrame, s: Settings = Settings()) -> DataFrame:
     left = written(after3.select("__src", "__room").unionByName(after2.where("__next is null").select("__src", "__room")).unionByName(
         after.where("__next is null").select("__src", "__room")).groupBy("__src").agg(F.min("__room").alias("__room")), "mix-left")
     outside = size.where("size > 0").withColumn("__block", _digit(0, s)).join(blocks, ["__src", "__block"], "left_anti").select("__src", "__hash", "size")
-    for _ in range(s.fills):
+    if s.fills is None:
+        # rows that repeat an id and a text are taken together
+        units = outside.join(picked, ["__src", "__hash"], "left_anti").groupBy("__src", "__hash").agg(F.sum("size").alias("size"))
+        for filled in _fill(written(units, "mix-outside"), left, s):
+            picked = picked.union(filled)
+    for _ in range(s.fills or 0):
         best = (
             with_source(outside, left).where("size <= __room").join(picked, ["__src", "__hash"], "left_anti")
             .groupBy("__src").agg(F.max(F.struct("size", "__hash")).alias("b"), F.first("__room").alias("__room"))
@@ -238,7 +277,11 @@ def mix(rows: DataFrame, s: Settings = Settings()) -> DataFrame:
     return out.withColumn("__order", F.xxhash64(F.lit(s.seed), "__shard", "__pass", "__hash"))
 
 
-def mixing_query(documents: DataFrame, s: Settings = Settings()) -> DataFrame:
+#: MIXING_SQL fills twice.
+AS_SQL = Settings(fills=2)
+
+
+def mixing_query(documents: DataFrame, s: Settings = AS_SQL) -> DataFrame:
     """doc_id, size, source_size, target, taken for every row of documents."""
     rows = draw(documents.select("doc_id", "text", "source"), s)
     got = mix(rows, s).groupBy("__id").agg(F.sum("size").alias("taken"))

@@ -176,6 +176,40 @@ def test_mixing(docs, none):
     assert mixed.columns == docs.columns
 
 
+def test_mix_is_filled_until_no_document_fits(spark):
+    """Sources with one document far longer than the rest, which often is where the permuted prefix stops."""
+    rng = random.Random(11)
+    sizes = {f"s{i}": [rng.choice((1, 2, 5, 30, 31, 400)) for _ in range(40)] + [9000] for i in range(12)}
+    texts = [(s, n) for s, ns in sizes.items() for n in ns]
+    d = spark.createDataFrame([(i, "w " * n, s) for i, (s, n) in enumerate(texts)], "doc_id long, text string, source string").repartition(3)
+    for whole in (True, False):
+        rows = mixing.draw(d, mixing.Settings() if whole else mixing.AS_SQL).collect()
+        open_ = 0
+        for s, ns in sizes.items():
+            own = [r for r in rows if r["__src"] == "a" + s]
+            left = own[0].target - sum(r["__times"] * r["size"] for r in own)
+            assert left >= 0 and sum(r["__times"] for r in own) > 0
+            passes = min(r["__times"] for r in own)
+            open_ += any(r["__times"] == passes < 3 and r["size"] <= left for r in own) and max(r["__times"] for r in own) > passes
+        assert (open_ == 0) == whole
+
+
+def test_fill_takes_the_largest_that_fits(spark):
+    rng = random.Random(2)
+    units = [(f"a{i}", f"{rng.getrandbits(128):032x}", rng.choice((1, 2, 3, 7, 50))) for i in range(5) for _ in range(120)]
+    rooms = {f"a{i}": room for i, room in enumerate((0, 3, 77, 1500, 10**6))}
+    want = set()
+    for src, room in rooms.items():
+        for size, h in sorted(((n, h) for x, h, n in units if x == src), reverse=True):
+            if size <= room:
+                want.add((src, h))
+                room -= size
+    left = spark.createDataFrame([(k, float(v)) for k, v in rooms.items()], "__src string, __room double")
+    got = mixing._fill(spark.createDataFrame(units, "__src string, __hash string, size long"), left, mixing.Settings())
+    rows = [tuple(r) for f in got for r in f.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want
+
+
 def test_hypergeometric(spark):
     """The inverted distribution function against exact sums."""
     for good, total, drawn in ((5, 12, 6), (0, 9, 4), (9, 9, 4), (300, 1000, 500)):
