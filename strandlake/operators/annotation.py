@@ -168,8 +168,16 @@ def wrong_translations(features: DataFrame, reference: DataFrame, default_table:
 
 
 def report(features: DataFrame, reference: DataFrame) -> DataFrame:
-    """check, path, feature_id, message: what validation finds."""
+    """check, path, feature_id, message: what validation finds. Translations are checked where features carry them (with the
+    columns of wrong_translations), for coding features only."""
     at = F.concat_ws(":", "seq", F.col("low").cast("string"), F.col("length").cast("string"))
     rows = lambda df, name, message: df.select(F.lit(name).alias("check"), path_string().alias("path"), F.col("id").alias("feature_id"), message.alias("message"))
-    return rows(missing_sequences(features, reference), "sequences", F.concat(F.lit("no sequence "), F.col("seq"))).unionByName(
+    out = rows(missing_sequences(features, reference), "sequences", F.concat(F.lit("no sequence "), F.col("seq"))).unionByName(
         rows(out_of_bounds(features, reference), "bounds", F.concat(F.lit("out of bounds: "), at)))
+    if "translation" not in features.columns:
+        return out
+    coding = features.where((F.try_element_at("path", F.lit(-1)) == "CDS") & F.col("translation").isNotNull())
+    whole = coding.groupBy("ord").agg(
+        F.first("path").alias("path"), F.first("id").alias("id"), F.first("seq").alias("seq"), F.coalesce(F.first("phase"), F.lit(0)).alias("phase"), F.count(F.lit(1)).alias("n"))
+    message = F.format_string("CDS on %s [phase=%d, intervals=%d]: claimed translation does not match computed", "seq", "phase", "n")
+    return out.unionByName(rows(whole.join(wrong_translations(coding, reference).select("ord"), "ord"), "translation", message))

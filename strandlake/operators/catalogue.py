@@ -391,6 +391,15 @@ def anno_report(spark, d):
     return annotation.report(syn.features(spark, d).withColumn("path", F.array(F.lit("gene"))), syn.reference(spark, d))
 
 
+@query()
+def anno_report_translations(spark, d):
+    """The report of coding features that claim translations, few of them right."""
+    f = syn.features(spark, d).withColumns({
+        "path": F.array(F.lit("gene"), F.lit("mRNA"), F.lit("CDS")), "ord": F.col("id"), "part": F.lit(0), "phase": F.lit(0),
+        "translation": F.when(F.col("length") % 4 > 0, "M*"), "table": F.lit(None).cast("int")})
+    return annotation.report(f, syn.reference(spark, d))
+
+
 def _tree_rows(spark, d) -> DataFrame:
     """region > nation > customer as features."""
     r = table(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("n"), F.lit("gene").alias("type"), F.concat(F.lit("R"), F.col("r_regionkey").cast("string")).alias("id"), F.lit(None).cast("string").alias("parent"))

@@ -4,7 +4,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
-from strandlake.operators import annotation, graph, kmers, matrix, records, repeats, statistics, trees
+from strandlake.operators import annotation, catalogue, graph, kmers, matrix, records, repeats, statistics, trees
 from strandlake.plans import programs
 from strandlake.sources import newick
 
@@ -204,6 +204,23 @@ def test_translations_are_checked(spark):
     assert {x.ord for x in annotation.wrong_translations(f, r).collect()} == {2, 3}
 
 
+def test_report_checks_translations(spark):
+    cds, exon = ["gene", "CDS"], ["gene", "exon"]
+    f = spark.createDataFrame(
+        [
+            (1, "right", cds, "c", "+", 0, 0, 6, 0, "MA*", None), (2, "wrong", cds, "c", "+", 0, 0, 3, 0, "MG", None), (2, "wrong", cds, "c", "+", 0, 3, 3, 1, "MG", None),
+            (3, "exon", exon, "c", "+", 0, 0, 6, 0, "MG", None), (4, "none", cds, "c", "+", None, 0, 6, 0, None, None), (5, "lost", cds, "d", "+", 0, 0, 6, 0, "MA", None),
+        ],
+        "ord long, id string, path array<string>, seq string, strand string, phase int, low long, length long, part int, translation string, table int",
+    )
+    r = spark.createDataFrame([("c", "ATGGCCTAA")], "name string, seq string")
+    assert sorted(map(tuple, annotation.report(f, r).collect())) == [
+        ("sequences", "annotation->gene->CDS", "lost", "no sequence d"),
+        ("translation", "annotation->gene->CDS", "wrong", "CDS on c [phase=0, intervals=2]: claimed translation does not match computed"),
+    ]
+    assert {x.check for x in catalogue.queries()["anno_report_translations"](spark, "/root/testdata/sf0.001").collect()} >= {"bounds", "translation"}
+
+
 def test_external_command(spark):
     df = spark.createDataFrame([(str(i),) for i in range(25)], "value string").coalesce(1)
     assert [r.value for r in programs.run_command(df, ["cat"], 10).collect()] == [str(i) for i in range(25)]
