@@ -323,11 +323,10 @@ def test_pieces_against_the_library():
     v = pieces.Pieces.load(s.model)
     sp = sentencepiece.SentencePieceProcessor(model_file=s.model)
     e = pieces.Encoder(v, s)
-    e.plain = lambda texts: [None] * len(texts)
-    for t in ("Hello world", "a  b\nc", "naïve café 日本", "x" * 100, "for (i=0;i<3;)"):
+    for t in ("Hello world", "a  b\nc", "naïve café 日本", "x" * 100, "for (i=0;i<3;)", "Größe und Übermut, 12.50 \u20ac " * 40):
         assert e.encode(" " + t, 1).tolist() == sp.encode(t)
-    dropped, fast = pieces.Encoder(v, pieces.Settings(cache=5)), pieces.Encoder(v, pieces.Settings())
-    dropped.plain = e.plain
+    dropped = pieces.Encoder(v, pieces.Settings(cache=5, together=64, rows=7))
+    fast = pieces.Encoder(v, pieces.Settings())
     text = "the quick brown fox jumps over the lazy dog " * 30
     a, b = dropped.encode(text, 9), fast.encode(text, 9)
     assert a.tolist() == b.tolist() and len(a) > len(e.encode(text, 9)) and dropped.decode(a) == text
@@ -336,6 +335,50 @@ def test_pieces_against_the_library():
     assert fast.encode(text, 10).tolist() != a.tolist()
 
 
+def slow_pieces(text, doc_id, s, v):
+    """The agenda by plain scans: every turn looks at all neighbours anew, and at its own keyed hash."""
+    out, full, n, own = [], (1 << 64) - 1, 0, "\0own"
+    for unit in re.findall("\n| *[^ \n]+| +", text):
+        x = (doc_id * 0x9E3779B97F4A7C15 + n + (s.seed << 40)) & full
+        x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & full
+        key = ((x ^ x >> 27) * 0x94D049BB133111EB) & full
+        n += 1
+        parts, gone, turn = [("▁" if c == " " else own if c == "▁" else c) for c in unit], set(), 0
+        ids = list(range(len(parts)))  # of each part, to say which pairs were skipped
+        fresh = len(parts)
+        while True:
+            open_ = [(v.rank[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in v.rank and (ids[i], ids[i + 1]) not in gone ]
+            if not open_:
+                break
+            i = min(open_)[1]
+            turn += 1
+            x = ((key ^ key >> 31) + turn * 0xD1342543DE82EF95) & full
+            x = ((x ^ x >> 32) * 0xD6E8FEB86659FD93) & full
+            if x >> 32 < s.dropout * 2**32:
+                gone.add((ids[i], ids[i + 1]))
+                continue
+            parts[i : i + 2], ids[i : i + 2] = [parts[i] + parts[i + 1]], [fresh]
+            fresh += 1
+        for p in parts:
+            out += [v.id[p]] if p in v.id else [v.bytes[b] for b in (p if p != own else "▁").encode()]
+    return out
+
+
+def test_pieces_against_plain_scans():
+    v = pieces.Pieces.load(pieces.Settings().model)
+    rng = random.Random(12)
+    letters = "eeettaaoinshr  dluc\nm▁wfé日\U000fffff9-"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(120))) for _ in range(60)]
+    texts += ["international counterrevolutionary  the  of\n\nthe " * 5, "incomprehensibilities" * 5, " " * 9, "\n", "", "aaaaaaaaaaaaaaaaaaaaaaa" * 4]
+    for dropout in (0.0, 0.1, 0.5, 1.0):
+        s = pieces.Settings(dropout=dropout)
+        e = pieces.Encoder(v, s)
+        want = [slow_pieces(t, i, s, v) for i, t in enumerate(texts)]
+        ids, n = e.encode_texts([t.encode() for t in texts], np.arange(len(texts)))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == want
+        assert all(e.decode(np.array(w)) == t for w, t in zip(want, texts))
+
+
 def test_every_occurrence_has_its_own_skips():
     s = pieces.Settings()
     e = pieces.Encoder(pieces.Pieces.load(s.model), s)
@@ -345,15 +388,18 @@ def test_every_occurrence_has_its_own_skips():
         ends = np.cumsum([len(e.v.raw[i]) for i in one.tolist()])
         cuts = np.split(one, np.searchsorted(ends, np.arange(n, 2000 * n, n)) + 1)
         assert len({c.tobytes() for c in cuts}) > 20 and e.decode(one) == word * 2000
-    # what is kept of earlier occurrences changes nothing
-    text = "the international quick brown fox\U000fffff jumps over  the lazy dog\n" * 50
-    new = pieces.Encoder(e.v, s)
-    new.learn = lambda missing: new.young.update({u: (None, pieces.LONG, {}) for u in missing})
-    assert new.encode(text, 3).tolist() == e.encode(text, 3).tolist() == e.encode(text, 3).tolist()
     # of a unit of one merge, a tenth is cut
     assert abs(sum(len(e.encode("ab", i)) == 2 for i in range(20000)) / 20000 - s.dropout) < 0.01
 
 
+def test_pieces_of_bytes_that_are_no_text():
+    s = pieces.Settings()
+    e = pieces.Encoder(pieces.Pieces.load(s.model), s)
+    raw = b"ab \xff\xfe the\xe2\x96 end"
+    ids, _ = e.encode_texts([raw, None, b""], np.array([1, 2, 3]))
+    assert e.decode_bytes(ids) == raw
+
+
 # ---- quality --------------------------------------------------------------------------------------------------------
 
 
