@@ -1,9 +1,10 @@
 """Quality classifier: supervised subword embeddings.
 
 A document is the average of its words' vectors; a word's vector is the average of a learned hashed vector for the word
-itself and one for each of its character n-grams; a word that repeats the one before it counts as the word AGAIN besides; a softmax over the two labels follows. The vectors and the output
-layer are learned by plain stochastic gradient descent in numpy. Since average and output layer are linear, scoring
-needs one number a word: it is computed once for each distinct word and kept in a bounded cache.
+itself and one for each of its character n-grams; a word that repeats the one before it counts as the word AGAIN besides; a
+softmax over the two labels follows. The vectors and the output layer are learned by plain stochastic gradient descent in
+numpy. Since average and output layer are linear, scoring needs one number a word: it is computed once for each distinct
+word that a worker meets, for many words at once, and kept until the worker's memory for words is full.
 
 Defined cases: a null text counts as empty; an empty text or one of blanks gets the softmax of the bias alone; texts of
 any length are read whole; repeated rows are scored row by row; an empty table gives an empty result; a table without
@@ -12,11 +13,7 @@ labelled rows gives 0.5 everywhere. Labels that are null are ignored; several la
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass, field
-from functools import cache
-from itertools import islice
-from operator import eq
 from zlib import crc32
 
 import numpy as np
@@ -24,24 +21,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import bounded_batches, kept_in_worker
+from strandlake.llm.common import bounded_batches, free_name, kept_in_worker
 
 
 @dataclass(frozen=True)
 class Settings:
     dim: int = 8
-    buckets: int = 1 << 17
+    buckets: int = 1 << 18
     min_n: int = 3
-    max_n: int = 3
+    max_n: int = 5
     epochs: int = 3
     rate: float = 0.4
     seed: int = 7
-    #: At most so many labelled rows are fitted on: those whose ids hash lowest. The bound does not depend on the table.
+    #: At most so many labelled rows are fitted on: those whose ids hash lowest, of those with texts of up to
+    #: max_training_bytes bytes, so what the driver gathers is bounded. The bounds do not depend on the table.
     max_training_rows: int = 2000
-    #: Distinct words in each of the two generations of a worker's cache.
-    cache: int = 200_000
-    #: Words of more bytes are not cached, and their n-grams are hashed by numpy.
-    long_word: int = 64
+    max_training_bytes: int = 1 << 16
+    #: Distinct words, and their bytes, that a worker keeps; beyond that it starts anew.
+    cache: int = 400_000
+    cache_bytes: int = 1 << 26
+    #: Bytes of words whose n-grams are hashed together, and of texts scored together.
+    together: int = 1 << 20
     threshold: float = 0.7
 
 
@@ -49,36 +49,44 @@ class Settings:
 AGAIN = b" again"
 
 
-def word_counts(text: bytes | None) -> Counter:
-    words = (text or b"").split()
-    counts = Counter(words)
-    if again := sum(map(eq, words, islice(words, 1, None))):
-        counts[AGAIN] = again
-    return counts
-
-
-@cache
-def crc_tables(k: int) -> tuple[np.ndarray, int]:
-    """(k x 256 numbers, one number) whose exclusive or, by place and byte, is the crc32 of k bytes: it is linear in them."""
-    zero = crc32(bytes(k))
-    return np.array([[crc32(bytes(i) + bytes([b]) + bytes(k - 1 - i)) ^ zero for b in range(256)] for i in range(k)], np.uint32), zero
-
-
-def word_features(word: bytes, s: Settings) -> list[int] | np.ndarray:
-    """Buckets of a word and of all its character n-grams (of bytes, with marks at both ends)."""
-    n = s.buckets - 1
-    marked = b"<" + word + b">"
-    whole = crc32(marked, 1) & n
-    if len(word) <= s.long_word:
-        return [whole, *(crc32(marked[i : i + k]) & n for k in range(s.min_n, s.max_n + 1) for i in range(len(marked) - k + 1))]
-    codes, out = np.frombuffer(marked, np.uint8), [np.array([whole], np.int32)]
-    for k in range(s.min_n, min(s.max_n, len(marked)) + 1):
-        tables, x = crc_tables(k)
-        x = np.full(len(codes) - k + 1, x, np.uint32)
-        for i in range(k):
-            x ^= tables[i][codes[i : i + len(x)]]
-        out.append((x & np.uint32(n)).astype(np.int32))
-    return np.concatenate(out)
+def _hashes(codes: np.ndarray, k: int, buckets: int) -> np.ndarray:
+    """The bucket of every k bytes in a row."""
+    x = np.full(len(codes) - k + 1, 0x811C9DC5 + k, np.uint32)
+    for i in range(k):
+        x = (x ^ codes[i : i + len(x)]) * np.uint32(0x01000193)
+    x = (x ^ (x >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+    return ((x ^ (x >> np.uint32(13))) & np.uint32(buckets - 1)).astype(np.int64)
+
+
+def features(words: list[bytes], s: Settings):
+    """Buckets of words and of all their character n-grams (of bytes, with marks at both ends), in portions of about
+    s.together bytes: yields (which word each bucket belongs to, the buckets)."""
+    i = 0
+    while i < len(words):
+        j, size = i, 0
+        while j < len(words) and (j == i or size + len(words[j]) <= s.together):
+            size += len(words[j]) + 2
+            j += 1
+        marked = [b"<" + w + b">" for w in words[i:j]]
+        n = np.fromiter(map(len, marked), np.int64, j - i)
+        yield np.arange(i, j), np.array([crc32(m, 1) for m in marked], np.int64) & (s.buckets - 1)
+        whole = b"".join(marked)
+        codes = np.frombuffer(whole, np.uint8).astype(np.uint32) if j - i > 1 or size <= s.together else None
+        if codes is None:
+            # one very long word, window by window
+            raw = np.frombuffer(whole, np.uint8)
+            for k in range(s.min_n, s.max_n + 1):
+                for a in range(0, len(raw) - k + 1, s.together):
+                    got = _hashes(raw[a : a + s.together + k - 1].astype(np.uint32), k, s.buckets)
+                    yield np.full(len(got), i), got
+        else:
+            of = np.repeat(np.arange(i, j), n)
+            left = np.repeat(np.cumsum(n), n) - np.arange(len(codes))
+            for k in range(s.min_n, s.max_n + 1):
+                if len(codes) >= k:
+                    inside = left[: len(codes) - k + 1] >= k
+                    yield of[: len(inside)][inside], _hashes(codes, k, s.buckets)[inside]
+        i = j
 
 
 @dataclass
@@ -87,33 +95,58 @@ class Model:
     #: For each bucket, what its vector adds to the log odds of label 1.
     odds: np.ndarray
     bias: float
-    #: What words add, in two generations.
-    young: dict = field(default_factory=dict)
-    old: dict = field(default_factory=dict)
+    #: Words by number, and what each adds.
+    number: dict = field(default_factory=dict)
+    values: np.ndarray = field(default_factory=lambda: np.empty(0))
+    held: int = 0
+
+    def learn(self, words: list[bytes]) -> None:
+        """Numbers words that are new."""
+        sums, counts = np.zeros(len(words)), np.zeros(len(words))
+        for of, buckets in features(words, self.settings):
+            sums += np.bincount(of, self.odds[buckets], len(words))
+            counts += np.bincount(of, minlength=len(words))
+        first = len(self.number)
+        self.number.update(zip(words, range(first, first + len(words)), strict=True))
+        if first + len(words) > len(self.values):
+            self.values = np.concatenate([self.values[:first], np.empty(first + 2 * len(words))])
+        self.values[first : first + len(words)] = sums / counts
+        self.held += sum(map(len, words))
 
     def score_texts(self, texts: list) -> np.ndarray:
         """Probability of label 1 of each text (bytes or None)."""
-        s, odds = self.settings, self.odds
-        young, old = self.young, self.old
-        out = np.empty(len(texts))
-        for at, text in enumerate(texts):
-            counts = word_counts(text)
-            total, z = 0, 0.0
-            for word, n in counts.items():
-                v = young.get(word)
-                if v is None:
-                    v = old.get(word)
-                    if v is None:
-                        v = float(odds[word_features(word, s)].mean())
-                    if len(word) <= s.long_word:
-                        if len(young) >= s.cache:
-                            young, old = {}, young
-                        young[word] = v
-                total += n
-                z += n * v
-            out[at] = self.bias + (z / total if total else 0.0)
-        self.young, self.old = young, old
-        return 1 / (1 + np.exp(-np.clip(out, -500, 500)))
+        out, i = [], 0
+        while i < len(texts):
+            j, size = i, 0
+            while j < len(texts) and (j == i or size + len(texts[j] or b"") <= self.settings.together):
+                size += len(texts[j] or b"")
+                j += 1
+            out.append(self._log_odds(texts[i:j]))
+            i = j
+        z = self.bias + (np.concatenate(out) if out else np.empty(0))
+        return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+
+    def _log_odds(self, texts: list) -> np.ndarray:
+        per = [(t or b"").split() for t in texts]
+        n = np.fromiter(map(len, per), np.int64, len(per))
+        words = [w for x in per for w in x]
+        if not words:
+            return np.zeros(len(texts))
+        if len(self.number) > self.settings.cache or self.held > self.settings.cache_bytes:
+            self.number, self.held = {}, 0
+        if AGAIN not in self.number:
+            self.learn([AGAIN])
+        ids = list(map(self.number.get, words))
+        if None in ids:
+            self.learn(list(dict.fromkeys(w for w, x in zip(words, ids, strict=True) if x is None)))
+            ids = list(map(self.number.get, words))
+        ids, ends = np.array(ids), np.cumsum(n)
+        again = np.append(False, ids[1:] == ids[:-1])
+        again[(ends - n)[n > 0]] = False
+        # a zero at the end, so that empty texts have a place too
+        sums = np.add.reduceat(np.append(self.values[ids] + again * self.values[self.number[AGAIN]], 0.0), ends - n)
+        total = np.add.reduceat(np.append(1 + again, 0), ends - n)
+        return np.where(n > 0, sums / np.where(n > 0, total, 1), 0.0)
 
 
 def fit(texts: list[bytes], labels: list[float], s: Settings) -> Model:
@@ -121,23 +154,30 @@ def fit(texts: list[bytes], labels: list[float], s: Settings) -> Model:
     rng = np.random.default_rng(s.seed)
     table = rng.uniform(-1 / s.dim, 1 / s.dim, (s.buckets, s.dim)).astype(np.float32)
     out, bias = np.zeros((2, s.dim), np.float32), np.zeros(2, np.float32)
-    known: dict[bytes, np.ndarray] = {}
-    docs = []
+    number: dict[bytes, int] = {}
+    counted = []
     for text in texts:
-        counts = word_counts(text)
-        for w in counts:
-            if w not in known:
-                known[w] = np.array(word_features(w, s), np.int32)
-        if not counts:
+        words = (text or b"").split()
+        ids = np.array([number.setdefault(w, len(number)) for w in words], np.int64)
+        if again := int((ids[1:] == ids[:-1]).sum()):
+            ids = np.append(ids, np.full(again, number.setdefault(AGAIN, len(number))))
+        counted.append(np.unique(ids, return_counts=True) if words else None)
+    parts = list(features(list(number), s))
+    of, buckets = (np.concatenate([x[i] for x in parts]) if parts else np.empty(0, np.int64) for i in (0, 1))
+    order = np.argsort(of, kind="stable")
+    buckets, sizes = buckets[order], np.bincount(of, minlength=len(number))
+    starts = np.cumsum(sizes) - sizes
+    docs = []
+    for c in counted:
+        if c is None:
             docs.append(None)
             continue
-        total = sum(counts.values())
-        ids = np.concatenate([known[w] for w in counts])
-        sizes = np.array([len(known[w]) for w in counts])
-        share = np.repeat(np.fromiter(counts.values(), np.float64, len(counts)) / total / sizes, sizes)
+        words, n = c
+        k = sizes[words]
+        at = np.repeat(starts[words] - (np.cumsum(k) - k), k) + np.arange(k.sum())
         # a bucket met twice in a document gets the sum of its shares
-        uniq, at = np.unique(ids, return_inverse=True)
-        docs.append((uniq, np.bincount(at, share).astype(np.float32)))
+        uniq, place = np.unique(buckets[at], return_inverse=True)
+        docs.append((uniq, np.bincount(place, np.repeat(n / n.sum() / k, k)).astype(np.float32)))
     steps, done = max(1, s.epochs * len(docs)), 0
     for _ in range(s.epochs):
         for i in rng.permutation(len(docs)):
@@ -169,7 +209,7 @@ def train(documents: DataFrame, labels: DataFrame, s: Settings = Settings(), hel
         ids = ids.where(~held_out(F.col("id")))
     ids = ids.groupBy("id").agg(F.avg("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(s.max_training_rows)
     # at most max_training_rows rows of two numbers: the bound proves the size of the broadcast
-    text = documents.select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("text"))
+    text = documents.select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("text")).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= s.max_training_bytes)
     rows = text.join(F.broadcast(ids), "id").orderBy(F.xxhash64("id"), "id", F.xxhash64("text")).limit(s.max_training_rows).collect()
     return fit([bytes(r.text) if r.text is not None else b"" for r in rows], [r.y for r in rows], s)
 
@@ -177,12 +217,11 @@ def train(documents: DataFrame, labels: DataFrame, s: Settings = Settings(), hel
 def score(documents: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` (all if not given) of documents and `quality_score` double, 0 to 1."""
     keep = documents.columns if keep is None else keep
-    name = "quality_score"
-    while name in keep:
-        name += "_"
+    kept = documents.select(*(F.col(f"`{c}`") for c in keep))
+    name = free_name(kept, "quality_score")
     bounded_batches(documents.sparkSession)
     sent = documents.select(*(F.col(f"`{c}`") for c in keep), F.col("text").cast("binary").alias("__bytes"))
-    schema = documents.select(*(F.col(f"`{c}`") for c in keep)).schema.add(name, "double", False)
+    schema = kept.schema.add(name, "double", False)
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

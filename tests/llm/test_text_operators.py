@@ -420,13 +420,40 @@ def test_quality(spark, docs, none):
     assert {r.score for r in quality.quality_query(d, labels.limit(0)).collect()} == {0.5}
 
 
+def test_word_values_against_plain_hashing():
+    """Buckets are those of each n-gram alone, whatever words are hashed beside it; texts score as sums over their words."""
+    s = quality.Settings(buckets=1 << 12, together=200)
+    rng = random.Random(5)
+    words = list({bytes(33 + rng.randrange(80) for _ in range(n)) for n in [*range(1, 40), 199, 200, 201, 5000]})
+    got = {i: [] for i in range(len(words))}
+    for of, buckets in quality.features(words, s):
+        for i, b in zip(of.tolist(), buckets.tolist(), strict=True):
+            got[i].append(b)
+
+    def slow(word):
+        marked, out = b"<" + word + b">", [zlib.crc32(b"<" + word + b">", 1) % s.buckets]
+        for k in range(3, 6):
+            for i in range(len(marked) - k + 1):
+                x = 0x811C9DC5 + k
+                for c in marked[i : i + k]:
+                    x = (x ^ c) * 0x01000193 % 2**32
+                x = (x ^ x >> 15) * 0x2C1B3C6D % 2**32
+                out.append((x ^ x >> 13) % s.buckets)
+        return out
+
+    assert all(sorted(got[i]) == sorted(slow(w)) for i, w in enumerate(words))
+    model = quality.Model(quality.Settings(buckets=1 << 12, together=200, cache=20), np.random.default_rng(1).normal(size=1 << 12), 0.3)
+    value = lambda w: np.mean([model.odds[b] for b in slow(w)])
+    texts = [b" ".join(rng.choice(words[:9]) for _ in range(rng.randrange(12))) for _ in range(40)] + [None, b"", b" \n", words[-1] + b" x x x"]
+    for text, score in zip(texts, model.score_texts(texts), strict=True):
+        ws = (text or b"").split()
+        ws += [quality.AGAIN] * sum(a == b for a, b in zip(ws, ws[1:]))
+        z = 0.3 + (sum(map(value, ws)) / len(ws) if ws else 0.0)
+        assert math.isclose(score, 1 / (1 + math.exp(-z)), rel_tol=1e-9)
+
+
 def test_long_words_are_read_whole():
     s = quality.Settings()
-    for n in (20, 30, 64, 65, 5000):
-        word = bytes(33 + i * i % 89 for i in range(n))
-        marked = b"<" + word + b">"
-        grams = [zlib.crc32(marked[i : i + 3]) & (s.buckets - 1) for i in range(len(marked) - 2)]
-        assert list(quality.word_features(word, s)) == [zlib.crc32(marked, 1) & (s.buckets - 1), *grams]
     good, bad = ("一二三四五六" * 4).encode(), ("七八九十百千" * 4).encode()
     frame = "甲乙丙丁戊己庚辛".encode()
     model = quality.fit([frame + good + frame, frame + bad + frame] * 40, [1.0, 0.0] * 40, s)
@@ -434,6 +461,16 @@ def test_long_words_are_read_whole():
     assert a > 0.6 > 0.4 > b
 
 
+def test_held_out_rows_are_ranked(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    out = quality.quality_query(d, labels).where("held_out").join(labels.select("doc_id", "quality"), "doc_id").collect()
+    good, bad = ([r.score for r in out if r.quality == y] for y in (1, 0))
+    assert len(good) > 20 and len(bad) > 5
+    assert sum(a > b for a in good for b in bad) > 0.99 * len(good) * len(bad)
+    assert sum((r.score >= 0.7) == (r.quality == 1) for r in out) > 0.97 * len(out)
+
+
 # ---- secrets --------------------------------------------------------------------------------------------------------
 
 
