@@ -1,6 +1,7 @@
 """The text operators on small tables with nulls, empty and long texts, ties, repeated rows, clashing columns; and on none."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -492,13 +493,109 @@ def test_secrets(spark, none):
     assert secrets.secrets_query(none).count() == 0
 
 
-def test_field_finds_what_patterns_show():
-    s = secrets.Settings(steps=200)
-    rng = random.Random(3)
-    blob = lambda: "".join(rng.choice("0123456789ABCDEFGHJKabcdefghjk") for _ in range(32))
-    field = secrets.fit([f"x password={blob()} and 12.50.60.70.801 on 2020-11-22-333".encode() for _ in range(60)], s)
-    raw = f"the pass {blob()} there password-{blob()}".encode()
-    base, every = secrets.scan(raw, field, s)
-    assert not base and all(k == 3 for _, _, k in every)
-    u = [(0, 9, [1]), (10, 20, [2])]
-    assert len(field.best(u)) == 2
+def all_labellings(field, u):
+    """(labels, score) of every labelling of a chain."""
+    for y in itertools.product(range(3), repeat=len(u)):
+        yield y, field.first[y[0]] + sum(u[i, x] for i, x in enumerate(y)) + sum(field.step[a, b] for a, b in zip(y, y[1:]))
+
+
+def random_field(rng, scale):
+    f = secrets.Field(secrets.Settings(buckets=64), rng.normal(size=(64, 3)) * scale, rng.normal(size=(3, 3)), rng.normal(size=3))
+    f.step[0, 2] = f.first[2] = -1e4
+    return f
+
+
+def test_best_labels_against_all_labellings():
+    rng = np.random.default_rng(4)
+    for scale in (0.3, 1.0, 3.0):
+        field = random_field(rng, scale)
+        sizes = [int(x) for x in rng.integers(1, 8, 60)]
+        u = rng.normal(size=(sum(sizes), 3)) * scale + np.array([scale, 0, 0])
+        first = np.zeros(len(u), bool)
+        first[np.cumsum([0, *sizes[:-1]])] = True
+        want = [x for a, n in zip(np.flatnonzero(first), sizes) for x in max(all_labellings(field, u[a : a + n]), key=lambda z: z[1])[0]]
+        assert field.viterbi(u, first).tolist() == want == field.viterbi(u, first, cut=False).tolist()
+        # labels that no best labelling has are what the cut rests on
+        assert all(w == 0 for w, sure in zip(want, field.surely_out(u, first)) if sure)
+    assert field.surely_out(u + np.array([9.0, 0, 0]), first).any()
+
+
+def test_likelihood_against_all_labellings():
+    rng = np.random.default_rng(7)
+    field = random_field(rng, 1.0)
+    n = np.array([1, 3, 5])
+    f, y = rng.integers(0, 64, (3, 5, 2)), np.array([[1, 0, 0, 0, 0], [0, 1, 2, 0, 0], [1, 2, 0, 1, 1]])
+    glued = np.array([[0, 0, 0, 0, 0], [0, 1, 1, 0, 0], [0, 1, 0, 1, 1]], bool)
+    total, gu, gs, gf = secrets.gradient(field, f, glued, y, n)
+    want, wu, ws, wf = 0.0, np.zeros((3, 5, 3)), np.zeros((3, 3)), np.zeros(3)
+    for k in range(3):
+        u = field.unary[f[k, : n[k]]].sum(1)
+        u[~glued[k, : n[k]], 2] = -1e4
+        every = list(all_labellings(field, u))
+        z = np.logaddexp.reduce([s for _, s in every])
+        for labels, s in every:
+            share = (labels == tuple(y[k, : n[k]])) - np.exp(s - z)
+            want += (s - z) * (labels == tuple(y[k, : n[k]]))
+            wf[labels[0]] += share
+            for i, x in enumerate(labels):
+                wu[k, i, x] += share
+                if i:
+                    ws[labels[i - 1], x] += share
+    assert math.isclose(total, want, rel_tol=1e-9)
+    for a, b in ((gu, wu), (gs, ws), (gf, wf)):
+        assert np.allclose(a, b, atol=1e-9)
+
+
+@pytest.fixture(scope="module")
+def prose():
+    import pyarrow.parquet as pq
+
+    return [t.encode() for t in pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist() if t]
+
+
+def test_field_finds_secrets_that_no_pattern_shows(prose):
+    s = secrets.Settings()
+    learn = [t for t in prose if secrets.base_matches(t)][:40] + prose[:80]
+    field = secrets.fit(sorted(learn), s)
+    assert field.able and (field.unary[:, secrets.INSIDE] != 0).any()
+    texts = {
+        "the pass is hunter2abc and then": "hunter2abc", "pwd: CorrectHorseBat was used": "CorrectHorseBat", "my key = Zx81-kk20-99ab here": "Zx81-kk20-99ab",
+        "aws secret key wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY in use": "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY",
+        "é auth: bearer ghp_16C7e42F292c6912E7710c838347Ae178B4a' x": "ghp_16C7e42F292c6912E7710c838347Ae178B4a",
+    }
+    found = 0
+    for (text, want), (base, every) in zip(texts.items(), secrets.scan([t.encode() for t in texts], field), strict=True):
+        assert not base
+        found += any(text[a:b] == want for a, b, k in every if k == 3)
+    assert found >= 4
+    clean = ["the password is needed at the door", "token of thanks for the secret garden", "visa 4111 1111 1111 1111 exp 12/25", "see http://www.example.com/path/page1.html?id=77"]
+    assert sum(len(e) for _, e in secrets.scan([t.encode() for t in clean], field)) <= 1
+    # on prose without secrets the field adds next to nothing
+    assert sum(len(e) - len(b) for b, e in secrets.scan(prose, field)) <= len(prose) / 50
+
+
+def test_field_of_nothing_adds_nothing():
+    field = secrets.fit([b"no names here", b"12 words"], secrets.Settings())
+    assert not field.able and secrets.scan([None, b"", b"pwd: Zx81kk20"], field) == [([], []), ([], []), ([], [])]
+
+
+def test_tokens_of_lines():
+    texts = [b"ab_1, c\n\xc3\xa9t \n", b"", b"x=y"]
+    tokens, begins = secrets.tokenize(texts, [1, 2, 3], secrets.Settings())
+    whole = b"\n".join(texts) + b"\n"
+    assert [whole[a:b] for a, b in zip(tokens.start, tokens.end)] == [b"ab_1", b",", b"c", b"\xc3\xa9t", b"x", b"=", b"y"]
+    assert tokens.first.tolist() == [True, False, False, True, True, False, False] and begins.tolist() == [0, 14, 15]
+    assert tokens.glued.tolist() == [False, True, False, False, False, True, True]
+    # features do not depend on what stands in other lines
+    alone, _ = secrets.tokenize([b"x=y"], [3], secrets.Settings())
+    assert (alone.features == tokens.features[4:]).all()
+
+
+def test_portions_of_long_texts(prose):
+    for text in (b"", b"abc", b"ab cd\nef gh ij\nklmnopqrstuvwxyz\n\n", b"\n" * 30):
+        parts = list(secrets.portions(text, 8))
+        assert b"".join(p for _, p in parts) == text and all(text[a : a + len(p)] == p and len(p) <= 8 for a, p in parts)
+    learn = sorted([t for t in prose if secrets.base_matches(t)][:20])
+    small, whole = (secrets.fit(learn, secrets.Settings(together=n)) for n in (2000, 1 << 21))
+    texts = [t for t in prose if max(map(len, t.split(b"\n"))) < 2000][:60] + [b"pwd: CorrectHorseBat\n" * 300]
+    assert secrets.scan(texts, small) == secrets.scan(texts, whole)
