@@ -1,17 +1,22 @@
 """LM scoring: a hashed maximum-entropy model with a class-factored softmax.
 
-Tokens: words, A-Z lower-cased, and one end for each text. The most frequent `words` tokens have classes of their own
-kind, `per_class` words each by rank; all others fall into `kinds` rare classes by their form. With h a token's history,
-P(token) = P(class | h) P(token | class, h). Both factors are softmaxes of sums of weights: of the class or word itself,
-of the word before (n-gram), of the word two before (skip), and, for classes, of both together, held in hashed rows. In
-a rare class, P(token | class) = (c + 0.5) / (N' + 0.5 (V' + 1)), with the class's counts, so unseen words have a share.
-
-Counts cover all training tokens. Training is one pass over all training texts in `rounds` rounds: each task starts from
-the current weights, makes gradient steps over its texts in numpy batches, and hands on its weights and how often it
-touched each row; their mean by touches is the next round's start. Only the mean, of fixed size, reaches the driver.
-
-The `head` most frequent tokens (a bounded table) are broadcast; the counts of all others are joined by token, so no
-table of all tokens is ever in one place.
+Tokens: words, A-Z lower-cased, and one end for each text. Every token has a cell: a class and one of its `per_class`
+members. The most frequent `words` tokens have cells of their own, by rank; all others share the members of `kinds` rare
+classes, the class by the token's form and the member by its hash. With h a token's history,
+P(token) = P(class | h) P(member | class, h) P(token | cell). The first two factors are softmaxes of sums of weights: of
+the class itself, of the word before (n-gram), of the word two before (skip), and, for classes, of both together. Histories
+are hashes of the very words, whatever their rank, and lead to hashed rows of weights, whose number follows the number of
+distinct tokens. In a shared cell P(token | cell) = (c + 0.5) / (N' + 0.5 (V' + 1)), with the cell's counts, so unseen words
+have a share.
+
+Counts cover all training tokens. Training is one pass over all training texts in `rounds` rounds, dealt by a hash of id and
+size: each task starts from the current weights, makes gradient steps over its texts in numpy batches, and hands on how its
+weights moved and how often it touched each row; sums of these, taken in groups of `fan_in` tasks and then of groups, give
+the mean move by touches, the next round's start. Only that mean reaches the driver. Tasks are parts of the table, so
+another cut of the table into files gives slightly other weights; reruns on the same files agree.
+
+The `head` most frequent tokens (of up to `head_bytes` bytes each, so a bounded table) are broadcast; the counts of all
+others are joined by token, so no table of all tokens is ever in one place.
 
 Defined cases: null and empty texts consist of the end; texts of any length are scored whole; repeated rows count and are
 scored row by row; if there are no training texts, every score is that of the counts' priors; an empty table gives
@@ -22,13 +27,14 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import bounded_batches, written
+from strandlake.llm.common import bounded_batches, kept_in_worker, written
 
 END = b" end"
 
@@ -39,25 +45,33 @@ class Settings:
     per_class: int = 64
     kinds: int = 16
     head: int = 1 << 18
-    pair_rows: int = 1 << 13
-    word_rows: int = 1 << 14
+    head_bytes: int = 64
+    #: Rows of weights for each kind of history: a power of two near the distinct tokens over tokens_a_row, within these.
+    tokens_a_row: int = 256
+    least_rows: int = 1 << 11
+    most_rows: int = 1 << 16
     rounds: int = 2
     rate: float = 0.25
     batch: int = 4096
-    #: Distinct tokens that a counting task holds before it hands them on.
+    fan_in: int = 32
+    #: Distinct tokens that a counting or encoding task holds before it hands them on or starts anew.
     held: int = 400_000
+    #: Bytes of text encoded together.
+    together: int = 1 << 21
     folds: int = 5
     held_out: int = 1
 
-    @property
-    def symbols(self) -> int:
-        """Frequent words, rare classes, and the start of a text."""
-        return self.words + self.kinds + 1
-
     @property
     def classes(self) -> int:
         return self.words // self.per_class + self.kinds
 
+    @property
+    def rare_cells(self) -> int:
+        return self.kinds * self.per_class
+
+    def rows(self, distinct: int) -> int:
+        return min(self.most_rows, max(self.least_rows, 1 << max(0, distinct // self.tokens_a_row).bit_length()))
+
 
 def tokens(text: bytes | None) -> list[bytes]:
     out = (text or b"").lower().split()
@@ -65,113 +79,105 @@ def tokens(text: bytes | None) -> list[bytes]:
     return out
 
 
-def kind(token: bytes, kinds: int = 16) -> int:
-    """The rare class of a token, by its form."""
+def rare_cell(token: bytes, s: Settings) -> int:
+    """The cell of a token that has none of its own, among the rare ones: its class by its form, its member by its hash."""
     last = token[-1]
     k = 0 if 97 <= last <= 122 else 1 if last in b".,;:?" else 2 if last < 128 else 3
-    n = len(token)
-    return ((k << 2) | ((n > 9) << 1) | (not token.isascii())) % kinds
+    k = ((k << 2) | ((len(token) > 9) << 1) | (not token.isascii())) % s.kinds
+    return k * s.per_class + (crc32(token) >> 8) % s.per_class
+
+
+def symbol(token: bytes) -> int:
+    """What a token is in histories: 16 bits of hash, the start of a text being 0."""
+    return crc32(token, 5) % 65535 + 1
 
 
 class Weights:
-    """One flat float32 array: class rows (itself, word before, word two before, pair) and word rows."""
+    """One flat float32 array: class rows (itself, word before, word two before, pair) and member rows."""
 
-    def __init__(self, s: Settings, flat: np.ndarray | None = None):
-        self.s = s
-        self.class_rows = 1 + 2 * s.symbols + s.pair_rows
-        self.own_rows = s.words // s.per_class
-        self.word_rows = self.own_rows + s.word_rows
+    def __init__(self, s: Settings, rows: int, flat: np.ndarray | None = None):
+        self.s, self.rows = s, rows
+        self.class_rows, self.member_rows = 1 + 3 * rows, s.classes + 2 * rows
         a = self.class_rows * s.classes
-        self.flat = np.zeros(a + self.word_rows * s.per_class, np.float32) if flat is None else flat
+        self.flat = np.zeros(a + self.member_rows * s.per_class, np.float32) if flat is None else flat
         self.by_class = self.flat[:a].reshape(self.class_rows, s.classes)
-        self.by_word = self.flat[a:].reshape(self.word_rows, s.per_class)
+        self.by_member = self.flat[a:].reshape(self.member_rows, s.per_class)
+
+    def _hashed(self, x: np.ndarray, rows: int) -> np.ndarray:
+        return ((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - (rows.bit_length() - 1))).astype(np.int64)
 
     def class_features(self, h1, h2):
-        s = self.s
-        pair = ((h1.astype(np.uint64) * np.uint64(s.symbols) + h2.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - (s.pair_rows.bit_length() - 1))
-        return 1 + h1, 1 + s.symbols + h2, 1 + 2 * s.symbols + pair.astype(np.int64)
-
-    def word_features(self, h1, h2, c):
-        s = self.s
-        shift = np.uint64(64 - (s.word_rows.bit_length() - 1))
-        out = []
-        for h, salt in ((h1, 1), (h2, 2)):
-            x = ((h.astype(np.uint64) * np.uint64(s.classes) + c.astype(np.uint64)) * np.uint64(2) + np.uint64(salt)) * np.uint64(0xD6E8FEB86659FD93)
-            out.append(self.own_rows + (x >> shift).astype(np.int64))
-        return c, *out
-
-    def _softmax(self, table, rows, y):
+        r, a, b = self.rows, h1.astype(np.uint64), h2.astype(np.uint64)
+        return 1 + self._hashed(a, r), 1 + r + self._hashed(b, r), 1 + 2 * r + self._hashed((a << np.uint64(16)) | b, r)
+
+    def member_features(self, h1, h2, c):
+        c_, n = c.astype(np.uint64) << np.uint64(17), self.s.classes
+        return c, *(n + self._hashed(c_ | (h.astype(np.uint64) << np.uint64(1)) | np.uint64(salt), 2 * self.rows) for h, salt in ((h1, 0), (h2, 1)))
+
+    @staticmethod
+    def _softmax(table, rows, y):
         z = table[rows[0]]
-        if z.ndim == 1:
-            z = np.broadcast_to(z, (len(y), len(z)))
         for r in rows[1:]:
-            z = z + table[r]
-        z = z - z.max(1, keepdims=True)
-        p = np.exp(z)
+            z += table[r]
+        z -= z.max(1, keepdims=True)
+        at = np.arange(len(y))
+        hit = z[at, y]
+        p = np.exp(z, out=z)
         total = p.sum(1)
-        log_p = z[np.arange(len(y)), y] - np.log(total)
-        return p, total, log_p
-
-    def parts(self, x, h1, h2):
-        """The class of each token, and where it is a frequent word."""
-        s = self.s
-        frequent = x < s.words
-        c = np.where(frequent, x // s.per_class, s.words // s.per_class + x - s.words)
-        return c, np.flatnonzero(frequent)
-
-    def log_p(self, x, h1, h2) -> np.ndarray:
-        """Natural logs of P(class) and, for frequent words, P(word | class)."""
-        c, w = self.parts(x, h1, h2)
-        _, _, out = self._softmax(self.by_class, (0, *self.class_features(h1, h2)), c)
-        _, _, more = self._softmax(self.by_word, self.word_features(h1[w], h2[w], c[w]), x[w] % self.s.per_class)
-        out = out.astype(np.float64)
-        out[w] += more
-        return out
+        return p, total, hit - np.log(total)
+
+    def log_p(self, cell, h1, h2) -> np.ndarray:
+        """Natural logs of P(class) P(member | class)."""
+        c, member = np.divmod(cell, self.s.per_class)
+        _, _, out = self._softmax(self.by_class, (np.zeros_like(c), *self.class_features(h1, h2)), c)
+        _, _, more = self._softmax(self.by_member, self.member_features(h1, h2, c), member)
+        return out.astype(np.float64) + more
 
-    def learn(self, x, h1, h2, rate: float, speed: dict) -> None:
+    def learn(self, cell, h1, h2, rate: float, touched: dict) -> None:
         """One step on a batch."""
-        c, w = self.parts(x, h1, h2)
-        rows = self.class_features(h1, h2)
-        self._step(self.by_class, (np.zeros(len(x), np.int64), *rows), c, rate, speed["class"])
-        if len(w):
-            self._step(self.by_word, self.word_features(h1[w], h2[w], c[w]), x[w] % self.s.per_class, rate, speed["word"])
+        c, member = np.divmod(cell, self.s.per_class)
+        self._step(self.by_class, (np.zeros_like(c), *self.class_features(h1, h2)), c, rate, touched["class"])
+        self._step(self.by_member, self.member_features(h1, h2, c), member, rate, touched["member"])
 
     def _step(self, table, rows, y, rate, touched) -> None:
         p, total, _ = self._softmax(table, rows, y)
         p /= total[:, None]
         p[np.arange(len(y)), y] -= 1
         for r in rows:
-            order = np.argsort(r, kind="stable")
+            # 16 bits are sorted by their digits
+            order = np.argsort(r.astype(np.uint16) if len(table) <= 1 << 16 else r, kind="stable")
             key = r[order]
             first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            g = np.add.reduceat(p[order], first, axis=0)
+            g = p.sum(0)[None] if len(first) == 1 else np.add.reduceat(p[order], first, axis=0)
             at, n = key[first], np.diff(np.append(first, len(key)))
             touched[at] += n
             # a row's steps fall with the root of how often it was touched
             table[at] -= (rate / np.sqrt(n * touched[at])).astype(np.float32)[:, None] * g
 
 
-def histories(flat: np.ndarray, ends: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+def histories(flat: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The symbols one and two before each, texts starting anew at `ends` (of each text, in flat)."""
-    start = s.symbols - 1
     starts = np.concatenate([[0], ends[:-1]])
     h1 = np.empty_like(flat)
     h1[1:] = flat[:-1]
-    h1[starts] = start
+    h1[starts] = 0
     h2 = np.empty_like(flat)
     h2[1:] = h1[:-1]
-    h2[starts] = start
+    h2[starts] = 0
     return h1, h2
 
 
+def _held_out(s: Settings):
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % s.folds == s.held_out, F.lit(False))
+
+
 def count_tokens(documents: DataFrame, s: Settings) -> DataFrame:
-    """token binary, c long, k int (rare class) over all training texts: counted in each task, then summed by token."""
-    fold = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % s.folds == s.held_out, F.lit(False))
+    """token binary, c long, k int (rare cell) over all training texts: counted in each task, then summed by token."""
 
     def run(batches):
         def out():
             keys = list(counts)
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(list(counts.values()), pa.int64()), pa.array([kind(x, s.kinds) for x in keys], pa.int32())], names=["token", "c", "k"])
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(list(counts.values()), pa.int64()), pa.array([rare_cell(x, s) for x in keys], pa.int32())], names=["token", "c", "k"])
 
         counts: Counter = Counter()
         for b in batches:
@@ -182,7 +188,7 @@ def count_tokens(documents: DataFrame, s: Settings) -> DataFrame:
                     counts = Counter()
         yield out()
 
-    parts = documents.where(~fold).select(F.col("text").cast("binary").alias("t")).mapInArrow(run, "token binary, c long, k int")
+    parts = documents.where(~_held_out(s)).select(F.col("text").cast("binary").alias("t")).mapInArrow(run, "token binary, c long, k int")
     return written(parts.groupBy("token").agg(F.sum("c").alias("c"), F.first("k").alias("k")), "lm-counts")
 
 
@@ -190,127 +196,186 @@ def count_tokens(documents: DataFrame, s: Settings) -> DataFrame:
 class Vocabulary:
     s: Settings
     head: list  # tokens by rank
-    log_c: np.ndarray  # log10(c + 0.5) of the head, then of none
-    symbol: np.ndarray  # of the head
+    log_c: np.ndarray  # log10(c + 0.5) of the head
+    cell: np.ndarray  # of the head
     total: int
     distinct: int
-    rare_log: np.ndarray  # log10 of each rare class's N' + 0.5 (V' + 1)
+    rare_log: np.ndarray  # log10 of each rare cell's N' + 0.5 (V' + 1)
+
+    @property
+    def rows(self) -> int:
+        return self.s.rows(self.distinct)
 
 
 def vocabulary(counts: DataFrame, s: Settings) -> Vocabulary:
-    top = counts.orderBy(F.desc("c"), "token").limit(s.head).toArrow()
+    top = counts.where(F.octet_length("token") <= s.head_bytes).orderBy(F.desc("c"), "token").limit(s.head).toArrow()
     head, c, k = top.column("token").to_pylist(), top.column("c").to_numpy().astype(np.float64), top.column("k").to_numpy()
-    sums = {r.k: (r.n, r.v) for r in counts.groupBy("k").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
-    n, v = np.zeros(s.kinds), np.zeros(s.kinds)
+    sums = {r.k: (r.n, r.v) for r in counts.groupBy("k").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()}  # one row a rare cell
+    n, v = np.zeros(s.rare_cells), np.zeros(s.rare_cells)
     for i, (a, b) in sums.items():
         n[i], v[i] = a, b
     total, distinct = int(n.sum()), int(v.sum())
     np.subtract.at(n, k[: s.words], c[: s.words])
     np.subtract.at(v, k[: s.words], 1)
-    symbol = np.where(np.arange(len(c)) < s.words, np.arange(len(c)), s.words + k)
-    return Vocabulary(s, head, np.log10(c + 0.5), symbol.astype(np.uint16), total, distinct, np.log10(n + 0.5 * (v + 1)))
+    cell = np.where(np.arange(len(c)) < s.words, np.arange(len(c)), s.words + k)
+    return Vocabulary(s, head, np.log10(c + 0.5), cell.astype(np.int64), total, distinct, np.log10(n + 0.5 * (v + 1)))
+
+
+class Reader:
+    """A worker's numbers of tokens, with what is known of each: the head's, and those met since it last started anew."""
+
+    def __init__(self, v: Vocabulary):
+        self.v = v
+        self.head_symbols = np.array([symbol(t) for t in v.head], np.uint16)
+        self.number: dict = {}
+
+    def learn(self, words: list[bytes]) -> None:
+        s = self.v.s
+        if not self.number:
+            self.number = {t: i for i, t in enumerate(self.v.head)}
+            self.cell, self.symbol = self.v.cell.astype(np.uint16), self.head_symbols
+            words = [w for w in words if w not in self.number]
+        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words)), strict=True))
+        self.cell = np.append(self.cell, np.array([s.words + rare_cell(w, s) for w in words], np.uint16))
+        self.symbol = np.append(self.symbol, np.array([symbol(w) for w in words], np.uint16))
+
+    def read(self, texts: list) -> list[tuple]:
+        """Of each text: number of tokens, of those of the head, base and fixed logs of the head, cells, symbols, tail, tail_n."""
+        v, s, head = self.v, self.v.s, len(self.v.head)
+        per = [tokens(t) for t in texts]
+        words = [w for x in per for w in x]
+        if len(self.number) > head + s.held:
+            self.number = {}
+        ids = list(map(self.number.get, words))
+        if None in ids:
+            self.learn(list(dict.fromkeys(w for w, x in zip(words, ids, strict=True) if x is None)))
+            ids = list(map(self.number.get, words))
+        ids = np.array(ids)
+        n = np.fromiter(map(len, per), np.int64, len(per))
+        starts = np.cumsum(n) - n
+        tail = ids >= head
+        cell, sym = self.cell[ids], self.symbol[ids]
+        log_c = np.append(v.log_c, 0.0)[np.minimum(ids, head)]
+        rare = cell >= s.words
+        fixed = np.where(rare, log_c - v.rare_log[np.where(rare, cell - s.words, 0)], 0.0)
+        cells, syms = memoryview(cell.tobytes()), memoryview(sym.tobytes())
+        known, logs, fix = (np.add.reduceat(x, starts) for x in (~tail * 1, log_c, fixed))
+        at = np.flatnonzero(tail)
+        cut = np.searchsorted(at, np.append(starts, len(ids))).tolist()
+        at, out = at.tolist(), []
+        for i, (a, k) in enumerate(zip(starts.tolist(), n.tolist(), strict=True)):
+            c = Counter([words[j] for j in at[cut[i] : cut[i + 1]]])
+            out.append((k, known[i], logs[i], fix[i], cells[2 * a : 2 * (a + k)], syms[2 * a : 2 * (a + k)], list(c), list(c.values())))
+        return out
 
 
 def encode(documents: DataFrame, v: Vocabulary) -> DataFrame:
     """A written table: __row, doc_id, held_out, n_tokens, head_known, head_log (log10(c + 0.5) summed over head tokens),
-    fixed (the same over rare ones, less their class's share), symbols (uint16s), tail, tail_n (tokens outside the head)."""
+    fixed (the same over rare ones, less their cell's share), cells and symbols (uint16s), tail, tail_n (tokens outside the head)."""
     s = v.s
-    fold = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % s.folds == s.held_out, F.lit(False))
     shared = documents.sparkSession.sparkContext.broadcast(v)
-    names = ["__row", "doc_id", "held_out", "n_tokens", "head_known", "head_log", "fixed", "symbols", "tail", "tail_n"]
+    names = ["__row", "doc_id", "held_out", "n_tokens", "head_known", "head_log", "fixed", "cells", "symbols", "tail", "tail_n"]
+    types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32()))
+    mark = crc32(repr((v.total, v.distinct, v.head[:1000])).encode())
 
     def run(batches):
-        v = shared.value
-        place = {t: i for i, t in enumerate(v.head)}.get
-        symbol = np.append(v.symbol, 0)
-        log_c = np.append(v.log_c, 0.0)
+        reader = kept_in_worker(("lm", s, mark), lambda: Reader(shared.value))
         for b in batches:
-            n, known, logs, fixed, syms, tails, tail_n = [], [], [], [], [], [], []
-            for text in b.column(3).to_pylist():
-                words = tokens(text)
-                ids = np.array([place(w, -1) for w in words])
-                x = symbol[ids]
-                out = np.flatnonzero(ids < 0)
-                tail = [words[i] for i in out.tolist()]
-                if tail:
-                    x[out] = [s.words + kind(w, s.kinds) for w in tail]
-                logc = log_c[ids]
-                rare = x >= s.words
-                n.append(len(words))
-                known.append(len(words) - len(tail))
-                logs.append(logc.sum())
-                fixed.append(logc[rare].sum() - v.rare_log[x[rare] - s.words].sum())
-                syms.append(x.astype(np.uint16).tobytes())
-                c = Counter(tail)
-                tails.append(list(c))
-                tail_n.append(list(c.values()))
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(logs, pa.float64()), pa.array(fixed, pa.float64()), pa.array(syms, pa.binary()), pa.array(tails, pa.list_(pa.binary())), pa.array(tail_n, pa.list_(pa.int32()))], names=names)
-
-    sent = documents.select(F.monotonically_increasing_id().alias("__row"), F.col("doc_id").cast("long").alias("doc_id"), fold.alias("held_out"), F.col("text").cast("binary").alias("t"))
-    return written(sent.mapInArrow(run, "__row long, doc_id long, held_out boolean, n_tokens long, head_known long, head_log double, fixed double, symbols binary, tail array<binary>, tail_n array<int>"), "lm-encoded")
-
-
-def _texts(column) -> tuple[np.ndarray, np.ndarray]:
-    raw = column.to_pylist()
-    return np.frombuffer(b"".join(raw), np.uint16).astype(np.int64), np.cumsum([len(x) // 2 for x in raw])
+            texts, got, i = b.column(3).to_pylist(), [], 0
+            while i < len(texts):
+                j, size = i, 0
+                while j < len(texts) and (j == i or size + len(texts[j] or b"") <= s.together):
+                    size += len(texts[j] or b"")
+                    j += 1
+                got += reader.read(texts[i:j])
+                i = j
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *(pa.array([g[k] for g in got], t) for k, t in enumerate(types))], names=names)
+
+    sent = documents.select(F.monotonically_increasing_id().alias("__row"), F.col("doc_id").cast("long").alias("doc_id"), _held_out(s).alias("held_out"), F.col("text").cast("binary").alias("t"))
+    return written(sent.mapInArrow(run, "__row long, doc_id long, held_out boolean, n_tokens long, head_known long, head_log double, fixed double, cells binary, symbols binary, tail array<binary>, tail_n array<int>"), "lm-encoded")
+
+
+def _texts(cells, symbols) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(cells, symbols before, symbols two before, ends of texts) of a batch."""
+    raw = cells.to_pylist()
+    ends = np.cumsum([len(x) // 2 for x in raw])
+    h1, h2 = histories(np.frombuffer(b"".join(symbols.to_pylist()), np.uint16), ends)
+    return np.frombuffer(b"".join(raw), np.uint16).astype(np.int64), h1, h2, ends
 
 
 def counted_weights(v: Vocabulary) -> Weights:
-    """The weights of training without histories: classes and words weigh as often as they occur."""
-    s, w = v.s, Weights(v.s)
+    """The weights of training without histories: classes and members weigh as often as they occur."""
+    s, w = v.s, Weights(v.s, v.rows)
     c = np.full(s.words, 0.5)
     c[: len(v.head)] = 10 ** v.log_c[: s.words]
-    c = c.reshape(-1, s.per_class)
-    w.by_word[: len(c)] = np.log(c / c.sum(1, keepdims=True))
-    own = np.concatenate([c.sum(1), 10**v.rare_log])
-    w.by_class[0] = np.log(own / own.sum())
+    c = np.concatenate([c, 10**v.rare_log]).reshape(-1, s.per_class)
+    w.by_member[: s.classes] = np.log(c / c.sum(1, keepdims=True))
+    w.by_class[0] = np.log(c.sum(1) / c.sum())
     return w
 
 
 def train(encoded: DataFrame, v: Vocabulary) -> Weights:
     """Rounds of local gradient steps and averaging; each training text is in one round."""
     spark, s = encoded.sparkSession, v.s
-    now, chunks = counted_weights(v), 32
+    now = counted_weights(v)
+    rows = np.concatenate([np.repeat(np.arange(now.class_rows), s.classes), now.class_rows + np.repeat(np.arange(now.member_rows), s.per_class)])
+    chunks = max(16, len(now.flat) >> 17)
     size = -(-len(now.flat) // chunks)
+    bounds = [(rows[i * size], rows[min((i + 1) * size, len(rows)) - 1] + 1) if i * size < len(rows) else (0, 0) for i in range(chunks)]
+    tasks = encoded.rdd.getNumPartitions()
     for turn in range(s.rounds):
         shared = spark.sparkContext.broadcast(now.flat)
 
         def run(batches, turn=turn, shared=shared):
-            w = Weights(s, shared.value.copy())
-            touched = {"class": np.full(w.class_rows, 20.0 + 2000.0 * turn), "word": np.full(w.word_rows, 20.0 + 200.0 * turn)}
-            before = {k: x.copy() for k, x in touched.items()}
+            start = np.concatenate([np.full(now.class_rows, 20.0 + 2000.0 * turn), np.full(now.member_rows, 20.0 + 200.0 * turn)])
+            w, touched = Weights(s, v_rows, shared.value.copy()), start.copy()
+            parts = {"class": touched[: w.class_rows], "member": touched[w.class_rows :]}
             for b in batches:
-                flat, ends = _texts(b.column(0))
-                h1, h2 = histories(flat, ends, s)
-                order = np.random.default_rng(len(flat)).permutation(len(flat))
-                for i in range(0, len(flat), s.batch):
+                cells, h1, h2, _ = _texts(b.column(0), b.column(1))
+                order = np.random.default_rng(len(cells)).permutation(len(cells))
+                for i in range(0, len(cells), s.batch):
                     at = order[i : i + s.batch]
-                    w.learn(flat[at], h1[at], h2[at], s.rate, touched)
-            n = np.concatenate([np.repeat(touched["class"] - before["class"], s.classes), np.repeat(touched["word"] - before["word"], s.per_class)]).astype(np.float32)
+                    w.learn(cells[at], h1[at], h2[at], s.rate, parts)
+            n = (touched - start).astype(np.float32)
             if n.any():
-                for i in range(chunks):
+                from pyspark import TaskContext
+
+                group = TaskContext.get().partitionId() // s.fan_in
+                each = np.concatenate([np.repeat(n[: w.class_rows], s.classes), np.repeat(n[w.class_rows :], s.per_class)])
+                for i, (a, b) in enumerate(bounds):
                     part = slice(i * size, (i + 1) * size)
-                    yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([((w.flat[part] - shared.value[part]) * n[part]).tobytes()], pa.binary()), pa.array([n[part].tobytes()], pa.binary())], names=["chunk", "w", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([group], pa.int32()), pa.array([((w.flat[part] - shared.value[part]) * each[part]).tobytes()], pa.binary()), pa.array([n[a:b].tobytes()], pa.binary())], names=names)
 
-        def mean(batches):
+        def add(batches):
+            """Sums of moves and touches by chunk and group; groups of groups have the next numbers."""
             sums: dict = {}
             for b in batches:
-                for i, w, n in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                    w, n = np.frombuffer(w, np.float32).astype(np.float64), np.frombuffer(n, np.float32).astype(np.float64)
-                    if i in sums:
-                        sums[i][0] += w
-                        sums[i][1] += n
+                for i, g, w, n in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                    w, n = np.frombuffer(w, np.float32), np.frombuffer(n, np.float32)
+                    if (i, g) in sums:
+                        sums[i, g][0] += w
+                        sums[i, g][1] += n
                     else:
-                        sums[i] = [w, n]
-            for i, (w, n) in sums.items():
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([(w / np.maximum(n, 1)).astype(np.float32).tobytes()], pa.binary())], names=["chunk", "w"])
-
-        mine = encoded.where(~F.col("held_out") & (F.pmod(F.xxhash64("__row"), F.lit(s.rounds)) == turn)).select("symbols")
-        moved = mine.mapInArrow(run, "chunk int, w binary, n binary").repartition("chunk").mapInArrow(mean, "chunk int, w binary").collect()
+                        sums[i, g] = [w.copy(), n.copy()]
+            for (i, g), (w, n) in sums.items():
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([g // s.fan_in], pa.int32()), pa.array([w.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], names=names)
+
+        names, v_rows, form = ["chunk", "grp", "w", "n"], v.rows, "chunk int, grp int, w binary, n binary"
+        mine = encoded.where(~F.col("held_out") & (F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(s.rounds)) == turn)).select("cells", "symbols")
+        moved, groups = mine.mapInArrow(run, form), -(-tasks // s.fan_in)
+        while True:
+            moved = moved.repartition("chunk", "grp").mapInArrow(add, form)
+            if groups <= 1:
+                break
+            groups = -(-groups // s.fan_in)
         flat = now.flat.copy()
-        for r in moved:
-            flat[r.chunk * size : (r.chunk + 1) * size] += np.frombuffer(r.w, np.float32)
-        now = Weights(s, flat)
+        for r in moved.toLocalIterator():
+            part = slice(r.chunk * size, (r.chunk + 1) * size)
+            a, b = bounds[r.chunk]
+            n = np.frombuffer(r.n, np.float32)[rows[part] - a]
+            flat[part] += np.frombuffer(r.w, np.float32) / np.maximum(n, 1)
+        now = Weights(s, v.rows, flat)
+        shared.unpersist()
     return now
 
 
@@ -321,19 +386,18 @@ def score(documents: DataFrame, s: Settings = Settings()) -> DataFrame:
     counts = count_tokens(documents, s)
     v = vocabulary(counts, s)
     encoded = encode(documents, v)
-    shared = spark.sparkContext.broadcast(train(encoded, v).flat)
+    shared, rows = spark.sparkContext.broadcast(train(encoded, v).flat), v.rows
 
     def run(batches):
-        w = Weights(s, shared.value)
+        w = Weights(s, rows, shared.value)
         for b in batches:
-            flat, ends = _texts(b.column(0))
-            h1, h2 = histories(flat, ends, s)
-            out = np.concatenate([w.log_p(flat[i : i + s.batch], h1[i : i + s.batch], h2[i : i + s.batch]) for i in range(0, len(flat), s.batch)])
+            cells, h1, h2, ends = _texts(b.column(0), b.column(1))
+            out = np.concatenate([w.log_p(cells[i : i + s.batch], h1[i : i + s.batch], h2[i : i + s.batch]) for i in range(0, len(cells), s.batch)])
             sums = np.add.reduceat(out, np.concatenate([[0], ends[:-1]])) / np.log(10)
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(sums)], names=[*names, "__model"])
+            yield pa.RecordBatch.from_arrays([*b.columns[2:], pa.array(sums)], names=[*names, "__model"])
 
     names = ["__row", "doc_id", "held_out", "n_tokens", "head_known", "head_log", "fixed"]
-    modelled = encoded.select("symbols", *names).mapInArrow(run, "__row long, doc_id long, held_out boolean, n_tokens long, head_known long, head_log double, fixed double, __model double")
+    modelled = encoded.select("cells", "symbols", *names).mapInArrow(run, "__row long, doc_id long, held_out boolean, n_tokens long, head_known long, head_log double, fixed double, __model double")
     tail = encoded.select("__row", F.explode(F.arrays_zip("tail", "tail_n")).alias("x")).select("__row", F.col("x.tail").alias("token"), F.col("x.tail_n").alias("n"))
     # (a token outside the head occurs at most as often as the head's last one: none is hot)
     tail = tail.join(counts.select("token", "c"), "token", "left")

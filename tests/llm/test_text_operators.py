@@ -259,16 +259,53 @@ def test_language_scores(docs, rows, none):
 
 
 def test_language_model_is_a_distribution(docs):
-    """Whatever the history, the probabilities of all classes and of all words of a class sum to one."""
-    import numpy as np
-
+    """Whatever the history, the probabilities of all cells sum to one, and so do those of a shared cell's tokens."""
     s = language.Settings(words=32, per_class=8, kinds=16, head=64)
-    w = language.Weights(s)
+    w = language.Weights(s, 64)
     w.flat[:] = np.random.default_rng(1).normal(size=len(w.flat)).astype(np.float32)
-    x = np.arange(s.words + s.kinds)
-    for h1, h2 in ((0, 5), (s.symbols - 1, s.symbols - 1), (40, 3)):
-        p = np.exp(w.log_p(x, np.full(len(x), h1), np.full(len(x), h2)))
+    x = np.arange(s.words + s.rare_cells)
+    for h1, h2 in ((0, 5), (0, 0), (65535, 3)):
+        p = np.exp(w.log_p(x, np.full(len(x), h1, np.uint16), np.full(len(x), h2, np.uint16)))
         assert abs(p.sum() - 1) < 1e-5
+    v = language.vocabulary(language.count_tokens(docs, s), s)
+    c = Counter()
+    for t in docs.where("crc32(cast(cast(doc_id as string) as binary)) % 5 <> 1").select("text").collect():
+        c.update(language.tokens((t.text or "").encode()))
+    own = set(v.head[: s.words])
+    for k in range(s.rare_cells):
+        counts_ = [n for t, n in c.items() if t not in own and language.rare_cell(t, s) == k]
+        assert math.isclose(sum(n + 0.5 for n in counts_) + 0.5, 10 ** v.rare_log[k], rel_tol=1e-9)
+
+
+def test_language_steps_follow_the_gradient():
+    """One batch, against sums over tokens of the softmax's gradient, row by row."""
+    s = language.Settings(words=16, per_class=8, kinds=2, batch=50)
+    w, rng = language.Weights(s, 1 << 12), np.random.default_rng(3)
+    w.flat[:] = rng.normal(size=len(w.flat)).astype(np.float32)
+    before_c, before_m = w.by_class.copy(), w.by_member.copy()
+    cell, h1, h2 = rng.integers(0, 32, 50), rng.integers(0, 9, 50).astype(np.uint16), rng.integers(0, 9, 50).astype(np.uint16)
+    touched = {"class": np.full(w.class_rows, 20.0), "member": np.full(w.member_rows, 20.0)}
+    w.learn(cell, h1, h2, 0.25, touched)
+    for table, before, rows, y, t in (
+        (w.by_class, before_c, (np.zeros(50, int), *w.class_features(h1, h2)), cell // 8, touched["class"]),
+        (w.by_member, before_m, w.member_features(h1, h2, cell // 8), cell % 8, touched["member"]),
+    ):
+        g, n = np.zeros(before.shape), np.zeros(len(before))
+        for i in range(50):
+            z = np.exp(sum(before[r[i]].astype(float) for r in rows))
+            for r in rows:
+                g[r[i]] += z / z.sum() - np.eye(len(z))[y[i]]
+                n[r[i]] += 1
+        assert (t == 20 + n).all()
+        want = before - 0.25 * g / np.sqrt(np.maximum(n, 1) * (20 + n))[:, None]
+        assert np.allclose(table, want, atol=1e-4)
+
+
+def test_language_model_beats_the_counts(spark):
+    """On texts that it did not learn from, the model is better than the base, which knows no histories."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    got = language.score(d).where("held_out").agg(F.sum("score").alias("m"), F.sum("base_score").alias("b"), F.sum("n_tokens").alias("n")).first()
+    assert got.n > 10000 and got.m > got.b + 0.05 * got.n
 
 
 # ---- counts ---------------------------------------------------------------------------------------------------------
