@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import bounded_batches, free_name
+from strandlake.llm.common import bounded_batches, free_name, remove, written
 
 # The base patterns and the least lengths of their matches.
 ASSIGN = re.compile(rb"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
@@ -512,13 +512,19 @@ def fit(texts: list[bytes], s: Settings) -> Field:
 
 
 def train(documents: DataFrame, s: Settings = Settings()) -> Field:
-    """Half of the sample are texts that a pattern might label, told in the JVM; what comes is bounded by the settings."""
-    text = documents.select("doc_id", "text").where(F.length("text") <= s.max_training_length)
+    """Half of the sample are texts that a pattern might label, told in the JVM. Ids and hashes are sorted, not texts, and
+    what is gathered is bounded by the settings. Rows without an id are not learned from."""
+    text = documents.select("doc_id", "text").where(F.col("doc_id").isNotNull() & (F.length("text") <= s.max_training_length))
     shape = F.col("text").rlike("[0-9a-f]{24}|AKIA[A-Z0-9]{16}|(?i)(password|passwd|secret|token|api_?key)[\"']? *[:=]")
-    half = s.max_training_texts // 2
-    order = (F.xxhash64("doc_id", F.lit(1)), "doc_id", "text")
-    found = text.where(shape).orderBy(*order).limit(half).unionByName(text.where(~shape & F.col("text").rlike("[0-9]")).orderBy(*order).limit(half))
-    return fit(sorted(r.text.encode("utf-8", "surrogatepass") for r in found.collect()), s)
+    h = F.xxhash64("text").alias("__h")
+    marks = written(text.where(F.col("text").rlike("[0-9]")).select("doc_id", h, shape.alias("__shape")), "secret-marks")
+    half, order = s.max_training_texts // 2, (F.xxhash64("doc_id", F.lit(1)), "doc_id", "__h")
+    own = marks.distinct()
+    few = own.where("__shape").orderBy(*order).limit(half).unionByName(own.where("not __shape").orderBy(*order).limit(half)).drop("__shape")
+    # at most max_training_texts rows of two numbers: the bound proves the size of the broadcast
+    found = text.withColumn("__h", F.xxhash64("text")).join(F.broadcast(few), ["doc_id", "__h"]).dropDuplicates(["doc_id", "__h"]).limit(s.max_training_texts).collect()
+    remove(marks)
+    return fit(sorted(r.text.encode("utf-8", "surrogatepass") for r in found), s)
 
 
 # ---- scans ----------------------------------------------------------------------------------------------------------
