@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -120,3 +121,25 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_powers: dict[int, list[np.ndarray]] = {}
+
+
+def _powers_of(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """base ** i and its inverse modulo 2 ** 64, for i < n."""
+    held = _powers.get(base)
+    if held is None or len(held[0]) < n:
+        inverse = pow(base, -1, 1 << 64)
+        held = _powers[base] = [np.multiply.accumulate(np.append(np.uint64(1), np.full(max(n, 1 << 16) - 1, x, np.uint64))) for x in (base, inverse)]
+    return held[0][:n], held[1][:n]
+
+
+def stretch_hashes(codes: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
+    """64 bits of hash of each codes[start:end], by prefix sums of a polynomial: a hash does not depend on what is around."""
+    up, down = _powers_of(_BASES[which], len(codes) + 1)
+    sums = np.append(np.uint64(0), np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * up[:-1]))
+    x = (sums[end] - sums[start]) * down[start]
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import bounded_batches, kept_in_worker, written
+from strandlake.llm.common import bounded_batches, kept_in_worker, stretch_hashes, written
 
 END = b" end"
 
@@ -46,15 +46,17 @@ class Settings:
     kinds: int = 16
     head: int = 1 << 18
     head_bytes: int = 64
-    #: Rows of weights for each kind of history: a power of two near the distinct tokens over tokens_a_row, within these.
-    tokens_a_row: int = 256
-    least_rows: int = 1 << 11
+    #: Rows of weights for each kind of history: a power of two near the distinct tokens over types_a_row, but not above a
+    #: training task's tokens over tokens_a_row, which keeps what tasks hand on in proportion to what they read; within these.
+    types_a_row: int = 64
+    tokens_a_row: int = 700
+    least_rows: int = 1 << 10
     most_rows: int = 1 << 16
     rounds: int = 2
     rate: float = 0.25
     batch: int = 4096
     fan_in: int = 32
-    #: Distinct tokens that a counting or encoding task holds before it hands them on or starts anew.
+    #: Distinct tokens that a counting task holds before it hands them on.
     held: int = 400_000
     #: Bytes of text encoded together.
     together: int = 1 << 21
@@ -69,8 +71,9 @@ class Settings:
     def rare_cells(self) -> int:
         return self.kinds * self.per_class
 
-    def rows(self, distinct: int) -> int:
-        return min(self.most_rows, max(self.least_rows, 1 << max(0, distinct // self.tokens_a_row).bit_length()))
+    def rows(self, distinct: int, tokens_a_task: int) -> int:
+        near = min(distinct // self.types_a_row, tokens_a_task // self.tokens_a_row)
+        return min(self.most_rows, max(self.least_rows, 1 << near.bit_length()))
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -79,17 +82,83 @@ def tokens(text: bytes | None) -> list[bytes]:
     return out
 
 
-def rare_cell(token: bytes, s: Settings) -> int:
-    """The cell of a token that has none of its own, among the rare ones: its class by its form, its member by its hash."""
-    last = token[-1]
-    k = 0 if 97 <= last <= 122 else 1 if last in b".,;:?" else 2 if last < 128 else 3
-    k = ((k << 2) | ((len(token) > 9) << 1) | (not token.isascii())) % s.kinds
-    return k * s.per_class + (crc32(token) >> 8) % s.per_class
+_BLANK = np.zeros(256, bool)
+_BLANK[np.frombuffer(b" \t\n\x0b\x0c\r", np.uint8)] = True
+#: Hashes of the end, which holds a blank, so it is read from no text.
+END_HASHES = (np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F))
 
 
-def symbol(token: bytes) -> int:
-    """What a token is in histories: 16 bits of hash, the start of a text being 0."""
-    return crc32(token, 5) % 65535 + 1
+@dataclass
+class Words:
+    """What is known of tokens from their bytes alone."""
+
+    hash: np.ndarray
+    other: np.ndarray  # 64 bits more
+    rare: np.ndarray  # the rare cell each would have: its class by its form, its member by its hash
+    symbol: np.ndarray  # what each is in histories: 16 bits of hash, the start of a text being 0
+
+
+def describe(codes: np.ndarray, start: np.ndarray, end: np.ndarray, s: Settings) -> Words:
+    """codes: lower-cased bytes; a token of no bytes is the end."""
+    h, other = stretch_hashes(codes, start, end), stretch_hashes(codes, start, end, 1)
+    last, n = codes[end - 1] if len(codes) else np.zeros(len(end), np.uint8), end - start
+    high = np.append(0, np.cumsum(codes > 127, dtype=np.int32))
+    mark = np.isin(last, np.frombuffer(b".,;:?", np.uint8))
+    k = np.where((last >= 97) & (last <= 122), 0, np.where(mark, 1, np.where(last < 128, 2, 3)))
+    k = ((k << 2) | ((n > 9) << 1) | (high[end] > high[start])) % s.kinds
+    is_end = n == 0
+    h[is_end], other[is_end], k[is_end] = *END_HASHES, 0
+    rare = k * s.per_class + ((h >> np.uint64(20)) % np.uint64(s.per_class)).astype(np.int64)
+    return Words(h, other, rare, ((h >> np.uint64(40)) % np.uint64(65535)).astype(np.uint16) + np.uint16(1))
+
+
+def describe_tokens(words: list[bytes], s: Settings) -> Words:
+    words = [b"" if w == END else w for w in words]
+    n = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(n)
+    return describe(np.frombuffer(b"".join(words), np.uint8), ends - n, ends, s)
+
+
+class Places:
+    """Numbers of tokens by their hashes: a table with open addressing, looked up for many at once."""
+
+    def __init__(self, h: np.ndarray, other: np.ndarray):
+        self.bits = max(8, (4 * len(h)).bit_length())
+        self.other, self.at = other, np.full(1 << self.bits, -1, np.int64)
+        self.h, todo, step = h, np.arange(len(h)), 0
+        while len(todo):
+            slot = self._slot(h[todo], step)
+            free = self.at[slot] < 0
+            self.at[slot[free]] = todo[free]
+            todo, step = todo[self.at[slot] != todo], step + 1
+
+    def _slot(self, h: np.ndarray, step: int) -> np.ndarray:
+        return ((h >> np.uint64(64 - self.bits)).astype(np.int64) + step) & ((1 << self.bits) - 1)
+
+    def get(self, h: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """The number of each token, -1 if it has none."""
+        if not len(self.h):
+            return np.full(len(h), -1, np.int64)
+        out, todo, step = np.full(len(h), -1, np.int64), np.arange(len(h)), 0
+        while len(todo):
+            found = self.at[self._slot(h[todo], step)]
+            hit = (found >= 0) & (self.h[found] == h[todo]) & (self.other[found] == other[todo])
+            out[todo[hit]] = found[hit]
+            todo, step = todo[~hit & (found >= 0)], step + 1
+        return out
+
+
+def segment_sums(q: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Sums of stretches of rows (from `first`, n each), by halving them; q is used up."""
+    most = int(n.max())
+    place = np.arange(len(q)) - np.repeat(first, n)
+    left = np.repeat(n, n) - place
+    at, step = np.flatnonzero(left > 1), 1
+    while step < most:
+        at = at[((place[at] & (2 * step - 1)) == 0) & (left[at] > step)]
+        q[at] += q[at + step]
+        step *= 2
+    return q[first]
 
 
 class Weights:
@@ -116,12 +185,14 @@ class Weights:
 
     @staticmethod
     def _softmax(table, rows, y):
+        """(exp(z), its sums, log P(y)) for the sums z of the rows."""
         z = table[rows[0]]
         for r in rows[1:]:
             z += table[r]
-        z -= z.max(1, keepdims=True)
-        at = np.arange(len(y))
-        hit = z[at, y]
+        # where no number is large, nothing has to be taken off before exp
+        if len(z) and max(z.max(), -z.min()) > 60:
+            z -= z.max(1, keepdims=True)
+        hit = z[np.arange(len(y)), y]
         p = np.exp(z, out=z)
         total = p.sum(1)
         return p, total, hit - np.log(total)
@@ -148,8 +219,8 @@ class Weights:
             order = np.argsort(r.astype(np.uint16) if len(table) <= 1 << 16 else r, kind="stable")
             key = r[order]
             first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            g = p.sum(0)[None] if len(first) == 1 else np.add.reduceat(p[order], first, axis=0)
             at, n = key[first], np.diff(np.append(first, len(key)))
+            g = p.sum(0)[None] if len(first) == 1 else segment_sums(p[order], first, n)
             touched[at] += n
             # a row's steps fall with the root of how often it was touched
             table[at] -= (rate / np.sqrt(n * touched[at])).astype(np.float32)[:, None] * g
@@ -177,7 +248,7 @@ def count_tokens(documents: DataFrame, s: Settings) -> DataFrame:
     def run(batches):
         def out():
             keys = list(counts)
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(list(counts.values()), pa.int64()), pa.array([rare_cell(x, s) for x in keys], pa.int32())], names=["token", "c", "k"])
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(list(counts.values()), pa.int64()), pa.array(describe_tokens(keys, s).rare, pa.int32())], names=["token", "c", "k"])
 
         counts: Counter = Counter()
         for b in batches:
@@ -201,10 +272,8 @@ class Vocabulary:
     total: int
     distinct: int
     rare_log: np.ndarray  # log10 of each rare cell's N' + 0.5 (V' + 1)
-
-    @property
-    def rows(self) -> int:
-        return self.s.rows(self.distinct)
+    #: Of weights; set when the number of training tasks is known.
+    rows: int = 0
 
 
 def vocabulary(counts: DataFrame, s: Settings) -> Vocabulary:
@@ -222,50 +291,47 @@ def vocabulary(counts: DataFrame, s: Settings) -> Vocabulary:
 
 
 class Reader:
-    """A worker's numbers of tokens, with what is known of each: the head's, and those met since it last started anew."""
+    """Reads texts with the head's tokens by number; all else is told from tokens' bytes."""
 
     def __init__(self, v: Vocabulary):
-        self.v = v
-        self.head_symbols = np.array([symbol(t) for t in v.head], np.uint16)
-        self.number: dict = {}
-
-    def learn(self, words: list[bytes]) -> None:
-        s = self.v.s
-        if not self.number:
-            self.number = {t: i for i, t in enumerate(self.v.head)}
-            self.cell, self.symbol = self.v.cell.astype(np.uint16), self.head_symbols
-            words = [w for w in words if w not in self.number]
-        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words)), strict=True))
-        self.cell = np.append(self.cell, np.array([s.words + rare_cell(w, s) for w in words], np.uint16))
-        self.symbol = np.append(self.symbol, np.array([symbol(w) for w in words], np.uint16))
+        self.v, self.s = v, v.s
+        w = describe_tokens(v.head, v.s)
+        self.places = Places(w.hash, w.other)
+        self.log_c = np.append(v.log_c, 0.0)
 
     def read(self, texts: list) -> list[tuple]:
         """Of each text: number of tokens, of those of the head, base and fixed logs of the head, cells, symbols, tail, tail_n."""
-        v, s, head = self.v, self.v.s, len(self.v.head)
-        per = [tokens(t) for t in texts]
-        words = [w for x in per for w in x]
-        if len(self.number) > head + s.held:
-            self.number = {}
-        ids = list(map(self.number.get, words))
-        if None in ids:
-            self.learn(list(dict.fromkeys(w for w, x in zip(words, ids, strict=True) if x is None)))
-            ids = list(map(self.number.get, words))
-        ids = np.array(ids)
-        n = np.fromiter(map(len, per), np.int64, len(per))
-        starts = np.cumsum(n) - n
-        tail = ids >= head
-        cell, sym = self.cell[ids], self.symbol[ids]
-        log_c = np.append(v.log_c, 0.0)[np.minimum(ids, head)]
+        v, s = self.v, self.s
+        raw = b"\n".join([t or b"" for t in texts]).lower() + b"\n"
+        codes = np.frombuffer(raw, np.uint8)
+        blank = _BLANK[codes]
+        # (each text is followed by a blank)
+        start = np.flatnonzero(~blank & np.append(True, blank[:-1]))
+        end = np.flatnonzero(blank & np.append(False, ~blank[:-1]))
+        sizes = np.fromiter((len(t or b"") for t in texts), np.int64, len(texts)) + 1
+        ends = np.cumsum(sizes)
+        k = np.diff(np.searchsorted(start, np.append(ends - sizes, ends[-1])))
+        # the end of each text, a token of no bytes, after its words
+        at = np.cumsum(k)
+        start, end = np.insert(start, at, ends - 1), np.insert(end, at, ends - 1)
+        n = k + 1
+        firsts = np.cumsum(n) - n
+        w = describe(codes, start, end, s)
+        ids = self.places.get(w.hash, w.other)
+        tail = ids < 0
+        cell = np.where(tail, s.words + w.rare, v.cell[ids] if len(v.cell) else 0).astype(np.uint16)
+        log_c = self.log_c[ids]
         rare = cell >= s.words
-        fixed = np.where(rare, log_c - v.rare_log[np.where(rare, cell - s.words, 0)], 0.0)
-        cells, syms = memoryview(cell.tobytes()), memoryview(sym.tobytes())
-        known, logs, fix = (np.add.reduceat(x, starts) for x in (~tail * 1, log_c, fixed))
+        fixed = np.where(rare, log_c - v.rare_log[np.where(rare, cell - np.uint16(s.words), 0)], 0.0)
+        known, logs, fix = (np.add.reduceat(x, firsts).tolist() for x in (~tail * 1, log_c, fixed))
+        cells, syms = memoryview(cell.tobytes()), memoryview(w.symbol.tobytes())
         at = np.flatnonzero(tail)
-        cut = np.searchsorted(at, np.append(starts, len(ids))).tolist()
-        at, out = at.tolist(), []
-        for i, (a, k) in enumerate(zip(starts.tolist(), n.tolist(), strict=True)):
-            c = Counter([words[j] for j in at[cut[i] : cut[i + 1]]])
-            out.append((k, known[i], logs[i], fix[i], cells[2 * a : 2 * (a + k)], syms[2 * a : 2 * (a + k)], list(c), list(c.values())))
+        cut = np.searchsorted(at, np.append(firsts, len(ids))).tolist()
+        words = [raw[a:b] if b > a else END for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)]
+        out = []
+        for i, (a, m) in enumerate(zip(firsts.tolist(), n.tolist(), strict=True)):
+            c = Counter(words[cut[i] : cut[i + 1]])
+            out.append((m, known[i], logs[i], fix[i], cells[2 * a : 2 * (a + m)], syms[2 * a : 2 * (a + m)], list(c), list(c.values())))
         return out
 
 
@@ -317,12 +383,13 @@ def counted_weights(v: Vocabulary) -> Weights:
 def train(encoded: DataFrame, v: Vocabulary) -> Weights:
     """Rounds of local gradient steps and averaging; each training text is in one round."""
     spark, s = encoded.sparkSession, v.s
+    tasks = encoded.rdd.getNumPartitions()
+    v.rows = s.rows(v.distinct, v.total // max(1, tasks * s.rounds))
     now = counted_weights(v)
     rows = np.concatenate([np.repeat(np.arange(now.class_rows), s.classes), now.class_rows + np.repeat(np.arange(now.member_rows), s.per_class)])
     chunks = max(16, len(now.flat) >> 17)
     size = -(-len(now.flat) // chunks)
     bounds = [(rows[i * size], rows[min((i + 1) * size, len(rows)) - 1] + 1) if i * size < len(rows) else (0, 0) for i in range(chunks)]
-    tasks = encoded.rdd.getNumPartitions()
     for turn in range(s.rounds):
         shared = spark.sparkContext.broadcast(now.flat)
 
@@ -386,7 +453,8 @@ def score(documents: DataFrame, s: Settings = Settings()) -> DataFrame:
     counts = count_tokens(documents, s)
     v = vocabulary(counts, s)
     encoded = encode(documents, v)
-    shared, rows = spark.sparkContext.broadcast(train(encoded, v).flat), v.rows
+    model = train(encoded, v)
+    shared, rows = spark.sparkContext.broadcast(model.flat), model.rows
 
     def run(batches):
         w = Weights(s, rows, shared.value)

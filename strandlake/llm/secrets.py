@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import bounded_batches, free_name, remove, written
+from strandlake.llm.common import bounded_batches, free_name, remove, stretch_hashes, written
 
 # The base patterns and the least lengths of their matches.
 ASSIGN = re.compile(rb"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
@@ -94,15 +94,6 @@ _LOWER[65:91] += 32
 _CLASS = np.zeros(256, np.uint8)
 _CLASS[48:58], _CLASS[65:91], _CLASS[97:123], _CLASS[97:103] = 1, 2, 3, 4
 _P = 0x9E3779B97F4A7C15
-_powers: list[np.ndarray] = []
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """_P ** i and its inverse modulo 2 ** 64, for i < n."""
-    if not _powers or len(_powers[0]) < n:
-        inverse = pow(_P, -1, 1 << 64)
-        _powers[:] = [np.multiply.accumulate(np.append(np.uint64(1), np.full(max(n, 1 << 16) - 1, x, np.uint64))) for x in (_P, inverse)]
-    return _powers[0][:n], _powers[1][:n]
 
 
 @dataclass
@@ -140,11 +131,7 @@ def tokenize(texts: list[bytes], files: list[int], s: Settings) -> tuple[Tokens,
     digits, caps, small, hexes = (within(since(x)) for x in (cls == 1, cls == 2, cls >= 3, (cls == 1) | (cls == 4)))
     change = since(np.append(False, (cls[1:] == 1) != (cls[:-1] == 1)))
     changes = change[end] - change[start + 1]
-    up, down = powers(len(codes))
-    sums = np.append(np.uint64(0), np.cumsum((_LOWER[codes].astype(np.uint64) + np.uint64(1)) * up))
-    own = (sums[end] - sums[start]) * down[start]
-    own = (own ^ (own >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    own ^= own >> np.uint64(32)
+    own = stretch_hashes(_LOWER[codes], start, end)
     line = since(kind == _LINE)[start]
     first = np.append(True, line[1:] != line[:-1])
     length = end - start

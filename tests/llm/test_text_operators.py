@@ -273,10 +273,39 @@ def test_language_model_is_a_distribution(docs):
         c.update(language.tokens((t.text or "").encode()))
     own = set(v.head[: s.words])
     for k in range(s.rare_cells):
-        counts_ = [n for t, n in c.items() if t not in own and language.rare_cell(t, s) == k]
+        counts_ = [n for t, n in c.items() if t not in own and language.describe_tokens([t], s).rare[0] == k]
         assert math.isclose(sum(n + 0.5 for n in counts_) + 0.5, 10 ** v.rare_log[k], rel_tol=1e-9)
 
 
+def test_reading_against_plain_tokens():
+    s = language.Settings(words=16, per_class=8, head=30)
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(["The", "a", "Caf\u00e9", "x1,", "unseen%d" % rng.randrange(50)]) for _ in range(rng.randrange(30))) for _ in range(20)] + [None, "", " \t\n", "\x1c\x85 a\x0bb "]
+    raw = [None if t is None else t.encode() for t in texts]
+    counts_ = Counter(w for t in raw[:15] for w in language.tokens(t)).most_common(30)
+    head = [w for w, _ in counts_]
+    rare = language.describe_tokens(head, s).rare
+    v = language.Vocabulary(s, head, np.log10([c + 0.5 for _, c in counts_]), np.where(np.arange(30) < 16, np.arange(30), 16 + rare), 100, 60, np.linspace(1, 2, s.rare_cells))
+    for text, got in zip(raw, language.Reader(v).read(raw), strict=True):
+        ws = language.tokens(text)
+        d = language.describe_tokens(ws, s)
+        cells = [v.cell[head.index(w)] if w in head else 16 + d.rare[i] for i, w in enumerate(ws)]
+        inside = [w for w in ws if w in head]
+        assert got[0] == len(ws) and got[1] == len(inside) and np.frombuffer(got[4], np.uint16).tolist() == cells
+        assert np.frombuffer(got[5], np.uint16).tolist() == d.symbol.tolist() and Counter(dict(zip(got[6], got[7]))) == Counter(w for w in ws if w not in head)
+        log = {w: v.log_c[i] for i, w in enumerate(head)}
+        assert math.isclose(got[2], sum(log[w] for w in inside), abs_tol=1e-9)
+        assert math.isclose(got[3], sum((log[w] if w in log else 0) - v.rare_log[c - 16] for w, c in zip(ws, cells) if c >= 16), abs_tol=1e-9)
+
+
+def test_sums_of_stretches():
+    rng = np.random.default_rng(1)
+    n = rng.integers(1, 40, 50)
+    q = rng.normal(size=(n.sum(), 3))
+    first = np.cumsum(n) - n
+    assert np.allclose(language.segment_sums(q.copy(), first, n), np.add.reduceat(q, first, axis=0))
+
+
 def test_language_steps_follow_the_gradient():
     """One batch, against sums over tokens of the softmax's gradient, row by row."""
     s = language.Settings(words=16, per_class=8, kinds=2, batch=50)
