@@ -15,7 +15,7 @@ weights moved and how often it touched each row; sums of these, taken in groups
 the mean move by touches, the next round's start. Only that mean reaches the driver. Tasks are parts of the table, so
 another cut of the table into files gives slightly other weights; reruns on the same files agree.
 
-The `head` most frequent tokens (of up to `head_bytes` bytes each, so a bounded table) are broadcast; the counts of all
+The most frequent tokens (at most `head`, of up to `head_bytes` bytes each, so a bounded table) are broadcast; the counts of all
 others are joined by token, so no table of all tokens is ever in one place.
 
 Defined cases: null and empty texts consist of the end; texts of any length are scored whole; repeated rows count and are
@@ -277,7 +277,15 @@ class Vocabulary:
 
 
 def vocabulary(counts: DataFrame, s: Settings) -> Vocabulary:
-    top = counts.where(F.octet_length("token") <= s.head_bytes).orderBy(F.desc("c"), "token").limit(s.head).toArrow()
+    # a histogram of counts, of some thousand rows at most, tells from which count on all tokens fit the head: none are sorted
+    few, level = counts.where(F.octet_length("token") <= s.head_bytes), F.floor(F.ln("c") * 64).cast("int")
+    least, room = None, s.head
+    for r in sorted(few.groupBy(level.alias("l")).agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True):
+        room -= r.n
+        if room < 0:
+            break
+        least = r.l
+    top = few.where(level >= least if least is not None else F.lit(False)).toArrow().sort_by([("c", "descending"), ("token", "ascending")])
     head, c, k = top.column("token").to_pylist(), top.column("c").to_numpy().astype(np.float64), top.column("k").to_numpy()
     sums = {r.k: (r.n, r.v) for r in counts.groupBy("k").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()}  # one row a rare cell
     n, v = np.zeros(s.rare_cells), np.zeros(s.rare_cells)
