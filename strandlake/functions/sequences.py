@@ -144,12 +144,15 @@ def open_frames(s: Column, table: int = 1, alternative: bool = False, replace: b
 
 
 def decode_percent(s: Column) -> Column:
-    """%HH escapes of ASCII decoded; what is not an escape stays."""
+    """%HH escapes decoded as bytes, so escapes of several bytes make one character; what is not an escape stays."""
     parts = F.split(s, "%")
+    raw = lambda c: F.hex(c.cast("binary"))
+
     def one(p: Column, i: Column) -> Column:
-        escape = (i > 0) & p.rlike("^[0-7][0-9A-Fa-f]")
-        return F.when(i == 0, p).when(escape, F.concat(F.chr(F.conv(F.substring(p, 1, 2), 16, 10).cast("long")), F.substring(p, 3, 1 << 30))).otherwise(F.concat(F.lit("%"), p))
-    return F.array_join(F.transform(parts, one), "")
+        escape = p.rlike("^[0-9A-Fa-f]{2}")
+        return F.when(i == 0, raw(p)).when(escape, F.concat(F.substring(p, 1, 2), raw(F.substring(p, 3, 1 << 30)))).otherwise(F.concat(F.lit("25"), raw(p)))
+
+    return F.unhex(F.array_join(F.transform(parts, one), "")).cast("string")
 
 
 def encode_percent(s: Column) -> Column:

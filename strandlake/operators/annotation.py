@@ -13,60 +13,85 @@ from pyspark.sql import functions as F
 
 from strandlake.functions import genetic_code as code
 from strandlake.functions import sequences as sq
-from strandlake.operators.graph import settled
+from strandlake.plans.tables import remove, written
 
-# Hierarchies by format and dialect, as S-expressions.
-_MRNA = "exon, CDS, five_prime_UTR, three_prime_UTR, start_codon, stop_codon, intron"
+# Hierarchies by format and dialect, in the documented notation.
 HIERARCHIES = {
-    ("gff3", "standard"): f"((gene (mRNA {_MRNA}), (transcript {_MRNA}, Selenocysteine), (lncRNA exon, intron), (miRNA exon), (rRNA exon), (tRNA exon), (snoRNA exon), (snRNA exon), (ncRNA exon)), pseudogene, region)",
-    ("gff3", "gencode"): "((gene (transcript exon, (CDS stop_codon_redefined_as_selenocysteine), five_prime_UTR, three_prime_UTR, start_codon, stop_codon)))",
-    ("gtf", "standard"): "((gene (transcript exon, CDS, five_prime_utr, three_prime_utr, start_codon, stop_codon, Selenocysteine)))",
+    ("gff3", "standard"): """(gene (
+        (mRNA (exon, CDS, five_prime_UTR, three_prime_UTR, start_codon, stop_codon, intron)),
+        (transcript (exon, CDS, five_prime_UTR, three_prime_UTR, start_codon, stop_codon, intron, Selenocysteine)),
+        (lncRNA (exon, intron)), (miRNA (exon)), (rRNA (exon)), (tRNA (exon)), (snoRNA (exon)), (snRNA (exon)), (ncRNA (exon)))),
+        pseudogene, region""",
+    ("gff3", "gencode"): """(gene (
+        (transcript (exon, (CDS (stop_codon_redefined_as_selenocysteine)), five_prime_UTR, three_prime_UTR, start_codon, stop_codon))))""",
+    ("gtf", "standard"): """(gene (
+        (transcript (exon, CDS, five_prime_utr, three_prime_utr, start_codon, stop_codon, Selenocysteine))))""",
+    ("genbank", "standard"): """(source (
+        gene, mRNA, tRNA, rRNA, ncRNA, misc_RNA, CDS, exon, intron, five_prime_UTR, three_prime_UTR, promoter, regulatory,
+        repeat_region, misc_feature, variation, polyA_signal, polyA_site, primer_bind, protein_bind, oriT, oriC, sig_peptide,
+        mat_peptide, propeptide, stem_loop, terminator))""",
 }
 FORMATS = {"gff3": "gff3", "gff": "gff3", "gtf": "gtf", "genbank": "genbank", "gb": "genbank"}
 
 
 def parse_hierarchy(text: str) -> list[tuple[str, ...]]:
-    """Paths of `(a, (b c, d), ...)`: a list's first word owns what follows; commas stand between siblings."""
-    toks = re.findall(r"[(),]|[^\s(),]+", text)
+    """Paths, parents first, of siblings parted by commas: each `name`, `(name)` or `(name (child, ...))`."""
+    toks = [*re.findall(r"[(),]|[^\s(),]+", text), ""]
+    out: list[tuple[str, ...]] = []
     at = 0
 
-    def siblings(prefix: tuple) -> list:
+    def take(wanted: str | None = None) -> str:
         nonlocal at
-        out = []
+        tok = toks[at]
+        if tok != wanted if wanted else tok in ("(", ")", ",", ""):
+            raise ValueError(f"{tok or 'the end'!r} where {wanted or 'a name'!r} should be in a hierarchy")
+        at += 1
+        return tok
+
+    def siblings(above: tuple[str, ...]) -> None:
         while True:
-            if toks[at] == "(":
-                at += 1
-                name = toks[at]
-                if name in "(),":
-                    raise ValueError("a name is missing")
-                at += 1
-                out.append((*prefix, name))
-                if toks[at] != ")":
-                    out += siblings((*prefix, name))
-                if toks[at] != ")":
-                    raise ValueError("an open list")
-                at += 1
-            else:
-                out.append((*prefix, toks[at]))
-                at += 1
-            if at < len(toks) and toks[at] == ",":
-                at += 1
-                continue
-            return out
-
-    if toks[0] != "(" or toks[-1] != ")":
-        raise ValueError("not a list")
-    toks = toks[1:-1]
-    return siblings(()) if toks else []
-
-
-def show_hierarchy(paths: list[tuple[str, ...]]) -> str:
-    def one(prefix: tuple) -> str:
-        below = [p for p in paths if len(p) == len(prefix) + 1 and p[: len(prefix)] == prefix]
-        inner = ", ".join(one(p) for p in below)
-        return f"({inner})" if not prefix else prefix[-1] if not below else f"({prefix[-1]} {inner})"
-
-    return one(())
+            owner = toks[at] == "("
+            if owner:
+                take("(")
+            path = (*above, take())
+            out.append(path)
+            if owner:
+                if toks[at] == "(":
+                    take("(")
+                    siblings(path)
+                    take(")")
+                take(")")
+            if toks[at] != ",":
+                return
+            take(",")
+
+    siblings(())
+    if toks[at]:
+        raise ValueError(f"{toks[at]!r} after the end of a hierarchy")
+    return out
+
+
+def show_hierarchy(paths: list[tuple[str, ...]], above: tuple[str, ...] = ()) -> str:
+    """The notation that parse_hierarchy() reads."""
+    own = [p for p in paths if p[:-1] == above]
+    inner = {p: show_hierarchy(paths, p) for p in own}
+    return ", ".join(f"({p[-1]} ({inner[p]}))" if inner[p] else p[-1] for p in own)
+
+
+def children_of(paths: list[tuple[str, ...]], path: tuple[str, ...]) -> list[str]:
+    """The types right below a path, in order; a path that is not there is an error."""
+    if path and path not in paths:
+        raise ValueError(f"no {path_text(path)} in the hierarchy")
+    return [p[-1] for p in paths if p[:-1] == path]
+
+
+def find_type(paths: list[tuple[str, ...]], name: str) -> list[tuple[str, ...]]:
+    """All paths that end with a type."""
+    return [p for p in paths if p[-1] == name]
+
+
+def path_text(path: tuple[str, ...]) -> str:
+    return "->".join(("annotation", *path))
 
 
 def hierarchy(spark, text: str) -> DataFrame:
@@ -80,7 +105,18 @@ def path_string(path="path"):
 # ---- trees of features ----------------------------------------------------------------------------------------------
 
 
-def place(rows: DataFrame, deepest: int = 32) -> DataFrame:
+def parse_path(text):
+    """The array of a path's types from its text, the root left out; another root is an error."""
+    p = F.split(text, "->")
+    return F.when(F.get(p, F.lit(0)) != "annotation", F.raise_error(F.concat(F.lit("not a path: "), text)).cast("array<string>")).otherwise(F.slice(p, F.lit(2), F.greatest(F.size(p) - 1, F.lit(0))))
+
+
+def leaf_category(path="path"):
+    """The last type of a path; the root's name for the root itself."""
+    return F.coalesce(F.try_element_at(F.col(path), F.lit(-1)), F.lit("annotation"))
+
+
+def place(rows: DataFrame) -> DataFrame:
     """rows (n, type, id, parent, ...) with path and ord: an array of the numbers of a feature's ancestors and its own, which
     sorts parents before children and siblings in their order.
 
@@ -88,12 +124,13 @@ def place(rows: DataFrame, deepest: int = 32) -> DataFrame:
     """
     ids = rows.where("id is not null").groupBy("id").agg(F.max("n").alias("__owner"))
     linked = rows.join(ids.withColumnRenamed("id", "parent"), "parent", "left")
-    level = settled(linked.where("parent is null").select(*rows.columns, F.array("type").alias("path"), F.array("n").alias("ord")))
+    level = written(linked.where("parent is null").select(*rows.columns, F.array("type").alias("path"), F.array("n").alias("ord")), "level")
     rest, out = linked.where("parent is not null").select(*rows.columns, "__owner"), level
-    for _ in range(deepest):
+    while True:
         up = level.select(F.col("n").alias("__owner"), F.col("path").alias("__path"), F.col("ord").alias("__ord"))
-        level = settled(rest.join(up, "__owner").select(*rows.columns, F.concat("__path", F.array("type")).alias("path"), F.concat("__ord", F.array("n")).alias("ord")))
+        level = written(rest.join(up, "__owner").select(*rows.columns, F.concat("__path", F.array("type")).alias("path"), F.concat("__ord", F.array("n")).alias("ord")), "level")
         if level.isEmpty():
+            remove(level)
             break
         out = out.unionByName(level)
     lost = rest.join(out.select("n"), "n", "left_anti").limit(1)
@@ -112,27 +149,78 @@ def summary(features: DataFrame, reference: DataFrame | None = None) -> DataFram
 
 
 def synthesize_parents(rows: DataFrame) -> DataFrame:
-    """GTF rows (n, seq, type, low, length, strand, gene_id, transcript_id): with the gene and transcript rows that are missing.
+    """GTF rows (n, seq, type, low, length, strand, gene_id, transcript_id and, if there, source, score, phase, attributes):
+    with the gene and transcript rows that are missing, `synthesized` marking them.
 
-    A missing gene or transcript spans its rows and has the strand of the first; it stands where the first stands. Rows
-    that are neither genes nor transcripts and have no transcript id go, and so do transcripts without other rows.
+    A missing gene or transcript spans its transcripts' rows and has the strand of the first; it stands where the first
+    row that names it stands. A gene without such rows spans the first base. Of several rows of a gene or transcript the
+    last counts. Rows that are neither genes nor transcripts and have no transcript id go, and so do transcripts without
+    other rows. A row without a gene id, or a transcript without its own, is an error.
     """
+    more = [c for c in ("source", "score", "phase", "attributes") if c in rows.columns]
+    fault = F.when(F.col("gene_id").isNull(), "a row without gene_id").when((F.col("type") == "transcript") & F.col("transcript_id").isNull(), "a transcript without transcript_id")
+    rows = rows.withColumn("gene_id", F.when(fault.isNotNull(), F.raise_error(F.concat(fault, F.lit(" on line "), (F.col("n") + 1).cast("string"))).cast("string")).otherwise(F.col("gene_id")))
     child = rows.where("type not in ('gene', 'transcript') and transcript_id is not null")
-    span = [F.min("low").alias("low"), (F.max(F.col("low") + F.col("length")) - F.min("low")).alias("length"), F.min_by("strand", F.struct("n", "strand")).alias("strand"), F.min("n").alias("n")]
-    t_have = rows.where("type = 'transcript'")
+    span = [F.min("low").alias("low"), (F.max(F.col("low") + F.col("length")) - F.min("low")).alias("length"), F.min_by("strand", F.struct("n", "strand")).alias("strand")]
     t_key, g_key = ["seq", "gene_id", "transcript_id"], ["seq", "gene_id"]
-    t_made = child.groupBy(*t_key).agg(*span).join(t_have.select(*t_key), t_key, "left_anti").withColumns({"type": F.lit("transcript"), "synthesized": F.lit(True)})
+    cols = ["n", "seq", "type", "low", "length", "strand", "gene_id", "transcript_id", *more]
+    last = lambda kind, key: rows.where(F.col("type") == kind).groupBy(*key).agg(F.max_by(F.struct(*(c for c in cols if c not in key)), "n").alias("r")).select(*key, "r.*")
+    t_have, g_have = last("transcript", t_key), last("gene", g_key)
+    made = lambda df, kind, ids: df.withColumns({"type": F.lit(kind), **{c: F.map_from_arrays(F.array(*map(F.lit, ids)), F.array(*(F.array(i) for i in ids))).cast(rows.schema[c].dataType) if c == "attributes" else F.lit(None).cast(rows.schema[c].dataType) for c in more}, "synthesized": F.lit(True)})
+    t_made = made(child.groupBy(*t_key).agg(*span, F.min("n").alias("n")).join(t_have.select(*t_key), t_key, "left_anti"), "transcript", t_key[1:])
     t_kept = t_have.join(child.select(*t_key).distinct(), t_key, "left_semi").withColumn("synthesized", F.lit(False))
-    g_have = rows.where("type = 'gene'")
-    g_made = child.groupBy(*g_key).agg(*span).join(g_have.select(*g_key), g_key, "left_anti").withColumns({"type": F.lit("gene"), "transcript_id": F.lit(None).cast("string"), "synthesized": F.lit(True)})
-    cols = ["n", "seq", "type", "low", "length", "strand", "gene_id", "transcript_id", "synthesized"]
-    parts = [g_have.withColumn("synthesized", F.lit(False)), g_made, t_kept, t_made, child.withColumn("synthesized", F.lit(False))]
-    out = parts[0].select(*cols)
-    for p in parts[1:]:
+    named = rows.where("type <> 'gene'").groupBy(*g_key).agg(F.min("n").alias("n")).join(g_have.select(*g_key), g_key, "left_anti")
+    g_made = named.join(child.groupBy(*g_key).agg(*span), g_key, "left").withColumns({"low": F.coalesce("low", F.lit(0)), "length": F.coalesce("length", F.lit(1)), "transcript_id": F.lit(None).cast("string")})
+    cols = [*cols, "synthesized"]
+    out = g_have.withColumn("synthesized", F.lit(False)).select(*cols)
+    for p in (made(g_made, "gene", g_key[1:]), t_kept, t_made, child.withColumn("synthesized", F.lit(False))):
         out = out.unionByName(p.select(*cols))
     return out
 
 
+def gtf_paths(rows: DataFrame) -> DataFrame:
+    """rows of synthesize_parents() with path, id (of genes and transcripts), and ord, which sorts genes by the first row
+    that names them, their transcripts likewise below them, and others by their own number."""
+    kind = F.col("type")
+    path = F.when(kind == "gene", F.array(kind)).when(kind == "transcript", F.array(F.lit("gene"), kind)).otherwise(F.array(F.lit("gene"), F.lit("transcript"), kind))
+    id_ = F.when(kind == "gene", F.col("gene_id")).when(kind == "transcript", F.col("transcript_id"))
+    firsts = lambda key, name, df: df.groupBy(*key).agg(F.min("n").alias(name))
+    child = rows.where("type <> 'gene'")
+    x = rows.join(firsts(["seq", "gene_id"], "__g", rows), ["seq", "gene_id"]).join(firsts(["seq", "gene_id", "transcript_id"], "__t", child), ["seq", "gene_id", "transcript_id"], "left")
+    ord_ = F.when(kind == "gene", F.array("__g")).when(kind == "transcript", F.array("__g", "__t")).otherwise(F.array("__g", "__t", "n"))
+    return x.select(*rows.columns, path.alias("path"), id_.alias("id"), ord_.alias("ord"))
+
+
+def add_features(features: DataFrame, more: DataFrame) -> DataFrame:
+    """Features added behind those that are there: their order numbers begin after the last one's."""
+    top = F.broadcast(features.agg(F.coalesce(F.max(F.get("ord", F.lit(0))) + 1, F.lit(0)).cast("long").alias("__top")))
+    shifted = more.crossJoin(top).withColumn("ord", F.concat(F.array(F.col("ord")[0] + F.col("__top")), F.slice("ord", F.lit(2), F.greatest(F.size("ord") - 1, F.lit(1)))))
+    return features.unionByName(shifted.drop("__top"), allowMissingColumns=True)
+
+
+def attribute(name: str, column: str = "attributes"):
+    """The values of an attribute; null where it is not there."""
+    return F.try_element_at(F.col(column), F.lit(name))
+
+
+def set_attribute(features: DataFrame, name: str, values) -> DataFrame:
+    """features with an attribute's values (a column of an array) set."""
+    kept = F.map_filter("attributes", lambda k, _: k != name)
+    return features.withColumn("attributes", F.map_concat(kept, F.map_from_arrays(F.array(F.lit(name)), F.array(values))))
+
+
+def each_attribute(features: DataFrame, *keep: str) -> DataFrame:
+    """keep..., key, place, value: a row for each value of each attribute."""
+    e = features.select(*keep, F.explode("attributes").alias("key", "vs"))
+    return e.select(*keep, "key", F.posexplode("vs").alias("place", "value"))
+
+
+def add_metadata(meta: DataFrame, key: str, value: str) -> DataFrame:
+    """meta (pos, key, value) with one more entry behind."""
+    top = F.coalesce(F.max("pos") + 1, F.lit(0)).cast("long")
+    return meta.unionByName(meta.agg(top.alias("pos")).select("pos", F.lit(key).alias("key"), F.lit(value).alias("value")))
+
+
 # ---- validation -----------------------------------------------------------------------------------------------------
 
 
@@ -176,8 +264,17 @@ def report(features: DataFrame, reference: DataFrame) -> DataFrame:
         rows(out_of_bounds(features, reference), "bounds", F.concat(F.lit("out of bounds: "), at)))
     if "translation" not in features.columns:
         return out
+    # the translations' check needs the columns that reading gives
     coding = features.where((F.try_element_at("path", F.lit(-1)) == "CDS") & F.col("translation").isNotNull())
     whole = coding.groupBy("ord").agg(
         F.first("path").alias("path"), F.first("id").alias("id"), F.first("seq").alias("seq"), F.coalesce(F.first("phase"), F.lit(0)).alias("phase"), F.count(F.lit(1)).alias("n"))
     message = F.format_string("CDS on %s [phase=%d, intervals=%d]: claimed translation does not match computed", "seq", "phase", "n")
     return out.unionByName(rows(whole.join(wrong_translations(coding, reference).select("ord"), "ord"), "translation", message))
+
+
+def validate(features: DataFrame, reference: DataFrame, fail: bool = False) -> DataFrame:
+    """report(); with fail, its first row in the order of checks, paths and ids is an error."""
+    found = report(features, reference)
+    if fail and (first := found.orderBy(F.when(F.col("check") == "sequences", 0).when(F.col("check") == "bounds", 1).otherwise(2), "path", "feature_id").first()):
+        raise ValueError(f"{first['check']}: {first.path} {first.feature_id or ''}: {first.message}")
+    return found

@@ -2,41 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.functions import genetic_code as code
 from strandlake.functions import sequences as sq
 from strandlake.operators import annotation, graph, kmers, matrix, records, repeats, statistics, trees
+from strandlake.operators.registry import oracle_sql, queries, query  # noqa: F401
 from strandlake.plans import synthetic as syn
 from strandlake.plans.synthetic import DNA_SQL, FEATURES_SQL, READS_SQL, REFERENCE_SQL, dna, table
 from strandlake.sources import newick
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
-
-
-def _docs(spark: SparkSession, d: str) -> DataFrame:
+def _docs(spark, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", dna(F.col("text")).alias("seq"))
 
 
@@ -108,7 +85,11 @@ def mismatch_window(spark, d):
     return w.select("doc_id", F.array_max("w").alias("most"), F.aggregate("w", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 
 
-@query()
+@query(f"""WITH {_DOCS}, w AS (SELECT DISTINCT {_words(4)} AS kmer FROM docs), c AS (SELECT kmer, unnest(range(0, 4)) AS i FROM w), l AS (SELECT kmer, i, unnest(['A', 'C', 'G', 'T']) AS c FROM c)
+    SELECT kmer, kmer AS near FROM w
+    UNION SELECT kmer, substr(kmer, 1, i) || c || substr(kmer, i + 2) FROM l
+    UNION SELECT kmer, substr(kmer, 1, i) || c || substr(kmer, i + 1, 3 - i) FROM l
+    UNION SELECT kmer, substr(kmer, 2, i) || c || substr(kmer, i + 2) FROM l""")
 def levenshtein_ball(spark, d):
     w = kmers.spectrum(_docs(spark, d), SS, kmers.Hasher(4)).select("kmer")
     return w.select("kmer", F.explode(kmers.ball_column(F.col("kmer"), 1)).alias("near"))
@@ -355,7 +336,7 @@ def matrix_vector(spark, d):
 def matrix_sparse_vector(spark, d):
     m = _matrix(spark, d)
     v = m.select("col").distinct().withColumn("value", F.substring("col", 2, 9).cast("double")).where("value % 5 = 0")
-    return _rounded(matrix.times_vector(m, v), "value")
+    return _rounded(matrix.times_vector(m, v, sparse=True), "value")
 
 
 @query(f"WITH {_MATRIX} SELECT a.col AS row, b.col AS col, round(sum(a.value * b.value), 6) AS value FROM m a JOIN m b ON a.row = b.row GROUP BY 1, 2")
@@ -427,7 +408,7 @@ def anno_paths(spark, d):
 
 @query(f"{_PLACED} SELECT id, path FROM p WHERE path LIKE '%CDS'")
 def anno_hierarchy_check(spark, d):
-    allowed = annotation.hierarchy(spark, "((gene (mRNA exon)))")
+    allowed = annotation.hierarchy(spark, "(gene ((mRNA (exon))))")
     return annotation.check_paths(annotation.place(_tree_rows(spark, d)), allowed).select("id", annotation.path_string().alias("path"))
 
 
@@ -441,7 +422,9 @@ def anno_summary(spark, d):
     h AS (SELECT o_orderkey * 10 AS n, 'chr' || (o_orderkey // 4 % 5) AS seq, 0::BIGINT AS low, 9::BIGINT AS length, '+' AS strand, 'g' || (o_orderkey // 4) AS gene_id, 't' || o_orderkey AS transcript_id FROM orders WHERE o_orderkey % 3 = 0),
     t AS (SELECT min(n) AS n, seq, min(low) AS low, max(low + length) - min(low) AS length, arg_min(strand, (n, strand)) AS strand, gene_id, transcript_id FROM x
         WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.transcript_id = x.transcript_id) GROUP BY seq, gene_id, transcript_id),
-    g AS (SELECT min(n) AS n, seq, min(low) AS low, max(low + length) - min(low) AS length, arg_min(strand, (n, strand)) AS strand, gene_id FROM x GROUP BY seq, gene_id)
+    k AS (SELECT min(n) AS n, seq, gene_id FROM (SELECT n, seq, gene_id FROM x UNION ALL SELECT n, seq, gene_id FROM h) GROUP BY seq, gene_id),
+    z AS (SELECT seq, min(low) AS low, max(low + length) - min(low) AS length, arg_min(strand, (n, strand)) AS strand, gene_id FROM x GROUP BY seq, gene_id),
+    g AS (SELECT k.n, k.seq, coalesce(low, 0) AS low, coalesce(length, 1) AS length, strand, k.gene_id FROM k LEFT JOIN z ON k.seq = z.seq AND k.gene_id = z.gene_id)
     SELECT n, seq, 'exon' AS type, low, length, strand, gene_id, transcript_id, false AS synthesized FROM x
     UNION ALL SELECT n, seq, 'transcript', low, length, strand, gene_id, transcript_id, false FROM h WHERE transcript_id IN (SELECT transcript_id FROM x)
     UNION ALL SELECT n, seq, 'transcript', low, length, strand, gene_id, transcript_id, true FROM t
@@ -557,3 +540,6 @@ def consensus(spark, d):
 @query()
 def text_kmers(spark, d):
     return kmers.text_spectrum(table(spark, d, "documents"), ["the", "and", "ing", "tion", "er", "ou", "th", "st", " "], 2)
+
+
+from strandlake.operators import catalogue_more  # noqa: E402, F401 - registers its queries

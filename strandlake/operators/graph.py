@@ -2,41 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def settled(df: DataFrame) -> DataFrame:
-    """df as a written table in the folder of spark.checkpoint.dir (one of our own where it is unset): its lineage is cut."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("strandlake.own.folder", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="strandlake-")
-        spark.conf.set("strandlake.own.folder", folder)
-    path = f"{folder.rstrip('/')}/settled-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(id, component) for edges (a, b): the smallest id reachable; alternating large-star and small-star steps."""
-    e = settled(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    state = None
-    while True:
-        now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == state or not now[0]:
-            break
-        state = now
-        both = e.union(e.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(small, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = settled(moved.union(small.select("u", F.col("m").alias("v"))).distinct())
-    return e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(e.select("v", "v").distinct())
+from strandlake.plans.tables import components
 
 
 def tokenize_lines(lines: DataFrame, value: str = "value", line: str = "line") -> DataFrame:
@@ -61,3 +30,8 @@ def class_lines(classes: DataFrame, order: str = "input") -> DataFrame:
     """class, line: a tab-separated line for each class, by first line; members by first line and bytes, or by bytes alone."""
     key = F.struct("first_line", "element") if order == "input" else F.struct(F.col("element").alias("x"), "element")
     return classes.groupBy("class").agg(F.array_join(F.transform(F.array_sort(F.collect_list(key)), lambda x: x["element"]), "\t").alias("line")).orderBy("class")
+
+
+def cardinal(members: DataFrame) -> DataFrame:
+    """n: how many different elements there are."""
+    return members.agg(F.count_distinct("element").alias("n"))

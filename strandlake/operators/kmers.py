@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -148,9 +149,9 @@ def decode_hex(hash_: str, alphabet: str, k: int, gap: int | None = None, gap_ch
 
 
 def hex_column(kmer: Column, content: Content, k: int) -> Column:
-    """Hash of words: in the plan while two bits a base fit a long, else by an Arrow function."""
+    """Hash of words, of gapped ones part by part: in the plan while two bits a base fit a long, else by an Arrow function."""
     if content.alphabet == ALPHABETS["dna"] and k <= 31:
-        return sq.hex_hash(kmer, k)
+        return F.array_join(F.transform(F.split(kmer, "_"), lambda p: sq.hex_hash(p, k)), "_")
     alphabet = content.alphabet
 
     @F.pandas_udf("string")
@@ -193,14 +194,14 @@ def text_spectrum(df: DataFrame, tokens: list[str], k: int, column: str = "text"
     shared = df.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(tokens)})
 
     def run(batches):
-        for pdf in batches:
-            out = []
-            for x in pdf[column]:
+        for b in batches:
+            out: list[str] = []
+            for x in b.column(0).to_pylist():
                 for seg in encode_text((x or "") if case_sensitive else (x or "").lower(), shared.value, unknown):
                     out += ["-".join(map(str, seg[i : i + k])) for i in range(len(seg) - k + 1)]
-            yield pd.DataFrame({"kmer": out})
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["kmer"])
 
-    return df.select(column).mapInPandas(run, "kmer string").groupBy("kmer").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    return df.select(column).mapInArrow(run, "kmer string").groupBy("kmer").agg(F.count(F.lit(1)).cast("double").alias("weight"))
 
 
 def mismatch_windows(a: Column, b: Column, k: int) -> Column:
@@ -257,3 +258,29 @@ def prefix_lookup(words: DataFrame, queries: DataFrame) -> DataFrame:
         F.when(F.col("n") == 0, "not_found").when(F.col("exact").isNotNull() & (F.col("n") > 1), "contained").when(F.col("n") == 1, "unique").otherwise("ambiguous")
     )
     return out.select("query", presence.alias("presence"), "exact", "completions")
+
+
+def longest_prefix(words: DataFrame, queries: DataFrame) -> DataFrame:
+    """query, length: of the longest beginning of each query that a word begins with."""
+    heads = words.where("word <> ''").select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word")), lambda n: F.substr("word", F.lit(1), n))).alias("head")).distinct()
+    own = queries.select("query").distinct()
+    parts = own.where("query <> ''").select("query", F.explode(F.sequence(F.lit(1), F.length("query"))).alias("n"))
+    hits = parts.select("query", "n", F.substr("query", F.lit(1), F.col("n")).alias("head")).join(heads, "head").groupBy("query").agg(F.max("n").alias("length"))
+    return own.join(hits, "query", "left").select("query", F.coalesce("length", F.lit(0)).cast("int").alias("length"))
+
+
+def find_present(words: DataFrame, queries: DataFrame) -> DataFrame:
+    """query, id: the word that a query is; null if it is none."""
+    return queries.select("query").distinct().join(words.select(F.col("word").alias("query"), "id"), "query", "left")
+
+
+def find_unambiguous(words: DataFrame, queries: DataFrame) -> DataFrame:
+    """query, id: the word that a query is, or else the only one that it begins."""
+    p = prefix_lookup(words, queries)
+    return p.select("query", F.coalesce("exact", F.when(F.size("completions") == 1, F.try_element_at("completions", F.lit(1)))).alias("id"))
+
+
+def nth_word(words: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, word; an id that is not there is an error."""
+    out = ids.select("id").join(words.select("id", "word"), "id", "left")
+    return out.withColumn("word", F.coalesce("word", F.raise_error(F.concat(F.lit("no word "), F.col("id").cast("string"))).cast("string")))

@@ -23,16 +23,28 @@ def merge_rows(a: DataFrame, b: DataFrame) -> DataFrame:
     return ok.select("row", "col", F.when(fault.isNotNull(), F.raise_error(fault).cast("double")).otherwise(F.col("value")).alias("value"))
 
 
-def times_vector(m: DataFrame, v: DataFrame) -> DataFrame:
-    """(row, value): the matrix times v (col, value); entries that v lacks are 0, so v may be sparse."""
-    return m.join(v.select("col", F.col("value").alias("__v")), "col").groupBy("row").agg(F.sum(F.col("value") * F.col("__v")).alias("value"))
+def _checked(df: DataFrame, a: DataFrame, b: DataFrame, what: str, covered: bool = False) -> DataFrame:
+    """df, which is an error if the names a and b (one column each) differ, or, if covered, if b has one that a lacks."""
+    named = a.toDF("k").distinct().withColumn("__a", F.lit(1)).join(b.toDF("k").distinct().withColumn("__b", F.lit(1)), "k", "full_outer")
+    # one row, whatever the matrices
+    lone = F.broadcast(named.agg(F.coalesce(F.bool_or(F.col("__a").isNull() if covered else F.col("__a").isNull() | F.col("__b").isNull()), F.lit(False)).alias("__lone")))
+    value = F.when(F.col("__lone"), F.raise_error(F.lit(what)).cast("double")).otherwise(F.col("value"))
+    return df.crossJoin(lone).withColumn("value", value).drop("__lone")
+
+
+def times_vector(m: DataFrame, v: DataFrame, sparse: bool = False) -> DataFrame:
+    """(row, value): the matrix times v (col, value). Entries that a sparse v lacks are 0; else v has all columns. An entry
+    that is no column is an error."""
+    out = m.join(v.select("col", F.col("value").alias("__v")), "col", "left").groupBy("row").agg(F.sum(F.col("value") * F.coalesce("__v", F.lit(0.0))).alias("value"))
+    return _checked(out, m.select("col"), v.select("col"), "the vector's entries are not the matrix's columns", sparse)
 
 
 def times_matrix(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(row, col, value): a's columns meet b's rows by name; one join on them and one sum by cell."""
+    """(row, col, value): a's columns meet b's rows by name, which must be the same; one join on them and one sum by cell."""
     left = a.select("row", F.col("col").alias("__k"), F.col("value").alias("__a"))
     right = b.select(F.col("row").alias("__k"), "col", F.col("value").alias("__b"))
-    return left.join(right, "__k").groupBy("row", "col").agg(F.sum(F.col("__a") * F.col("__b")).alias("value"))
+    out = left.join(right, "__k").groupBy("row", "col").agg(F.sum(F.col("__a") * F.col("__b")).alias("value"))
+    return _checked(out, a.select("col"), b.select("row"), "columns and rows have different names")
 
 
 def from_vectors(df: DataFrame, row: str, vector: str) -> DataFrame:

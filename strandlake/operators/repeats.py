@@ -75,6 +75,10 @@ class ConsensusSettings:
     window: int = 7
     min_coverage: int = 5
 
+    def __post_init__(self):
+        if self.tip_gap_multiplier < 0 or self.window < 1 or self.min_coverage < 0 or not 0 <= self.max_tip_threshold <= 100 or not 0 <= self.min_branch_threshold <= 100:
+            raise ValueError(f"settings out of range: {self}")
+
 
 def _cut_head(runs: list[str], total: int, s: ConsensusSettings) -> list[str]:
     letters, limit = 0, int(total * s.max_tip_threshold / 100)
@@ -108,7 +112,8 @@ def side_dashes(row: str, filler: str = " ") -> tuple[str, int, int]:
 
 
 def consensus(alignments: DataFrame, s: ConsensusSettings = ConsensusSettings()) -> DataFrame:
-    """group, consensus for alignments (group, row, seq) of equal-length rows.
+    """group, consensus for alignments (group, row, seq) of equal-length rows; rows of other lengths, or a window longer than
+    the rows, are an error. A column's most frequent character is found with the spaces beyond the rows' ends counted.
 
     Characters and windows are exploded and counted by place, so an alignment of any depth is summed in partial counts;
     only the winners, one for each place and one for each window, come together.
@@ -119,8 +124,9 @@ def consensus(alignments: DataFrame, s: ConsensusSettings = ConsensusSettings())
         return x.map(lambda r: side_dashes(remove_tips(r, s))[0])
 
     rows = alignments.select("group", clean(sq.dnaize(F.col("seq"), keep_dashes=True)).alias("s"))
-    letters = rows.select("group", F.posexplode(F.split("s", "")).alias("i", "c")).where("c not in (' ', '')").groupBy("group", "i", "c").agg(F.count(F.lit(1)).alias("n"))
-    cover = letters.groupBy("group", "i").agg(F.sum("n").alias("cover"), F.max(F.struct("n", F.translate("c", "-ACGNT", "654321").alias("o"), "c")).alias("m"))
+    letters = rows.select("group", F.posexplode(F.split("s", "")).alias("i", "c")).where("c <> ''").groupBy("group", "i", "c").agg(F.count(F.lit(1)).alias("n"))
+    # of characters as frequent as each other the first counts
+    cover = letters.groupBy("group", "i").agg(F.coalesce(F.sum(F.when(F.col("c") != " ", F.col("n"))), F.lit(0)).alias("cover"), F.max(F.struct("n", F.translate("c", " -ACGNT", "7654321").alias("o"), "c")).alias("m"))
     places = cover.select("group", "i", "cover", F.col("m.c").alias("mode"), F.col("m.n").alias("mode_n"))
     words = rows.select("group", F.posexplode(sq.windows(F.col("s"), s.window)).alias("at", "w")).where(~F.col("w").contains(" "))
     words = words.groupBy("group", "at", "w").agg(F.count(F.lit(1)).alias("n"))
@@ -131,6 +137,8 @@ def consensus(alignments: DataFrame, s: ConsensusSettings = ConsensusSettings())
     votes = votes.join(places.select("group", "i", "cover"), ["group", "i"]).where(100 * F.col("n") >= s.min_branch_threshold * F.col("cover")).drop("cover")
     win = votes.unionByName(gaps).groupBy("group", "i").agg(F.max(F.struct("n", (-F.col("at")).alias("o"), "c")).alias("v"))
     shown = places.join(win, ["group", "i"], "left").select("group", "i", F.coalesce(F.when(F.col("v.n") >= s.min_coverage, F.upper("v.c")).otherwise(F.lower("v.c")), F.lit("n")).alias("c"))
-    widths = rows.groupBy("group").agg(F.max(F.length("s")).alias("width"))
+    widths = rows.groupBy("group").agg(F.max(F.length("s")).alias("width"), F.min(F.length("s")).alias("least"))
+    fault = F.when(F.col("least") != F.col("width"), "rows of different lengths").when(F.col("width") < s.window, "a window longer than the rows")
+    widths = widths.withColumn("width", F.when(fault.isNotNull(), F.raise_error(fault).cast("int")).otherwise(F.col("width")))
     letters_of = shown.groupBy("group").agg(F.map_from_entries(F.collect_list(F.struct("i", "c"))).alias("m"))
     return widths.join(letters_of, "group", "left").select("group", F.array_join(F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda i: F.coalesce(F.try_element_at("m", i), F.lit("n"))), "").alias("consensus"))

@@ -50,15 +50,63 @@ def summary(freq: DataFrame) -> DataFrame:
         F.coalesce(F.sum(v * v * n) / count - mean * mean, F.lit(0.0)).alias("variance"))
 
 
+def spreads(freq: DataFrame) -> DataFrame:
+    """variance, sd and their sample forms of the values and of their absolutes, and mean_log_abs; 0 where too few values are
+    there. Sums of squares are taken around the mean, in a second pass."""
+    v, n = F.col("value").cast("double"), F.col("freq")
+    means = F.broadcast(freq.agg(F.coalesce(F.sum(n), F.lit(0)).alias("__n"), (F.sum(v * n) / F.sum(n)).alias("__m"), (F.sum(F.abs(v) * n) / F.sum(n)).alias("__a"), (F.sum(F.when(v != 0, F.ln(F.abs(v))).otherwise(F.lit(float("-inf"))) * n) / F.sum(n)).alias("__l")))
+    x = freq.crossJoin(means)
+    around = lambda c, m: F.sum(F.pow(c - F.col(m), F.lit(2.0)) * n)
+    s = x.agg(F.coalesce(F.first("__n"), F.lit(0)).alias("n"), F.first("__l").alias("l"), around(v, "__m").alias("s"), around(F.abs(v), "__a").alias("t"))
+    over = lambda c, less: F.when(F.col("n") > less, F.col(c) / (F.when(F.col("n") > less, F.col("n")).otherwise(less + 1) - less)).otherwise(0.0)
+    parts = {"variance": over("s", 0), "sample_variance": over("s", 1), "variance_abs": over("t", 0), "sample_variance_abs": over("t", 1)}
+    sds = {k.replace("variance", "sd"): F.sqrt(c) for k, c in parts.items()}
+    return s.select(*(c.alias(k) for k, c in (parts | sds).items()), F.coalesce("l", F.lit(0.0)).alias("mean_log_abs"))
+
+
+def frequency(freq: DataFrame, values: DataFrame) -> DataFrame:
+    """value, freq for the values asked for: 0 for those that are not there."""
+    return values.select("value").distinct().join(freq, "value", "left").select("value", F.coalesce("freq", F.lit(0)).cast("long").alias("freq"))
+
+
+def expand(freq: DataFrame, part: int = 1 << 16) -> DataFrame:
+    """value: each as often as its frequency says; a frequent one is first cut into parts, which are spread."""
+    cut = freq.select("value", "freq", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("freq") - 1) / part))).alias("__k")).where("freq > 0")
+    n = F.least(F.col("freq") - F.col("__k") * part, F.lit(part)).cast("int")
+    return cut.repartition("value", "__k").select(F.explode(F.array_repeat("value", n)).alias("value"))
+
+
+def to_array(freq: DataFrame) -> DataFrame:
+    """values: one array of all values in order, for multisets that fit one."""
+    return freq.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("value", "freq"))), lambda x: F.array_repeat(x["value"], x["freq"].cast("int")))).alias("values"))
+
+
 def most_frequent(freq: DataFrame) -> DataFrame:
     """value, freq of the most frequent value; the smallest of several."""
     return freq.agg(F.min_by(F.struct("value", "freq"), F.struct((-F.col("freq")).alias("f"), "value")).alias("m")).select("m.value", "m.freq")
 
 
 def median(df: DataFrame, x: str, *by: str, whole: bool = False) -> DataFrame:
-    """The middle value or the mean of both middles (a whole division for whole numbers); 0 of none."""
-    m = F.coalesce(F.median(F.col(x).cast("double")), F.lit(0.0))
-    return df.groupBy(*by).agg((F.floor(m) if whole else m).alias("median"))
+    """The middle value or the mean of both middles (a whole division for whole numbers); 0 of none.
+
+    From running counts over the frequencies: without groups these are range-partitioned, so no task holds all values."""
+    v = F.col(x).cast("double").alias("value")
+    freq = df.where(F.col(x).isNotNull()).groupBy(*by, v).agg(F.count(F.lit(1)).alias("freq"))
+    if by:
+        run = freq.withColumns({"__upto": F.sum("freq").over(Window.partitionBy(*by).orderBy("value")), "__n": F.sum("freq").over(Window.partitionBy(*by))})
+    else:
+        spread = freq.repartitionByRange("value").withColumn("__p", F.spark_partition_id())
+        sums = spread.groupBy("__p").agg(F.sum("freq").alias("__s"))  # one row a partition
+        offsets = sums.select("__p", (F.sum("__s").over(Window.orderBy("__p")) - F.col("__s")).alias("__before"), F.sum("__s").over(Window.partitionBy()).alias("__n"))
+        run = spread.join(F.broadcast(offsets), "__p").withColumn("__upto", F.col("__before") + F.sum("freq").over(Window.partitionBy("__p").orderBy("value")))
+    low, high = F.floor((F.col("__n") - 1) / 2), F.floor(F.col("__n") / 2)
+    at = lambda k: F.max(F.when((F.col("__upto") - F.col("freq") <= k) & (k < F.col("__upto")), F.col("value")))
+    m = F.coalesce((at(low) + at(high)) / 2, F.lit(0.0))
+    found = run.groupBy(*by).agg((F.floor(m) if whole else m).alias("median"))
+    if not by:
+        return found
+    # groups without a value have 0 too
+    return df.select(*by).distinct().join(found, list(by), "left").select(*by, F.coalesce("median", F.lit(0).cast(found.schema["median"].dataType)).alias("median"))
 
 
 def mad(df: DataFrame, x: str) -> DataFrame:
@@ -88,7 +136,9 @@ def threshold(freq: DataFrame, t: float, descending: bool = False) -> DataFrame:
     Equal elements are one row, so how many of them stay is computed, not enumerated. The running sum is over distinct
     values, range-partitioned: each partition's total is added up first, so no task sorts them all.
     """
-    if t >= 1:
+    if not 0 <= t <= 1:
+        raise ValueError(f"a threshold outside 0 to 1: {t}")
+    if t == 1:
         return freq
     v = F.col("value").cast("double")
     order = F.desc("value") if descending else F.asc("value")
@@ -99,6 +149,8 @@ def threshold(freq: DataFrame, t: float, descending: bool = False) -> DataFrame:
     run = spread.join(F.broadcast(offsets), "__p").withColumn("__sum", F.col("__before") + F.coalesce(F.sum(F.col("__a") * F.col("freq")).over(w), F.lit(0.0)))
     room = F.lit(float(t)) * F.col("__all") - F.col("__sum")
     stay = F.when(room <= 0, F.lit(0)).when(F.col("__a") == 0, F.col("freq")).otherwise(F.least(F.col("freq"), F.ceil(room / F.when(F.col("__a") == 0, 1.0).otherwise(F.col("__a")))))
+    # what stays must not be negative
+    stay = F.when((v < 0) & (stay > 0), F.raise_error(F.lit("a negative element")).cast("long")).otherwise(stay)
     kept = run.select(v.alias("value"), "freq", stay.cast("long").alias("__k"))
     both = kept.select(F.explode(F.array(F.struct("value", F.col("__k").alias("freq")), F.struct(F.lit(0.0).alias("value"), (F.col("freq") - F.col("__k")).alias("freq")))).alias("x"))
     return _regroup(both.select("x.value", "x.freq").where("freq > 0"))

@@ -56,7 +56,7 @@ def run_command(lines: DataFrame, command: list[str], block: int = 10_000, colum
             done = subprocess.run(command, input="".join(x + "\n" for x in part), capture_output=True, text=True)
             if done.returncode:
                 raise RuntimeError(f"{command[0]} exited with {done.returncode}: {done.stderr[-500:]}")
-            return pd.DataFrame({"value": done.stdout.splitlines()})
+            return pd.DataFrame({"value": pd.Series(done.stdout.splitlines(), dtype=object)})
 
         for pdf in batches:
             held += pdf[column].tolist()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandlake.plans.tables import new_path
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -47,3 +49,18 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 FEATURES_SQL = """SELECT l_orderkey || '_' || l_linenumber AS id, 'chr' || (l_suppkey % 30) AS seq, (l_partkey % 40)::BIGINT AS low,
     l_quantity::BIGINT AS length, CASE WHEN l_linenumber % 2 = 0 THEN '+' ELSE '-' END AS strand FROM lineitem"""
+
+
+def mixed(text: Column, doc_id: Column) -> Column:
+    """Sequences of 40 to 80 letters: either case, N, dashes and letters that are none."""
+    return F.translate(F.substr(F.coalesce(text, F.lit("")), F.lit(1), (doc_id % 41 + 40).cast("int")), "abcdefghijklmnopqrstuvwxyz >\n\r\t", "ACGTacgtN-ACGTACGTNacgtACG-NNNN")
+
+
+MIXED_SQL = "translate(substr(coalesce(text, ''), 1, (doc_id % 41 + 40)::INT), 'abcdefghijklmnopqrstuvwxyz >' || chr(10) || chr(13) || chr(9), 'ACGTacgtN-ACGTACGTNacgtACG-NNNN')"
+
+
+def text_file(df: DataFrame, name: str) -> str:
+    """A folder of text files with df's one column, in the shared folder."""
+    path = new_path(df.sparkSession, name)
+    df.write.text(path)
+    return path

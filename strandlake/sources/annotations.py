@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from strandlake.functions import sequences as sq
 from strandlake.operators import annotation as an
-from strandlake.sources.formats import lines, numbered
+from strandlake.plans.tables import remove, written
+from strandlake.sources.formats import lines, text_rows
 
 
 def _fields(x: DataFrame) -> DataFrame:
@@ -49,13 +50,41 @@ def read_gff3(spark: SparkSession, path: str, dialect: str = "standard", hierarc
     return placed.orderBy("ord"), meta
 
 
-def read_gtf(spark: SparkSession, path: str) -> DataFrame:
-    """n, seq, type, low, length, strand, gene_id, transcript_id, synthesized, with missing parents made up."""
+_GTF_PAIR = re.compile(r'\s*([^\s;"]+)\s+(?:"((?:[^"\\]|\\.)*)"|([^\s;"]+))\s*(?:;|\Z)')
+
+
+def gtf_attributes(text: str) -> dict[str, list[str]]:
+    """The keys of `key "value"; ...`, each with its values in order; bare values are taken too. Anything else is an error."""
+    out: dict = {}
+    at, text = 0, text.strip()
+    while at < len(text) and text != ".":
+        m = _GTF_PAIR.match(text, at)
+        if not m:
+            raise ValueError(f"unreadable attributes: {text[at : at + 40]!r}")
+        value = re.sub(r"\\(.)", r"\1", m[2]) if m[2] is not None else m[3]
+        out.setdefault(m[1], []).append(value)
+        at = m.end()
+    return out
+
+
+def read_gtf(spark: SparkSession, path: str, hierarchy: str | None = None) -> DataFrame:
+    """n, seq, type, low, length, strand, gene_id, transcript_id, source, score, phase, attributes, synthesized, path, id, ord,
+    with missing parents made up, in the order of ord. A path outside the hierarchy is an error."""
     rows, _ = _framed(spark, path)
-    x = _fields(rows)
-    value = lambda k: F.when(F.col("attrs").rlike(f'(^|;)\\s*{k} "'), F.regexp_extract("attrs", f'(?:^|;)\\s*{k} "((?:[^"\\\\]|\\\\.)*)"', 1))
-    x = x.withColumns({"gene_id": value("gene_id"), "transcript_id": value("transcript_id")})
-    return an.synthesize_parents(x.select("n", "seq", "type", "low", "length", "strand", "gene_id", "transcript_id"))
+
+    @F.pandas_udf("map<string,array<string>>")
+    def attributes(s: pd.Series) -> pd.Series:
+        return s.map(gtf_attributes)
+
+    # parsed once, though parents are made up from several sides of it
+    x = written(_fields(rows).withColumn("attributes", attributes("attrs")).drop("attrs"), "gtf-rows")
+    first = lambda k: F.try_element_at(F.try_element_at("attributes", F.lit(k)), F.lit(1))
+    placed = written(an.gtf_paths(an.synthesize_parents(x.withColumns({"gene_id": first("gene_id"), "transcript_id": first("transcript_id")}))), "gtf-features")
+    remove(x)
+    bad = an.check_paths(placed, an.hierarchy(spark, hierarchy or an.HIERARCHIES["gtf", "standard"])).first()
+    if bad:
+        raise ValueError(f"not in the hierarchy: {'->'.join(bad.path)}")
+    return placed.orderBy("ord")
 
 
 # ---- GenBank --------------------------------------------------------------------------------------------------------
@@ -63,23 +92,26 @@ def read_gtf(spark: SparkSession, path: str) -> DataFrame:
 _LOCATION = re.compile(r"\s*(complement|join|order|\(|\)|,|\.\.|\^|[<>]?\d+|[A-Za-z_][\w.]*:)")
 
 
-def parse_location(text: str) -> tuple[list[tuple[int, int]], str]:
-    """([(low, length)], strand): flattened; a place between bases has length 0; the strand is that of the last part."""
+def parse_location(text: str) -> tuple[list[tuple[int, int]], str | None]:
+    """([(low, length)], strand): flattened; a place between bases has length 0; the strand is that of the last part: none
+    without a complement, and turned by each one."""
     toks = _LOCATION.findall(text)
     if "".join(toks) != re.sub(r"\s", "", text):
         raise ValueError(f"not a location: {text!r}")
     at = 0
 
-    def one(strand: str) -> list[tuple[int, int, str]]:
+    def one(strand: str | None) -> list[tuple[int, int, str | None]]:
         nonlocal at
         t = toks[at]
         at += 1
         if t in ("complement", "join", "order"):
             at += 1
-            out = one("-" if t == "complement" else strand)
+            if t == "complement":
+                strand = "+" if strand == "-" else "-"
+            out = one(strand)
             while toks[at] == ",":
                 at += 1
-                out += one("-" if t == "complement" else strand)
+                out += one(strand)
             at += 1
             return out
         if t.endswith(":"):
@@ -91,7 +123,7 @@ def parse_location(text: str) -> tuple[list[tuple[int, int]], str]:
             return [(a, 0, strand)] if sep == "^" else [(a - 1, b - a + 1, strand)]
         return [(a - 1, 1, strand)]
 
-    parts = one("+")
+    parts = one(None)
     return [(a, b) for a, b, _ in parts], parts[-1][2]
 
 
@@ -131,28 +163,44 @@ def parse_genbank(text: str) -> dict:
     return {"headers": headers, "features": [(n, "".join(loc), [(k, unquote(v)) for k, v in q]) for n, loc, q in feats], "origin": "".join(origin)}
 
 
-def read_genbank(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(features, reference): one row an interval, under the record's source."""
-    raw = numbered(spark.read.option("lineSep", "\n//").text(path), "record").select("record", F.regexp_replace("value", "\r", "").alias("value")).where("trim(replace(value, '\\n', '')) <> ''")
+def locus_and_length(headers) -> tuple[str, int]:
+    """The LOCUS line's name, and the number before its `bp`."""
+    words = next((v.split() for k, v in headers if k == "LOCUS"), [])
+    size = next((a for a, b in zip(words[1:], words[2:]) if b == "bp"), "0")
+    return words[0] if words else "", int(size) if size.isdigit() else 0
+
+
+def _records(spark: SparkSession, path: str) -> DataFrame:
+    return text_rows(spark, path, "record", "\n//").select("record", F.regexp_replace("value", "\r", "").alias("value")).where("trim(replace(value, '\\n', '')) <> ''")
+
+
+def read_genbank(spark: SparkSession, path: str, hierarchy: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(features, reference): one row an interval, under the record's source; a type that the hierarchy lacks is an error."""
+    raw, allowed = _records(spark, path), set(an.parse_hierarchy(hierarchy or an.HIERARCHIES["genbank", "standard"]))
 
     def run(batches):
         for pdf in batches:
             rows = []
             for n, text in zip(pdf["record"], pdf["value"], strict=True):
                 r = parse_genbank(text)
-                locus = next((v.split() for k, v in r["headers"] if k == "LOCUS"), ["", "0"])
+                locus, size = locus_and_length(r["headers"])
                 feats = list(r["features"])
                 if not any(f[0] == "source" for f in feats):
-                    feats.insert(0, ("source", f"1..{locus[1]}", []))
+                    feats.insert(0, ("source", f"1..{size}", []))
+                # a record's source comes first, and only once
+                feats.sort(key=lambda f: f[0] != "source")
+                feats = [f for i, f in enumerate(feats) if f[0] != "source" or not i]
                 for i, (kind, loc, quals) in enumerate(feats):
                     q = dict(reversed(quals))
                     parts, strand = parse_location(loc)
                     path_ = ["source"] if kind == "source" else ["source", kind]
-                    id_ = locus[0] if kind == "source" else q.get("locus_tag") or q.get("gene")
+                    if tuple(path_) not in allowed and kind != "source":
+                        raise ValueError(f"not in the hierarchy: {kind}")
+                    id_ = locus if kind == "source" else q.get("locus_tag") or q.get("gene")
                     attrs: dict = {}
                     for k, v in quals:
                         attrs.setdefault(k, []).append(v)
-                    rows += [(n, i, path_, id_, locus[0], a, b, strand, part, list(attrs.items())) for part, (a, b) in enumerate(parts)]
+                    rows += [(n, i, path_, id_, locus, a, b, None if kind == "source" else strand, part, attrs) for part, (a, b) in enumerate(parts)]
             yield pd.DataFrame(rows, columns=["record", "n", "path", "id", "seq", "low", "length", "strand", "part", "attributes"])
 
     schema = "record long, n int, path array<string>, id string, seq string, low long, length long, strand string, part int, attributes map<string,array<string>>"
@@ -167,6 +215,17 @@ def read_genbank(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return features, reference
 
 
+def read_genbank_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """record, pos, key, value of the records' headers but LOCUS, which the writer makes anew."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = [(n, i, k, v) for n, text in zip(pdf["record"], pdf["value"], strict=True) for i, (k, v) in enumerate(parse_genbank(text)["headers"]) if k != "LOCUS"]
+            yield pd.DataFrame(rows, columns=["record", "pos", "key", "value"])
+
+    return _records(spark, path).mapInPandas(run, "record long, pos long, key string, value string")
+
+
 READERS = {"gff3": read_gff3, "gtf": read_gtf, "genbank": read_genbank}
 
 
@@ -191,21 +250,54 @@ def gff3_lines(features: DataFrame, encode: bool = True) -> DataFrame:
     return features.orderBy("ord").select(row.alias("line"))
 
 
+def gff3_header(meta: DataFrame) -> DataFrame:
+    """line: the metadata as pragmas, by key and place, after the version's line unless the metadata has one."""
+    own = meta.select(F.lit(1).alias("k"), "key", "pos", F.concat(F.lit("##"), F.col("key"), F.lit(" "), F.col("value")).alias("line"))
+    lacks = meta.where("key = 'gff-version'").agg((F.count(F.lit(1)) == 0).alias("lacks")).where("lacks")
+    first = lacks.select(F.lit(0).alias("k"), F.lit("").alias("key"), F.lit(0).cast("long").alias("pos"), F.lit("##gff-version 3").alias("line"))
+    return first.union(own.select("k", "key", F.col("pos").cast("long"), "line")).orderBy("k", "key", "pos").select("line")
+
+
 def gtf_lines(features: DataFrame, source: str = "strandlake") -> DataFrame:
+    """line, in the features' order; all attributes, the ids first where they are columns only."""
     q = lambda v: F.replace(F.replace(v, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    pair = lambda k: F.when(F.col(k).isNotNull(), F.concat(F.lit(f'{k} "'), q(F.col(k)), F.lit('";')))
-    row = F.concat_ws("\t", "seq", F.lit(source), "type", (F.col("low") + 1).cast("string"), (F.col("low") + F.col("length")).cast("string"), F.lit("."), _DOT(F.col("strand")), F.lit("."), F.concat_ws(" ", pair("gene_id"), pair("transcript_id")))
-    return features.orderBy("n", F.when(F.col("type") == "gene", 0).when(F.col("type") == "transcript", 1).otherwise(2)).select(row.alias("line"))
+    pair = lambda k, v: F.concat(k, F.lit(' "'), q(v), F.lit('";'))
+    if "attributes" in features.columns:
+        each = F.flatten(F.transform(F.array_sort(F.map_entries("attributes")), lambda e: F.transform(e["value"], lambda v: pair(e["key"], v))))
+        text = F.array_join(each, " ")
+    else:
+        text = F.concat_ws(" ", *(F.when(F.col(k).isNotNull(), pair(F.lit(k), F.col(k))) for k in ("gene_id", "transcript_id")))
+    src = F.coalesce("source", F.lit(source)) if "source" in features.columns else F.lit(source)
+    phase = _DOT(F.col("phase")) if "phase" in features.columns else F.lit(".")
+    row = F.concat_ws("\t", "seq", src, "type", (F.col("low") + 1).cast("string"), (F.col("low") + F.col("length")).cast("string"), F.lit("."), _DOT(F.col("strand")), phase, text)
+    order = ["ord"] if "ord" in features.columns else ["n", F.when(F.col("type") == "gene", 0).when(F.col("type") == "transcript", 1).otherwise(2)]
+    return features.orderBy(*order).select(row.alias("line"))
+
+
+# ---- saved annotations ----------------------------------------------------------------------------------------------
+
+
+def save_annotation(path: str, features: DataFrame, meta: DataFrame | None = None, reference: DataFrame | None = None) -> None:
+    """Tables of an annotation in one folder, read back without parsing."""
+    features.write.parquet(f"{path}/features")
+    for name, df in (("metadata", meta), ("reference", reference)):
+        if df is not None:
+            df.write.parquet(f"{path}/{name}")
+
+
+def load_annotation(spark: SparkSession, path: str, *parts: str) -> tuple[DataFrame, ...]:
+    """The features, and the other parts asked for ("metadata", "reference")."""
+    return tuple(spark.read.parquet(f"{path}/{p}") for p in ("features", *parts))
 
 
-def genbank_text(features: DataFrame, reference: DataFrame) -> DataFrame:
-    """seq, record: a GenBank record for each sequence; a sequence's features are one task's."""
+def genbank_text(features: DataFrame, reference: DataFrame, headers: tuple[tuple[str, str], ...] = ()) -> DataFrame:
+    """seq, record: a GenBank record for each sequence, with the headers given; a sequence's features are one task's."""
 
     def one(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left):
             return pd.DataFrame({"seq": [], "record": []})
         name, end = left["seq"].iloc[0], int((left["low"] + left["length"]).max())
-        out = [f"LOCUS       {name} {end} bp    DNA", "FEATURES             Location/Qualifiers"]
+        out = [f"LOCUS       {name:<16}{end} bp    DNA", *(f"{k:<12}{v}" for k, v in headers), "FEATURES             Location/Qualifiers"]
         for _, f in left.groupby("n", sort=True):
             spans = [f"{a + 1}..{a + b}" for a, b in zip(f["low"], f["length"], strict=True)]
             loc = spans[0] if len(spans) == 1 else f"join({','.join(spans)})"

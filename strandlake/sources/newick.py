@@ -6,6 +6,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from strandlake.sources.formats import c_general
 
@@ -198,3 +199,48 @@ def write_splits(names: list[str], splits: list[tuple[int, float]], digits: int
     """Names are quoted if they hold quotes, blanks or colons, or could be read as numbers."""
     q = lambda n: "'" + n.replace("'", "''") + "'" if re.search(r"[\s:;'\"]", n) or n.isdigit() else n
     return " ".join(map(q, names)) + ":" + "".join(f" 0d{m}#{c_general(w, digits)}" for m, w in splits) + ";"
+
+
+def read_splits(texts: DataFrame, column: str = "value", key: str = "register_id") -> tuple[DataFrame, DataFrame]:
+    """(names, splits) of a column of registers: (key, bit, name) and (key, mask in decimal, weight); equal splits are added."""
+
+    def names(batches):
+        for pdf in batches:
+            rows = [(k, i, n) for k, t in zip(pdf[key], pdf[column], strict=True) for i, n in enumerate(parse_splits(t)[0])]
+            yield pd.DataFrame(rows, columns=[key, "bit", "name"])
+
+    def splits(batches):
+        for pdf in batches:
+            rows = [(k, str(m), w) for k, t in zip(pdf[key], pdf[column], strict=True) for m, w in parse_splits(t)[1]]
+            yield pd.DataFrame(rows, columns=[key, "mask", "weight"])
+
+    kind, own = texts.schema[key].dataType.simpleString(), texts.select(key, column)
+    found = own.mapInPandas(splits, f"{key} {kind}, mask string, weight double")
+    return own.mapInPandas(names, f"{key} {kind}, bit int, name string"), found.groupBy(key, "mask").agg(F.sum("weight").alias("weight"))
+
+
+def splits_text(names: DataFrame, splits: DataFrame, digits: int = 15, key: str = "register_id") -> DataFrame:
+    """key, value: each register as text, its splits by mask. A register's splits are one task's, as its text is one value."""
+
+    def one(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left):
+            raise ValueError("splits without names")
+        rows = sorted(((int(m), w) for m, w in zip(right["mask"], right["weight"], strict=True)))
+        return pd.DataFrame({key: [left[key].iloc[0]], "value": [write_splits(left.sort_values("bit")["name"].tolist(), rows, digits)]})
+
+    kind = names.schema[key].dataType.simpleString()
+    return names.groupBy(key).cogroup(splits.groupBy(key)).applyInPandas(one, f"{key} {kind}, value string")
+
+
+def newick_texts(nodes: DataFrame, rich: bool = True) -> DataFrame:
+    """tree_id, value: flat trees (of one tree an id) as Newick; a tree is one task's, as its text is one value."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf.sort_values("idx").astype(object).where(pdf.sort_values("idx").notna(), None).to_dict("records")
+        for r in rows:
+            r |= {"is_root": r.get("is_root", True), **{k: dict(r.get(k) or {}) for k in ("node_dict", "edge_dict")}}
+            if r.get("hybrid_id") is not None:
+                r["hybrid_id"] = int(r["hybrid_id"])
+        return pd.DataFrame({"tree_id": [pdf["tree_id"].iloc[0]], "value": [write_flat(rows, rich)]})
+
+    return nodes.groupBy("tree_id").applyInPandas(one, "tree_id long, value string")

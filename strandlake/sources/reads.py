@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.functions import sequences as sq
-from strandlake.sources.formats import lines, numbered
+from strandlake.sources.formats import lines, numbered, text_rows
 
 _FAIL = "string"
 
@@ -14,7 +14,7 @@ _FAIL = "string"
 def fasta(spark: SparkSession, path: str, linter: str = "dna", allow_empty: bool = True, **lint) -> DataFrame:
     """The tag is the whole header; sequence lines are joined and linted. The file is split at headers, so it is read in
     parallel. Text before the first header, and an empty sequence unless allowed, are errors."""
-    raw = numbered(spark.read.option("lineSep", "\n>").text(path), "n")
+    raw = text_rows(spark, path, "n", "\n>")
     v = F.regexp_replace("value", "\r", "")
     lead = F.when(F.col("n") == 0, F.regexp_replace(v, "^\\s+", "")).otherwise(F.concat(F.lit(">"), v))
     rows = raw.select("n", lead.alias("v")).where("v <> ''")
@@ -108,7 +108,7 @@ def reference(spark: SparkSession, path: str, tables: str = "", linter: str = "d
 
 def dictionary(spark: SparkSession, path: str, lower: bool = False) -> DataFrame:
     """id, word: non-empty lines, numbered from the last one up."""
-    words = numbered(spark.read.text(path).where("value <> ''"), "n").select("n", F.lower("value").alias("word") if lower else F.col("value").alias("word"))
+    words = numbered(text_rows(spark, path).where("value <> ''"), "n").select("n", F.lower("value").alias("word") if lower else F.col("value").alias("word"))
     last = F.broadcast(words.agg(F.max("n").alias("top")))
     return words.crossJoin(last).select((F.col("top") - F.col("n")).alias("id"), "word")
 

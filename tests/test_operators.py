@@ -232,3 +232,136 @@ def test_register(spark):
     s = spark.createDataFrame([(3, 1.0), (3, 2.0), (5, 1.0)], "mask long, weight double")
     r = programs.Register().add(s).add(s).drop_below(4)
     assert [tuple(x) for x in r.splits.collect()] == [(3, 6.0)] and r.dropped.select(F.sum("weight")).first()[0] == 2
+
+
+def slow_consensus(rows, window=7, branch=40, least=5):
+    """The rules, column by column and window by window."""
+    rows = [repeats.side_dashes(repeats.remove_tips("".join(c if c in "ACGT-" else "N" for c in r.upper())))[0] for r in rows]
+    n = len(rows[0])
+    cover = [sum(r[i] != " " for r in rows) for i in range(n)]
+    best, out = [0] * n, ["n"] * n
+    for i in range(n):
+        column = [r[i] for r in rows]
+        c = min(set(column), key=lambda x: (-column.count(x), x))
+        if c == "-" and 100 * column.count(c) >= branch * cover[i]:
+            best[i], out[i] = column.count(c), "-"
+    for at in range(n - window + 1):
+        words = [r[at : at + window] for r in rows if " " not in r[at : at + window]]
+        if words:
+            w = min(set(words), key=lambda x: (-words.count(x), x))
+            k = words.count(w)
+            for i, c in enumerate(w, at):
+                if k > best[i] and 100 * k >= branch * cover[i]:
+                    best[i], out[i] = k, c.upper() if k >= least else c.lower()
+    return "".join(out)
+
+
+def test_consensus_against_the_rules(spark):
+    rng = random.Random(8)
+    groups = []
+    for _ in range(25):
+        base = "".join(rng.choice("ACGT") for _ in range(30))
+        rows = []
+        for _ in range(rng.randint(1, 9)):
+            a, b = rng.randint(0, 22), rng.randint(0, 10)
+            r = "".join("-" if rng.random() < 0.15 else rng.choice("acgtN") if rng.random() < 0.1 else c for c in base)
+            rows.append("-" * a + r[a : len(r) - b] + "-" * b if a + b < 30 else r)
+        groups.append(rows)
+    df = spark.createDataFrame([(g, i, s) for g, rows in enumerate(groups) for i, s in enumerate(rows)], "group long, row long, seq string")
+    assert {r.group: r.consensus for r in repeats.consensus(df).collect()} == {g: slow_consensus(rows) for g, rows in enumerate(groups)}
+    for bad in ([(0, 0, "ACGTACGT"), (0, 1, "ACG")], [(0, 0, "ACG")]):
+        with pytest.raises(Exception, match="different lengths|longer than"):
+            repeats.consensus(spark.createDataFrame(bad, "group long, row long, seq string")).collect()
+    with pytest.raises(ValueError):
+        repeats.ConsensusSettings(min_branch_threshold=101)
+
+
+def test_names_of_products_must_match(spark):
+    m = spark.createDataFrame([("a", "x", 1.0), ("a", "y", 2.0)], "row string, col string, value double")
+    n = spark.createDataFrame([("x", "p", 3.0), ("z", "p", 1.0)], "row string, col string, value double")
+    with pytest.raises(Exception, match="different names"):
+        matrix.times_matrix(m, n).collect()
+    assert matrix.times_matrix(m, n.replace("z", "y")).first().value == 5
+    v = spark.createDataFrame([("x", 2.0)], "col string, value double")
+    with pytest.raises(Exception, match="entries"):
+        matrix.times_vector(m, v).collect()
+    assert matrix.times_vector(m, v, sparse=True).first().value == 2
+    with pytest.raises(Exception, match="entries"):
+        matrix.times_vector(m, v.replace("x", "q"), sparse=True).collect()
+
+
+def test_hierarchy_notation():
+    paths = annotation.parse_hierarchy("(gene ((mRNA (exon, CDS)))), pseudogene, (region)")
+    assert paths == [("gene",), ("gene", "mRNA"), ("gene", "mRNA", "exon"), ("gene", "mRNA", "CDS"), ("pseudogene",), ("region",)]
+    assert annotation.show_hierarchy(paths) == "(gene ((mRNA (exon, CDS)))), pseudogene, region"
+    assert annotation.children_of(paths, ("gene", "mRNA")) == ["exon", "CDS"] and annotation.find_type(paths, "CDS") == [("gene", "mRNA", "CDS")]
+    for bad in ("", "(gene", "(gene mRNA)", "gene mRNA", "gene,", "(gene ())", "gene)"):
+        with pytest.raises(ValueError):
+            annotation.parse_hierarchy(bad)
+
+
+def test_deep_features_and_rings(spark):
+    rows = [(i, "gene", f"f{i}", f"f{i - 1}" if i else None) for i in range(40)]
+    df = spark.createDataFrame(rows, "n long, type string, id string, parent string")
+    assert annotation.place(df).where("size(path) = 40").count() == 1
+    ring = spark.createDataFrame([(0, "gene", "a", "b"), (1, "gene", "b", "a")], "n long, type string, id string, parent string")
+    with pytest.raises(ValueError, match="without its parent"):
+        annotation.place(ring)
+
+
+def test_report_can_fail(spark):
+    f = spark.createDataFrame([(1, "x", ["gene"], "d", 0, 6)], "ord long, id string, path array<string>, seq string, low long, length long")
+    r = spark.createDataFrame([("c", "ATGGCCTAA")], "name string, seq string")
+    with pytest.raises(ValueError, match="no sequence d"):
+        annotation.validate(f, r, fail=True)
+    assert annotation.validate(f, r).count() == 1
+
+
+def test_multisets(spark):
+    df = spark.createDataFrame([(x,) for x in (3.0, -1.0, 3.0, 2.0, 7.0)], "x double")
+    f = statistics.frequencies(df, "x")
+    assert sorted(r.value for r in statistics.expand(f, 1).collect()) == [-1.0, 2.0, 3.0, 3.0, 7.0] == statistics.to_array(f).first()["values"]
+    assert [statistics.median(df.where(w), "x").first().median for w in ("x > 0", "true", "x > 9")] == [3.0, 3.0, 0.0]
+    assert statistics.median(df.where("x <> 3"), "x", whole=True).first().median == 2
+    by = df.selectExpr("x", "x > 2 as big").union(spark.createDataFrame([(None, None)], "x double, big boolean"))
+    assert {r.big: r.median for r in statistics.median(by, "x", "big").collect()}[True] == 3.0
+    one = statistics.spreads(f.where("value = 7")).first()
+    assert one.variance == 0 and one.sample_variance == 0 and one.sample_sd_abs == 0
+    with pytest.raises(ValueError):
+        statistics.threshold(f, 1.5)
+    with pytest.raises(Exception, match="negative"):
+        statistics.threshold(f, 0.5).collect()
+
+
+def test_collections_fail_loudly(spark):
+    from strandlake.functions import collections as co
+
+    x = spark.createDataFrame([([1, 2], [3], {"a": 1})], "a array<int>, b array<int>, m map<string,int>")
+    a, b = F.col("a"), F.col("b")
+    for bad in (co.map2(a, b, lambda p, q: p + q), co.add_at(a, F.lit(2), F.lit(1)), co.replace_part(b, F.lit(0), a), co.top(F.slice(a, 1, 0)), co.pop(F.slice(a, 1, 0))):
+        with pytest.raises(Exception, match="arrays|place|outside|empty"):
+            x.select(bad).collect()
+    assert x.select(co.map2i(a, a, lambda i, p, q: i + p * q).alias("r")).first().r == [1, 5]
+    assert x.select(co.find_next(F.col("m"), F.lit("a")).alias("r")).first().r is None
+    assert x.select(co.multimap_split(F.create_map(F.lit(1), a, F.lit(5), b), F.lit(5)).alias("r")).first().r.asDict() == {"below": {1: [1, 2]}, "at": [3], "above": {}}
+
+
+def test_text_spectrum_against_the_encoder(spark):
+    tokens = ["the", "he", "and", "an", " ", "t"]
+    texts = ["The hand and the tan", None, "xx the?then", ""]
+    want = {}
+    for t in texts:
+        for seg in kmers.encode_text((t or "").lower(), {w: i for i, w in enumerate(tokens)}):
+            for i in range(len(seg) - 1):
+                k = f"{seg[i]}-{seg[i + 1]}"
+                want[k] = want.get(k, 0) + 1
+    got = kmers.text_spectrum(spark.createDataFrame([(t,) for t in texts], "text string"), tokens, 2)
+    assert {r.kmer: r.weight for r in got.collect()} == want
+
+
+def test_components_of_a_star_and_a_chain(spark):
+    from strandlake.plans import tables
+
+    edges = [(5, 1000 + i) for i in range(300)] + [(i, i + 1) for i in range(2000, 2040)] + [(7, 7)]
+    got = {r.id: r.component for r in tables.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {5: 5, **{1000 + i: 5 for i in range(300)}, **{i: 2000 for i in range(2000, 2041)}}

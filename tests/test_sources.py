@@ -1,9 +1,10 @@
 import pytest
+from pyspark.sql import functions as F
 
-from strandlake.functions import sequences as sq  # noqa: F401
+from strandlake.functions import sequences as sq
 from strandlake.operators import annotation
 from strandlake.operators.kmers import Content, Hasher
-from strandlake.sources import annotations, matrices, reads
+from strandlake.sources import annotations, formats, matrices, reads
 from strandlake.streaming import stateless
 
 
@@ -104,7 +105,45 @@ def test_gtf(spark, tmp_path):
     f = annotations.read_gtf(spark, put(tmp_path, "a.gtf", exon + "\n"))
     got = {(r.type, r.low, r.length, r.synthesized) for r in f.collect()}
     assert got == {("gene", 99, 401, True), ("transcript", 99, 401, True), ("exon", 99, 101, False), ("exon", 399, 101, False)}
-    assert annotations.gtf_lines(f).count() == 4
+    assert [r.line.split("\t")[2] for r in annotations.gtf_lines(f).collect()] == ["gene", "transcript", "exon", "exon"]
+    whole = """chr1\thav\tgene\t1\t90\t.\t+\t.\tgene_id "g"; gene_name "N; \\"x\\""; level 2;
+chr1\thav\tCDS\t5\t9\t3.5\t+\t2\tgene_id "g"; transcript_id "t"; tag "a"; tag "b";
+"""
+    p = put(tmp_path, "b.gtf", whole)
+    got = annotations.read_gtf(spark, p).collect()
+    assert [(r.type, r.source, r.phase, r.score, r.id, r.path) for r in got] == [
+        ("gene", "hav", None, None, "g", ["gene"]), ("transcript", None, None, None, "t", ["gene", "transcript"]), ("CDS", "hav", 2, "3.5", None, ["gene", "transcript", "CDS"])]
+    assert got[0].attributes == {"gene_id": ["g"], "gene_name": ['N; "x"'], "level": ["2"]} and got[2].attributes["tag"] == ["a", "b"]
+    again = "\n".join(r.line for r in annotations.gtf_lines(annotations.read_gtf(spark, p)).collect()) + "\n"
+    back = annotations.read_gtf(spark, put(tmp_path, "c.gtf", again)).collect()
+    assert [(r.type, r.low, r.length, r.attributes, r.phase) for r in back] == [(r.type, r.low, r.length, r.attributes, r.phase) for r in got]
+    with pytest.raises(ValueError, match="hierarchy"):
+        annotations.read_gtf(spark, put(tmp_path, "d.gtf", whole.replace("CDS", "odd")))
+    with pytest.raises(Exception, match="without gene_id"):
+        annotations.read_gtf(spark, put(tmp_path, "e.gtf", whole.replace('gene_id "g"; transcript_id', 'transcript_id'))).collect()
+
+
+def test_percent(spark):
+    df = spark.createDataFrame([("caf%C3%A9%20x%2",), ("100%",), ("%zz%41",), ("",)], "s string")
+    assert [r.s for r in df.select(sq.decode_percent(F.col("s")).alias("s")).collect()] == ["café x%2", "100%", "%zzA", ""]
+
+
+def test_saved_annotation(spark, tmp_path):
+    f, meta = annotations.read_gff3(spark, put(tmp_path, "a.gff3", GFF))
+    annotations.save_annotation(f"file://{tmp_path}/saved", f, meta)
+    g, m = annotations.load_annotation(spark, f"file://{tmp_path}/saved", "metadata")
+    assert sorted(map(str, g.collect())) == sorted(map(str, f.collect())) and m.count() == 2
+    assert [r.line for r in annotations.gff3_header(annotation.add_metadata(m, "date", "today")).collect()] == ["##date today", "##gff-version 3", "##sequence-region chr1 1 1000"]
+    assert annotations.gff3_header(m.limit(0)).first().line == "##gff-version 3"
+
+
+def test_files_are_numbered_by_name(spark, tmp_path):
+    for i in range(5):
+        put(tmp_path, f"{i}.txt", "".join(f"{i} {j}\n" for j in range(50 - 9 * i)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    got = [r.value for r in formats.lines(spark, f"file://{tmp_path}").orderBy("ordinal").collect()]
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == [f"{i} {j}" for i in range(5) for j in range(50 - 9 * i)]
 
 
 def test_genbank(spark, tmp_path):
@@ -120,16 +159,26 @@ FEATURES             Location/Qualifiers
                      /gene="abcA"
                      /translation="MA
                      RC"
-     misc            3^4
+     misc_feature    3^4
 ORIGIN
         1 acgtacgtac gtacgtacgt acgtacgtac
 //
 """
     f, r = annotations.read_genbank(spark, put(tmp_path, "a.gb", text))
     got = [(x.path[-1], x.id, x.low, x.length, x.strand) for x in f.orderBy("ord", "part").collect()]
-    assert got == [("source", "demo01", 0, 30, "+"), ("gene", "D1", 0, 15, "+"), ("CDS", "abcA", 0, 5, "-"), ("CDS", "abcA", 6, 9, "-"), ("misc", None, 2, 0, "+")]
-    assert r.first().seq == "ACGTACGTAC" * 3
-    assert "LOCUS       demo01 30 bp" in annotations.genbank_text(f, r).first().record
+    assert got == [("source", "demo01", 0, 30, None), ("gene", "D1", 0, 15, None), ("CDS", "abcA", 0, 5, "-"), ("CDS", "abcA", 6, 9, "-"), ("misc_feature", None, 3, 0, None)]
+    assert annotations.parse_location("complement(join(complement(1..2),5))") == ([(0, 2), (4, 1)], "-")
+    assert r.first().seq == "ACGTACGTACGTACGTACGTACGTACGTAC"
+    record = annotations.genbank_text(f, r, (("DEFINITION", "A demo"),)).first().record
+    assert record.startswith("LOCUS       demo01          30 bp    DNA\nDEFINITION  A demo\nFEATURES") and record.endswith("//")
+    again, r2 = annotations.read_genbank(spark, put(tmp_path, "b.gb", record + "\n"))
+    # a place between bases is written as an empty range, and read as such
+    assert [(x.path[-1], x.low, x.length) for x in again.orderBy("ord", "part").collect()] == [(k, a, b) for k, _, a, b, _ in got]
+    assert r2.first().seq == r.first().seq
+    meta = annotations.read_genbank_metadata(spark, put(tmp_path, "a.gb", text)).collect()
+    assert [(m.key, m.value) for m in meta] == [("DEFINITION", "A demo record")]
+    with pytest.raises(Exception, match="not in the hierarchy"):
+        annotations.read_genbank(spark, put(tmp_path, "c.gb", text.replace("misc_feature", "odd         ")))[0].collect()
 
 
 def test_stream(spark, tmp_path):
