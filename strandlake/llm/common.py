@@ -1,99 +1,31 @@
-"""What the corpus operators share: written tables in the shared folder, row keys, connected components."""
+"""What the corpus operators share: row keys, bounds of workers, hashes of stretches of bytes; written tables and components are the library's."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandlake.plans.tables import components as connected_components  # noqa: F401
+from strandlake.plans.tables import new_path, remove, shared_folder, written  # noqa: F401
+
 #: Code points that separate words and that are stripped from lines.
 BLANKS = " \t\n\x0b\x0c\r"
 WORD = "[^\\x20\\x09-\\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.conf.get("strandlake.own.shared", None)
-        if not folder:
-            folder = "file://" + tempfile.mkdtemp(prefix="strandlake-")
-            spark.conf.set("strandlake.own.shared", folder)
-    return folder.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def written(df: DataFrame, name: str, *by: str) -> DataFrame:
-    """df as a table written to the shared folder: its lineage is cut, and a lost executor costs nothing."""
-    path = new_path(df.sparkSession, name)
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*by) if by else writer).parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._strandlake_path = path
-    return out
-
-
-def remove(df: DataFrame) -> None:
-    """Deletes a table made by written() once nothing lazy depends on it."""
-    path = getattr(df, "_strandlake_path", None)
-    if path:
-        sc = df.sparkSession.sparkContext
-        at = sc._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def read_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def identity(seed: int = 0) -> Column:
+    """128 bits of hash of a row's doc_id and text, as a struct (a, b): rows that repeat both are the same to it, others are not."""
+    return F.struct(F.xxhash64("doc_id", "text").alias("a"), F.xxhash64(F.lit(0x5EED + seed), "doc_id", "text").alias("b"))
 
 
-def checksum(df: DataFrame) -> tuple:
-    """Row count and an order-free checksum of a two-column long table."""
-    h = F.xxhash64(*df.columns).cast("decimal(38,0)")
-    return tuple(df.agg(F.count(F.lit(1)), F.sum(h)).first())
-
-
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """Components of an undirected graph given as rows (a, b) of longs.
-
-    Returns (id, component) for every id in some edge between different ids, component being the smallest id
-    reachable. Alternates large-star and small-star steps (Kiveris et al., "Connected components in MapReduce and
-    beyond"): all work stays distributed, a round shuffles at most the edges, and each round's edges are a written
-    table. Edges from an id to itself or with a null end are ignored.
-    """
-    e = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b")
-    now = written(e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
-    before = checksum(now)
-    for _ in range(rounds):
-        if not before[0]:
-            break
-        both = now.union(now.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small_low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(small_low, "u")
-        after = written(
-            small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .union(small_low.select("u", F.col("m").alias("v"))).distinct(), "cc")
-        state = checksum(after)
-        remove(now)
-        now = after
-        if state == before:
-            break
-        before = state
-    else:
-        raise RuntimeError("connected components did not settle")
-    return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select(F.col("v"), F.col("v")).distinct())
+def read_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def bounded_batches(spark: SparkSession, megabytes: int = 16) -> None:

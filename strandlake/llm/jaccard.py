@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import bounded_batches, connected_components, free_name, written
+from strandlake.llm.common import bounded_batches, connected_components, free_name, identity, written
 
 
 @dataclass(frozen=True)
@@ -246,8 +246,8 @@ def _binary(column) -> list[np.ndarray]:
 
 
 def signatures(documents: DataFrame, s: Settings) -> DataFrame:
-    """__row, doc_id, __text (hash of id and text), h1, h2 (of the shingle set; null if it is empty), __sig: a written table."""
-    sent = documents.select(F.monotonically_increasing_id().alias("__row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("__text"), F.col("text").cast("binary").alias("__bytes"))
+    """__row, doc_id, __text (identity() of the row), h1, h2 (of the shingle set; null if it is empty), __sig: a written table."""
+    sent = documents.select(F.monotonically_increasing_id().alias("__row"), F.col("doc_id").cast("long").alias("doc_id"), identity().alias("__text"), F.col("text").cast("binary").alias("__bytes"))
 
     def run(batches):
         family = minhash_family(s)
@@ -264,7 +264,7 @@ def signatures(documents: DataFrame, s: Settings) -> DataFrame:
                 sigs.append(minhash(sh, family).tobytes())
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sigs, pa.binary())], names=["__row", "doc_id", "__text", "h1", "h2", "__sig"])
 
-    return written(sent.mapInArrow(run, "__row long, doc_id long, __text long, h1 long, h2 long, __sig binary"), "jaccard-sig")
+    return written(sent.mapInArrow(run, "__row long, doc_id long, __text struct<a:long,b:long>, h1 long, h2 long, __sig binary"), "jaccard-sig")
 
 
 def _dealt(members: DataFrame, s: Settings) -> DataFrame:
@@ -308,7 +308,7 @@ def links(rows: DataFrame, documents: DataFrame, s: Settings) -> tuple[DataFrame
 
     stay = written(dealt.repartition("__task").sortWithinPartitions("__task").mapInArrow(pruned, "__task long, __side int, __band int, __row long"), "jaccard-stay")
     needed = sigs.join(stay.select("__row").distinct(), "__row", "left_semi").select("__row", "__text", "__sig", "__copies")
-    texts = documents.select(F.xxhash64("doc_id", "text").alias("__text"), F.col("text").cast("binary").alias("__bytes"))
+    texts = documents.select(identity().alias("__text"), F.col("text").cast("binary").alias("__bytes"))
     whole = texts.join(needed, "__text").select("__row", "__copies", "__sig", "__bytes")
 
     def sets(batches):
@@ -385,6 +385,6 @@ def keep_one(documents: DataFrame, s: Settings = Settings()) -> DataFrame:
     """documents, whole, without the rows whose class keeps another row."""
     kept = similar(documents.select("doc_id", "text"), s).where("kept").select("__text")
     name = free_name(documents, "__text")
-    out = documents.withColumn(name, F.xxhash64("doc_id", "text")).join(kept.withColumnRenamed("__text", name), name, "left_semi")
+    out = documents.withColumn(name, identity()).join(kept.withColumnRenamed("__text", name), name, "left_semi")
     # rows that repeat both id and text of a kept row go; the join has already brought them together
     return out.dropDuplicates([name]).select(*(F.col(f"`{c}`") for c in documents.columns))

@@ -14,10 +14,12 @@ the operator adds gets underscores where the table has it.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import BLANKS, ascii_lower, free_name, remove, written
+from strandlake.llm.common import BLANKS, ascii_lower, free_name, identity, read_partitions, remove, shared_folder, written
 
 
 def split_lines(text: Column) -> Column:
@@ -35,10 +37,18 @@ def key_hash(line: Column) -> Column:
 
 
 class LineRuns:
-    """The levels of sorted runs."""
+    """The levels of sorted runs.
+
+    A run is a table in the shared folder, dealt by hash to as many buckets as there are shuffle partitions, each one file
+    sorted by (h1, h2). Two runs are merged bucket by bucket, and a batch, dealt alike, meets a run likewise: no run is
+    shuffled or sorted again.
+    """
 
     def __init__(self, spark: SparkSession, fanout: int = 2):
-        self.spark, self.fanout, self.levels = spark, fanout, []
+        self.spark, self.fanout, self.levels, self.between = spark, fanout, [], []
+        self.buckets = read_partitions(spark)
+        # a bucket of one file is known to be sorted
+        spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
 
     def _place(self, run: DataFrame, level: int) -> None:
         while len(self.levels) <= level:
@@ -46,21 +56,33 @@ class LineRuns:
         self.levels[level].append(run)
         if len(self.levels[level]) >= self.fanout:
             old, self.levels[level] = self.levels[level], []
-            merged = self._write(self._sum(old))
+            merged = self._write(self._merge(old))
             for x in old:
-                remove(x)
+                self._drop(x)
             self._place(merged, level + 1)
 
-    @staticmethod
-    def _sum(runs: list[DataFrame]) -> DataFrame:
-        all_rows = runs[0]
-        for x in runs[1:]:
-            all_rows = all_rows.union(x)
-        return all_rows.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"))
-
-    @staticmethod
-    def _write(run: DataFrame) -> DataFrame:
-        return written(run.sortWithinPartitions("h1", "h2"), "line-run")
+    def _merge(self, runs: list[DataFrame]) -> DataFrame:
+        """The counts of equal hashes of sorted runs added: two runs at a time, what comes in between being a run too."""
+        out = runs[0]
+        for i, x in enumerate(runs[1:]):
+            if i:
+                out = self._write(out)
+                self.between.append(out)
+            both = out.hint("merge").join(x.withColumnRenamed("n_docs", "__more").hint("merge"), ["h1", "h2"], "full_outer")
+            out = both.select("h1", "h2", (F.coalesce("n_docs", F.lit(0)) + F.coalesce("__more", F.lit(0))).alias("n_docs"))
+        return out
+
+    def _write(self, run: DataFrame) -> DataFrame:
+        name = f"line_run_{uuid.uuid4().hex}"
+        writer = run.write.format("parquet").option("compression", "zstd").option("path", f"{shared_folder(self.spark)}/{name}")
+        writer.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").saveAsTable(name)
+        out = self.spark.table(name)
+        out._strandlake_path, out._strandlake_table = f"{shared_folder(self.spark)}/{name}", name
+        return out
+
+    def _drop(self, run: DataFrame) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {run._strandlake_table}")
+        remove(run)
 
     def add(self, lines: DataFrame) -> None:
         """lines: h1, h2, one row for each document and key."""
@@ -69,26 +91,32 @@ class LineRuns:
     def counts(self) -> DataFrame | None:
         """h1, h2, n_docs over everything added."""
         runs = [x for level in self.levels for x in level]
-        return None if not runs else runs[0] if len(runs) == 1 else self._sum(runs)
+        return self._merge(runs) if runs else None
 
     def frequent(self, min_docs: int) -> DataFrame | None:
         found = self.counts()
         return None if found is None else found.where(F.col("n_docs") >= min_docs)
 
-    def close(self) -> None:
+    def unseen(self, lines: DataFrame) -> DataFrame:
+        """lines without those whose hash a run holds: a merge-anti-join with each run."""
         for level in self.levels:
-            for x in level:
-                remove(x)
-        self.levels = []
+            for run in level:
+                lines = lines.join(run.select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
+        return lines
+
+    def close(self) -> None:
+        for x in [*self.between, *(x for level in self.levels for x in level)]:
+            self._drop(x)
+        self.levels, self.between = [], []
 
 
 def keyed_lines(documents: DataFrame, batches: int) -> DataFrame:
-    """__row (a hash of id and text), __id (of the row), __at, h1, h2, __batch: a row for each line with a key, written."""
+    """__row (identity() of the row), __id (of the row), __at, h1, h2, __batch: a row for each line with a key, written."""
     lines = (
-        documents.select(F.xxhash64("doc_id", "text").alias("__row"), F.monotonically_increasing_id().alias("__id"), split_lines(F.col("text")).alias("__lines"))
+        documents.select(identity().alias("__row"), F.monotonically_increasing_id().alias("__id"), split_lines(F.col("text")).alias("__lines"))
         .select("__row", "__id", F.posexplode(F.transform("__lines", key_hash)).alias("__at", "h"))
         .where("h is not null")
-        .select("__row", "__id", "__at", "h.h1", "h.h2", F.pmod("__row", F.lit(batches)).cast("int").alias("__batch"))
+        .select("__row", "__id", "__at", "h.h1", "h.h2", F.pmod("__row.a", F.lit(batches)).cast("int").alias("__batch"))
     )
     return written(lines, "lines", "__batch")
 
@@ -112,11 +140,13 @@ def drop_frequent(documents: DataFrame, min_docs: int = 10, batches: int = 4, fa
     runs = LineRuns(documents.sparkSession, fanout)
     for b in range(batches):
         runs.add(lines.where(F.col("__batch") == b).select("__id", "h1", "h2").distinct())
-    keys = runs.frequent(min_docs).select("h1", "h2")
+    # what the levels hold now is merged once more; the frequent keys are written, so the runs can go
+    keys = written(runs.frequent(min_docs).select("h1", "h2"), "line-keys")
+    runs.close()
     hits = lines.join(keys, ["h1", "h2"]).groupBy("__row").agg(F.collect_set("__at").alias("__gone"))
     text = F.coalesce(F.col("text"), F.lit(""))
     row, gone = free_name(documents, "__row"), free_name(documents, "__gone")
-    out = documents.withColumn(row, F.xxhash64("doc_id", "text")).join(hits.select(F.col("__row").alias(row), F.col("__gone").alias(gone)), row, "left")
+    out = documents.withColumn(row, identity()).join(hits.select(F.col("__row").alias(row), F.col("__gone").alias(gone)), row, "left")
     return out.select(
         *(F.when(F.col(gone).isNull(), text).otherwise(F.array_join(without(split_lines(F.col("text")), F.col(gone)), "\n")).alias("text") if c == "text" else F.col(f"`{c}`") for c in documents.columns),
         (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long").alias(free_name(documents, "__n_lines")),
@@ -130,17 +160,15 @@ def dedup_batch(batch: DataFrame, runs: LineRuns) -> DataFrame:
     Same columns as drop_frequent(). Lines that only this batch holds stay, however often it repeats them.
     """
     lines = keyed_lines(batch, 1)
-    known = runs.counts()
     own = lines.select("__id", "h1", "h2").distinct()
-    if known is None:
-        gone = lines.limit(0).groupBy("__row").agg(F.collect_set("__at").alias("__gone"))
-    else:
-        # the runs change below, so what they hold now is written first
-        gone = written(lines.join(known.select("h1", "h2"), ["h1", "h2"]).groupBy("__row").agg(F.collect_set("__at").alias("__gone")), "line-hits")
+    # keys of this batch alone, by merge-anti-joins with the runs; the runs change below, so what stays is written first
+    fresh = written(runs.unseen(lines.select("h1", "h2").distinct()), "line-fresh")
+    gone = written(lines.join(fresh, ["h1", "h2"], "left_anti").groupBy("__row").agg(F.collect_set("__at").alias("__gone")), "line-hits")
+    remove(fresh)
     runs.add(own)
     text = F.coalesce(F.col("text"), F.lit(""))
     row, at = free_name(batch, "__row"), free_name(batch, "__gone")
-    out = batch.withColumn(row, F.xxhash64("doc_id", "text")).join(gone.select(F.col("__row").alias(row), F.col("__gone").alias(at)), row, "left")
+    out = batch.withColumn(row, identity()).join(gone.select(F.col("__row").alias(row), F.col("__gone").alias(at)), row, "left")
     kept = F.array_join(without(split_lines(F.col("text")), F.col(at)), "\n")
     return out.select(
         *(F.when(F.col(at).isNull(), text).otherwise(kept).alias("text") if c == "text" else F.col(f"`{c}`") for c in batch.columns),

@@ -27,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import WORD, free_name, written
+from strandlake.llm.common import WORD, free_name, identity, written
 
 
 @dataclass(frozen=True)
@@ -133,10 +133,10 @@ def _fill(units: DataFrame, left: DataFrame, s: Settings) -> list[DataFrame]:
 
 
 def draw(documents: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """__id (of the row), __doc (hash of id and text), doc_id, __src, size, __hash, __block, source_size, target, __times
+    """__id (of the row), __doc (identity() of the row), doc_id, __src, size, __hash, __block, source_size, target, __times
     (how often the mix takes the document) for every row, written."""
     size = documents.select(
-        F.monotonically_increasing_id().alias("__id"), F.xxhash64("doc_id", "text").alias("__doc"), "doc_id", source_key(F.col("source")).alias("__src"), word_count(F.col("text")).alias("size"),
+        F.monotonically_increasing_id().alias("__id"), identity().alias("__doc"), "doc_id", source_key(F.col("source")).alias("__src"), word_count(F.col("text")).alias("size"),
         F.md5(F.concat_ws(":", F.lit(s.seed), F.col("doc_id").cast("string"), F.md5(F.col("text").cast("binary"))).cast("binary")).alias("__hash"))
     size = written(size, "mix-sizes")
     goal = written(targets(size, s), "mix-targets")
@@ -298,7 +298,7 @@ def mixed_documents(documents: DataFrame, s: Settings = Settings()) -> DataFrame
     copies = mix(draw(documents.select("doc_id", "text", "source"), s), s).select(F.col("__doc").alias(doc), F.col("__shard").alias(shard), F.col("__order").alias(order), "__pass")
     # rows that repeat an id and a text come once for each of their draws
     copies = copies.dropDuplicates([doc, "__pass"]).drop("__pass")
-    out = documents.withColumn(doc, F.xxhash64("doc_id", "text")).join(copies, doc)
+    out = documents.withColumn(doc, identity()).join(copies, doc)
     return out.repartitionByRange(shard, order).sortWithinPartitions(shard, order).select(*(F.col(f"`{c}`") for c in documents.columns))
 
 

@@ -220,7 +220,7 @@ def score(documents: DataFrame, model: Model, keep: list[str] | None = None) ->
     kept = documents.select(*(F.col(f"`{c}`") for c in keep))
     name = free_name(kept, "quality_score")
     bounded_batches(documents.sparkSession)
-    sent = documents.select(*(F.col(f"`{c}`") for c in keep), F.col("text").cast("binary").alias("__bytes"))
+    sent = documents.select(*(F.col(f"`{c}`") for c in keep), F.col("text").cast("binary").alias(free_name(kept, "__bytes")))
     schema = kept.schema.add(name, "double", False)
     shared = documents.sparkSession.sparkContext.broadcast(model)
 

@@ -559,7 +559,7 @@ def find_secrets(documents: DataFrame, s: Settings = Settings(), keep: list[str]
             n = np.array(counts, np.int64).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(n[:, i]) for i in range(3)), pa.array(base, pa.string()), pa.array(spans, pa.string())], names=schema.names)
 
-    return documents.select(*(F.col(f"`{c}`") for c in keep), F.col("text").cast("binary").alias("__bytes")).mapInArrow(run, schema)
+    return documents.select(*(F.col(f"`{c}`") for c in keep), F.col("text").cast("binary").alias(free_name(kept, "__bytes"))).mapInArrow(run, schema)
 
 
 def secrets_query(documents: DataFrame, s: Settings = Settings()) -> DataFrame:

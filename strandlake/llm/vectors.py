@@ -209,7 +209,8 @@ def unit_rows(m: np.ndarray) -> np.ndarray:
 
 
 def shard_links(row, units, query_row, query_units, own: bool, s: GraphSettings):
-    """(row, links, other) of one shard: its own pairs if `own`, and its pairs with the query vectors."""
+    """((row, links, other), (found, true)) of one shard: its own pairs if `own`, and its pairs with the query vectors; and of
+    the links of the vectors audited last, how many were found, and how many there are."""
     _, first, of = np.unique(units.view([("", units.dtype)] * units.shape[1]).ravel(), return_index=True, return_inverse=True)
     nodes, weight = units[first], np.bincount(of)
     graph = Graph(nodes, s)
@@ -224,7 +225,7 @@ def shard_links(row, units, query_row, query_units, own: bool, s: GraphSettings)
         h = h[nodes[h] @ asked[i] >= s.threshold]
         return h[h < i] if i < n else h
 
-    rng = np.random.default_rng(s.seed)
+    rng, true, got = np.random.default_rng(s.seed), 0, 0
     while len(todo):
         found = [hits(i, width) for i in todo]
         linked = [k for k, h in enumerate(found) if len(h)]
@@ -263,11 +264,12 @@ def shard_links(row, units, query_row, query_units, own: bool, s: GraphSettings)
     head = np.concatenate([row[first], query_row])  # a row that stands for each node
     other = head[roots(at)]
     keep = total > 0
-    return out_row[keep], total[keep], other[keep]
+    return (out_row[keep], total[keep], other[keep]), (got, true)
 
 
 def linked_vectors(embeddings: DataFrame, s: GraphSettings = GraphSettings()) -> DataFrame:
-    """vec_id, n_links, component_id, kept for every row of embeddings."""
+    """vec_id, n_links, component_id, kept for every row of embeddings, and audited_recall: of the links of all audited
+    vectors, the share that the graphs found (1 if there were none), the same in all rows."""
     bounded_batches(embeddings.sparkSession)
     rows = written(embeddings.select(F.monotonically_increasing_id().alias("__row"), F.col("vec_id").cast("long").alias("vec_id"), "label", "embedding"), "vectors")
     v = F.col("embedding")
@@ -288,16 +290,22 @@ def linked_vectors(embeddings: DataFrame, s: GraphSettings = GraphSettings()) ->
                 role, block, row = (part.column(i).to_numpy() for i in (1, 2, 3))
                 units = unit_rows(matrix(part.column(4)))
                 q = role == 1
-                got = shard_links(row[~q], units[~q], row[q], units[q], bool(block[0] == 0), s)
+                got, (seen, true) = shard_links(row[~q], units[~q], row[q], units[q], bool(block[0] == 0), s)
+                # the audit's row has no vector
+                got = [np.append(x, y).astype(np.int64) for x, y in zip(got, (-1, seen, true), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in got], names=["__row", "n", "other"])
 
     parts = max(read_partitions(embeddings.sparkSession), min(4 * int(tasks), 20_000))
     found = written(sent.repartition(parts, "__task").sortWithinPartitions("__task", "__role").mapInArrow(run, "__row long, n long, other long"), "vector-links")
+    audits = found.where("__row < 0").agg(F.sum("n").alias("a"), F.sum("other").alias("b"))
+    found = found.where("__row >= 0")
     of = connected_components(found.select(F.col("__row").alias("a"), F.col("other").alias("b")))
     n = found.groupBy("__row").agg(F.sum("n").alias("n_links"))
     out = written(rows.select("__row", "vec_id").join(n, "__row", "left").join(of, rows["__row"] == of["id"], "left").select("__row", "vec_id", "n_links", F.coalesce("component", "__row").alias("__part")), "vector-rows")
     least = out.groupBy("__part").agg(F.min("vec_id").alias("component_id"))
-    return out.join(least, "__part").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    a, b = audits.first()
+    recall = F.lit(float(a / b) if b else 1.0)
+    return out.join(least, "__part").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"), recall.alias("audited_recall"))
 
 
 def _spans(key: np.ndarray) -> list[tuple[int, int]]:

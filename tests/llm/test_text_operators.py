@@ -92,6 +92,21 @@ def test_line_batches(spark):
     assert sum(len(x) for x in runs.levels) <= 2 and {r.n_docs for r in runs.counts().collect()} == {1, 2}
 
 
+def test_runs_merge_without_shuffles(spark):
+    """Merging runs, and meeting a run, needs no exchange and no sort: they are dealt and sorted alike."""
+    runs = lines.LineRuns(spark, fanout=9)
+    h = spark.range(3000).select((F.col("id") * 7919 % 1000).alias("h1"), (F.col("id") % 10).alias("h2"))
+    for i in range(3):
+        runs.add(h.where(F.col("id") % 3 == i) if "id" in h.columns else h.where(F.col("h2") % 3 == i))
+    merged = runs.counts()
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+    want = Counter((i * 7919 % 1000, i % 10) for i in range(3000))
+    assert {(r.h1, r.h2): r.n_docs for r in merged.collect()} == {k: n for k, n in want.items()}
+    assert runs.unseen(h.limit(0)).count() == 0
+    runs.close()
+
+
 # ---- near copies ----------------------------------------------------------------------------------------------------
 
 
@@ -665,3 +680,52 @@ def test_portions_of_long_texts(prose):
     small, whole = (secrets.fit(learn, secrets.Settings(together=n)) for n in (2000, 1 << 21))
     texts = [t for t in prose if max(map(len, t.split(b"\n"))) < 2000][:60] + [b"pwd: CorrectHorseBat\n" * 300]
     assert secrets.scan(texts, small) == secrets.scan(texts, whole)
+
+
+# ---- odd rows -------------------------------------------------------------------------------------------------------
+
+
+ODD = "doc_id long, text string, source string, __text string, __bytes int, __row int, quality_score int, spans int, base string, lossless int, ids int, __h int"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Rows without an id, repeated rows, a text of some megabytes, and columns that clash with operators' own."""
+    long = "word another " * 120_000 + "Zx81 " + "y" * 300_000
+    texts = [(None, "no id here 12"), (None, None), (1, long), (1, long), (2, "token = abcdef123456"), (2, "token = abcdef123456"), (3, "")]
+    return spark.createDataFrame([(i, t, None if i == 3 else "s", "a", 1, 2, 3, 4, "b", 5, 6, 7) for i, t in texts], ODD).repartition(2)
+
+
+def test_odd_rows_through_every_text_operator(spark, odd):
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    n = odd.count()
+    for query in (lines.lines_query, mixing.mixing_query, language.score, pieces.pieces_query, secrets.secrets_query, counts.counts_query, lambda d: quality.quality_query(d, labels), jaccard.jaccard_query):
+        out = query(odd)
+        assert out.count() == n and out.where("doc_id is null").count() == 2
+    same = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    for out in (pieces.encode(odd), secrets.find_secrets(odd), quality.score(odd, quality.train(odd, labels)), lines.drop_frequent(odd)):
+        assert out.columns[: len(odd.columns)] == odd.columns and len(set(out.columns)) == len(out.columns)
+        assert same(out.select(*(F.col(f"`{c}`") for c in odd.columns if c != "text")), odd.drop("text"))
+    found = secrets.secrets_query(odd).where("doc_id = 2").collect()
+    assert len(found) == 2 and {r.n_assign for r in found} == {1}
+    assert pieces.pieces_query(odd).where("not lossless").count() == 0
+
+
+def test_repeated_rows_in_stages(spark, odd):
+    kept = jaccard.keep_one(odd)
+    # one row of each group; rows without words stay, each by itself
+    assert sorted((str(r.doc_id), (r.text or "")[:5]) for r in kept.collect()) == [("1", "word "), ("2", "token"), ("3", ""), ("None", ""), ("None", "no id")]
+    assert kept.columns == odd.columns
+    assert sorted(str(r.doc_id) for r in lines.drop_frequent(odd, 2).collect()) == ["1", "1", "2", "2", "3", "None", "None"]
+    mixed = mixing.mixed_documents(odd)
+    taken = {r.doc_id: r.taken for r in mixing.mixing_query(odd).collect()}
+    assert mixed.columns == odd.columns and mixed.count() >= 1 and all(v >= 0 for v in taken.values())
+
+
+def test_stages_of_nothing(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, "/root/testdata/sf0.001")
+        assert out.count() == 0 and out.columns[: len(docs.columns)] == docs.columns
