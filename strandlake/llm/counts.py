@@ -5,7 +5,7 @@ pre-tokens. The leaves of a document's tree are blocks of pre-tokens; inner node
 them. An edit replaces the code points [start, end) by others: the tree is descended to the block, cutting starts anew
 `context` code points before the edit, and ends at the first cut behind it that is also an old one: from there on the
 text is the old one, so its cuts and counts are. Only the pre-tokens between are encoded; the sums above the touched
-blocks follow.
+blocks follow. Leaves can be kept as a table beside the texts: later edits start from them and encode nothing else.
 
 Defined cases: null and empty texts have 0 tokens and can be edited; texts of any length are read whole; places beyond a
 text's end are its end; repeated rows are counted row by row; an empty table gives an empty result.
@@ -156,16 +156,90 @@ class TokenTree:
         merged = keep[0][:k] + added + old[j:]
         counts = keep[1][:k] + self.c.counts(added) + tail_counts[j:]
         n = self.c.s.block
-        if last == first and 0 < len(merged) <= 2 * n:
-            self.blocks[first] = (merged, counts)
-            leaf = self.size + first
-            self.chars[leaf], self.tokens[leaf] = sum(map(len, merged)), sum(counts)
-            while leaf > 1:
-                leaf //= 2
-                self._sum(leaf)
+        touched = last - first + 1
+        if touched <= len(merged) <= 2 * n * touched:
+            # as many blocks as before, filled evenly: only their sums and those above them change
+            for i in range(touched):
+                lo, hi = len(merged) * i // touched, len(merged) * (i + 1) // touched
+                self.blocks[first + i] = (merged[lo:hi], counts[lo:hi])
+                leaf = self.size + first + i
+                self.chars[leaf], self.tokens[leaf] = sum(map(len, merged[lo:hi])), sum(counts[lo:hi])
+            lo, hi = (self.size + first) // 2, (self.size + last) // 2
+            while lo:
+                for i in range(lo, hi + 1):
+                    self._sum(i)
+                lo, hi = lo // 2, hi // 2
         else:
             self._build(self.blocks[:first] + [(merged[i : i + n], counts[i : i + n]) for i in range(0, len(merged), n)] + self.blocks[last + 1 :])
 
+    def leaves(self) -> tuple[list[int], list[int]]:
+        """Code points and tokens of all pre-tokens: with the text, what a tree is made from again."""
+        return [len(x) for p, _ in self.blocks for x in p], [c for _, cs in self.blocks for c in cs]
+
+    @classmethod
+    def restored(cls, text: str | None, chars: list[int], tokens: list[int], counter: Counter) -> TokenTree:
+        """A tree from its text and leaves: nothing is cut or encoded."""
+        tree, n, at, pieces = cls.__new__(cls), counter.s.block, 0, []
+        for k in chars:
+            pieces.append((text or "")[at : at + k])
+            at += k
+        tree.c, tree.encoded = counter, 0
+        tree._build([(pieces[i : i + n], tokens[i : i + n]) for i in range(0, len(pieces), n)])
+        return tree
+
+
+def _counter(shared, s: Settings) -> Counter:
+    return kept_in_worker(("counts", s, len(shared.value)), lambda: Counter(shared.value, s))
+
+
+_TREES = "doc_id long, text string, piece_chars array<int>, piece_tokens array<int>, n_tokens long, n_encoded long"
+
+
+def _tree_batch(rows: list[tuple]) -> pa.RecordBatch:
+    types = (pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64(), pa.int64())
+    names = [c.split()[0] for c in _TREES.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
+
+
+def build_trees(documents: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """doc_id, text, piece_chars, piece_tokens, n_tokens, n_encoded for every row: the leaves of its tree, to be kept as a table
+    that edit_trees() goes on from."""
+    spark = documents.sparkSession
+    bounded_batches(spark)
+    shared = spark.sparkContext.broadcast(load_ranks(s.ranks))
+
+    def run(batches):
+        counter = _counter(shared, s)
+        for b in batches:
+            rows = []
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                tree = TokenTree(text, counter)
+                rows.append((doc, text or "", *tree.leaves(), tree.n_tokens, tree.encoded))
+            yield _tree_batch(rows)
+
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _TREES)
+
+
+def edit_trees(trees: DataFrame, edits: str, s: Settings = Settings()) -> DataFrame:
+    """The table of build_trees() after a column of edits (see count_edits()): the same columns, n_encoded counting the
+    pre-tokens that the edits had encoded anew."""
+    spark = trees.sparkSession
+    bounded_batches(spark)
+    shared = spark.sparkContext.broadcast(load_ranks(s.ranks))
+
+    def run(batches):
+        counter = _counter(shared, s)
+        for b in batches:
+            rows = []
+            for doc, text, chars, tokens, todo in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                tree = TokenTree.restored(text, chars, tokens, counter)
+                for e in todo or []:
+                    tree.edit(e["start"], e["end"], e["text"])
+                rows.append((doc, tree.text(), *tree.leaves(), tree.n_tokens, tree.encoded))
+            yield _tree_batch(rows)
+
+    return trees.select("doc_id", "text", "piece_chars", "piece_tokens", F.col(edits)).mapInArrow(run, _TREES)
+
 
 def count_edits(documents: DataFrame, edits: str, s: Settings = Settings()) -> DataFrame:
     """doc_id, n_pretokens, n_tokens, n_edited (tokens after the edits), n_reencoded (pre-tokens encoded for them).
@@ -178,7 +252,7 @@ def count_edits(documents: DataFrame, edits: str, s: Settings = Settings()) -> D
     shared = spark.sparkContext.broadcast(load_ranks(s.ranks))
 
     def run(batches):
-        counter = kept_in_worker(("counts", s, len(shared.value)), lambda: Counter(shared.value, s))
+        counter = _counter(shared, s)
         for b in batches:
             out: list = [[], [], [], []]
             for text, todo in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):

@@ -388,6 +388,26 @@ def test_edits_match_whole_encoding():
                 assert tree.text() == x and tree.n_tokens == len(enc.encode_ordinary(x))
 
 
+def test_kept_trees_take_edits(spark, docs):
+    """Edits of null, short and long texts, also beyond their ends, go on from a stored table and encode what they touch only."""
+    import tiktoken
+
+    s = counts.Settings(block=4)
+    enc = tiktoken.Encoding("x", pat_str=s.pattern, mergeable_ranks=counts.load_ranks(s.ranks), special_tokens={})
+    trees = common.written(counts.build_trees(docs, s), "trees")
+    edit = F.array(F.struct(F.lit(3).alias("start"), F.lit(9).alias("end"), F.lit("new words ").alias("text")), F.struct(F.lit(10**6).alias("start"), F.lit(2 * 10**6).alias("end"), F.lit(" tail").alias("text")))
+    for turn in range(2):
+        before = {r.doc_id: r.text for r in trees.collect()}
+        after = counts.edit_trees(trees.withColumn("e", F.when(F.col("doc_id") != 3, edit)), "e", s)
+        for r in after.collect():
+            t = before[r.doc_id]
+            want = t if r.doc_id == 3 else t[:3] + "new words " + t[9:] + " tail"
+            assert r.text == want and r.n_tokens == len(enc.encode_ordinary(want)) == sum(r.piece_tokens) and sum(r.piece_chars) == len(want)
+            assert r.n_encoded <= 40 and (turn == 0 or r.doc_id != 3 or r.n_encoded == 0)
+        trees = common.written(after, "trees")
+    assert counts.edit_trees(trees.limit(0).withColumn("e", edit), "e", s).count() == 0
+
+
 # ---- pieces ---------------------------------------------------------------------------------------------------------
 
 
