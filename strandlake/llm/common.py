@@ -33,18 +33,26 @@ def bounded_batches(spark: SparkSession, megabytes: int = 16) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
 
 
-def kept_in_worker(key, make):
-    """make(), or what it made before for this key in this worker process: workers outlive tasks, and what is kept here
-    (caches of pure functions, bounded by themselves) saves later tasks from starting cold. One key is kept for each kind."""
+def _kept() -> dict:
     import sys
     import types
 
-    home = sys.modules.setdefault("_strandlake_worker", types.ModuleType("_strandlake_worker"))
-    kind = key[0]
-    found = home.__dict__.get(kind)
-    if found is None or found[0] != key:
-        found = home.__dict__[kind] = (key, make())
-    return found[1]
+    return sys.modules.setdefault("_strandlake_worker", types.ModuleType("_strandlake_worker")).__dict__.setdefault("kept", {})
+
+
+def kept_in_worker(key, make):
+    """make(), or what it made before for this key in this worker process: workers outlive tasks, and what is kept here
+    (caches of pure functions, bounded by themselves) saves later tasks from starting cold. Only the last key is kept."""
+    kept = _kept()
+    if key not in kept:
+        kept.clear()
+        kept[key] = make()
+    return kept[key]
+
+
+def forget_kept() -> None:
+    """Frees what another operator kept in this worker process."""
+    _kept().clear()
 
 
 def free_name(df: DataFrame, name: str) -> str:

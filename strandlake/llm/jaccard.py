@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import bounded_batches, connected_components, free_name, identity, written
+from strandlake.llm.common import bounded_batches, connected_components, forget_kept, free_name, identity, written
 
 
 @dataclass(frozen=True)
@@ -250,6 +250,7 @@ def signatures(documents: DataFrame, s: Settings) -> DataFrame:
     sent = documents.select(F.monotonically_increasing_id().alias("__row"), F.col("doc_id").cast("long").alias("doc_id"), identity().alias("__text"), F.col("text").cast("binary").alias("__bytes"))
 
     def run(batches):
+        forget_kept()
         family = minhash_family(s)
         for b in batches:
             h1, h2, sigs = [], [], []

@@ -57,9 +57,9 @@ class Settings:
     batch: int = 4096
     fan_in: int = 32
     #: Distinct tokens that a counting task holds before it hands them on.
-    held: int = 400_000
+    held: int = 250_000
     #: Bytes of text encoded together.
-    together: int = 1 << 21
+    together: int = 1 << 19
     folds: int = 5
     held_out: int = 1
 

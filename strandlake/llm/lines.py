@@ -3,8 +3,8 @@
 A line's key is the line without blanks at its ends and with A-Z lower-cased; it is held as 128 bits of hash. A run is a
 written table (h1, h2, n_docs), hash-dealt and sorted by the hash, that counts the documents of one or more batches in
 which each key occurs. New batches enter at level 0; as soon as a level holds `fanout` runs they are merged into one
-run of the next level, so a hash is rewritten a logarithmic number of times. A batch is deduplicated by a merge
-(anti-)join of its own hashes with the runs.
+run of the next level, so a hash is rewritten a logarithmic number of times. A batch is deduplicated by merge-anti-joins
+of its own hashes with the runs; the rule of drop_frequent(), which looks at all documents, joins with the merged runs.
 
 Defined cases: a null or empty text is one empty line; a line of blanks has the empty key; the lines of one document
 that share a key count once; rows that repeat count as documents of their own; documents of any length are split
@@ -14,12 +14,10 @@ the operator adds gets underscores where the table has it.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import BLANKS, ascii_lower, free_name, identity, read_partitions, remove, shared_folder, written
+from strandlake.llm.common import BLANKS, ascii_lower, free_name, identity, remove, written
 
 
 def split_lines(text: Column) -> Column:
@@ -37,18 +35,10 @@ def key_hash(line: Column) -> Column:
 
 
 class LineRuns:
-    """The levels of sorted runs.
-
-    A run is a table in the shared folder, dealt by hash to as many buckets as there are shuffle partitions, each one file
-    sorted by (h1, h2). Two runs are merged bucket by bucket, and a batch, dealt alike, meets a run likewise: no run is
-    shuffled or sorted again.
-    """
+    """The levels of sorted runs."""
 
     def __init__(self, spark: SparkSession, fanout: int = 2):
-        self.spark, self.fanout, self.levels, self.between = spark, fanout, [], []
-        self.buckets = read_partitions(spark)
-        # a bucket of one file is known to be sorted
-        spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
+        self.spark, self.fanout, self.levels = spark, fanout, []
 
     def _place(self, run: DataFrame, level: int) -> None:
         while len(self.levels) <= level:
@@ -58,31 +48,20 @@ class LineRuns:
             old, self.levels[level] = self.levels[level], []
             merged = self._write(self._merge(old))
             for x in old:
-                self._drop(x)
+                remove(x)
             self._place(merged, level + 1)
 
-    def _merge(self, runs: list[DataFrame]) -> DataFrame:
-        """The counts of equal hashes of sorted runs added: two runs at a time, what comes in between being a run too."""
-        out = runs[0]
-        for i, x in enumerate(runs[1:]):
-            if i:
-                out = self._write(out)
-                self.between.append(out)
-            both = out.hint("merge").join(x.withColumnRenamed("n_docs", "__more").hint("merge"), ["h1", "h2"], "full_outer")
-            out = both.select("h1", "h2", (F.coalesce("n_docs", F.lit(0)) + F.coalesce("__more", F.lit(0))).alias("n_docs"))
-        return out
-
-    def _write(self, run: DataFrame) -> DataFrame:
-        name = f"line_run_{uuid.uuid4().hex}"
-        writer = run.write.format("parquet").option("compression", "zstd").option("path", f"{shared_folder(self.spark)}/{name}")
-        writer.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").saveAsTable(name)
-        out = self.spark.table(name)
-        out._strandlake_path, out._strandlake_table = f"{shared_folder(self.spark)}/{name}", name
-        return out
-
-    def _drop(self, run: DataFrame) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {run._strandlake_table}")
-        remove(run)
+    @staticmethod
+    def _merge(runs: list[DataFrame]) -> DataFrame:
+        """The counts of equal hashes added; runs are sorted, so what an exchange deals out is sorted in stretches."""
+        all_rows = runs[0]
+        for x in runs[1:]:
+            all_rows = all_rows.union(x)
+        return all_rows.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs")) if len(runs) > 1 else all_rows
+
+    @staticmethod
+    def _write(run: DataFrame) -> DataFrame:
+        return written(run.sortWithinPartitions("h1", "h2"), "line-run")
 
     def add(self, lines: DataFrame) -> None:
         """lines: h1, h2, one row for each document and key."""
@@ -105,9 +84,10 @@ class LineRuns:
         return lines
 
     def close(self) -> None:
-        for x in [*self.between, *(x for level in self.levels for x in level)]:
-            self._drop(x)
-        self.levels, self.between = [], []
+        for level in self.levels:
+            for x in level:
+                remove(x)
+        self.levels = []
 
 
 def keyed_lines(documents: DataFrame, batches: int) -> DataFrame:

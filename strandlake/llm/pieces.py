@@ -46,11 +46,11 @@ class Settings:
     dropout: float = 0.1
     seed: int = 3
     #: Distinct units that a worker keeps; beyond that it starts anew.
-    cache: int = 400_000
+    cache: int = 120_000
     #: Characters of the longest unit that runs side by side with others; 63 at most.
     long_unit: int = 48
     #: Bytes of text, and agendas, taken together.
-    together: int = 1 << 21
+    together: int = 1 << 19
     rows: int = 1 << 15
 
 
@@ -432,7 +432,7 @@ def _encoded(e: Encoder, docs: pa.Array, texts: pa.Array):
 def encode(documents: DataFrame, s: Settings = Settings(), ids: str = "ids", vocabulary: Pieces | None = None) -> DataFrame:
     """documents and `ids` array<int>, `n_pieces` long, `lossless` boolean (whether the ids decode to the very text)."""
     spark = documents.sparkSession
-    bounded_batches(spark)
+    bounded_batches(spark, 8)
     shared = spark.sparkContext.broadcast(vocabulary or Pieces.load(s.model))
     n = len(documents.columns)
     sent = documents.select("*", F.col("text").cast("binary").alias(free_name(documents, "__text")), F.col("doc_id").cast("long").alias(free_name(documents, "__doc")))
@@ -452,7 +452,7 @@ def encode(documents: DataFrame, s: Settings = Settings(), ids: str = "ids", voc
 def pieces_query(documents: DataFrame, s: Settings = Settings()) -> DataFrame:
     """doc_id, n_pieces, lossless, ids_sha256 (of the ids as little-endian 32-bit numbers; computed beside the encoding)."""
     spark = documents.sparkSession
-    bounded_batches(spark)
+    bounded_batches(spark, 8)
     shared = spark.sparkContext.broadcast(Pieces.load(s.model))
 
     def run(batches):

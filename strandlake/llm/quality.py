@@ -38,10 +38,10 @@ class Settings:
     max_training_rows: int = 2000
     max_training_bytes: int = 1 << 16
     #: Distinct words, and their bytes, that a worker keeps; beyond that it starts anew.
-    cache: int = 400_000
-    cache_bytes: int = 1 << 26
+    cache: int = 120_000
+    cache_bytes: int = 1 << 24
     #: Bytes of words whose n-grams are hashed together, and of texts scored together.
-    together: int = 1 << 20
+    together: int = 1 << 19
     threshold: float = 0.7
 
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import bounded_batches, free_name, remove, stretch_hashes, written
+from strandlake.llm.common import bounded_batches, forget_kept, free_name, remove, stretch_hashes, written
 
 # The base patterns and the least lengths of their matches.
 ASSIGN = re.compile(rb"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
@@ -62,7 +62,7 @@ class Settings:
     decay: float = 1e-4
     seed: int = 9
     #: Bytes of text tagged together; a line of more is cut at blanks into several chains.
-    together: int = 1 << 21
+    together: int = 1 << 19
 
 
 # ---- patterns -------------------------------------------------------------------------------------------------------
@@ -549,6 +549,7 @@ def find_secrets(documents: DataFrame, s: Settings = Settings(), keep: list[str]
     show = lambda spans: ",".join(f"{KINDS[k]}:{a}:{b}" for a, b, k in spans)
 
     def run(batches):
+        forget_kept()
         field = shared.value
         for b in batches:
             counts, base, spans = [], [], []

@@ -92,19 +92,19 @@ def test_line_batches(spark):
     assert sum(len(x) for x in runs.levels) <= 2 and {r.n_docs for r in runs.counts().collect()} == {1, 2}
 
 
-def test_runs_merge_without_shuffles(spark):
-    """Merging runs, and meeting a run, needs no exchange and no sort: they are dealt and sorted alike."""
-    runs = lines.LineRuns(spark, fanout=9)
-    h = spark.range(3000).select((F.col("id") * 7919 % 1000).alias("h1"), (F.col("id") % 10).alias("h2"))
-    for i in range(3):
-        runs.add(h.where(F.col("id") % 3 == i) if "id" in h.columns else h.where(F.col("h2") % 3 == i))
-    merged = runs.counts()
-    plan = merged._jdf.queryExecution().executedPlan().toString()
-    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+def test_runs_add_up(spark):
+    """Whatever the fanout, the levels together hold each hash's count, and a batch keeps what no run holds."""
+    h = spark.range(3000).select("id", (F.col("id") * 7919 % 1000).alias("h1"), (F.col("id") % 10).alias("h2"))
     want = Counter((i * 7919 % 1000, i % 10) for i in range(3000))
-    assert {(r.h1, r.h2): r.n_docs for r in merged.collect()} == {k: n for k, n in want.items()}
-    assert runs.unseen(h.limit(0)).count() == 0
-    runs.close()
+    for fanout in (2, 3, 9):
+        runs = lines.LineRuns(spark, fanout)
+        for i in range(5):
+            runs.add(h.where(F.col("id") % 5 == i))
+        assert {(r.h1, r.h2): r.n_docs for r in runs.counts().collect()} == want
+        assert all(len(x) < fanout for x in runs.levels)
+        probe = spark.createDataFrame([(0, 0), (1, 1), (5000, 0)], "h1 long, h2 long")
+        assert {tuple(r) for r in runs.unseen(probe).collect()} == {k for k in ((0, 0), (1, 1), (5000, 0)) if k not in want}
+        runs.close()
 
 
 # ---- near copies ----------------------------------------------------------------------------------------------------
