@@ -55,7 +55,7 @@ def _hashes(codes: np.ndarray, k: int, buckets: int) -> np.ndarray:
     for i in range(k):
         x = (x ^ codes[i : i + len(x)]) * np.uint32(0x01000193)
     x = (x ^ (x >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
-    return ((x ^ (x >> np.uint32(13))) & np.uint32(buckets - 1)).astype(np.int64)
+    return ((x ^ (x >> np.uint32(13))) & np.uint32(buckets - 1)).astype(np.int32)
 
 
 def features(words: list[bytes], s: Settings):
@@ -69,7 +69,7 @@ def features(words: list[bytes], s: Settings):
             j += 1
         marked = [b"<" + w + b">" for w in words[i:j]]
         n = np.fromiter(map(len, marked), np.int64, j - i)
-        yield np.arange(i, j), np.array([crc32(m, 1) for m in marked], np.int64) & (s.buckets - 1)
+        yield np.arange(i, j, dtype=np.int32), (np.array([crc32(m, 1) for m in marked], np.int64) & (s.buckets - 1)).astype(np.int32)
         whole = b"".join(marked)
         codes = np.frombuffer(whole, np.uint8).astype(np.uint32) if j - i > 1 or size <= s.together else None
         if codes is None:
@@ -78,9 +78,9 @@ def features(words: list[bytes], s: Settings):
             for k in range(s.min_n, s.max_n + 1):
                 for a in range(0, len(raw) - k + 1, s.together):
                     got = _hashes(raw[a : a + s.together + k - 1].astype(np.uint32), k, s.buckets)
-                    yield np.full(len(got), i), got
+                    yield np.full(len(got), i, np.int32), got
         else:
-            of = np.repeat(np.arange(i, j), n)
+            of = np.repeat(np.arange(i, j, dtype=np.int32), n)
             left = np.repeat(np.cumsum(n), n) - np.arange(len(codes))
             for k in range(s.min_n, s.max_n + 1):
                 if len(codes) >= k:
@@ -162,38 +162,40 @@ def fit(texts: list[bytes], labels: list[float], s: Settings) -> Model:
         if again := int((ids[1:] == ids[:-1]).sum()):
             ids = np.append(ids, np.full(again, number.setdefault(AGAIN, len(number))))
         counted.append(np.unique(ids, return_counts=True) if words else None)
-    parts = list(features(list(number), s))
-    of, buckets = (np.concatenate([x[i] for x in parts]) if parts else np.empty(0, np.int64) for i in (0, 1))
-    order = np.argsort(of, kind="stable")
-    buckets, sizes = buckets[order], np.bincount(of, minlength=len(number))
+    # buckets in the order of the words, some thousand words at a time
+    words, held, sizes = list(number), [], []
+    for i in range(0, len(words), 4096):
+        of, buckets = (np.concatenate(x) for x in zip(*features(words[i : i + 4096], s), strict=True))
+        held.append(buckets[np.argsort(of, kind="stable")])
+        sizes.append(np.bincount(of, minlength=min(4096, len(words) - i)))
+    buckets, sizes = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (held, sizes))
     starts = np.cumsum(sizes) - sizes
-    docs = []
-    for c in counted:
-        if c is None:
-            docs.append(None)
-            continue
-        words, n = c
+    del words, held
+
+    def document(words: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A document's buckets and their shares, made anew in each epoch: all documents' would be a hundred times their texts."""
         k = sizes[words]
         at = np.repeat(starts[words] - (np.cumsum(k) - k), k) + np.arange(k.sum())
         # a bucket met twice in a document gets the sum of its shares
         uniq, place = np.unique(buckets[at], return_inverse=True)
-        docs.append((uniq, np.bincount(place, np.repeat(n / n.sum() / k, k)).astype(np.float32)))
-    steps, done = max(1, s.epochs * len(docs)), 0
+        return uniq, np.bincount(place, np.repeat(n / n.sum() / k, k)).astype(np.float32)
+
+    steps, done = max(1, s.epochs * len(counted)), 0
     for _ in range(s.epochs):
-        for i in rng.permutation(len(docs)):
+        for i in rng.permutation(len(counted)):
             rate = s.rate * (1 - done / steps)
             done += 1
             y = np.array([1 - labels[i], labels[i]], np.float32)
-            if docs[i] is None:
+            if counted[i] is None:
                 z = bias.copy()
             else:
-                ids, share = docs[i]
+                ids, share = document(*counted[i])
                 rows = table[ids]
                 hidden = share @ rows
                 z = out @ hidden + bias
             p = np.exp(z - z.max())
             g = p / p.sum() - y
-            if docs[i] is not None:
+            if counted[i] is not None:
                 back = g @ out
                 out -= rate * np.outer(g, hidden)
                 # shares are small where texts are long: the step is scaled by the largest, as if each bucket were met once
