@@ -26,7 +26,7 @@ an empty result.
 from __future__ import annotations
 
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 from zlib import crc32
 
 import numpy as np
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import bounded_batches, kept_in_worker, stretch_hashes, written
+from strandlake.llm.common import bounded_batches, forget_kept, kept_in_worker, stretch_hashes, written
 
 END = b" end"
 
@@ -113,10 +113,15 @@ def describe(codes: np.ndarray, start: np.ndarray, end: np.ndarray, s: Settings)
 
 
 def describe_tokens(words: list[bytes], s: Settings) -> Words:
-    words = [b"" if w == END else w for w in words]
-    n = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(n)
-    return describe(np.frombuffer(b"".join(words), np.uint8), ends - n, ends, s)
+    """In portions of `together` bytes, since hashing needs many times the bytes of what is hashed at once."""
+    n = np.fromiter((0 if w == END else len(w) for w in words), np.int64, len(words))
+    portion = np.cumsum(n) // s.together
+    cuts = [0, *(np.flatnonzero(portion[1:] != portion[:-1]) + 1).tolist(), len(words)]
+    parts = []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        ends = np.cumsum(n[a:b])
+        parts.append(describe(np.frombuffer(b"".join(w for w in words[a:b] if w != END), np.uint8), ends - n[a:b], ends, s))
+    return Words(*(np.concatenate([getattr(p, f.name) for p in parts]) for f in fields(Words)))
 
 
 class Places:
@@ -148,17 +153,31 @@ class Places:
         return out
 
 
-def segment_sums(q: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Sums of stretches of rows (from `first`, n each), by halving them; q is used up."""
-    most = int(n.max())
-    place = np.arange(len(q)) - np.repeat(first, n)
-    left = np.repeat(n, n) - place
-    at, step = np.flatnonzero(left > 1), 1
-    while step < most:
-        at = at[((place[at] & (2 * step - 1)) == 0) & (left[at] > step)]
-        q[at] += q[at + step]
-        step *= 2
-    return q[first]
+#: Rows of a stretch that are summed one after another.
+PIECE = 16
+
+
+def segment_sums(q: np.ndarray, first: np.ndarray, n: np.ndarray, order: np.ndarray | None = None) -> np.ndarray:
+    """Sums of stretches of rows of q (of q[order], if given; from `first`, n each). A stretch is cut into pieces, the pieces
+    are summed side by side, longest ones first, and so are then their sums. Nothing is moved at the end where n falls."""
+    while True:
+        most, k = int(n.max()), -(-n // PIECE)
+        begin = np.cumsum(k) - k
+        if most > PIECE:
+            done = PIECE * (np.arange(k.sum()) - np.repeat(begin, k))
+            first, n = np.repeat(first, k) + done, np.minimum(np.repeat(n, k) - done, PIECE)
+        by = np.argsort((PIECE - n).astype(np.uint8), kind="stable")
+        longer = (len(n) - np.cumsum(np.bincount(n, minlength=PIECE + 1))).tolist()
+        at = first[by]
+        out = q.take(at if order is None else order[at], axis=0)
+        for j in range(1, min(most, PIECE)):
+            x = at[: longer[j]] + j
+            out[: longer[j]] += q.take(x if order is None else order[x], axis=0)
+        back = np.empty_like(by)
+        back[by] = np.arange(len(by))
+        if most <= PIECE:
+            return out if (by[1:] > by[:-1]).all() else out.take(back, axis=0)
+        q, first, n, order = out, begin, k, back
 
 
 class Weights:
@@ -184,46 +203,59 @@ class Weights:
         return c, *(n + self._hashed(c_ | (h.astype(np.uint64) << np.uint64(1)) | np.uint64(salt), 2 * self.rows) for h, salt in ((h1, 0), (h2, 1)))
 
     @staticmethod
-    def _softmax(table, rows, y):
-        """(exp(z), its sums, log P(y)) for the sums z of the rows."""
-        z = table[rows[0]]
+    def _softmax(table, common, rows, y):
+        """(exp(z), its sums, log P(y)) for the sums z of the rows, and of the row `common` of all, if there is one."""
+        z = table.take(rows[0], axis=0)
+        if common is not None:
+            z += table[common]
         for r in rows[1:]:
-            z += table[r]
+            z += table.take(r, axis=0)
         # where no number is large, nothing has to be taken off before exp
         if len(z) and max(z.max(), -z.min()) > 60:
             z -= z.max(1, keepdims=True)
         hit = z[np.arange(len(y)), y]
         p = np.exp(z, out=z)
-        total = p.sum(1)
+        total = np.einsum("ij->i", p)
         return p, total, hit - np.log(total)
 
     def log_p(self, cell, h1, h2) -> np.ndarray:
         """Natural logs of P(class) P(member | class)."""
         c, member = np.divmod(cell, self.s.per_class)
-        _, _, out = self._softmax(self.by_class, (np.zeros_like(c), *self.class_features(h1, h2)), c)
-        _, _, more = self._softmax(self.by_member, self.member_features(h1, h2, c), member)
+        _, _, out = self._softmax(self.by_class, 0, self.class_features(h1, h2), c)
+        _, _, more = self._softmax(self.by_member, None, self.member_features(h1, h2, c), member)
         return out.astype(np.float64) + more
 
     def learn(self, cell, h1, h2, rate: float, touched: dict) -> None:
         """One step on a batch."""
         c, member = np.divmod(cell, self.s.per_class)
-        self._step(self.by_class, (np.zeros_like(c), *self.class_features(h1, h2)), c, rate, touched["class"])
-        self._step(self.by_member, self.member_features(h1, h2, c), member, rate, touched["member"])
-
-    def _step(self, table, rows, y, rate, touched) -> None:
-        p, total, _ = self._softmax(table, rows, y)
+        self._step(self.by_class, 0, (self.class_features(h1, h2),), c, rate, touched["class"])
+        # (the rows of words before and two before are of one range, so they are moved in turn)
+        own, before, skip = self.member_features(h1, h2, c)
+        self._step(self.by_member, None, ((own, before), (skip,)), member, rate, touched["member"])
+
+    def _step(self, table, common, groups, y, rate, touched) -> None:
+        """groups: kinds of rows, those of a group having no row in common."""
+        p, total, _ = self._softmax(table, common, [r for rows in groups for r in rows], y)
         p /= total[:, None]
         p[np.arange(len(y)), y] -= 1
-        for r in rows:
+        # a row's steps fall with the root of how often it was touched
+        if common is not None:
+            touched[common] += len(y)
+            table[common] -= np.float32(rate / np.sqrt(len(y) * touched[common])) * p.sum(0)
+        for rows in groups:
             # 16 bits are sorted by their digits
+            r = np.concatenate(rows)
             order = np.argsort(r.astype(np.uint16) if len(table) <= 1 << 16 else r, kind="stable")
             key = r[order]
             first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            at, n = key[first], np.diff(np.append(first, len(key)))
-            g = p.sum(0)[None] if len(first) == 1 else segment_sums(p[order], first, n)
+            n = np.diff(np.append(first, len(key)))
+            falling = np.argsort(-np.minimum(n, 1 << 14).astype(np.int16), kind="stable")
+            first, n = first[falling], n[falling]
+            at = key[first]
+            g = segment_sums(p, first, n, order % len(y))
             touched[at] += n
-            # a row's steps fall with the root of how often it was touched
-            table[at] -= (rate / np.sqrt(n * touched[at])).astype(np.float32)[:, None] * g
+            g *= (rate / np.sqrt(n * touched[at])).astype(np.float32)[:, None]
+            table[at] = np.subtract(table.take(at, axis=0), g, out=g)
 
 
 def histories(flat: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -250,6 +282,7 @@ def count_tokens(documents: DataFrame, s: Settings) -> DataFrame:
             keys = list(counts)
             return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(list(counts.values()), pa.int64()), pa.array(describe_tokens(keys, s).rare, pa.int32())], names=["token", "c", "k"])
 
+        forget_kept()
         counts: Counter = Counter()
         for b in batches:
             for text in b.column(0).to_pylist():
@@ -374,7 +407,7 @@ def _texts(cells, symbols) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     raw = cells.to_pylist()
     ends = np.cumsum([len(x) // 2 for x in raw])
     h1, h2 = histories(np.frombuffer(b"".join(symbols.to_pylist()), np.uint16), ends)
-    return np.frombuffer(b"".join(raw), np.uint16).astype(np.int64), h1, h2, ends
+    return np.frombuffer(b"".join(raw), np.uint16), h1, h2, ends
 
 
 def counted_weights(v: Vocabulary) -> Weights:
@@ -402,6 +435,7 @@ def train(encoded: DataFrame, v: Vocabulary) -> Weights:
         shared = spark.sparkContext.broadcast(now.flat)
 
         def run(batches, turn=turn, shared=shared):
+            forget_kept()
             start = np.concatenate([np.full(now.class_rows, 20.0 + 2000.0 * turn), np.full(now.member_rows, 20.0 + 200.0 * turn)])
             w, touched = Weights(s, v_rows, shared.value.copy()), start.copy()
             parts = {"class": touched[: w.class_rows], "member": touched[w.class_rows :]}
@@ -410,7 +444,7 @@ def train(encoded: DataFrame, v: Vocabulary) -> Weights:
                 order = np.random.default_rng(len(cells)).permutation(len(cells))
                 for i in range(0, len(cells), s.batch):
                     at = order[i : i + s.batch]
-                    w.learn(cells[at], h1[at], h2[at], s.rate, parts)
+                    w.learn(cells[at].astype(np.int64), h1[at], h2[at], s.rate, parts)
             n = (touched - start).astype(np.float32)
             if n.any():
                 from pyspark import TaskContext
@@ -468,7 +502,7 @@ def score(documents: DataFrame, s: Settings = Settings()) -> DataFrame:
         w = Weights(s, rows, shared.value)
         for b in batches:
             cells, h1, h2, ends = _texts(b.column(0), b.column(1))
-            out = np.concatenate([w.log_p(cells[i : i + s.batch], h1[i : i + s.batch], h2[i : i + s.batch]) for i in range(0, len(cells), s.batch)])
+            out = np.concatenate([w.log_p(cells[i : i + s.batch].astype(np.int64), h1[i : i + s.batch], h2[i : i + s.batch]) for i in range(0, len(cells), s.batch)])
             sums = np.add.reduceat(out, np.concatenate([[0], ends[:-1]])) / np.log(10)
             yield pa.RecordBatch.from_arrays([*b.columns[2:], pa.array(sums)], names=[*names, "__model"])
 

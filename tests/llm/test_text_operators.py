@@ -321,6 +321,55 @@ def test_sums_of_stretches():
     assert np.allclose(language.segment_sums(q.copy(), first, n), np.add.reduceat(q, first, axis=0))
 
 
+def test_sums_of_long_stretches_in_another_order():
+    """Rows are named by an order and may be named again; stretches are longer than a piece, and than a piece of pieces."""
+    rng = np.random.default_rng(2)
+    for n in (np.array([1, 700, 16, 17, 3, 256, 257]), np.array([900, 40, 2, 1, 1]), np.array([5])):
+        q, order = rng.normal(size=(50, 3)), rng.integers(0, 50, n.sum())
+        first, kept = np.cumsum(n) - n, q.copy()
+        assert np.allclose(language.segment_sums(q, first, n, order), np.add.reduceat(q[order], first, axis=0))
+        assert (q == kept).all()
+
+
+def test_language_steps_of_kinds_that_share_rows():
+    """So few rows that words before and two before meet in them: each kind moves its rows in turn, by its own touches."""
+    s = language.Settings(words=16, per_class=8, kinds=2, batch=300)
+    w, rng = language.Weights(s, 4), np.random.default_rng(4)
+    w.flat[:] = rng.normal(size=len(w.flat)).astype(np.float32)
+    want = w.by_member.astype(float)
+    cell, h1, h2 = rng.integers(0, 32, 300), rng.integers(0, 9, 300).astype(np.uint16), rng.integers(0, 9, 300).astype(np.uint16)
+    touched = {"class": np.full(w.class_rows, 20.0), "member": np.full(w.member_rows, 20.0)}
+    rows, t = w.member_features(h1, h2, cell // 8), touched["member"].copy()
+    z = np.exp(sum(want[r] for r in rows))
+    p = z / z.sum(1, keepdims=True) - np.eye(8)[cell % 8]
+    for r in rows:
+        n = np.bincount(r, minlength=len(t))
+        t += n
+        want -= 0.25 / np.sqrt(np.maximum(n, 1) * t)[:, None] * np.array([p[r == i].sum(0) for i in range(len(t))])
+    w.learn(cell, h1, h2, 0.25, touched)
+    assert set(rows[1]) & set(rows[2]) and (touched["member"] == t).all() and np.allclose(w.by_member, want, atol=1e-4)
+
+
+def test_describing_many_tokens_is_bounded():
+    """Tokens are hashed in portions: the same as one by one, and without many times their bytes at once."""
+    import tracemalloc
+
+    s = language.Settings(together=1 << 12)
+    words = [b"word%d" % i for i in range(3000)] + [language.END, b"x" * 9000, b"caf\xc3\xa9,"]
+    whole, some = language.describe_tokens(words, s), [0, 1, 500, 1777, 2999, 3000, 3001, 3002]
+    for i in some:
+        one = language.describe_tokens(words[i : i + 1], s)
+        assert all(getattr(whole, f)[i] == getattr(one, f)[0] for f in ("hash", "other", "rare", "symbol"))
+    assert len(language.describe_tokens([], s).hash) == 0
+    words = [b"token%07d" % i for i in range(200_000)]
+    common._powers.clear()
+    tracemalloc.start()
+    language.describe_tokens(words, language.Settings())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6
+
+
 def test_language_steps_follow_the_gradient():
     """One batch, against sums over tokens of the softmax's gradient, row by row."""
     s = language.Settings(words=16, per_class=8, kinds=2, batch=50)
