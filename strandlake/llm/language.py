@@ -31,6 +31,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -129,7 +130,7 @@ class Places:
 
     def __init__(self, h: np.ndarray, other: np.ndarray):
         self.bits = max(8, (4 * len(h)).bit_length())
-        self.other, self.at = other, np.full(1 << self.bits, -1, np.int64)
+        self.other, self.at = other, np.full(1 << self.bits, -1, np.int32)
         self.h, todo, step = h, np.arange(len(h)), 0
         while len(todo):
             slot = self._slot(h[todo], step)
@@ -376,6 +377,18 @@ class Reader:
         return out
 
 
+def portions(batch: pa.RecordBatch, s: Settings):
+    """Parts of a batch, whose last column are texts, of up to `together` bytes of text or of one row."""
+    sizes, i = pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_pylist(), 0
+    while i < len(sizes):
+        j, size = i + 1, sizes[i]
+        while j < len(sizes) and size + sizes[j] <= s.together:
+            size += sizes[j]
+            j += 1
+        yield batch.slice(i, j - i)
+        i = j
+
+
 def encode(documents: DataFrame, v: Vocabulary) -> DataFrame:
     """A written table: __row, doc_id, held_out, n_tokens, head_known, head_log (log10(c + 0.5) summed over head tokens),
     fixed (the same over rare ones, less their cell's share), cells and symbols (uint16s), tail, tail_n (tokens outside the head)."""
@@ -388,15 +401,10 @@ def encode(documents: DataFrame, v: Vocabulary) -> DataFrame:
     def run(batches):
         reader = kept_in_worker(("lm", s, mark), lambda: Reader(shared.value))
         for b in batches:
-            texts, got, i = b.column(3).to_pylist(), [], 0
-            while i < len(texts):
-                j, size = i, 0
-                while j < len(texts) and (j == i or size + len(texts[j] or b"") <= s.together):
-                    size += len(texts[j] or b"")
-                    j += 1
-                got += reader.read(texts[i:j])
-                i = j
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], *(pa.array([g[k] for g in got], t) for k, t in enumerate(types))], names=names)
+            # each portion is handed on before the next is read: their many small objects would pile up
+            for part in portions(b, s):
+                got = list(zip(*reader.read(part.column(3).to_pylist()), strict=True))
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], *(pa.array(x, t) for x, t in zip(got, types, strict=True))], names=names)
 
     sent = documents.select(F.monotonically_increasing_id().alias("__row"), F.col("doc_id").cast("long").alias("doc_id"), _held_out(s).alias("held_out"), F.col("text").cast("binary").alias("t"))
     return written(sent.mapInArrow(run, "__row long, doc_id long, held_out boolean, n_tokens long, head_known long, head_log double, fixed double, cells binary, symbols binary, tail array<binary>, tail_n array<int>"), "lm-encoded")

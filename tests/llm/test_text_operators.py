@@ -370,6 +370,19 @@ def test_describing_many_tokens_is_bounded():
     assert peak < 100e6
 
 
+def test_portions_are_whole_and_bounded():
+    """Every row is in one portion, in order; a portion has more bytes than allowed only if it is one text."""
+    import pyarrow as pa
+
+    s, rng = language.Settings(together=100), random.Random(5)
+    texts = [None if rng.random() < 0.1 else b"x" * rng.choice([0, 5, 60, 99, 100, 101, 400]) for _ in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array(texts, pa.binary())], names=["i", "t"])
+    parts = [p.to_pydict() for p in language.portions(batch.slice(7), s)]
+    assert [i for p in parts for i in p["i"]] == list(range(7, 300)) and [t for p in parts for t in p["t"]] == texts[7:]
+    assert all(len(p["t"]) == 1 or sum(len(t or b"") for t in p["t"]) <= 100 for p in parts) and len(parts) > 50
+    assert list(language.portions(batch.slice(0, 0), s)) == []
+
+
 def test_language_steps_follow_the_gradient():
     """One batch, against sums over tokens of the softmax's gradient, row by row."""
     s = language.Settings(words=16, per_class=8, kinds=2, batch=50)
