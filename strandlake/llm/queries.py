@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import counts, jaccard, language, lines, mixing, pieces, quality, secrets, vectors
+from strandlake.llm import audit, counts, jaccard, language, licenses, lines, mixing, pieces, quality, secrets, spelling, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,9 +54,21 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets_query(table(spark, sf_dir, "documents"))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licenses_query(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_query(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_source_mixing, op3_lm_scoring, op4_embedding_near_dedup, op5_exact_top_k, op6_token_counts, op7_line_dedup, op8_sentencepiece, op9_quality_classifier, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_source_mixing, op3_lm_scoring, op4_embedding_near_dedup, op5_exact_top_k, op6_token_counts, op7_line_dedup, op8_sentencepiece, op9_quality_classifier, op10_secret_scan, op11_license_scan, op12_spelling_variants, op13_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_source_mixing": mixing.MIXING_SQL, "op5_exact_top_k": vectors.TOP_SQL, "op7_line_dedup": lines.LINES_SQL}
+    return {"op2_source_mixing": mixing.MIXING_SQL, "op5_exact_top_k": vectors.TOP_SQL, "op7_line_dedup": lines.LINES_SQL, "op11_license_scan": licenses.LICENSES_SQL, "op12_spelling_variants": spelling.SPELLING_SQL, "op13_filter_audit": audit.AUDIT_SQL}
