@@ -46,7 +46,8 @@ def other_flags(documents: DataFrame, part: str) -> DataFrame:
         F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(0xE), text).alias("t2"))
     rows = written(rows.select("x.a", "x.b", "doc_id", "part", "size", "capitals", "marks", "t1", "t2"), "audit-flags")
     same = ["size", "t1", "t2"]
-    first = rows.groupBy(*same).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select(*same, "first")
+    # written: a join with sums that stand in its own stage is one whose large groups Spark cannot split
+    first = written(rows.groupBy(*same).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select(*same, "first"), "audit-firsts")
     return rows.join(first, same, "left").select("a", "b", "doc_id", "part", "capitals", "marks", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)).alias("copy"))
 
 
