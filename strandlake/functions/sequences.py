@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -125,6 +127,23 @@ def translate(s: Column, table: int = 1, phase: int = 0, replace_alternative: bo
     return F.substring_index(out, "*", 1) if stop_on_first else out
 
 
+def translate_by(s: Column, table: Column, replace_alternative: bool = False, stop_on_first: bool = True) -> Column:
+    """translate() from the first letter on, by the table that a column names; null for a table that there is not."""
+    codes = F.from_json(F.lit(json.dumps({t: code.residues(t) for t in code.TABLES})), "map<string,map<string,string>>")
+    begins = F.from_json(F.lit(json.dumps({t: code.starts(t, True) for t in code.TABLES})), "map<string,array<string>>")
+    key = table.cast("string")
+    own, starts = F.try_element_at(codes, key), F.try_element_at(begins, key)
+    first = F.sequence(F.lit(0), F.greatest(F.length(s) - 3, F.lit(0)), F.lit(3))
+
+    def one(i: Column) -> Column:
+        codon = F.substr(s, i + 1, F.lit(3))
+        made = F.coalesce(F.try_element_at(own, codon), F.lit("X"))
+        return F.when((i == 0) & F.array_contains(starts, codon), "M").otherwise(made) if replace_alternative else made
+
+    out = F.when(F.length(s) >= 3, F.array_join(F.transform(first, one), "")).otherwise("")
+    return F.when(own.isNotNull(), F.substring_index(out, "*", 1) if stop_on_first else out)
+
+
 def open_frames(s: Column, table: int = 1, alternative: bool = False, replace: bool = False, minimum: int = 0) -> Column:
     """array<struct<start: int, product: string>> in frame 0: for each start that is the first after a stop, the residues up
     to and with the next stop's symbol. Frames without a stop before the end are not reported."""

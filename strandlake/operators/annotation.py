@@ -11,8 +11,8 @@ import re
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlake.functions import genetic_code as code
 from strandlake.functions import sequences as sq
+from strandlake.operators import intervals
 from strandlake.plans.tables import remove, written
 
 # Hierarchies by format and dialect, in the documented notation.
@@ -231,27 +231,26 @@ def missing_sequences(features: DataFrame, reference: DataFrame) -> DataFrame:
 
 def out_of_bounds(features: DataFrame, reference: DataFrame) -> DataFrame:
     """Intervals that leave their sequence; unknown sequences are passed over."""
-    sizes = reference.select(F.col("name").alias("seq"), F.length("seq").alias("size"))
-    return features.join(sizes, "seq").where("low < 0 or low + length > size")
+    known = intervals.sizes(reference).select(F.col("name").alias("seq"), "size")
+    return features.join(known, "seq").where("low < 0 or low + length > size")
 
 
-def wrong_translations(features: DataFrame, reference: DataFrame, default_table: int = 1) -> DataFrame:
+def wrong_translations(features: DataFrame, reference: DataFrame, default_table: int = 1, chunk: int = intervals.CHUNK) -> DataFrame:
     """ord, claim, made of coding features (ord, seq, strand, phase, low, length, part, translation, table) whose translation
-    is not that of their stitched intervals. An interval out of bounds gives made = null."""
-    r = reference.select(F.col("name").alias("seq"), F.col("seq").alias("__s"), *([F.col("table_id")] if "table_id" in reference.columns else [F.lit(default_table).alias("table_id")]))
-    x = features.where("translation is not null").join(r, "seq")
-    inside = (F.col("low") >= 0) & (F.col("low") + F.col("length") <= F.length("__s"))
-    piece = F.when(inside, F.substr("__s", (F.col("low") + 1).cast("int"), F.col("length").cast("int")))
+    is not that of their stitched intervals. An interval out of bounds gives made = null; unknown sequences are passed over.
+
+    Intervals are fetched from the reference's chunks; what comes together is a feature's own letters."""
+    known = intervals.sizes(reference).select(F.col("name").alias("seq"), "size", *(["table_id"] if "table_id" in reference.columns else [F.lit(default_table).alias("table_id")]))
+    x = features.where("translation is not null").join(known, "seq").withColumn("inside", (F.col("low") >= 0) & (F.col("low") + F.col("length") <= F.col("size")))
+    x = x.select("ord", "seq", "part", "phase", "translation", F.coalesce("table", "table_id", F.lit(default_table)).alias("t"), "inside", F.col("strand").alias("direction"), F.when(F.col("inside"), F.col("low")).otherwise(0).alias("low"), F.when(F.col("inside"), F.col("length")).otherwise(0).alias("length"))
+    x = intervals.fetch(x, reference, size=chunk)
     g = x.groupBy("ord").agg(
-        F.array_sort(F.collect_list(F.struct("part", piece.alias("p")))).alias("ps"), F.bool_and(inside).alias("ok"), F.first("strand").alias("strand"),
-        F.first("phase").alias("phase"), F.first("translation").alias("claim"), F.coalesce(F.first("table"), F.first("table_id"), F.lit(default_table)).alias("t"))
+        F.array_sort(F.collect_list(F.struct("part", F.col("slice").alias("p")))).alias("ps"), F.bool_and("inside").alias("ok"), F.first("direction").alias("strand"),
+        F.first("phase").alias("phase"), F.first("translation").alias("claim"), F.first("t").alias("t"))
     whole = F.array_join(F.transform("ps", lambda p: p["p"]), "")
     whole = F.when(F.col("strand") == "-", sq.rc(whole)).otherwise(whole)
-    g = g.select("ord", "claim", "t", "ok", F.substr(whole, F.coalesce("phase", F.lit(0)) + 1).alias("s"))
-    made = F.lit(None).cast("string")
-    for t in code.TABLES:
-        made = F.when(F.col("t") == t, sq.translate(F.col("s"), t, 0, True)).otherwise(made)
-    g = g.select("ord", F.regexp_replace("claim", "\\*$", "").alias("claim"), F.when(F.col("ok"), made).alias("made"))
+    g = g.select("ord", "claim", "ok", F.substr(whole, F.coalesce("phase", F.lit(0)) + 1).alias("s"), "t")
+    g = g.select("ord", F.regexp_replace("claim", "\\*$", "").alias("claim"), F.when(F.col("ok"), sq.translate_by(F.col("s"), F.col("t"), True)).alias("made"))
     return g.where("made is null or made <> claim")
 
 

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from strandlake.functions import genetic_code as code
 from strandlake.functions import sequences as sq
-from strandlake.operators import annotation, graph, kmers, matrix, records, repeats, statistics, trees
+from strandlake.operators import annotation, graph, intervals, kmers, matrix, paths, records, repeats, statistics, trees
 from strandlake.operators.registry import oracle_sql, queries, query  # noqa: F401
 from strandlake.plans import synthetic as syn
-from strandlake.plans.synthetic import DNA_SQL, FEATURES_SQL, READS_SQL, REFERENCE_SQL, dna, table
+from strandlake.plans.synthetic import DNA_SQL, FEATURES_SQL, MIXED_SQL, READS_SQL, REFERENCE_SQL, dna, table
 from strandlake.sources import newick
 
 def _docs(spark, d: str) -> DataFrame:
@@ -143,9 +143,37 @@ def interval_format(spark, d):
 @query(f"""WITH f AS ({FEATURES_SQL}), r AS ({REFERENCE_SQL}) SELECT id, substr(CASE WHEN strand = '-' THEN {_rc('r.seq')} ELSE r.seq END, low + 1, length) AS slice
     FROM f JOIN r ON f.seq = r.name WHERE low + length <= length(r.seq)""")
 def reference_slice(spark, d):
-    r = syn.reference(spark, d).select("name", F.col("seq").alias("s"))
-    x = syn.features(spark, d).join(r, F.col("seq") == F.col("name")).where("low + length <= length(s)")
-    return x.select("id", sq.slice_sequence(F.col("s"), F.col("low"), F.col("length"), F.col("strand")).alias("slice"))
+    return intervals.fetch(syn.features(spark, d), syn.reference(spark, d), strict=False).select("id", "slice")
+
+
+_SPREAD = """SELECT l_orderkey || '_' || l_linenumber AS id, 'chr' || (l_suppkey % 30) AS seq, (l_partkey * 40 + l_linenumber)::BIGINT AS low, l_quantity::BIGINT AS length FROM lineitem"""
+
+
+def _spread(spark, d):
+    """Features that are spread over long names."""
+    return _lines(spark, d).select(F.concat_ws("_", "l_orderkey", "l_linenumber").alias("id"), F.concat(F.lit("chr"), (F.col("l_suppkey") % 30).cast("string")).alias("seq"), (F.col("l_partkey") * 40 + F.col("l_linenumber")).cast("long").alias("low"), F.col("l_quantity").cast("long").alias("length"))
+
+
+def _pairs(meet: str) -> str:
+    return f"WITH f AS ({_SPREAD}) SELECT a.id AS a, b.id AS b, a.seq FROM f a JOIN f b ON a.seq = b.seq AND {meet}"
+
+
+@query(_pairs("a.low < b.low + b.length AND b.low < a.low + a.length"))
+def interval_overlaps(spark, d):
+    f = _spread(spark, d)
+    return intervals.interval_join(f, f, bin_size=64).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.seq").alias("seq"))
+
+
+@query(_pairs("a.low <= b.low AND b.low + b.length <= a.low + a.length"))
+def interval_contains(spark, d):
+    f = _spread(spark, d)
+    return intervals.interval_join(f, f, "contains", 64).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.seq").alias("seq"))
+
+
+@query(f"""WITH f AS ({_SPREAD}), e AS (SELECT seq, low AS at, 1 AS d FROM f UNION ALL SELECT seq, low + length, -1 FROM f), s AS (SELECT seq, at, sum(d) AS d FROM e GROUP BY ALL HAVING sum(d) <> 0),
+    r AS (SELECT seq, at AS low, lead(at) OVER w - at AS length, sum(d) OVER w AS depth FROM s WINDOW w AS (PARTITION BY seq ORDER BY at)) SELECT seq, low, length::BIGINT AS length, depth::BIGINT AS depth FROM r WHERE depth > 0""".replace(" at", " pos").replace("(at)", "(pos)"))
+def interval_coverage(spark, d):
+    return intervals.coverage(_spread(spark, d))
 
 
 def _places(codons: list[str]) -> str:
@@ -475,6 +503,22 @@ def tree_distance(spark, d):
     return trees.distances(_tree(spark, d))
 
 
+@query(f"{_UP}, h AS (SELECT idx, max(n) AS depth FROM u GROUP BY idx) SELECT 0::BIGINT AS tree_id, u.up::INT AS idx, count(*) AS size, sum(t.length) AS total, max(h.depth) - min(h.depth) AS height, min(t.name) AS first_name FROM u JOIN t USING (idx) JOIN h USING (idx) GROUP BY u.up")
+def tree_subtrees(spark, d):
+    """Sizes, sums, heights and first names of everything below each node."""
+    t = _tree(spark, d)
+    t = t.join(paths.fold_down(t, depth=("sum", (F.col("parent_idx") >= 0).cast("int"))), ["tree_id", "idx"])
+    up = paths.fold_up(t, size=("sum", F.lit(1).cast("long")), total=("sum", F.col("length")), low=("max", F.col("depth")), first_name=("min", F.col("name")))
+    return up.join(t.select("tree_id", "idx", "depth"), ["tree_id", "idx"]).select("tree_id", "idx", "size", "total", (F.col("low") - F.col("depth")).cast("int").alias("height"), "first_name")
+
+
+@query(f"""{_UP}, l AS (SELECT idx, name FROM t WHERE idx NOT IN (SELECT parent_idx FROM t)), x AS (SELECT u.*, l.name FROM u JOIN l USING (idx)),
+    p AS (SELECT a.name AS row, b.name AS col, arg_min(a.d + b.d, a.n + b.n) AS value FROM x a JOIN x b ON a.up = b.up AND a.idx <> b.idx GROUP BY 1, 2)
+    SELECT row, col, value FROM p UNION ALL SELECT name, name, 0.0 FROM l""")
+def tree_cophenetic(spark, d):
+    return paths.cophenetic(_tree(spark, d)).select("row", "col", "value")
+
+
 @query(f"""{_UP}, l AS (SELECT idx, name FROM t WHERE idx NOT IN (SELECT parent_idx FROM t)), k AS (SELECT count(*) AS n, max(name) AS last FROM l),
     s AS (SELECT u.up, list(l.name) AS inside, count(*) AS n FROM u JOIN l ON u.idx = l.idx WHERE u.n > 0 GROUP BY u.up)
     SELECT array_to_string(list_sort(CASE WHEN list_contains(s.inside, k.last) THEN (SELECT list(name) FROM l WHERE NOT list_contains(s.inside, name)) ELSE s.inside END), ',') AS members, k.n::INT AS n, 1.0::DOUBLE AS weight
@@ -526,9 +570,17 @@ def newick_parse(spark, d):
 # ---- repeats and consensus ------------------------------------------------------------------------------------------
 
 
-@query()
+@query(f"""WITH d AS (SELECT 'doc_' || doc_id AS tag, string_split({MIXED_SQL}, '') AS s FROM documents),
+    k AS (SELECT tag, s, unnest(range(1, 11)) AS k FROM d), c AS (SELECT tag, s, k, unnest(range(1, len(s) - k + 1)) AS i FROM k),
+    e AS (SELECT tag, k, i, i - row_number() OVER (PARTITION BY tag, k ORDER BY i) AS g FROM c WHERE s[i] = s[i + k]),
+    r AS (SELECT tag, k, min(i) AS lo, max(i) + k AS hi FROM e GROUP BY tag, k, g HAVING count(*) >= k AND count(*) + k >= 6),
+    u AS (SELECT tag, lo, hi, min(k) AS k FROM r GROUP BY tag, lo, hi),
+    h AS (SELECT *, coalesce(max(hi) OVER (PARTITION BY tag ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS reach FROM u)
+    SELECT tag, lo, hi, hi - lo + 1 AS length, k AS unit_length, format('{{:g}}', (hi - lo + 1) / k::DOUBLE) AS periods, array_to_string(s[lo:lo + k - 1], '') AS unit
+    FROM h JOIN d USING (tag) WHERE hi > reach""")
 def tandem_repeats(spark, d):
-    return repeats.find_repeats(_docs(spark, d).select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("tag"), "seq"), 10, 6)
+    x = table(spark, d, "documents").select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("tag"), syn.mixed(F.col("text")).alias("seq"))
+    return repeats.find_repeats(x, 10, 6)
 
 
 @query()

@@ -28,7 +28,7 @@ _LINTED = f"SELECT doc_id, regexp_replace({_UPPER.format('raw')}, '[^ACGT]', 'N'
 
 
 def _mixed(spark, d):
-    return table(spark, d, "documents").select("doc_id", mixed(F.col("text"), F.col("doc_id")).alias("seq"))
+    return table(spark, d, "documents").select("doc_id", mixed(F.col("text")).alias("seq"))
 
 
 # ---- mixed sequences ------------------------------------------------------------------------------------------------

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandlake.plans.tables import written
+
 
 def online(df: DataFrame, x: str, *by: str) -> DataFrame:
     """count, mean, variance, sd, cv and their sample forms; 0 where too few values are there."""
@@ -86,27 +88,34 @@ def most_frequent(freq: DataFrame) -> DataFrame:
     return freq.agg(F.min_by(F.struct("value", "freq"), F.struct((-F.col("freq")).alias("f"), "value")).alias("m")).select("m.value", "m.freq")
 
 
+def ranged(rows: DataFrame, order: Column, weight: Column, *by: str) -> DataFrame:
+    """rows with __before, the weight of the rows before each in `order` among those that share `by`, and __all, that of all.
+
+    Rows are dealt to ranges of (by, order). Ranges are sampled anew whenever they are dealt, so they are written once, with
+    their numbers; sums by range and places inside a range are read from that table. A group of any size is many ranges.
+    """
+    spread = written(rows.withColumn("__w", weight).repartitionByRange(*by, order).withColumn("__p", F.spark_partition_id()), "ranges")
+    key = F.struct(*by, "__p")  # fields of structs are equal if both are null
+    earlier = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    group = Window.partitionBy(*by)
+    sums = spread.groupBy(*by, "__p").agg(F.sum("__w").alias("__s"))
+    sums = sums.select(key.alias("__g"), earlier("__s", group.orderBy("__p")).alias("__earlier"), F.sum("__s").over(group).alias("__all"))
+    # without groups there is a row for each range, which is what a driver plans anyway
+    run = spread.withColumn("__g", key).withColumn("__inside", earlier("__w", Window.partitionBy(*by, "__p").orderBy(order)))
+    return run.join(sums if by else F.broadcast(sums), "__g").withColumn("__before", F.col("__earlier") + F.col("__inside")).drop("__g", "__p", "__w", "__inside", "__earlier")
+
+
 def median(df: DataFrame, x: str, *by: str, whole: bool = False) -> DataFrame:
     """The middle value or the mean of both middles (a whole division for whole numbers); 0 of none.
 
-    From running counts over the frequencies: without groups these are range-partitioned, so no task holds all values."""
+    From running counts over the frequencies, which are dealt by ranges: no task holds all values, or all of a group."""
     v = F.col(x).cast("double").alias("value")
-    freq = df.where(F.col(x).isNotNull()).groupBy(*by, v).agg(F.count(F.lit(1)).alias("freq"))
-    if by:
-        run = freq.withColumns({"__upto": F.sum("freq").over(Window.partitionBy(*by).orderBy("value")), "__n": F.sum("freq").over(Window.partitionBy(*by))})
-    else:
-        spread = freq.repartitionByRange("value").withColumn("__p", F.spark_partition_id())
-        sums = spread.groupBy("__p").agg(F.sum("freq").alias("__s"))  # one row a partition
-        offsets = sums.select("__p", (F.sum("__s").over(Window.orderBy("__p")) - F.col("__s")).alias("__before"), F.sum("__s").over(Window.partitionBy()).alias("__n"))
-        run = spread.join(F.broadcast(offsets), "__p").withColumn("__upto", F.col("__before") + F.sum("freq").over(Window.partitionBy("__p").orderBy("value")))
-    low, high = F.floor((F.col("__n") - 1) / 2), F.floor(F.col("__n") / 2)
-    at = lambda k: F.max(F.when((F.col("__upto") - F.col("freq") <= k) & (k < F.col("__upto")), F.col("value")))
-    m = F.coalesce((at(low) + at(high)) / 2, F.lit(0.0))
-    found = run.groupBy(*by).agg((F.floor(m) if whole else m).alias("median"))
-    if not by:
-        return found
     # groups without a value have 0 too
-    return df.select(*by).distinct().join(found, list(by), "left").select(*by, F.coalesce("median", F.lit(0).cast(found.schema["median"].dataType)).alias("median"))
+    run = ranged(df.groupBy(*by, v).agg(F.count(x).alias("freq")), F.asc("value"), F.col("freq"), *by)
+    low, high = F.floor((F.col("__all") - 1) / 2), F.floor(F.col("__all") / 2)
+    at = lambda k: F.max(F.when((F.col("__before") <= k) & (k < F.col("__before") + F.col("freq")), F.col("value")))
+    m = F.coalesce((at(low) + at(high)) / 2, F.lit(0.0))
+    return run.groupBy(*by).agg((F.floor(m) if whole else m).alias("median"))
 
 
 def mad(df: DataFrame, x: str) -> DataFrame:
@@ -133,8 +142,7 @@ def normalize_abs(freq: DataFrame) -> DataFrame:
 def threshold(freq: DataFrame, t: float, descending: bool = False) -> DataFrame:
     """In order, elements stay while the absolutes before them sum to less than t times the whole; the rest become 0.
 
-    Equal elements are one row, so how many of them stay is computed, not enumerated. The running sum is over distinct
-    values, range-partitioned: each partition's total is added up first, so no task sorts them all.
+    Equal elements are one row, so how many of them stay is computed, not enumerated.
     """
     if not 0 <= t <= 1:
         raise ValueError(f"a threshold outside 0 to 1: {t}")
@@ -142,11 +150,7 @@ def threshold(freq: DataFrame, t: float, descending: bool = False) -> DataFrame:
         return freq
     v = F.col("value").cast("double")
     order = F.desc("value") if descending else F.asc("value")
-    spread = freq.withColumn("__a", F.abs(v)).repartitionByRange(order).withColumn("__p", F.spark_partition_id())
-    sums = spread.groupBy("__p").agg(F.sum(F.col("__a") * F.col("freq")).alias("__s"))
-    offsets = sums.select("__p", (F.sum("__s").over(Window.orderBy("__p")) - F.col("__s")).alias("__before"), F.sum("__s").over(Window.partitionBy()).alias("__all"))
-    w = Window.partitionBy("__p").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    run = spread.join(F.broadcast(offsets), "__p").withColumn("__sum", F.col("__before") + F.coalesce(F.sum(F.col("__a") * F.col("freq")).over(w), F.lit(0.0)))
+    run = ranged(freq.withColumn("__a", F.abs(v)), order, F.abs(v) * F.col("freq")).withColumnRenamed("__before", "__sum")
     room = F.lit(float(t)) * F.col("__all") - F.col("__sum")
     stay = F.when(room <= 0, F.lit(0)).when(F.col("__a") == 0, F.col("freq")).otherwise(F.least(F.col("freq"), F.ceil(room / F.when(F.col("__a") == 0, 1.0).otherwise(F.col("__a")))))
     # what stays must not be negative

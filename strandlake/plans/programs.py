@@ -6,10 +6,12 @@ import subprocess
 from collections.abc import Iterable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.operators import records, trees
+from strandlake.operators import paths, records, trees
+from strandlake.plans.tables import written
+from strandlake.sources import matrices, newick
 
 READ_ACTIONS = {
     "match": records.match, "rename": records.rename, "revcom": records.reverse_complement, "dropq": records.drop_qualities,
@@ -67,3 +69,14 @@ def run_command(lines: DataFrame, command: list[str], block: int = 10_000, colum
             yield flush(held)
 
     return lines.select(column).mapInPandas(run, "value string")
+
+
+def cophenetic(spark: SparkSession, source: str, target: str, digits: int = 15) -> None:
+    """The matrix of distances between the leaves of the tree in a text (one tree, over any lines), as tab-separated lines.
+
+    Several trees are an error: a matrix has names once."""
+    text = spark.read.text(source, wholetext=True).select(F.lit(0).cast("long").alias("tree_id"), "value")
+    nodes = written(newick.read_trees(text), "cophenetic")
+    if nodes.where("parent_idx < 0").count() != 1:
+        raise ValueError("one tree is needed")
+    matrices.write_matrix(paths.cophenetic(nodes).select("row", "col", "value"), target, digits)

@@ -51,12 +51,12 @@ FEATURES_SQL = """SELECT l_orderkey || '_' || l_linenumber AS id, 'chr' || (l_su
     l_quantity::BIGINT AS length, CASE WHEN l_linenumber % 2 = 0 THEN '+' ELSE '-' END AS strand FROM lineitem"""
 
 
-def mixed(text: Column, doc_id: Column) -> Column:
-    """Sequences of 40 to 80 letters: either case, N, dashes and letters that are none."""
-    return F.translate(F.substr(F.coalesce(text, F.lit("")), F.lit(1), (doc_id % 41 + 40).cast("int")), "abcdefghijklmnopqrstuvwxyz >\n\r\t", "ACGTacgtN-ACGTACGTNacgtACG-NNNN")
+def mixed(text: Column) -> Column:
+    """A sequence for each whole text: either case, N, dashes and letters that are none."""
+    return F.translate(F.coalesce(text, F.lit("")), "abcdefghijklmnopqrstuvwxyz >\n\r\t", "ACGTacgtN-ACGTACGTNacgtACG-NNNN")
 
 
-MIXED_SQL = "translate(substr(coalesce(text, ''), 1, (doc_id % 41 + 40)::INT), 'abcdefghijklmnopqrstuvwxyz >' || chr(10) || chr(13) || chr(9), 'ACGTacgtN-ACGTACGTNacgtACG-NNNN')"
+MIXED_SQL = "translate(coalesce(text, ''), 'abcdefghijklmnopqrstuvwxyz >' || chr(10) || chr(13) || chr(9), 'ACGTacgtN-ACGTACGTNacgtACG-NNNN')"
 
 
 def text_file(df: DataFrame, name: str) -> str:

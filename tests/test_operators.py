@@ -4,7 +4,8 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
-from strandlake.operators import annotation, catalogue, graph, kmers, matrix, records, repeats, statistics, trees
+from strandlake.functions import sequences as sq
+from strandlake.operators import annotation, catalogue, graph, intervals, kmers, matrix, records, repeats, statistics, trees
 from strandlake.plans import programs
 from strandlake.sources import newick
 
@@ -127,11 +128,36 @@ def brute_repeats(s, longest, least):
     return out
 
 
-def test_tandem_repeats():
+def test_tandem_repeats(monkeypatch):
     rng = random.Random(2)
+    letters = lambda n, of="AC": "".join(rng.choice(of) for _ in range(n))
     for _ in range(400):
-        s = "".join(rng.choice("ACG"[: rng.randint(1, 3)]) for _ in range(rng.randint(0, 24)))
-        assert repeats.tandem_repeats(s, 6, 3) == brute_repeats(s, 6, 3), s
+        s = letters(rng.randint(0, 24), "ACG"[: rng.randint(1, 3)])
+        for longest in (None, 6):
+            assert repeats.tandem_repeats(s, longest, 3) == brute_repeats(s, longest or len(s), 3), s
+    monkeypatch.setattr(repeats, "SHORT", 4)  # nearly all periods are met at anchors
+    for _ in range(400):
+        unit = letters(rng.randint(1, 14))
+        s = letters(rng.randint(0, 10)) + unit * rng.randint(1, 4) + letters(rng.randint(0, 10)) + unit * rng.randint(0, 3)
+        assert repeats.tandem_repeats(s) == brute_repeats(s, len(s), 0), s
+
+
+def test_tandem_repeats_over_windows(spark):
+    """Sequences cut to windows give what they give whole: long and short periods, repeats over many windows, one letter alone."""
+    rng = random.Random(5)
+    rows = [("none", None), ("empty", ""), ("one", "A" * 700), ("few", "ACGTT" * 100), ("é", "éñ" * 100)]
+    for i in range(16):
+        blocks = ["".join(rng.choice("AC") for _ in range(rng.choice([1, 2, 3, 5, 8, 13, 30, 77]))) * rng.choice([1, 1, 2, 3, 6, 20]) for _ in range(rng.randint(1, 6))]
+        rows.append((f"t{i % 12}", "".join(blocks)))
+    df = spark.createDataFrame(rows, "tag string, seq string").repartition(3)
+    for longest, least, window in ((None, 0, 16), (None, 9, 100), (20, 0, 64)):
+        whole = sorted(map(tuple, repeats.find_repeats(df, longest, least).collect()))
+        assert whole and sorted(map(tuple, repeats.find_repeats(df, longest, least, window).collect())) == whole
+    # a long sequence in which a unit of many windows is repeated
+    unit = "".join(rng.choices("ACGT", k=100_000))
+    long = spark.createDataFrame([("long", "".join(rng.choices("ACGT", k=300_000)) + unit * 4 + "".join(rng.choices("ACGT", k=300_000)))], "tag string, seq string")
+    found = [(r.lo, r.hi, r.unit_length) for r in repeats.find_repeats(long, least=60, window=1 << 16).collect()]
+    assert len(found) == 1 and found[0][2] == 100_000 and 0 <= 300_001 - found[0][0] < 20 and 0 <= found[0][1] - 700_000 < 20
 
 
 def test_consensus(spark):
@@ -365,3 +391,89 @@ def test_components_of_a_star_and_a_chain(spark):
     edges = [(5, 1000 + i) for i in range(300)] + [(i, i + 1) for i in range(2000, 2040)] + [(7, 7)]
     got = {r.id: r.component for r in tables.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {5: 5, **{1000 + i: 5 for i in range(300)}, **{i: 2000 for i in range(2000, 2041)}}
+
+
+def test_ranges_do_not_depend_on_reused_exchanges(spark):
+    """Ranges are sampled whenever rows are dealt to them; running sums must not mix two samplings."""
+    n = 4_000_001
+    df = spark.range(n).select(F.col("id").alias("x"))
+    freq = df.select(F.col("x").alias("value"), F.lit(1).cast("long").alias("freq"))
+    groups = spark.range(400_001).select(F.col("id").alias("x"), (F.col("id") % 3).alias("g"))
+    before = spark.conf.get("spark.sql.exchange.reuse")
+    try:
+        for reuse in ("true", "false"):
+            spark.conf.set("spark.sql.exchange.reuse", reuse)
+            assert statistics.median(df, "x").first()[0] == 2_000_000
+            assert statistics.threshold(freq, 0.5).where("value > 0").agg(F.sum("freq")).first()[0] == 2_828_427
+            assert {r.g: r.median for r in statistics.median(groups, "x", "g").collect()} == {0: 199_999.5, 1: 200_000.5, 2: 200_000.0}
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", before)
+    assert statistics.mad(groups, "x").agg(F.max("value"), F.sum("freq")).first() == (200_000.0, 400_001)
+
+
+def test_median_of_groups_with_nulls(spark):
+    df = spark.createDataFrame([(None, 4), (None, 8), ("a", 1), ("a", None), ("b", None)], "g string, x int")
+    assert {r.g: r.median for r in statistics.median(df, "x", "g").collect()} == {None: 6.0, "a": 1.0, "b": 0.0}
+    assert statistics.median(df.limit(0), "x").collect()[0][0] == 0.0
+
+
+def test_intervals_from_chunks(spark):
+    rng = random.Random(6)
+    seqs = {"a": "".join(rng.choices("ACGT", k=1000)), "b": "ACGTN", "empty": "", "é": "éñACGT" * 30}
+    reference = spark.createDataFrame(list(seqs.items()), "name string, seq string")
+    assert {len(r.piece) for r in intervals.chunked(reference, 64).collect()} <= set(range(65))
+    rows = [(i, n, lo := rng.randint(0, len(seqs[n])), rng.randint(0, len(seqs[n]) - lo), rng.choice("+-"), "x") for i, n in enumerate(rng.choices(list(seqs), k=300))]
+    rows += [(900, "a", 0, 1000, "+", "x"), (901, "a", 1000, 0, "-", "x"), rows[0]]
+    df = spark.createDataFrame(rows, "i int, seq string, low long, length long, strand string, size string").repartition(3)
+    turned = {"A": "T", "C": "G", "G": "C", "T": "A"}
+
+    def plain(r):
+        s = seqs[r[1]] if r[4] == "+" else "".join(turned.get(c, c) for c in reversed(seqs[r[1]]))
+        return s[r[2] : r[2] + r[3]]
+
+    for size in (7, 64, intervals.CHUNK):
+        got = intervals.fetch(df, reference, size=size)
+        assert got.columns == [*df.columns, "slice"]
+        assert sorted(map(tuple, got.collect())) == sorted((*r, plain(r)) for r in rows)
+    for bad in [(1, "none", 0, 1, "+", "x"), (1, "a", 999, 2, "+", "x"), (1, "a", -1, 2, "+", "x"), (1, None, 0, 1, "+", "x")]:
+        wrong = spark.createDataFrame([bad, rows[0]], df.schema)
+        with pytest.raises(Exception, match="no sequence|out of bounds"):
+            intervals.fetch(wrong, reference).collect()
+        assert intervals.fetch(wrong, reference, strict=False).count() == 1
+    assert intervals.fetch(df.limit(0), reference).count() == 0
+
+
+def test_interval_joins(spark):
+    rng = random.Random(7)
+    make = lambda n: [(f"s{rng.randint(0, 2)}", rng.randint(0, 400), rng.choice([0, 1, 5, 40, 300]), i) for i in range(n)]
+    a, b = make(120), [*make(80), (None, 3, 5, 99)]
+    schema = "seq string, low long, length long, bin int"
+    left, right = spark.createDataFrame(a, schema), spark.createDataFrame(b, schema)
+    real = [(x, y) for x in a for y in b if x[0] == y[0] and x[2] and y[2]]
+    over = sorted((x, y) for x, y in real if x[1] < y[1] + y[2] and y[1] < x[1] + x[2])
+    within = sorted((x, y) for x, y in real if x[1] <= y[1] and y[1] + y[2] <= x[1] + x[2])
+    for size in (8, 64, 4096):
+        assert sorted((tuple(r.a), tuple(r.b)) for r in intervals.interval_join(left, right, "overlaps", size).collect()) == over
+        assert sorted((tuple(r.a), tuple(r.b)) for r in intervals.interval_join(left, right, "contains", size).collect()) == within
+    depth = {}
+    for s, lo, n, _ in a:
+        for i in range(lo, lo + n):
+            depth[s, i] = depth.get((s, i), 0) + 1
+    got = {(r.seq, i): r.depth for r in intervals.coverage(left).collect() for i in range(r.low, r.low + r.length)}
+    assert got == depth
+
+
+def test_translations_of_long_references(spark):
+    """A feature over several chunks, in pieces, on both strands."""
+    rng = random.Random(3)
+    seq = "".join(rng.choices("ACG", k=400))  # no T, so no stop codons
+    reference = spark.createDataFrame([("c", seq, 11)], "name string, seq string, table_id int")
+    two = seq[10:100] + seq[200:290]
+    turned = two[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    made = lambda s, table: spark.createDataFrame([(s,)], "s string").select(sq.translate(F.col("s"), table, 0, True)).first()[0]
+    rows = [(1, "c", "+", 0, 10, 90, 0, made(two, 11), None), (1, "c", "+", 0, 200, 90, 1, made(two, 11), None), (2, "c", "-", 0, 10, 90, 0, made(turned, 2), 2), (2, "c", "-", 0, 200, 90, 1, made(turned, 2), 2)]
+    rows += [(3, "c", "+", 0, 10, 90, 0, "MA", None), (4, "c", "+", 0, 350, 90, 0, "MA", None), (5, "d", "+", 0, 0, 3, 0, "MA", None)]
+    f = spark.createDataFrame(rows, "ord int, seq string, strand string, phase int, low long, length long, part int, translation string, table int")
+    for chunk in (16, 1 << 16):
+        got = {r.ord: r.made for r in annotation.wrong_translations(f, reference, chunk=chunk).collect()}
+        assert set(got) == {3, 4} and got[4] is None
