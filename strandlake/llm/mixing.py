@@ -7,8 +7,8 @@ level: target = min(cap, level * weight), found from running sums over the sourc
 Drawing: a document's place in its source's permutation is a keyed hash of its id, its high digits being its block. A
 source is passed over whole as often as its target holds its words, and once more in part: whole blocks in permuted
 order as far as the target goes, then the next block's sub-blocks, then that one's documents, and at last the largest
-documents outside that still fit, until none does (`op2_source_mixing` stops after as many as its SQL has). Each step keeps sums per block, never a row list per source, so a source that holds a
-third of all rows costs no task more than another.
+documents outside that still fit, until none does. Each step keeps sums per block, never a row list per source, so a
+source that holds a third of all rows costs no task more than another.
 
 Output shards: a splitting tree. The root holds each source's exact quota of blocks; a node deals half of its blocks to
 each child, the sources' shares of the left child being one multivariate-hypergeometric draw made source by source by
@@ -38,8 +38,6 @@ class Settings:
     blocks: int = 256
     #: Output shards: a power of two.
     shards: int = 16
-    #: How many times the largest document that still fits fills what is left; None: until none fits.
-    fills: int | None = None
     seed: int = 5
 
 
@@ -157,19 +155,10 @@ def draw(documents: DataFrame, s: Settings = Settings()) -> DataFrame:
     left = written(after3.select("__src", "__room").unionByName(after2.where("__next is null").select("__src", "__room")).unionByName(
         after.where("__next is null").select("__src", "__room")).groupBy("__src").agg(F.min("__room").alias("__room")), "mix-left")
     outside = size.where("size > 0").withColumn("__block", _digit(0, s)).join(blocks, ["__src", "__block"], "left_anti").select("__src", "__hash", "size")
-    if s.fills is None:
-        # rows that repeat an id and a text are taken together
-        units = outside.join(picked, ["__src", "__hash"], "left_anti").groupBy("__src", "__hash").agg(F.sum("size").alias("size"))
-        for filled in _fill(written(units, "mix-outside"), left, s):
-            picked = picked.union(filled)
-    for _ in range(s.fills or 0):
-        best = (
-            with_source(outside, left).where("size <= __room").join(picked, ["__src", "__hash"], "left_anti")
-            .groupBy("__src").agg(F.max(F.struct("size", "__hash")).alias("b"), F.first("__room").alias("__room"))
-        )
-        best = written(best.select("__src", "b.__hash", "b.size", "__room"), "mix-fill")
-        picked = picked.union(best.select("__src", "__hash"))
-        left = left.join(best.select("__src", "size"), "__src", "left").select("__src", (F.col("__room") - F.coalesce("size", F.lit(0))).alias("__room"))
+    # rows that repeat an id and a text are taken together
+    units = outside.join(picked, ["__src", "__hash"], "left_anti").groupBy("__src", "__hash").agg(F.sum("size").alias("size"))
+    for filled in _fill(written(units, "mix-outside"), left, s):
+        picked = picked.union(filled)
     rows = (
         size.withColumn("__block", _digit(0, s))
         .join(blocks.withColumn("__whole", F.lit(1)), ["__src", "__block"], "left")
@@ -277,11 +266,7 @@ def mix(rows: DataFrame, s: Settings = Settings()) -> DataFrame:
     return out.withColumn("__order", F.xxhash64(F.lit(s.seed), "__shard", "__pass", "__hash"))
 
 
-#: MIXING_SQL fills twice.
-AS_SQL = Settings(fills=2)
-
-
-def mixing_query(documents: DataFrame, s: Settings = AS_SQL) -> DataFrame:
+def mixing_query(documents: DataFrame, s: Settings = Settings()) -> DataFrame:
     """doc_id, size, source_size, target, taken for every row of documents."""
     rows = draw(documents.select("doc_id", "text", "source"), s)
     got = mix(rows, s).groupBy("__id").agg(F.sum("size").alias("taken"))
@@ -302,14 +287,8 @@ def mixed_documents(documents: DataFrame, s: Settings = Settings()) -> DataFrame
     return out.repartitionByRange(shard, order).sortWithinPartitions(shard, order).select(*(F.col(f"`{c}`") for c in documents.columns))
 
 
-_FILL = """p{n} AS (SELECT r.src, max(struct_pack(s := r.size, h := r.hash)) AS b FROM rest{m} r JOIN room{m} USING (src)
-    WHERE r.size > 0 AND r.size <= room{m}.room GROUP BY r.src),
-rest{n} AS (SELECT r.* FROM rest{m} r LEFT JOIN p{n} USING (src) WHERE p{n}.src IS NULL OR r.hash <> p{n}.b.h),
-room{n} AS (SELECT room{m}.src, room{m}.room - coalesce(p{n}.b.s, 0) AS room FROM room{m} LEFT JOIN p{n} USING (src)),
-"""
-MIXING_SQL = (
-    r"""
-WITH sizes AS (SELECT row_number() OVER () AS rid, doc_id, CASE WHEN source IS NULL THEN 'n' ELSE 'a' || source END AS src,
+MIXING_SQL = r"""
+WITH RECURSIVE sizes AS (SELECT row_number() OVER () AS rid, doc_id, CASE WHEN source IS NULL THEN 'n' ELSE 'a' || source END AS src,
     coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
     md5(concat_ws(':', '5', doc_id::VARCHAR, md5(text))) AS hash FROM documents),
 ranked AS (SELECT src, sum(size)::BIGINT AS source_size, 3.0::DOUBLE * sum(size)::DOUBLE AS cap,
@@ -321,13 +300,13 @@ goal AS (SELECT src, source_size, least(cap, coalesce(max(CASE WHEN (whole - fil
     AS target FROM summed),
 room0 AS (SELECT src, target - floor(target / source_size) * source_size AS room FROM goal WHERE source_size > 0),
 ran AS (SELECT s.*, sum(size) OVER (PARTITION BY s.src ORDER BY hash) <= room AS picked, room FROM sizes s JOIN room0 USING (src)),
-rest3 AS (SELECT src, hash, size FROM ran WHERE NOT picked),
-room3 AS (SELECT src, max(room) - coalesce(sum(size) FILTER (WHERE picked), 0) AS room FROM ran GROUP BY src),
-"""
-    + "".join(_FILL.format(n=n, m=n - 1) for n in (4, 5))
-    + """kept AS (SELECT src, hash FROM ran WHERE picked UNION SELECT src, b.h FROM p4 UNION SELECT src, b.h FROM p5)
+units AS MATERIALIZED (SELECT src, hash, sum(size)::BIGINT AS size, row_number() OVER (PARTITION BY src ORDER BY sum(size) DESC, hash DESC) AS place
+    FROM ran WHERE NOT picked AND size > 0 GROUP BY src, hash),
+fill AS (SELECT src, max(room) - coalesce(sum(size) FILTER (WHERE picked), 0) AS room, 0::BIGINT AS place, NULL::VARCHAR AS hash FROM ran GROUP BY src
+    UNION ALL SELECT src, room - size, place, hash FROM (SELECT f.src, f.room, u.size, u.place, u.hash, row_number() OVER (PARTITION BY f.src ORDER BY u.place) AS nth
+        FROM fill f JOIN units u ON u.src = f.src AND u.place > f.place AND u.size <= f.room) WHERE nth = 1),
+kept AS (SELECT src, hash FROM ran WHERE picked UNION SELECT src, hash FROM fill WHERE hash IS NOT NULL)
 SELECT s.doc_id, s.size, g.source_size, g.target,
     (CASE WHEN g.source_size > 0 THEN s.size * least(floor(g.target / g.source_size) + (k.hash IS NOT NULL)::INT, 3) ELSE 0 END)::BIGINT AS taken
 FROM sizes s JOIN goal g USING (src) LEFT JOIN kept k ON k.src = s.src AND k.hash = s.hash
 """
-)

@@ -198,16 +198,15 @@ def test_mix_is_filled_until_no_document_fits(spark):
     sizes = {f"s{i}": [rng.choice((1, 2, 5, 30, 31, 400)) for _ in range(40)] + [9000] for i in range(12)}
     texts = [(s, n) for s, ns in sizes.items() for n in ns]
     d = spark.createDataFrame([(i, "w " * n, s) for i, (s, n) in enumerate(texts)], "doc_id long, text string, source string").repartition(3)
-    for whole in (True, False):
-        rows = mixing.draw(d, mixing.Settings() if whole else mixing.AS_SQL).collect()
-        open_ = 0
-        for s, ns in sizes.items():
-            own = [r for r in rows if r["__src"] == "a" + s]
-            left = own[0].target - sum(r["__times"] * r["size"] for r in own)
-            assert left >= 0 and sum(r["__times"] for r in own) > 0
-            passes = min(r["__times"] for r in own)
-            open_ += any(r["__times"] == passes < 3 and r["size"] <= left for r in own) and max(r["__times"] for r in own) > passes
-        assert (open_ == 0) == whole
+    rows = mixing.draw(d).collect()
+    for s, ns in sizes.items():
+        own = [r for r in rows if r["__src"] == "a" + s]
+        left = own[0].target - sum(r["__times"] * r["size"] for r in own)
+        assert left >= 0 and sum(r["__times"] for r in own) > 0
+        passes = min(r["__times"] for r in own)
+        assert not any(r["__times"] == passes < 3 and r["size"] <= left for r in own) or max(r["__times"] for r in own) == passes
+    taken = {r.doc_id: r.taken for r in mixing.mixing_query(d).collect()}
+    assert taken == {r.doc_id: r["__times"] * r["size"] for r in rows}
 
 
 def test_fill_takes_the_largest_that_fits(spark):
