@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandlake.functions import genetic_code as code
 from strandlake.functions import sequences as sq
-from strandlake.operators import annotation, graph, intervals, kmers, matrix, paths, records, repeats, statistics, trees
+from strandlake.operators import annotation, graph, intervals, kmers, matrix, paths, records, repeats, splits, statistics, trees
 from strandlake.operators.registry import oracle_sql, queries, query  # noqa: F401
 from strandlake.plans import synthetic as syn
 from strandlake.plans.synthetic import DNA_SQL, FEATURES_SQL, MIXED_SQL, READS_SQL, REFERENCE_SQL, dna, table
@@ -561,6 +561,44 @@ def splits_to_tree(spark, d):
     return trees.splits_to_trees(s, names)
 
 
+#: Of each part, the suppliers it comes from, as a split of all suppliers; bits are their places in the order of keys.
+_SUPPLIED = """n AS (SELECT count(*)::INT AS n FROM supplier), b AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) - 1 AS bit FROM supplier),
+    p AS (SELECT l_partkey, list_sort(list(DISTINCT bit)) AS bits, sum(l_quantity)::DOUBLE AS weight FROM lineitem JOIN b ON l_suppkey = s_suppkey GROUP BY l_partkey),
+    c AS (SELECT CASE WHEN list_contains(bits, n - 1) THEN list_filter(range(n), lambda x: NOT list_contains(bits, x)) ELSE bits END AS bits, weight FROM p, n),
+    s AS (SELECT bits, sum(weight) AS weight FROM c GROUP BY bits)"""
+
+
+def _supplied(spark, d) -> DataFrame:
+    s = table(spark, d, "supplier").select("s_suppkey")
+    n = s.count()
+    bits = statistics.ranged(s, F.asc("s_suppkey"), F.lit(1).cast("long")).select(F.col("s_suppkey").alias("l_suppkey"), F.col("__before").alias("bit"))
+    p = _lines(spark, d).select("l_partkey", "l_suppkey", "l_quantity").join(bits, "l_suppkey").groupBy("l_partkey").agg(F.collect_set("bit").alias("bits"), F.sum("l_quantity").cast("double").alias("weight"))
+    return splits.merge(p.select(splits.canonical(splits.pack(F.col("bits"), n), n).alias("mask"), "weight"))
+
+
+def _listed(mask: str):
+    return F.array_join(splits.unpack(F.col(mask)).cast("array<string>"), ",")
+
+
+@query(f"WITH {_SUPPLIED} SELECT array_to_string(bits, ',') AS bits, len(bits)::INT AS size, weight FROM s WHERE weight >= 500")
+def splits_packed(spark, d):
+    return trees.drop_below(_supplied(spark, d), 500).select(_listed("mask").alias("bits"), splits.size(F.col("mask")).alias("size"), "weight")
+
+
+@query(f"WITH {_MASKS}, g AS (SELECT DISTINCT mask FROM s) SELECT a.mask AS a, b.mask AS b FROM g a JOIN g b ON a.mask < b.mask WHERE a.mask & b.mask <> 0 AND a.mask & ~b.mask <> 0 AND b.mask & ~a.mask <> 0")
+def splits_conflicts(spark, d):
+    packed = _masks(spark, d).select(F.array("mask").alias("mask"))
+    return splits.conflicts(packed).select(F.get("a", F.lit(0)).alias("a"), F.get("b", F.lit(0)).alias("b"))
+
+
+@query(f"""{_UP}, l AS (SELECT idx, name FROM t WHERE idx NOT IN (SELECT parent_idx FROM t)), b AS (SELECT idx, row_number() OVER (ORDER BY name) - 1 AS bit FROM l), n AS (SELECT count(*) AS n FROM b),
+    m AS (SELECT u.up, list_sort(list(b.bit)) AS bits FROM u JOIN b USING (idx) WHERE u.n > 0 GROUP BY u.up),
+    c AS (SELECT DISTINCT CASE WHEN list_contains(bits, n - 1) THEN list_filter(range(n), lambda x: NOT list_contains(bits, x)) ELSE bits END AS bits, n FROM m, n)
+    SELECT array_to_string(bits, ',') AS bits, n::BIGINT AS n FROM c WHERE len(bits) > 1 AND len(bits) < n - 1""")
+def splits_of_tree(spark, d):
+    return splits.tree_masks(_tree(spark, d)).select(_listed("mask").alias("bits"), "n")
+
+
 @query("SELECT n_nationkey::BIGINT AS tree_id, i::INT AS idx, CASE i WHEN 0 THEN -1 WHEN 4 THEN 0 ELSE (CASE WHEN i = 1 THEN 0 ELSE 1 END) END::INT AS parent_idx, CASE i WHEN 2 THEN 'a' || n_nationkey WHEN 3 THEN 'b' WHEN 4 THEN 'c' ELSE '' END AS name, CASE i WHEN 0 THEN NULL WHEN 1 THEN 0.5 WHEN 2 THEN 1.0 WHEN 3 THEN 2.0 ELSE 3.0 END::DOUBLE AS length FROM nation, range(5) r(i)")
 def newick_parse(spark, d):
     t = table(spark, d, "nation").select(F.col("n_nationkey").alias("tree_id"), F.concat(F.lit("((a"), F.col("n_nationkey").cast("string"), F.lit(":1,b:2):0.5,c:3);")).alias("value"))
