@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandlake.operators.statistics import ranged
+from strandlake.plans.tables import written
+
 
 def transpose(m: DataFrame) -> DataFrame:
     return m.select(F.col("col").alias("row"), F.col("row").alias("col"), "value")
@@ -39,11 +45,104 @@ def times_vector(m: DataFrame, v: DataFrame, sparse: bool = False) -> DataFrame:
     return _checked(out, m.select("col"), v.select("col"), "the vector's entries are not the matrix's columns", sparse)
 
 
-def times_matrix(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(row, col, value): a's columns meet b's rows by name, which must be the same; one join on them and one sum by cell."""
-    left = a.select("row", F.col("col").alias("__k"), F.col("value").alias("__a"))
-    right = b.select(F.col("row").alias("__k"), "col", F.col("value").alias("__b"))
-    out = left.join(right, "__k").groupBy("row", "col").agg(F.sum(F.col("__a") * F.col("__b")).alias("value"))
+#: Rows and columns of a tile.
+TILE = 256
+
+
+def _numbered(names: DataFrame, key: str, number: str) -> DataFrame:
+    """The distinct names of one column with numbers from 0, in order."""
+    return ranged(names.toDF(key).distinct(), F.asc(key), F.lit(1).cast("long")).select(key, F.col("__before").alias(number))
+
+
+def _tiles(m: DataFrame, rows: DataFrame, cols: DataFrame, size: int) -> DataFrame:
+    """i, j, r, c, v: a row for each tile that has cells, with arrays of their places in it and their values."""
+    x = m.where("value is not null").select("row", "col", F.col("value").cast("double").alias("value")).join(rows, "row").join(cols, "col")
+    cell = F.struct((F.col("__r") % size).cast("int").alias("r"), (F.col("__c") % size).cast("int").alias("c"), F.col("value").alias("v"))
+    x = x.groupBy(F.floor(F.col("__r") / size).alias("i"), F.floor(F.col("__c") / size).alias("j")).agg(F.collect_list(cell).alias("x"))
+    return x.select("i", "j", F.col("x.r").alias("r"), F.col("x.c").alias("c"), F.col("x.v").alias("v"))
+
+
+def _dense(r, c, v, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """A tile's values and which of its cells are there."""
+    out, there = np.zeros((size, size)), np.zeros((size, size), bool)
+    with np.errstate(invalid="ignore"):
+        np.add.at(out, (r, c), v)
+    there[r, c] = True
+    return out, there
+
+
+def _tile_product(a, a_there, b, b_there) -> tuple[np.ndarray, np.ndarray]:
+    """The product of two tiles, and which of its cells have a term. Cells that are not there give no term, even with infinities."""
+    met = a_there.astype(np.float32) @ b_there.astype(np.float32) > 0
+    if np.isfinite(a).all() and np.isfinite(b).all():
+        return a @ b, met
+    out = np.empty(a.shape)
+    with np.errstate(invalid="ignore"):
+        for i in range(len(a)):
+            out[i] = np.where(a_there[i][:, None] & b_there, a[i][:, None] * b, 0.0).sum(axis=0)
+    return out, met
+
+
+def _partial_products(size: int, held_tiles: int = 64):
+    """Sums of the tile products of a task; what is held is handed on when it is more than held_tiles tiles."""
+
+    def flush(held):
+        return pd.DataFrame([(i, j, x.ravel(), m.ravel()) for (i, j), (x, m) in held.items()], columns=["i", "j", "v", "met"])
+
+    def run(batches):
+        held: dict = {}
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                x, m = _tile_product(*_dense(r.a_r, r.a_c, r.a_v, size), *_dense(r.b_r, r.b_c, r.b_v, size))
+                before = held.get((r.i, r.j))
+                held[r.i, r.j] = (x, m) if before is None else (before[0] + x, before[1] | m)
+                if len(held) >= held_tiles:
+                    yield flush(held)
+                    held = {}
+        if held:
+            yield flush(held)
+
+    return run
+
+
+def _summed_tiles(size: int):
+    """Cells of the sums of neighbouring rows of a tile: one tile is held at a time."""
+
+    def cells(key, x, m):
+        r, c = np.nonzero(m.reshape(size, size))
+        # as Arrow: a NaN of a data frame would become a null
+        return pa.record_batch([pa.array(key[0] * size + r), pa.array(key[1] * size + c), pa.array(x.reshape(size, size)[r, c])], ["__r", "__c", "value"])
+
+    def run(batches):
+        key = x = m = None
+        for batch in batches:
+            for t in batch.to_pandas().itertuples(index=False):
+                if key == (t.i, t.j):
+                    x, m = x + t.v, m | t.met
+                    continue
+                if key is not None:
+                    yield cells(key, x, m)
+                key, x, m = (t.i, t.j), np.asarray(t.v), np.asarray(t.met, bool)
+        if key is not None:
+            yield cells(key, x, m)
+
+    return run
+
+
+def times_matrix(a: DataFrame, b: DataFrame, size: int = TILE) -> DataFrame:
+    """(row, col, value): a's columns meet b's rows by name, which must be the same. A cell is there if it has a term.
+
+    Names are numbered and cells dealt to tiles of size * size; tiles meet at their inner number, so what is joined is smaller
+    than cells meeting cells by the tile's area. A task sums the products of the tiles that it sees before it hands them
+    on, so a small product of long matrices is no hot key; sums of a tile go through a task one after another.
+    """
+    rows, cols, inner = _numbered(a.select("row"), "row", "__r"), _numbered(b.select("col"), "col", "__c"), _numbered(a.select("col"), "k", "__k")
+    rows, cols, inner = written(rows, "names"), written(cols, "names"), written(inner, "names")
+    left = _tiles(a, rows, inner.select(F.col("k").alias("col"), F.col("__k").alias("__c")), size).select("i", F.col("j").alias("k"), *(F.col(x).alias(f"a_{x}") for x in "rcv"))
+    right = _tiles(b, inner.select(F.col("k").alias("row"), F.col("__k").alias("__r")), cols, size).select("j", F.col("i").alias("k"), *(F.col(x).alias(f"b_{x}") for x in "rcv"))
+    parts = left.join(right, "k").select("i", "j", *(f"{of}_{x}" for of in "ab" for x in "rcv")).mapInPandas(_partial_products(size), "i long, j long, v array<double>, met array<boolean>")
+    sums = parts.repartition("i", "j").sortWithinPartitions("i", "j").mapInArrow(_summed_tiles(size), "__r long, __c long, value double")
+    out = sums.join(rows, "__r").join(cols, "__c").select("row", "col", "value")
     return _checked(out, a.select("col"), b.select("row"), "columns and rows have different names")
 
 

@@ -477,3 +477,24 @@ def test_translations_of_long_references(spark):
     for chunk in (16, 1 << 16):
         got = {r.ord: r.made for r in annotation.wrong_translations(f, reference, chunk=chunk).collect()}
         assert set(got) == {3, 4} and got[4] is None
+
+
+@pytest.mark.parametrize("size", [4, 256])
+def test_matrix_product_by_tiles(spark, size):
+    rng = random.Random(size)
+    cell = lambda: rng.choice([rng.randint(-9, 9) / 2, 0.0, None])
+    a = {(f"r{i}", f"k{k}"): cell() for i in range(23) for k in range(40) if rng.random() < 0.3 or i == 0}
+    b = {(f"k{k}", f"c{j}"): cell() for k in range(40) for j in range(9) if rng.random() < 0.3 or j == 0}
+    a["r3", "k7"] = float("inf")
+    make = lambda m: spark.createDataFrame([(*k, v) for k, v in m.items()], "row string, col string, value double")
+    want = {}
+    for (r, k), x in a.items():
+        for j in range(9):
+            y = b.get((k, f"c{j}"))
+            if x is not None and y is not None:
+                want[r, f"c{j}"] = want.get((r, f"c{j}"), 0.0) + x * y
+    got = {(r.row, r.col): r.value for r in matrix.times_matrix(make(a), make(b), size).collect()}
+    assert set(got) == set(want)
+    assert {c: str(v + 0.0) for c, v in got.items()} == {c: str(v + 0.0) for c, v in want.items()}
+    with pytest.raises(Exception, match="different names"):
+        matrix.times_matrix(make(a), make({**b, ("other", "c0"): 1.0}), size).collect()
