@@ -49,9 +49,14 @@ def times_vector(m: DataFrame, v: DataFrame, sparse: bool = False) -> DataFrame:
 TILE = 256
 
 
-def _numbered(names: DataFrame, key: str, number: str) -> DataFrame:
-    """The distinct names of one column with numbers from 0, in order."""
-    return ranged(names.toDF(key).distinct(), F.asc(key), F.lit(1).cast("long")).select(key, F.col("__before").alias(number))
+def _numbered(**names: DataFrame) -> dict[str, DataFrame]:
+    """For each frame of one column, its distinct values (name) and their numbers from 0 (number), in order; written."""
+    every = None
+    for kind, x in names.items():
+        x = x.toDF("name").select(F.lit(kind).alias("kind"), "name")
+        every = x if every is None else every.unionByName(x)
+    numbers = written(ranged(every.distinct(), F.asc("name"), F.lit(1).cast("long"), "kind").select("kind", "name", F.col("__before").alias("number")), "names")
+    return {kind: numbers.where(F.col("kind") == kind).drop("kind") for kind in names}
 
 
 def _tiles(m: DataFrame, rows: DataFrame, cols: DataFrame, size: int) -> DataFrame:
@@ -136,13 +141,13 @@ def times_matrix(a: DataFrame, b: DataFrame, size: int = TILE) -> DataFrame:
     than cells meeting cells by the tile's area. A task sums the products of the tiles that it sees before it hands them
     on, so a small product of long matrices is no hot key; sums of a tile go through a task one after another.
     """
-    rows, cols, inner = _numbered(a.select("row"), "row", "__r"), _numbered(b.select("col"), "col", "__c"), _numbered(a.select("col"), "k", "__k")
-    rows, cols, inner = written(rows, "names"), written(cols, "names"), written(inner, "names")
-    left = _tiles(a, rows, inner.select(F.col("k").alias("col"), F.col("__k").alias("__c")), size).select("i", F.col("j").alias("k"), *(F.col(x).alias(f"a_{x}") for x in "rcv"))
-    right = _tiles(b, inner.select(F.col("k").alias("row"), F.col("__k").alias("__r")), cols, size).select("j", F.col("i").alias("k"), *(F.col(x).alias(f"b_{x}") for x in "rcv"))
+    number = _numbered(rows=a.select("row"), cols=b.select("col"), inner=a.select("col"))
+    named = lambda kind, name, key: number[kind].select(F.col("name").alias(name), F.col("number").alias(key))
+    left = _tiles(a, named("rows", "row", "__r"), named("inner", "col", "__c"), size).select("i", F.col("j").alias("k"), *(F.col(x).alias(f"a_{x}") for x in "rcv"))
+    right = _tiles(b, named("inner", "row", "__r"), named("cols", "col", "__c"), size).select("j", F.col("i").alias("k"), *(F.col(x).alias(f"b_{x}") for x in "rcv"))
     parts = left.join(right, "k").select("i", "j", *(f"{of}_{x}" for of in "ab" for x in "rcv")).mapInPandas(_partial_products(size), "i long, j long, v array<double>, met array<boolean>")
     sums = parts.repartition("i", "j").sortWithinPartitions("i", "j").mapInArrow(_summed_tiles(size), "__r long, __c long, value double")
-    out = sums.join(rows, "__r").join(cols, "__c").select("row", "col", "value")
+    out = sums.join(named("rows", "row", "__r"), "__r").join(named("cols", "col", "__c"), "__c").select("row", "col", "value")
     return _checked(out, a.select("col"), b.select("row"), "columns and rows have different names")
 
 

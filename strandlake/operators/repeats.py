@@ -39,9 +39,10 @@ def _gram_hashes(a: np.ndarray, h: int, powers: np.ndarray, inverse: np.ndarray,
     return (sums[h:] - sums[:-h]) * inverse[: len(a) - h + 1]
 
 
-def periodic_stretches(a: np.ndarray, longest: int) -> list[tuple[int, int, int]]:
+def periodic_stretches(a: np.ndarray, longest: int, least: int = 0) -> list[tuple[int, int, int]]:
     """(lo, hi, period) of all stretches a[lo : hi + 1] that no longer stretch of their period holds, at least two periods
-    long, periods of up to `longest`; of the periods of one stretch the smallest.
+    long, periods of up to `longest`; of the periods of one stretch the smallest. Those shorter than `least` may be missing unless
+    they are at an end.
 
     Short periods: runs of letters equal to those a period on. Longer ones, by doubling classes of periods m to 2m - 1: such a
     stretch has a multiple of m / 2 whose gram of m / 2 letters stands again a period on; what is found so is extended by
@@ -50,9 +51,10 @@ def periodic_stretches(a: np.ndarray, longest: int) -> list[tuple[int, int, int]
     n, best = len(a), {}
     for p in range(1, min(longest, SHORT - 1, n // 2) + 1):
         same = np.flatnonzero(np.diff(np.concatenate(([0], (a[:-p] == a[p:]).view(np.int8), [0]))))
-        for lo, end in zip(same[::2].tolist(), same[1::2].tolist(), strict=True):
-            if end - lo >= p:
-                best.setdefault((lo, end + p - 1), p)
+        lows, ends = same[::2], same[1::2]
+        long = (ends - lows >= p) & ((ends - lows + p >= least) | (lows == 0) | (ends + p == n))
+        for lo, end in zip(lows[long].tolist(), ends[long].tolist(), strict=True):
+            best.setdefault((lo, end + p - 1), p)
     if min(longest, n // 2) < SHORT:
         return [(lo, hi, p) for (lo, hi), p in best.items()]
     powers = np.multiply.accumulate(np.append(np.uint64(1), np.full(n, 0x9E3779B97F4A7C15, np.uint64)))
@@ -96,7 +98,7 @@ def _not_held(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
 
 def tandem_repeats(s: str, longest: int | None = None, least: int = 0) -> list[tuple[int, int, str]]:
     """(lo, hi, unit), 0-based and inclusive, of the repeats that no earlier one reaches beyond."""
-    found = periodic_stretches(_letters(s), longest or len(s))
+    found = periodic_stretches(_letters(s), longest or len(s), least)
     return [(lo, hi, s[lo : lo + p]) for lo, hi, p in _not_held([x for x in found if x[1] - x[0] + 1 >= least])]
 
 
@@ -152,7 +154,7 @@ def find_repeats(df: DataFrame, longest: int | None = None, least: int = 0, wind
             for x in pdf.itertuples(index=False):
                 context = int(x.start > 0)  # the letter before the window
                 own = x.end - x.start - x.shared
-                for lo, hi, p in periodic_stretches(_letters(x.piece), int(x.largest)):
+                for lo, hi, p in periodic_stretches(_letters(x.piece), int(x.largest), least):
                     lo, hi = lo - context, hi - context
                     opened, closed = lo >= 0, hi < x.end - x.start - 1 or not x.shared
                     if p >= x.smallest and lo < own and not (opened and closed and hi - lo + 1 < least):
@@ -160,7 +162,9 @@ def find_repeats(df: DataFrame, longest: int | None = None, least: int = 0, wind
             yield pd.DataFrame(rows, columns=["id", "tag", "lo", "hi", "period", "opened", "closed", "unit"])
 
     rows = df.select("tag", "seq", F.length("seq").alias("n"))
-    short = rows.where(F.coalesce("n", F.lit(0)) <= window).select("tag", "seq").mapInPandas(whole, _REPEAT)
+    # the work on a sequence outweighs its shuffle by far, and files may be few
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    short = rows.where(F.coalesce("n", F.lit(0)) <= window).select("tag", "seq").repartition(tasks).mapInPandas(whole, _REPEAT)
     long = rows.where(F.col("n") > window).withColumn("id", F.monotonically_increasing_id())
     long = long.select("id", "tag", "seq", F.explode(_windows(F.col("n"), longest, window)).alias("w"))
     before = F.when(F.col("w.start") > 0, 1).otherwise(0)
