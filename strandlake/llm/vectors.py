@@ -56,6 +56,9 @@ class GraphSettings:
     margin: float = 0.02
     audit: float = 0.995
     audited: int = 48
+    #: An audit goes on until it has met so many links, or has asked so many vectors.
+    audited_links: int = 64
+    most_audited: int = 1024
     seed: int = 1
 
 
@@ -229,13 +232,20 @@ def shard_links(row, units, query_row, query_units, own: bool, s: GraphSettings)
     while len(todo):
         found = [hits(i, width) for i in todo]
         linked = [k for k, h in enumerate(found) if len(h)]
-        audited = set(rng.integers(0, len(todo), s.audited).tolist()) | set(rng.choice(linked, min(len(linked), s.audited), replace=False).tolist() if linked else [])
+        # some that have links, and others in random order until enough links were met or many vectors had none
+        order, at, seen = rng.permutation(len(todo)), 0, set()
+        more = rng.choice(linked, min(len(linked), s.audited), replace=False).tolist() if linked else []
         true = got = 0
-        for k in audited:
-            i = todo[k]
-            exact = nodes @ asked[i] >= s.threshold
-            true += int(exact[:i].sum() if i < n else exact.sum())
-            got += len(found[k])
+        while True:
+            for k in set(more) - seen:
+                i = todo[k]
+                exact = nodes @ asked[i] >= s.threshold
+                true += int(exact[:i].sum() if i < n else exact.sum())
+                got += len(found[k])
+            seen |= set(more)
+            if at >= len(order) or at >= s.audited and (true >= s.audited_links or at >= s.most_audited):
+                break
+            more, at = order[at : at + s.audited].tolist(), at + s.audited
         if got >= s.audit * true or width >= n:
             break
         width *= 2
@@ -268,8 +278,9 @@ def shard_links(row, units, query_row, query_units, own: bool, s: GraphSettings)
 
 
 def linked_vectors(embeddings: DataFrame, s: GraphSettings = GraphSettings()) -> DataFrame:
-    """vec_id, n_links, component_id, kept for every row of embeddings, and audited_recall: of the links of all audited
-    vectors, the share that the graphs found (1 if there were none), the same in all rows."""
+    """vec_id, n_links, component_id, kept for every row of embeddings, and audited_links, the links that brute force finds
+    for all audited vectors, and audited_recall, the share of these that the graphs found (null if there were none): both the
+    same in all rows."""
     bounded_batches(embeddings.sparkSession)
     rows = written(embeddings.select(F.monotonically_increasing_id().alias("__row"), F.col("vec_id").cast("long").alias("vec_id"), "label", "embedding"), "vectors")
     v = F.col("embedding")
@@ -304,8 +315,8 @@ def linked_vectors(embeddings: DataFrame, s: GraphSettings = GraphSettings()) ->
     out = written(rows.select("__row", "vec_id").join(n, "__row", "left").join(of, rows["__row"] == of["id"], "left").select("__row", "vec_id", "n_links", F.coalesce("component", "__row").alias("__part")), "vector-rows")
     least = out.groupBy("__part").agg(F.min("vec_id").alias("component_id"))
     a, b = audits.first()
-    recall = F.lit(float(a / b) if b else 1.0)
-    return out.join(least, "__part").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"), recall.alias("audited_recall"))
+    recall = F.lit(float(a / b) if b else None).cast("double")
+    return out.join(least, "__part").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"), recall.alias("audited_recall"), F.lit(int(b or 0)).cast("long").alias("audited_links"))
 
 
 def _spans(key: np.ndarray) -> list[tuple[int, int]]:

@@ -51,9 +51,9 @@ def test_linked(spark, data):
     for a, r in enumerate(data):
         least[root(a)] = min(least.get(root(a), 10**9), r[0])
     want = sorted((r[0], n.get(a, 0), least[root(a)], r[0] == least[root(a)]) for a, r in enumerate(data))
-    assert sorted(map(tuple, vectors.linked_vectors(df).drop("audited_recall").collect())) == want
+    assert sorted(map(tuple, vectors.linked_vectors(df).drop("audited_recall", "audited_links").collect())) == want
     small = vectors.GraphSettings(shard_rows=30, query_shards=2)
-    assert sorted(map(tuple, vectors.linked_vectors(df, small).drop("audited_recall").collect())) == want
+    assert sorted(map(tuple, vectors.linked_vectors(df, small).drop("audited_recall", "audited_links").collect())) == want
     assert vectors.linked_vectors(df.limit(0)).count() == 0
 
 
@@ -98,4 +98,11 @@ def test_links_across_shards(spark):
     hit = (u @ u.T >= 0.98) & (label[:, None] == label)
     out = {r.vec_id: r for r in vectors.linked_vectors(df, vectors.GraphSettings(shard_rows=50, query_shards=2)).collect()}
     assert [out[i].n_links for i in range(len(x))] == (hit.sum(1) - 1).tolist() and hit.sum() > len(x) + 500
-    assert {r.audited_recall for r in out.values()} == {1.0}
+    assert {r.audited_recall for r in out.values()} == {1.0} and min(r.audited_links for r in out.values()) > 0
+
+
+def test_an_audit_without_links_says_so(spark):
+    """Vectors that are near no other: nothing was measured, so the recall is null."""
+    rows = [(i, 0, [float(i == j) for j in range(80)]) for i in range(80)]
+    out = vectors.linked_vectors(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")).collect()
+    assert {(r.n_links, r.audited_recall, r.audited_links) for r in out} == {(0, None, 0)}
