@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandlake.functions import genetic_code as code
 from strandlake.functions import sequences as sq
-from strandlake.operators import annotation, graph, intervals, kmers, matrix, paths, records, repeats, splits, statistics, trees
+from strandlake.operators import annotation, graph, intervals, kmers, matrix, neighbours, paths, records, repeats, splits, statistics, trees
 from strandlake.operators.registry import oracle_sql, queries, query  # noqa: F401
 from strandlake.plans import synthetic as syn
 from strandlake.plans.synthetic import DNA_SQL, FEATURES_SQL, MIXED_SQL, READS_SQL, REFERENCE_SQL, dna, table
@@ -627,6 +627,14 @@ def consensus(spark, d):
     return repeats.consensus(x)
 
 
+@query("""WITH a AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]+')) AS word FROM documents), b AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]+')) AS word FROM benchmark)
+    SELECT a.word AS a, b.word AS b, levenshtein(a.word, b.word)::INT AS distance FROM a JOIN b ON abs(length(a.word) - length(b.word)) <= 1 WHERE levenshtein(a.word, b.word) <= 1""")
+def neighbour_words(spark, d):
+    """Words of documents one edit at most from a word of benchmark."""
+    words = lambda name: table(spark, d, name).select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0))).alias("word"))
+    return neighbours.neighbour_join(words("documents"), words("benchmark"), 1)
+
+
 @query()
 def text_kmers(spark, d):
     return kmers.text_spectrum(table(spark, d, "documents"), ["the", "and", "ing", "tion", "er", "ou", "th", "st", " "], 2)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandlake.functions import sequences as sq
-from strandlake.operators import annotation, catalogue, graph, intervals, kmers, matrix, records, repeats, statistics, trees
+from strandlake.operators import annotation, catalogue, graph, intervals, kmers, matrix, neighbours, records, repeats, statistics, trees
 from strandlake.plans import programs
 from strandlake.sources import newick
 
@@ -498,3 +498,23 @@ def test_matrix_product_by_tiles(spark, size):
     assert {c: str(v + 0.0) for c, v in got.items()} == {c: str(v + 0.0) for c, v in want.items()}
     with pytest.raises(Exception, match="different names"):
         matrix.times_matrix(make(a), make({**b, ("other", "c0"): 1.0}), size).collect()
+
+
+@pytest.mark.parametrize("radius", [0, 1, 2, 3])
+def test_neighbour_join(spark, radius):
+    rng = random.Random(radius)
+    make = lambda n: ["".join(rng.choice("abñ") for _ in range(rng.randrange(0, 8))) for _ in range(n)]
+    a, b = make(90), [*make(90), None]
+
+    def distance(x, y):
+        row = list(range(len(y) + 1))
+        for i, c in enumerate(x, 1):
+            row, old = [i], row
+            for j, e in enumerate(y, 1):
+                row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (c != e)))
+        return row[-1]
+
+    frame = lambda ws: spark.createDataFrame([(w, 1) for w in ws], "word string, n int")
+    got = [tuple(r) for r in neighbours.neighbour_join(frame(a), frame(b), radius).collect()]
+    want = {(x, y, distance(x, y)) for x in a for y in b if y is not None and distance(x, y) <= radius}
+    assert len(got) == len(want) and set(got) == want
