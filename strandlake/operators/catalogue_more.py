@@ -365,11 +365,10 @@ def map_functions(spark, d):
     return x.select("id", co.find_next(F.col("m"), key)["key"].alias("next"), shown.alias("shown"), co.multimap_max(F.col("m")).alias("t")).select("id", "next", "shown", F.col("t.key").alias("top_key"), F.col("t.value").cast("long").alias("top_value"))
 
 
-@query("SELECT n_name AS name, row_number() OVER (ORDER BY length(n_name), n_name) AS place FROM nation")
+@query("WITH n AS (SELECT n_name AS name FROM nation UNION ALL SELECT c_name FROM customer UNION ALL SELECT s_name FROM supplier) SELECT name, row_number() OVER (ORDER BY length(name), name) AS place FROM n")
 def order_by_length(spark, d):
-    names = table(spark, d, "nation").select("n_name")
-    ordered = names.agg(F.transform(F.array_sort(F.collect_list(co.by_length(F.col("n_name")))), lambda x: x["n_name"]).alias("a"))
-    return ordered.select(F.posexplode("a").alias("i", "name")).select("name", (F.col("i") + 1).cast("long").alias("place"))
+    names = table(spark, d, "nation").select(F.col("n_name").alias("name")).union(table(spark, d, "customer").select("c_name")).union(table(spark, d, "supplier").select("s_name"))
+    return statistics.ranged(names, co.by_length(F.col("name")).asc(), F.lit(1).cast("long")).select("name", (F.col("__before") + 1).alias("place"))
 
 
 def _trie(spark, d):
@@ -406,7 +405,7 @@ def trie_nth(spark, d):
 # ---- classes, trees, splits -----------------------------------------------------------------------------------------
 
 
-@query("SELECT 'N' || n_nationkey || chr(9) || string_agg('C' || c_custkey, chr(9) ORDER BY c_custkey) AS line FROM nation JOIN customer ON n_nationkey = c_nationkey WHERE c_custkey < 100000 GROUP BY n_nationkey")
+@query("SELECT 'N' || n_nationkey || chr(9) || string_agg('C' || c_custkey, chr(9) ORDER BY c_custkey) AS line FROM nation JOIN customer ON n_nationkey = c_nationkey GROUP BY n_nationkey")
 def class_lines(spark, d):
     c = table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("line"), F.concat(F.lit(" N"), F.col("c_nationkey").cast("string"), F.lit(" \tC"), F.col("c_custkey").cast("string"), F.lit(" ")).alias("value"))
     lines = graph.class_lines(graph.equivalence_classes(graph.tokenize_lines(c)))
