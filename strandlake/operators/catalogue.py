@@ -635,9 +635,14 @@ def neighbour_words(spark, d):
     return neighbours.neighbour_join(words("documents"), words("benchmark"), 1)
 
 
-@query()
+_TOKENS = ["the", "and", "ing", "tion", "er", "ou", "th", "st", " "]
+
+
+@query(f"""WITH t AS (SELECT unnest({_TOKENS}) AS token, unnest(range({len(_TOKENS)})) AS id), m AS (SELECT regexp_extract_all(lower(text), '(?s){"|".join(sorted(_TOKENS, key=len, reverse=True))}|.') AS xs FROM documents),
+    w AS (SELECT xs[i] AS a, xs[i + 1] AS b FROM (SELECT xs, unnest(range(1, len(xs))) AS i FROM m)), c AS (SELECT a, b, count(*)::DOUBLE AS weight FROM w GROUP BY a, b)
+    SELECT x.id || '-' || y.id AS kmer, weight FROM c JOIN t x ON c.a = x.token JOIN t y ON c.b = y.token""")
 def text_kmers(spark, d):
-    return kmers.text_spectrum(table(spark, d, "documents"), ["the", "and", "ing", "tion", "er", "ou", "th", "st", " "], 2)
+    return kmers.text_spectrum(table(spark, d, "documents"), _TOKENS, 2)
 
 
 from strandlake.operators import catalogue_more  # noqa: E402, F401 - registers its queries

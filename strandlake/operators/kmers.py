@@ -7,7 +7,6 @@ from dataclasses import dataclass
 from functools import reduce
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -171,37 +170,48 @@ def decode_column(hash_: Column, content: Content, hasher: Hasher) -> Column:
     return run(hash_)
 
 
-def encode_text(text: str, tokens: dict[str, int], unknown: str = "split") -> list[list[int]]:
-    """Ids of the longest dictionary tokens, left to right, in segments."""
-    longest, out, i = max(map(len, tokens), default=0), [[]], 0
-    while i < len(text):
-        for n in range(min(longest, len(text) - i), 0, -1):
-            if (t := tokens.get(text[i : i + n])) is not None:
-                out[-1].append(t)
-                i += n
-                break
-        else:
-            if unknown == "error":
-                raise ValueError(f"unknown character at {i} of {text!r}")
-            if unknown == "split" and out[-1]:
-                out.append([])
-            i += 1
-    return [x for x in out if x]
+def trie_pattern(tokens: list[str]) -> str:
+    """A pattern for the longest of the tokens that stands at a place: alternatives share their beginnings as in a trie, so a
+    place is tried letter by letter, whatever the size of the dictionary."""
+    trie: dict = {}
+    for t in tokens:
+        node = trie
+        for c in t:
+            node = node.setdefault(c, {})
+        node[""] = True
+
+    def one(node: dict) -> str:
+        further = [re.escape(c) + one(x) for c, x in sorted(node.items()) if c]
+        return f"(?:{'|'.join(further)}){'?' if '' in node else ''}" if further else ""
+
+    return one(trie)
+
+
+def token_stretches(text: Column, tokens: list[str], unknown: str = "split") -> Column:
+    """array<string>: the longest tokens, left to right; an empty string for each character at which none stands (none of them
+    if unknown is "ignore"; an error if it is "error")."""
+    tokens = [t for t in tokens if t]
+    mark = next(chr(c) for c in range(1, 1 << 16) if not any(chr(c) in t for t in tokens))
+    found = F.split(F.regexp_replace(text, f"({trie_pattern(tokens)})|[\\s\\S]" if tokens else "()[\\s\\S]", f"$1{mark}"), re.escape(mark), -1)
+    found = F.slice(found, F.lit(1), F.size(found) - 1)  # a mark stands behind the last one, too
+    if unknown == "ignore":
+        return F.filter(found, lambda t: t != "")
+    return F.when(F.array_contains(found, ""), F.raise_error(F.lit("an unknown character")).cast("array<string>")).otherwise(found) if unknown == "error" else found
 
 
 def text_spectrum(df: DataFrame, tokens: list[str], k: int, column: str = "text", unknown: str = "split", case_sensitive: bool = False) -> DataFrame:
-    """k-mers of dictionary tokens: (kmer, weight), a kmer being its tokens' ids, dash-joined. The dictionary is the caller's."""
-    shared = df.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(tokens)})
-
-    def run(batches):
-        for b in batches:
-            out: list[str] = []
-            for x in b.column(0).to_pylist():
-                for seg in encode_text((x or "") if case_sensitive else (x or "").lower(), shared.value, unknown):
-                    out += ["-".join(map(str, seg[i : i + k])) for i in range(len(seg) - k + 1)]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["kmer"])
-
-    return df.select(column).mapInArrow(run, "kmer string").groupBy("kmer").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    """k-mers of dictionary tokens: (kmer, weight), a kmer being its tokens' ids, dash-joined. The dictionary is the caller's; of a
+    token that it has twice the last id counts.
+
+    Texts are cut to tokens by one pattern, in the plan; ids are joined to the k-mers when they are counted."""
+    text = F.coalesce(F.col(column), F.lit(""))
+    found = df.select(token_stretches(text if case_sensitive else F.lower(text), tokens, unknown).alias("ts")).where(F.size("ts") >= k)
+    every = F.transform(F.sequence(F.lit(1), F.size("ts") - k + 1), lambda i: F.slice("ts", i, k))
+    words = found.select(F.explode(F.filter(every, lambda w: ~F.array_contains(w, ""))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    ids = df.sparkSession.createDataFrame(list({t: i for i, t in enumerate(tokens)}.items()), "token string, id int")
+    each = words.select("w", "weight", F.posexplode("w").alias("place", "token")).join(ids, "token")
+    in_order = F.array_sort(F.collect_list(F.struct("place", "id")))
+    return each.groupBy("w", "weight").agg(F.array_join(F.transform(in_order, lambda x: x["id"].cast("string")), "-").alias("kmer")).select("kmer", "weight")
 
 
 def mismatch_windows(a: Column, b: Column, k: int) -> Column:

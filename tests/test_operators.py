@@ -55,9 +55,9 @@ def test_ball():
 
 
 def test_text_encoder():
-    assert kmers.encode_text("abc", {"ab": 0, "abc": 1, "c": 2}) == [[1]]
-    assert kmers.encode_text("ab?c", {"ab": 0, "c": 2}) == [[0], [2]]
-    assert kmers.encode_text("ab?c", {"ab": 0, "c": 2}, "ignore") == [[0, 2]]
+    assert encode_text("abc", {"ab": 0, "abc": 1, "c": 2}) == [[1]]
+    assert encode_text("ab?c", {"ab": 0, "c": 2}) == [[0], [2]]
+    assert encode_text("ab?c", {"ab": 0, "c": 2}, "ignore") == [[0, 2]]
 
 
 def test_regex_dialect():
@@ -372,17 +372,51 @@ def test_collections_fail_loudly(spark):
     assert x.select(co.multimap_split(F.create_map(F.lit(1), a, F.lit(5), b), F.lit(5)).alias("r")).first().r.asDict() == {"below": {1: [1, 2]}, "at": [3], "above": {}}
 
 
+def encode_text(text: str, tokens: dict[str, int], unknown: str = "split") -> list[list[int]]:
+    """Ids of the longest dictionary tokens, left to right, in segments."""
+    longest, out, i = max(map(len, tokens), default=0), [[]], 0
+    while i < len(text):
+        for n in range(min(longest, len(text) - i), 0, -1):
+            if (t := tokens.get(text[i : i + n])) is not None:
+                out[-1].append(t)
+                i += n
+                break
+        else:
+            if unknown == "error":
+                raise ValueError(f"unknown character at {i} of {text!r}")
+            if unknown == "split" and out[-1]:
+                out.append([])
+            i += 1
+    return [x for x in out if x]
+
+
 def test_text_spectrum_against_the_encoder(spark):
     tokens = ["the", "he", "and", "an", " ", "t"]
     texts = ["The hand and the tan", None, "xx the?then", ""]
     want = {}
     for t in texts:
-        for seg in kmers.encode_text((t or "").lower(), {w: i for i, w in enumerate(tokens)}):
+        for seg in encode_text((t or "").lower(), {w: i for i, w in enumerate(tokens)}):
             for i in range(len(seg) - 1):
                 k = f"{seg[i]}-{seg[i + 1]}"
                 want[k] = want.get(k, 0) + 1
     got = kmers.text_spectrum(spark.createDataFrame([(t,) for t in texts], "text string"), tokens, 2)
     assert {r.kmer: r.weight for r in got.collect()} == want
+    rng = random.Random(8)
+    letters = "ab.\\^é\x01\n𝒳"
+    make = lambda n: "".join(rng.choice(letters[:-2] if n < 6 else letters) for _ in range(n))
+    tokens = list({make(rng.randint(1, 5)) for _ in range(40)})
+    df = spark.createDataFrame([(make(rng.randint(6, 300)),) for _ in range(30)], "text string")
+    for unknown, k in (("split", 3), ("ignore", 1)):
+        want = {}
+        for (text,) in df.collect():
+            for seg in encode_text(text, {w: i for i, w in enumerate(tokens)}, unknown):
+                for i in range(len(seg) - k + 1):
+                    key = "-".join(map(str, seg[i : i + k]))
+                    want[key] = want.get(key, 0) + 1
+        assert {r.kmer: r.weight for r in kmers.text_spectrum(df, tokens, k, unknown=unknown, case_sensitive=True).collect()} == want
+    with pytest.raises(Exception, match="unknown"):
+        kmers.text_spectrum(df, ["a"], 1, unknown="error").collect()
+    assert kmers.text_spectrum(df, [], 1).count() == 0
 
 
 def test_components_of_a_star_and_a_chain(spark):
