@@ -431,7 +431,10 @@ def _plain(ids, rows, points, q_rows, q, beat, s: TopSettings):
 
 
 def top_k(embeddings: DataFrame, is_query: Column, s: TopSettings = TopSettings()) -> DataFrame:
-    """query_id, rank, vec_id, score: each query's s.k best other rows; is_query is a condition on embeddings' columns."""
+    """query_id, rank, vec_id, score: each query's s.k best other rows; is_query is a condition on embeddings' columns.
+
+    Rows with a null vec_id or a vector that is null or holds a null or a number that is not finite take no part; rows that share
+    a vec_id are rows of their own."""
     spark = embeddings.sparkSession
     bounded_batches(spark)
     v = F.col("embedding")
