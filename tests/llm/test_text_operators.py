@@ -107,6 +107,31 @@ def test_runs_add_up(spark):
         runs.close()
 
 
+def test_settled_keys_are_not_counted_on(spark):
+    """Keys that a run counts often enough leave later batches; which keys are frequent does not depend on it."""
+    h = spark.range(4000).select("id", F.when(F.col("id") % 2 == 0, F.lit(0)).otherwise(F.col("id") % 701).alias("h1"), F.lit(7).alias("h2"))
+    want = Counter(0 if i % 2 == 0 else i % 701 for i in range(4000))
+    for fanout in (2, 9):
+        runs = lines.LineRuns(spark, fanout)
+        for i in range(8):
+            runs.add(h.where(F.floor(F.col("id") / 500) == i), 3)
+        found = {r.h1: r.n_docs for r in runs.counts().collect()}
+        assert found[0] == 250 and all(found[k] == n or 3 <= found[k] <= n for k, n in want.items())
+        assert {r.h1 for r in runs.frequent(3).collect()} == {k for k, n in want.items() if n >= 3}
+        probe = spark.createDataFrame([(0, 7), (1, 7), (1, 8), (5000, 7)], "h1 long, h2 long")
+        assert (0, 7) not in {tuple(r) for r in runs.unseen(probe, 3).collect()}
+        runs.close()
+
+
+def test_lines_of_one_row_count_once(spark):
+    text = "\n".join(["a", " A", "b", "", "c "] * 40_000)
+    df = spark.createDataFrame([(1, text), (2, "a\nB"), (None, None)], "doc_id long, text string")
+    found = lines.keyed_lines(df, 2).where("__first").groupBy("h1", "h2").count().collect()
+    assert sorted(r["count"] for r in found) == [1, 2, 2]
+    kept = {r.doc_id: r.text for r in lines.drop_frequent(df, 2).collect()}
+    assert kept[1] == "\n".join(["", "c "] * 40_000) and kept[2] == "" and kept[None] == ""
+
+
 # ---- near copies ----------------------------------------------------------------------------------------------------
 
 
