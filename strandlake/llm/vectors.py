@@ -6,9 +6,9 @@ those of the shards before it are searched in it, so each pair is looked for onc
 beam is near enough to be links, or if an audit against brute force finds a recall below `audit`, the beam is widened and
 the search repeated. Each link is verified by cosine in double precision. Copies within a shard stand as one node.
 
-Top-k: a shard is a ball tree; a query goes down from the root, nodes are dropped whose bound q.c + |q| r is below the
-query's current kth score, and leaves are read in order of their bounds. First each query is answered in its home shard;
-the kth score found there is shared with all other shards as the score to beat.
+Top-k: a shard is a ball tree; from the root on, a query opens nodes in the order of their bounds q.c + |q| r and stops when
+none that is left reaches its current kth score. First each query is answered in its home shard; the kth score found there is
+shared with all other shards as the score to beat.
 
 Defined cases: vectors that are null, empty, or hold null or non-finite components take no part (near-duplicates: nor zero
 vectors; they are rows of their own without links); vectors of different lengths are not compared; rows that repeat are
@@ -364,44 +364,43 @@ class BallTree:
         self.centres, self.radii, self.left = np.array(centres), np.array(radii), np.array(self.left)
         self.lo, self.hi = np.array(self.lo), np.array(self.hi)
 
+    def above(self, q: np.ndarray, norm: np.ndarray, node: np.ndarray) -> np.ndarray:
+        """No point of node has a larger inner product with q, whose length is norm: q.c + |q| r, rounded up."""
+        b = (q * self.centres[node]).sum(1) + norm * self.radii[node]
+        return b + 1e-9 * np.abs(b) + 1e-6
+
 
 def top_scores(ids, rows, points, q_rows, q, beat, s: TopSettings):
     """For each query, (query's place, id, score) of its best s.k points among those that score beat or more.
 
+    Branch and bound: of its open nodes each query takes the one of the largest bound, opens its children or reads its points,
+    and is done when no open node's bound reaches its kth score so far. All queries take their steps side by side.
     Exact: points and queries are whole numbers, and the caller sees to it that sums stay below 2**53. Bounds are rounded up.
     """
     tree = BallTree(points, s.leaf)
     norm = np.sqrt((q * q).sum(1))
-    bound = lambda a, node: (q[a] * tree.centres[node]).sum(1) + norm[a] * tree.radii[node]
-    up = lambda b: b + 1e-9 * np.abs(b) + 1e-6
-    a, node = np.arange(len(q)), np.zeros(len(q), np.int64)
-    leaf_a, leaf_n, leaf_b = [], [], []
-    while len(a):
-        b = np.concatenate([up(bound(a[i : i + 65536], node[i : i + 65536])) for i in range(0, len(a), 65536)])
-        ok = b >= beat[a]
-        a, node, b = a[ok], node[ok], b[ok]
-        end = tree.left[node] < 0
-        leaf_a.append(a[end])
-        leaf_n.append(node[end])
-        leaf_b.append(b[end])
-        a, node = np.repeat(a[~end], 2), np.repeat(tree.left[node[~end]], 2)
-        node[1::2] += 1
-    a, node, b = (np.concatenate(x) for x in (leaf_a, leaf_n, leaf_b))
-    order = np.lexsort((-b, a))
-    a, node, b = a[order], node[order], b[order]
-    turn = np.arange(len(a)) - np.searchsorted(a, a)
     best_s = np.full((len(q), s.k), -np.inf)
     best_i = np.full((len(q), s.k), np.iinfo(np.int64).max)
-    by_turn = np.argsort(turn, kind="stable")
     kth = beat.copy()
-    cuts = np.searchsorted(turn[by_turn], np.arange(turn.max() + 2)) if len(turn) else [0]
-    for r in range(len(cuts) - 1):
-        at = by_turn[cuts[r] : cuts[r + 1]]
-        at = at[b[at] >= kth[a[at]]]
-        at = at[np.argsort(node[at], kind="stable")]
-        for lo, hi in _spans(node[at]) if len(at) else []:
-            who, n = a[at[lo:hi]], node[at[lo]]
-            inside = tree.order[tree.lo[n] : tree.hi[n]]
+    waiting = np.full((len(q), len(tree.left)), -np.inf)  # bounds of each query's open nodes
+    going = np.arange(len(q))
+    waiting[:, 0] = tree.above(q, norm, np.zeros(len(q), np.int64))
+    while len(going):
+        node = waiting[going].argmax(1)
+        b = waiting[going, node]
+        on = (b > -np.inf) & (b >= kth[going])
+        going, node, b = going[on], node[on], b[on]
+        waiting[going, node] = -np.inf
+        inner = tree.left[node] >= 0
+        for child in (0, 1):
+            a, n = going[inner], tree.left[node[inner]] + child
+            waiting[a, n] = np.minimum(tree.above(q[a], norm[a], n), b[inner])
+        a, node = going[~inner], node[~inner]
+        order = np.argsort(node, kind="stable")
+        a, node = a[order], node[order]
+        for lo, hi in _spans(node) if len(node) else []:
+            who = a[lo:hi]
+            inside = tree.order[tree.lo[node[lo]] : tree.hi[node[lo]]]
             score = q[who] @ points[inside].T
             score[q_rows[who][:, None] == rows[inside][None, :]] = -np.inf
             all_s = np.concatenate([best_s[who], score], 1)

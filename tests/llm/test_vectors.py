@@ -73,6 +73,21 @@ def test_top_k(spark, data, scale):
     assert vectors.top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_descent_is_best_first(monkeypatch):
+    """Exact on clustered points, and most nodes are never opened, without any score to beat at the start."""
+    rng = np.random.default_rng(3)
+    points = np.floor(64 * (rng.normal(size=(64, 8)) * 4).repeat(64, axis=0) + 8 * rng.normal(size=(4096, 8)))
+    ids, s = rng.permutation(4096), vectors.TopSettings(leaf=16)
+    opened, above = [], vectors.BallTree.above
+    monkeypatch.setattr(vectors.BallTree, "above", lambda self, q, norm, node: opened.append(len(node)) or above(self, q, norm, node))
+    q_rows = np.arange(0, 4096, 41)
+    who, near, score = vectors.top_scores(ids, np.arange(4096), points, q_rows, points[q_rows], np.full(len(q_rows), -np.inf), s)
+    for k, row in enumerate(q_rows.tolist()):
+        full = sorted((-v, int(i)) for j, (v, i) in enumerate(zip(points @ points[row], ids, strict=True)) if j != row)[:20]
+        assert sorted((-v, int(i)) for v, i in zip(score[who == k], near[who == k], strict=True)) == full
+    assert sum(opened) < 0.3 * len(q_rows) * len(vectors.BallTree(points, s.leaf).left)
+
+
 def test_graph_recall():
     rng = np.random.default_rng(5)
     x = vectors.unit_rows(rng.normal(size=(1500, 16)))
