@@ -363,11 +363,12 @@ class BallTree:
             i += 1
         self.centres, self.radii, self.left = np.array(centres), np.array(radii), np.array(self.left)
         self.lo, self.hi = np.array(self.lo), np.array(self.hi)
+        self.lengths = np.sqrt((self.centres**2).sum(1))
 
     def above(self, q: np.ndarray, norm: np.ndarray, node: np.ndarray) -> np.ndarray:
-        """No point of node has a larger inner product with q, whose length is norm: q.c + |q| r, rounded up."""
-        b = (q * self.centres[node]).sum(1) + norm * self.radii[node]
-        return b + 1e-9 * np.abs(b) + 1e-6
+        """No point of node has a larger inner product with q, whose length is norm: q.c + |q| r, and what rounding may take."""
+        slack = 4e-16 * (q.shape[1] + 8) * norm * (self.lengths[node] + self.radii[node]) + 1e-6
+        return np.einsum("ij,ij->i", q, self.centres[node]) + norm * self.radii[node] + slack
 
 
 def top_scores(ids, rows, points, q_rows, q, beat, s: TopSettings):
@@ -386,16 +387,21 @@ def top_scores(ids, rows, points, q_rows, q, beat, s: TopSettings):
     going = np.arange(len(q))
     waiting[:, 0] = tree.above(q, norm, np.zeros(len(q), np.int64))
     while len(going):
-        node = waiting[going].argmax(1)
-        b = waiting[going, node]
-        on = (b > -np.inf) & (b >= kth[going])
-        going, node, b = going[on], node[on], b[on]
-        waiting[going, node] = -np.inf
-        inner = tree.left[node] >= 0
-        for child in (0, 1):
-            a, n = going[inner], tree.left[node[inner]] + child
-            waiting[a, n] = np.minimum(tree.above(q[a], norm[a], n), b[inner])
-        a, node = going[~inner], node[~inner]
+        a, leaves = going, []
+        while len(a):  # until each query that goes on is at a leaf
+            node = waiting[a].argmax(1)
+            b = waiting[a, node]
+            on = (b > -np.inf) & (b >= kth[a])
+            a, node, b = a[on], node[on], b[on]
+            waiting[a, node] = -np.inf
+            end = tree.left[node] < 0
+            leaves.append((a[end], node[end]))
+            a, node, b = a[~end], node[~end], b[~end]
+            for child in (0, 1):
+                n = tree.left[node] + child
+                waiting[a, n] = np.minimum(tree.above(q[a], norm[a], n), b)
+        a, node = (np.concatenate(x) for x in zip(*leaves, strict=True))
+        going = a
         order = np.argsort(node, kind="stable")
         a, node = a[order], node[order]
         for lo, hi in _spans(node) if len(node) else []:
