@@ -33,8 +33,9 @@ def numbered(df: DataFrame, name: str = "ordinal") -> DataFrame:
     return marked.join(F.broadcast(shifts), "__p").withColumn(name, F.col("__before") + F.col("__id").bitwiseAND((1 << 33) - 1)).drop("__id", "__p", "__before")
 
 
-def text_rows(spark: SparkSession, path: str, name: str = "ordinal", line_sep: str | None = None) -> DataFrame:
-    """value and its number over all files of a path, by file name and place in the file, however files are cut into tasks.
+def text_rows(spark: SparkSession, path: str, name: str = "ordinal", line_sep: str | None = None, first: str | None = None) -> DataFrame:
+    """value and its number over all files of a path, by file name and place in the file, however files are cut into tasks; with
+    `first`, a column of that name marks the first row of each file.
 
     As numbered(), but what is summed is one row for each stretch of a file, of 24 bytes, so what is broadcast is some
     megabytes where files have a hundred thousand stretches.
@@ -44,8 +45,9 @@ def text_rows(spark: SparkSession, path: str, name: str = "ordinal", line_sep: s
     marked = reader.text(path).select("value", F.col("_metadata.file_path").alias("__path"), *stretch, F.monotonically_increasing_id().alias("__id"))
     counts = marked.groupBy("__f", "__b").agg(F.count(F.lit(1)).alias("n"), F.min("__id").alias("__first"), F.min("__path").alias("__path"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("__path", "__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    shifts = counts.select("__f", "__b", (before - F.col("__first")).alias("__shift"))
-    return marked.join(F.broadcast(shifts), ["__f", "__b"]).select("value", (F.col("__id") + F.col("__shift")).alias(name))
+    shifts = counts.select("__f", "__b", "__first", (before - F.col("__first")).alias("__shift"))
+    heads = [((F.col("__b") == 0) & (F.col("__id") == F.col("__first"))).alias(first)] if first else []
+    return marked.join(F.broadcast(shifts), ["__f", "__b"]).select("value", (F.col("__id") + F.col("__shift")).alias(name), *heads)
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:

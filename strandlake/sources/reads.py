@@ -12,11 +12,11 @@ _FAIL = "string"
 
 
 def fasta(spark: SparkSession, path: str, linter: str = "dna", allow_empty: bool = True, **lint) -> DataFrame:
-    """The tag is the whole header; sequence lines are joined and linted. The file is split at headers, so it is read in
-    parallel. Text before the first header, and an empty sequence unless allowed, are errors."""
-    raw = text_rows(spark, path, "n", "\n>")
+    """The tag is the whole header; sequence lines are joined and linted. Files are split at headers, so they are read in
+    parallel. Text before the first header of a file, and an empty sequence unless allowed, are errors."""
+    raw = text_rows(spark, path, "n", "\n>", "first")
     v = F.regexp_replace("value", "\r", "")
-    lead = F.when(F.col("n") == 0, F.regexp_replace(v, "^\\s+", "")).otherwise(F.concat(F.lit(">"), v))
+    lead = F.when(F.col("first"), F.regexp_replace(v, "^\\s+", "")).otherwise(F.concat(F.lit(">"), v))
     rows = raw.select("n", lead.alias("v")).where("v <> ''")
     rows = rows.select("n", F.when(~F.col("v").startswith(">"), F.raise_error(F.lit("no header before the first sequence")).cast(_FAIL)).otherwise(F.substring("v", 2, 1 << 30)).alias("v"))
     tag = F.substring_index("v", "\n", 1)
