@@ -203,11 +203,17 @@ def text_spectrum(df: DataFrame, tokens: list[str], k: int, column: str = "text"
     """k-mers of dictionary tokens: (kmer, weight), a kmer being its tokens' ids, dash-joined. The dictionary is the caller's; of a
     token that it has twice the last id counts.
 
-    Texts are cut to tokens by one pattern, in the plan; ids are joined to the k-mers when they are counted."""
+    Texts are cut to tokens by one pattern, in the plan; ids are joined to the k-mers when they are counted. Where unknown
+    characters split, texts are cut to runs of tokens, equal runs are counted, and only one of each is cut to its tokens."""
     text = F.coalesce(F.col(column), F.lit(""))
-    found = df.select(token_stretches(text if case_sensitive else F.lower(text), tokens, unknown).alias("ts")).where(F.size("ts") >= k)
+    x = df.select((text if case_sensitive else F.lower(text)).alias("run"), F.lit(1).cast("long").alias("n"))
+    known = [t for t in tokens if t]
+    if unknown == "split":
+        runs = F.regexp_extract_all("run", F.lit(f"(?:{trie_pattern(known)})++" if known else "(?!)"), F.lit(0))
+        x = x.select(F.explode(runs).alias("run")).where(F.length("run") >= k * min(map(len, known), default=1)).groupBy("run").agg(F.count(F.lit(1)).alias("n"))
+    found = x.select(token_stretches(F.col("run"), tokens, unknown).alias("ts"), "n").where(F.size("ts") >= k)
     every = F.transform(F.sequence(F.lit(1), F.size("ts") - k + 1), lambda i: F.slice("ts", i, k))
-    words = found.select(F.explode(F.filter(every, lambda w: ~F.array_contains(w, ""))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    words = found.select(F.explode(F.filter(every, lambda w: ~F.array_contains(w, ""))).alias("w"), "n").groupBy("w").agg(F.sum("n").cast("double").alias("weight"))
     ids = df.sparkSession.createDataFrame(list({t: i for i, t in enumerate(tokens)}.items()), "token string, id int")
     each = words.select("w", "weight", F.posexplode("w").alias("place", "token")).join(ids, "token")
     in_order = F.array_sort(F.collect_list(F.struct("place", "id")))

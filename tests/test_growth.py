@@ -1,6 +1,7 @@
 """Work that has to grow with the input: the plans and the cost of steps that once grew faster."""
 
 import time
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -19,3 +20,19 @@ def test_windows_of_a_long_text_take_one_pass(spark):
     w = kmers.spectrum(s, kmers.Content.parse("DNA(ss,ci,ignore)"), kmers.Hasher(5))
     assert w.agg(F.sum("weight")).first()[0] == 450000 - 4
     assert time.time() - begin < 15
+
+
+def test_equal_runs_of_tokens_are_cut_once(spark):
+    tokens = ["the", "th", "he", "e", " "]
+    texts = ["the he", "xthxhe the", "th" * 30000, "", None, "q", "the  th"]
+    found = kmers.text_spectrum(spark.createDataFrame([(t,) for t in texts], "text string"), tokens, 2)
+    assert "keys=[run#" in plan(found)
+    want: Counter = Counter()
+    for t in filter(None, texts):
+        at, ts = 0, []
+        while at < len(t):
+            best = max((x for x in tokens if t.startswith(x, at)), key=len, default="")
+            ts.append(tokens.index(best) if best else None)
+            at += len(best) or 1
+        want.update(f"{a}-{b}" for a, b in zip(ts, ts[1:]) if a is not None and b is not None)
+    assert {r.kmer: r.weight for r in found.collect()} == want
