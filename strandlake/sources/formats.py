@@ -43,7 +43,8 @@ def text_rows(spark: SparkSession, path: str, name: str = "ordinal", line_sep: s
     reader = spark.read if line_sep is None else spark.read.option("lineSep", line_sep)
     stretch = [F.xxhash64("_metadata.file_path").alias("__f"), F.col("_metadata.file_block_start").alias("__b")]
     marked = reader.text(path).select("value", F.col("_metadata.file_path").alias("__path"), *stretch, F.monotonically_increasing_id().alias("__id"))
-    counts = marked.groupBy("__f", "__b").agg(F.count(F.lit(1)).alias("n"), F.min("__id").alias("__first"), F.min("__path").alias("__path"))
+    # the path is a key: as a sum's value, a string, all rows of a task would be sorted
+    counts = marked.groupBy("__path", "__f", "__b").agg(F.count(F.lit(1)).alias("n"), F.min("__id").alias("__first"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("__path", "__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     shifts = counts.select("__f", "__b", "__first", (before - F.col("__first")).alias("__shift"))
     heads = [((F.col("__b") == 0) & (F.col("__id") == F.col("__first"))).alias(first)] if first else []

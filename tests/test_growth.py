@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandlake.functions import sequences as sq
 from strandlake.operators import kmers
+from strandlake.sources import formats
 
 
 def plan(df) -> str:
@@ -36,3 +37,11 @@ def test_equal_runs_of_tokens_are_cut_once(spark):
             at += len(best) or 1
         want.update(f"{a}-{b}" for a, b in zip(ts, ts[1:]) if a is not None and b is not None)
     assert {r.kmer: r.weight for r in found.collect()} == want
+
+
+def test_numbers_of_lines_need_no_sort_of_lines(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / f"{k}.txt").write_text("".join(f"{k}.{i}\n" for i in range(k + 1)))
+    x = formats.lines(spark, f"file://{tmp_path}")
+    assert "SortAggregate" not in plan(x)
+    assert [tuple(r) for r in x.orderBy("ordinal").collect()] == [(0, "0.0"), (1, "1.0"), (2, "1.1"), (3, "2.0"), (4, "2.1"), (5, "2.2")]
