@@ -74,6 +74,28 @@ def canonical(mask: Column, n: int) -> Column:
     return F.when(last, complement(checked(mask, n), n)).otherwise(checked(mask, n))
 
 
+def smaller_side(bits: Column, n: int) -> Column:
+    """Of a split's side, given as an array of bits from 0 to n - 1, and the other, the one with fewer names, ascending; of two as large,
+    the one without the last name. As long as what is given at most, however many names there are, and the same for both sides."""
+    b = F.array_sort(F.array_distinct(bits))
+    bad = F.exists(b, lambda x: (x < 0) | (x >= n))
+    other = F.array_except(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")), b)
+    large = (F.size(b) * 2 > n) | ((F.size(b) * 2 == n) & F.array_contains(b, F.lit(n - 1).cast("long")))
+    return F.when(bad, F.raise_error(F.lit("a bit beyond the names")).cast("array<long>")).when(large, other).otherwise(b)
+
+
+def canonical_bits(side: Column, n: int) -> Column:
+    """The bits of the canonical side (without the last name) of a split of which a side is listed."""
+    last = F.lit(n - 1).cast("long")
+    return F.when(F.array_contains(side, last), F.array_except(F.sequence(F.lit(0).cast("long"), last), side)).otherwise(side)
+
+
+def merge_listed(splits: DataFrame) -> DataFrame:
+    """side, weight: the weights of equal splits (side: smaller_side()) added. A row is as long as its smaller side, where a packed
+    mask has a bit for every name."""
+    return splits.groupBy("side").agg(F.sum("weight").alias("weight"))
+
+
 def merge(*registers: DataFrame) -> DataFrame:
     """mask, weight: the weights of equal splits added."""
     out = registers[0].select("mask", "weight")
