@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.operators.paths import fold_up
 from strandlake.operators.statistics import ranged
 from strandlake.plans.tables import written
 
@@ -123,24 +122,38 @@ def conflicts(splits: DataFrame) -> DataFrame:
     return pair.where(_no_lower(meet(a, b), F.col("bit")) & ~is_empty(without(a, b)) & ~is_empty(without(b, a))).select("a", "b")
 
 
+def words_up(nodes: DataFrame, words: DataFrame) -> DataFrame:
+    """tree_id, idx, word, bits: of each node the words of all below it and its own (words: the same columns) put together, by doubling
+    as in fold_up(). A round is a written table."""
+    up = nodes.select("tree_id", "idx", F.when(F.col("parent_idx") >= 0, F.col("parent_idx")).alias("up")).where("up is not null")
+    now = words
+    while not (up := written(up, "ups")).isEmpty():
+        come = now.join(up, ["tree_id", "idx"]).select("tree_id", F.col("up").alias("idx"), "word", "bits")
+        now = written(now.unionByName(come).groupBy("tree_id", "idx", "word").agg(F.bit_or("bits").alias("bits")), "words")
+        up = up.join(up.select("tree_id", F.col("idx").alias("up"), F.col("up").alias("__up")), ["tree_id", "up"]).select("tree_id", "idx", F.col("__up").alias("up"))
+    return now
+
+
 def tree_masks(nodes: DataFrame) -> DataFrame:
     """tree_id, mask, n: the canonical split of each inner node that parts the leaves to two sides of two at least, each split once
     a tree. Names are numbered in order; a leaf without a name or a name that is there twice in a tree is an error.
 
-    Masks are folded from the leaves up word by word, so nothing is listed for each pair of node and leaf."""
+    Of each node only the words that have a bit are rows while masks are folded from the leaves up: a leaf has one, a node at
+    most as many as it has leaves below it."""
     inner = nodes.where("parent_idx >= 0").select("tree_id", F.col("parent_idx").alias("idx")).distinct()
     leaves = nodes.join(inner, ["tree_id", "idx"], "left_anti").select("tree_id", "idx", "name")
     twice = leaves.groupBy("tree_id", "name").agg(F.count(F.lit(1)).alias("__k"))
     fault = F.when(F.coalesce("name", F.lit("")) == "", "a leaf without a name").when(F.col("__k") > 1, "a name of several leaves")
     leaves = leaves.join(twice, ["tree_id", "name"], "left").withColumn("name", F.when(fault.isNotNull(), F.raise_error(fault).cast("string")).otherwise(F.col("name"))).drop("__k")
     leaves = written(ranged(leaves, F.asc("name"), F.lit(1).cast("long"), "tree_id").select("tree_id", "idx", F.col("__before").alias("bit"), F.col("__all").alias("n")), "leaves")
-    most = leaves.agg(F.max("n")).first()[0] or 1
-    words = range((most + 63) // 64)
-    x = nodes.select("tree_id", "idx", "parent_idx").join(leaves, ["tree_id", "idx"], "left")
-    masks = fold_up(x, **{f"w{w}": ("or", F.when(F.floor(F.col("bit") / 64) == w, _bit(F.col("bit"))).otherwise(F.lit(0).cast("long"))) for w in words})
-    masks = masks.join(inner, ["tree_id", "idx"], "left_semi").join(leaves.select("tree_id", "n").distinct(), "tree_id")
+    x = words_up(nodes, leaves.select("tree_id", "idx", F.floor(F.col("bit") / 64).cast("int").alias("word"), _bit(F.col("bit")).alias("bits")))
+    masks = x.join(inner, ["tree_id", "idx"], "left_semi").groupBy("tree_id", "idx").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("m"))
+    masks = masks.join(leaves.select("tree_id", "n").distinct(), "tree_id")
     # trees of one frame may have different numbers of leaves: the mask has the words that its tree needs
-    mask = F.slice(F.array(*(F.col(f"w{w}") for w in words)), F.lit(1), F.ceil(F.col("n") / 64).cast("int"))
+    place = F.sequence(F.lit(0), F.ceil(F.col("n") / 64).cast("int") - 1)
+    masks = masks.select("tree_id", "n", F.map_concat(F.map_from_arrays(F.array_except(place, F.map_keys("m")), F.transform(F.array_except(place, F.map_keys("m")), lambda _: F.lit(0).cast("long"))), "m").alias("m"))
+    masks = masks.select("tree_id", "n", F.transform(F.array_sort(F.map_entries("m")), lambda e: e["value"]).alias("mask"))
+    mask = F.col("mask")
     last = F.get(mask, F.floor((F.col("n") - 1) / 64).cast("int")).bitwiseAND(_bit(F.col("n") - 1)) != 0
     whole = F.transform(mask, lambda _, i: F.when((i + 1) * 64 <= F.col("n"), F.lit(-1).cast("long")).otherwise(_lower(F.col("n"))))
     s = masks.select("tree_id", "n", F.when(last, F.zip_with(whole, mask, lambda x, y: x.bitwiseXOR(y))).otherwise(mask).alias("mask"))
