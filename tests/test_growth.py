@@ -6,7 +6,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from strandlake.functions import sequences as sq
-from strandlake.operators import kmers
+from strandlake.operators import kmers, paths
 from strandlake.sources import formats
 
 
@@ -45,3 +45,16 @@ def test_numbers_of_lines_need_no_sort_of_lines(spark, tmp_path):
     x = formats.lines(spark, f"file://{tmp_path}")
     assert "SortAggregate" not in plan(x)
     assert [tuple(r) for r in x.orderBy("ordinal").collect()] == [(0, "0.0"), (1, "1.0"), (2, "1.1"), (3, "2.0"), (4, "2.1"), (5, "2.2")]
+
+
+def test_pairs_of_blocks_are_dealt_to_tasks(spark, monkeypatch):
+    """Rows of pairs are small, so by their bytes Spark made one task of all of them; tasks follow the result's size."""
+    monkeypatch.setattr(paths, "PER_TASK", 200, raising=False)
+    rows = [(0, i, 0 if i else -1, f"n{i}", float(i)) for i in range(61)]
+    nodes = spark.createDataFrame(rows, "tree_id long, idx int, parent_idx int, name string, length double")
+    all_pairs, matrix = paths.distances(nodes, block=8), paths.cophenetic(nodes, block=8)
+    for df, n in ((all_pairs, 61 * 60 // 2), (matrix, 3600)):
+        assert df.groupBy(F.spark_partition_id()).count().count() > 4
+        assert df.count() == n
+    assert all_pairs.where("distance <> if(a = 0, 0, a) + b").count() == 0
+    assert matrix.where("value <> if(row = col, 0, int(substr(row, 2)) + int(substr(col, 2)))").count() == 0
