@@ -67,9 +67,11 @@ def gtf_attributes(text: str) -> dict[str, list[str]]:
     return out
 
 
-def read_gtf(spark: SparkSession, path: str, hierarchy: str | None = None) -> DataFrame:
+def read_gtf(spark: SparkSession, path: str, hierarchy: str | None = None, ordered: bool = True) -> DataFrame:
     """n, seq, type, low, length, strand, gene_id, transcript_id, source, score, phase, attributes, synthesized, path, id, ord,
-    with missing parents made up, in the order of ord. A path outside the hierarchy is an error."""
+    with missing parents made up, in the order of ord. A path outside the hierarchy is an error.
+
+    Not ordered, rows come in any order and without ord; then rows of the file are never shuffled."""
     rows, _ = _framed(spark, path)
 
     @F.pandas_udf("map<string,array<string>>")
@@ -79,12 +81,12 @@ def read_gtf(spark: SparkSession, path: str, hierarchy: str | None = None) -> Da
     # parsed once, though parents are made up from several sides of it
     x = written(_fields(rows).withColumn("attributes", attributes("attrs")).drop("attrs"), "gtf-rows")
     first = lambda k: F.try_element_at(F.try_element_at("attributes", F.lit(k)), F.lit(1))
-    placed = written(an.gtf_paths(an.synthesize_parents(x.withColumns({"gene_id": first("gene_id"), "transcript_id": first("transcript_id")}))), "gtf-features")
-    remove(x)
-    bad = an.check_paths(placed, an.hierarchy(spark, hierarchy or an.HIERARCHIES["gtf", "standard"])).first()
+    rows = an.synthesize_parents(x.withColumns({"gene_id": first("gene_id"), "transcript_id": first("transcript_id")}), keep=True)
+    bad = an.check_paths(an.gtf_paths(rows, ordered=False), an.hierarchy(spark, hierarchy or an.HIERARCHIES["gtf", "standard"])).first()
     if bad:
         raise ValueError(f"not in the hierarchy: {'->'.join(bad.path)}")
-    return placed.orderBy("ord")
+    placed = an.gtf_paths(rows, ordered)
+    return placed.orderBy("ord") if ordered else placed
 
 
 # ---- GenBank --------------------------------------------------------------------------------------------------------

@@ -1,13 +1,15 @@
 """Work that has to grow with the input: the plans and the cost of steps that once grew faster."""
 
+import os
 import time
 from collections import Counter
 
 from pyspark.sql import functions as F
 
 from strandlake.functions import sequences as sq
-from strandlake.operators import annotation, kmers, paths
-from strandlake.sources import formats
+from strandlake.operators import annotation, catalogue, kmers, paths
+from strandlake.plans import tables
+from strandlake.sources import annotations, formats
 
 
 def plan(df) -> str:
@@ -74,3 +76,25 @@ def test_parents_are_made_by_hash(spark):
         (1, "gene", 7 + 3, 44, None, "g", None, True), (2, "gene", 0, 1, None, "h", None, True), (4, "transcript", 10, 25, "+", "g", "t", True),
         (8, "transcript", 1, 3, ".", "g", "u", False), (9, "gene", 2, 4, "?", "i", None, False)]
     assert found.count() == len(got) + 4
+
+
+def test_rows_of_a_gtf_file_are_not_shuffled(spark):
+    """All features with their attributes were joined to first rows, twice, and sorted; the file stayed."""
+    folder = tables.shared_folder(spark).removeprefix("file://")
+    files = lambda: {x for x in os.listdir(folder) if x.startswith("gtf-") and not x.startswith("gtf-rows")}
+    before = files()
+    found = catalogue.queries()["gtf_scan"](spark, "/root/testdata/sf0.001")
+    assert files() == before
+    assert "Exchange" not in plan(found)
+
+
+def test_features_of_a_gtf_file_in_order(spark, tmp_path):
+    row = lambda kind, low, g, t: f'c\td\t{kind}\t{low}\t{low}\t.\t+\t.\tgene_id "{g}";' + (f' transcript_id "{t}";' if t else "") + "\n"
+    (tmp_path / "a.gtf").write_text("".join(row(*x) for x in [("exon", 5, "g", "t"), ("exon", 6, "g", "u"), ("exon", 7, "h", "v"), ("transcript", 1, "g", "u"), ("exon", 8, "g", "t"), ("gene", 1, "h", None), ("gene", 9, "i", None)]))
+    f = annotations.read_gtf(spark, f"file://{tmp_path}/a.gtf")
+    got = [(r.type, r.id, r.n, r.ord) for r in f.collect()]
+    assert got == [
+        ("gene", "g", 0, [0]), ("transcript", "t", 0, [0, 0]), ("exon", None, 0, [0, 0, 0]), ("exon", None, 4, [0, 0, 4]), ("transcript", "u", 3, [0, 1]), ("exon", None, 1, [0, 1, 1]),
+        ("gene", "h", 5, [2]), ("transcript", "v", 2, [2, 2]), ("exon", None, 2, [2, 2, 2]), ("gene", "i", 6, [6])]
+    free = annotations.read_gtf(spark, f"file://{tmp_path}/a.gtf", ordered=False)
+    assert "ord" not in free.columns and sorted(map(str, free.collect())) == sorted(map(str, f.drop("ord").collect()))
