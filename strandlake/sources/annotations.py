@@ -261,7 +261,7 @@ def gff3_header(meta: DataFrame) -> DataFrame:
 
 
 def gtf_lines(features: DataFrame, source: str = "strandlake") -> DataFrame:
-    """line, in the features' order; all attributes, the ids first where they are columns only."""
+    """line, in the order of ord, else of n with parents first; all attributes, the ids first where they are columns only."""
     q = lambda v: F.replace(F.replace(v, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
     pair = lambda k, v: F.concat(k, F.lit(' "'), q(v), F.lit('";'))
     if "attributes" in features.columns:
@@ -272,8 +272,9 @@ def gtf_lines(features: DataFrame, source: str = "strandlake") -> DataFrame:
     src = F.coalesce("source", F.lit(source)) if "source" in features.columns else F.lit(source)
     phase = _DOT(F.col("phase")) if "phase" in features.columns else F.lit(".")
     row = F.concat_ws("\t", "seq", src, "type", (F.col("low") + 1).cast("string"), (F.col("low") + F.col("length")).cast("string"), F.lit("."), _DOT(F.col("strand")), phase, text)
-    order = ["ord"] if "ord" in features.columns else ["n", F.when(F.col("type") == "gene", 0).when(F.col("type") == "transcript", 1).otherwise(2)]
-    return features.orderBy(*order).select(row.alias("line"))
+    order = F.col("ord") if "ord" in features.columns else F.struct("n", F.when(F.col("type") == "gene", 0).when(F.col("type") == "transcript", 1).otherwise(2))
+    # lines are sorted, not features: they are less
+    return features.select(row.alias("line"), order.alias("__order")).orderBy("__order").select("line")
 
 
 # ---- saved annotations ----------------------------------------------------------------------------------------------

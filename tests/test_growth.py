@@ -88,6 +88,15 @@ def test_rows_of_a_gtf_file_are_not_shuffled(spark):
     assert "Exchange" not in plan(found)
 
 
+def test_lines_of_a_gtf_file_are_sorted_not_features(spark):
+    found = catalogue.queries()["gtf_written"](spark, "/root/testdata/sf0.001")
+    assert plan(found).count("Exchange") == 1 and "Sort [__order" in plan(found)
+    lines = [r.line.split("\t") for r in found.collect()]
+    assert [x[2] for x in lines[:3]] == ["gene", "transcript", "exon"]
+    number = [int(x[8].split('gene_id "g')[1].split('"')[0]) for x in lines]
+    assert number == sorted(number)
+
+
 def test_features_of_a_gtf_file_in_order(spark, tmp_path):
     row = lambda kind, low, g, t: f'c\td\t{kind}\t{low}\t{low}\t.\t+\t.\tgene_id "{g}";' + (f' transcript_id "{t}";' if t else "") + "\n"
     (tmp_path / "a.gtf").write_text("".join(row(*x) for x in [("exon", 5, "g", "t"), ("exon", 6, "g", "u"), ("exon", 7, "h", "v"), ("transcript", 1, "g", "u"), ("exon", 8, "g", "t"), ("gene", 1, "h", None), ("gene", 9, "i", None)]))
