@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,8 +62,10 @@ def gtf_attributes(text: str) -> dict[str, list[str]]:
         m = _GTF_PAIR.match(text, at)
         if not m:
             raise ValueError(f"unreadable attributes: {text[at : at + 40]!r}")
-        value = re.sub(r"\\(.)", r"\1", m[2]) if m[2] is not None else m[3]
-        out.setdefault(m[1], []).append(value)
+        key, quoted, bare = m.groups()
+        if quoted is not None and "\\" in quoted:
+            quoted = re.sub(r"\\(.)", r"\1", quoted)
+        out.setdefault(key, []).append(bare if quoted is None else quoted)
         at = m.end()
     return out
 
@@ -74,9 +77,18 @@ def read_gtf(spark: SparkSession, path: str, hierarchy: str | None = None, order
     Not ordered, rows come in any order and without ord; then rows of the file are never shuffled."""
     rows, _ = _framed(spark, path)
 
-    @F.pandas_udf("map<string,array<string>>")
-    def attributes(s: pd.Series) -> pd.Series:
-        return s.map(gtf_attributes)
+    # as Arrow arrays: maps in pandas are turned row by row and value by value
+    @F.arrow_udf("map<string,array<string>>")
+    def attributes(s: pa.Array) -> pa.Array:
+        keys, values, key_ends, value_ends = [], [], [0], [0]
+        for text in s.to_pylist():
+            for k, vs in gtf_attributes(text).items():
+                keys.append(k)
+                values += vs
+                value_ends.append(len(values))
+            key_ends.append(len(keys))
+        lists = pa.ListArray.from_arrays(pa.array(value_ends, pa.int32()), pa.array(values, pa.string()))
+        return pa.MapArray.from_arrays(pa.array(key_ends, pa.int32()), pa.array(keys, pa.string()), lists)
 
     # parsed once, though parents are made up from several sides of it
     x = written(_fields(rows).withColumn("attributes", attributes("attrs")).drop("attrs"), "gtf-rows")
